@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import oracles
 from .encoding import default_tokenizer
+from .fingerprints import fingerprint_documents
 from .huffman import read_token_files, write_token_files
+from .mixing import mix_sources
 from .packing import pack_documents
+from .pii import find_spans
 from .scratch import Scratch
+from .url_rules import judge_urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,13 +27,30 @@ def op2_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, path)
 
 
+def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(oracles.URL_RULES, "rule string, verdict string")
+    return judge_urls(_table(spark, sf_dir, "pages"), rules)
+
+
+def op5_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_documents(_table(spark, sf_dir, "documents"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), default_tokenizer(), capacity=2048, end_id=0)
 
 
+def op9_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_table(spark, sf_dir, "documents"), oracles.MIX_WEIGHTS, seed=oracles.MIX_SEED)
+
+
+def op10_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_spans(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)
