@@ -89,7 +89,19 @@ SELECT doc_id, n_chars, sha256(ed) AS edited_sha256, {_hex('a')} AS fingerprint,
 FROM v
 """
 
+REPEATS = """
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+w AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS p FROM d WHERE len(ws) >= 13),
+f AS (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY list_slice(ws, p, p + 12)) AS first FROM w),
+gone AS (SELECT doc_id, list_sort(list_distinct(flatten(list(range(p, p + 13))))) AS r FROM f WHERE first < doc_id GROUP BY doc_id),
+k AS (SELECT d.doc_id, len(ws) AS n, coalesce(len(r), 0) AS g,
+             CASE WHEN r IS NULL THEN ws ELSE list_transform(list_filter(range(1, len(ws) + 1), lambda i: NOT list_contains(r, i)), lambda i: ws[i]) END AS kept
+      FROM d LEFT JOIN gone USING (doc_id))
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(g AS BIGINT) AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k
+"""
+
 SQL = {
+    "op6_super_kmer_dedup": REPEATS,
     "op4_url_rules": URLS,
     "op5_multiset_fingerprint": FINGERPRINTS,
     "op9_poisson_mixing": MIX,

@@ -14,6 +14,7 @@ from .mixing import mix_sources
 from .packing import pack_documents
 from .pii import find_spans
 from .scratch import Scratch
+from .substrings import remove_repeats
 from .url_rules import judge_urls
 
 
@@ -36,6 +37,10 @@ def op5_multiset_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(_table(spark, sf_dir, "documents"))
 
 
+def op6_super_kmer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), default_tokenizer(), capacity=2048, end_id=0)
 
