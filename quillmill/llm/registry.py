@@ -11,6 +11,7 @@ from .encoding import default_tokenizer
 from .fingerprints import fingerprint_documents
 from .huffman import read_token_files, write_token_files
 from .mixing import mix_sources
+from .near_dups import near_duplicates
 from .packing import pack_documents
 from .pii import find_spans
 from .scratch import Scratch
@@ -41,6 +42,10 @@ def op6_super_kmer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op7_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), default_tokenizer(), capacity=2048, end_id=0)
 
