@@ -13,17 +13,36 @@ from __future__ import annotations
 
 import json
 import os
+from array import array
 
 import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Distinct words kept by a worker before its cache starts anew.
-CACHE_WORDS = 1_200_000
-_JOIN_CHARS = 1 << 16
+#: Distinct words kept by a worker.  Beyond that it forgets the later half: words met early are the frequent ones.
+CACHE_WORDS = 1_500_000
 _encoders: dict[str, "WordEncoder"] = {}
 
 
+class _Words(dict):
+    """Packed ids by word, with the space before it or (``lead`` empty) as the head of a text; None: not to be cut off."""
+
+    def __init__(self, plain, lead: str):
+        super().__init__()
+        self.plain, self.lead = plain, lead
+        self.marks = {x: plain(x) for x in ".,"}
+
+    def __missing__(self, word: str) -> bytes | None:
+        if not word or word[0].isspace() or word[-1].isspace():
+            ids = None
+        elif word[-1] in self.marks and word[:-1].isalpha():
+            ids = self[word[:-1]] + self.marks[word[-1]]  # letters and one mark are two words to the library
+        else:
+            ids = self.plain(self.lead + word)
+        self[word] = ids
+        return ids
+
+
 class WordEncoder:
     """Encodes texts to packed little-endian ids of ``dtype``."""
 
@@ -31,78 +50,32 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        size = self.tok.get_vocab_size(with_added_tokens=True)
-        self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
-        pre = json.loads(self.tok.to_str())
-        kind = pre.get("pre_tokenizer") or {}
-        self.cuts = kind.get("type") == "ByteLevel" and kind.get("use_regex", True) and not kind.get("add_prefix_space") and not pre.get("normalizer") and not pre.get("truncation") and not pre.get("padding")
-        self.opens = np.zeros(size, dtype=bool)
-        for token, i in self.tok.get_vocab(with_added_tokens=True).items():
-            self.opens[i] = token.startswith("Ġ")
-        self.marks = dict(zip(".,", self._plain([".", ","])))
-        self.words: dict[str, bytes | None] = {}
-        self.heads: dict[str, bytes | None] = {}
-
-    def _plain(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, words: list[str]) -> None:
-        """Encode new words, each with its leading space, many in one call."""
-        whole, ends, good = self.words, [], []
-        for w in words:
-            if not w or w[0].isspace() or w[-1].isspace():
-                whole[w] = None
-            elif w[-1] in self.marks and w[:-1].isalpha():
-                ends.append(w)  # letters and one mark are two words to the library
-                if w[:-1] not in whole:
-                    good.append(w[:-1])
-            else:
-                good.append(w)
-        self._learn_whole(list(dict.fromkeys(good)))
-        for w in ends:
-            whole[w] = whole[w[:-1]] + self.marks[w[-1]]
-
-    def _learn_whole(self, good: list[str]) -> None:
-        group, size = [], 0
-        for k, w in enumerate(good):
-            group.append(w)
-            size += len(w) + 1
-            if size >= _JOIN_CHARS or k + 1 == len(good):
-                packed = self._plain([" " + " ".join(group)])[0]
-                ids = np.frombuffer(packed, dtype=self.dtype)
-                at = np.flatnonzero(self.opens[ids])
-                if len(at) == len(group) and (not len(at) or at[0] == 0):
-                    cut = (np.append(at, len(ids)) * self.dtype.itemsize).tolist()
-                    self.words.update(zip(group, (packed[a:b] for a, b in zip(cut, cut[1:]))))
-                else:
-                    self.words.update(zip(group, self._plain([" " + x for x in group])))
-                group, size = [], 0
+        self.size = self.tok.get_vocab_size(with_added_tokens=True)
+        self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
+        how = json.loads(self.tok.to_str())
+        kind = how.get("pre_tokenizer") or {}
+        self.cuts = kind.get("type") == "ByteLevel" and kind.get("use_regex", True) and not kind.get("add_prefix_space") and not how.get("normalizer") and not how.get("truncation") and not how.get("padding")
+        self.words, self.heads = _Words(self.plain, " "), _Words(self.plain, "")
+
+    def plain(self, text: str) -> bytes:
+        """One text by the library alone."""
+        return array(self.dtype.char, self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.cuts:
-            return self._plain(texts)
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
-        if len(self.heads) > CACHE_WORDS // 8:
-            self.heads.clear()
-        parts = [t.split(" ") for t in texts]
-        heads = [p.pop(0) for p in parts]
-        unseen: set[str] = set()
-        for p in parts:
-            unseen.update(p)
-        self._learn([w for w in unseen if w not in self.words])
-        new = list({h for h in heads if h not in self.heads})
-        ok = [h for h in new if h and not h[0].isspace() and not h[-1].isspace()]
-        self.heads.update(dict.fromkeys(new))
-        self.heads.update(zip(ok, self._plain(ok)))
+            return [self.plain(t) for t in texts]
+        for words in (self.words, self.heads):
+            if len(words) > CACHE_WORDS:
+                for word in list(words)[CACHE_WORDS // 2 :]:
+                    del words[word]
         out: list[bytes] = []
-        get = self.words.__getitem__
-        for text, head, part in zip(texts, heads, parts):
-            first = self.heads[head]
+        get, heads = self.words.__getitem__, self.heads
+        for text in texts:
+            head, *rest = text.split(" ")
             try:
-                out.append(first + b"".join(map(get, part)))
+                out.append(heads[head] + b"".join(map(get, rest)))
             except TypeError:  # a piece that can't stand alone
-                out.append(self._plain([text])[0])
+                out.append(self.plain(text))
         return out
 
 

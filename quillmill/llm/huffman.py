@@ -253,7 +253,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     enc = encoder(tokenizer)
     scratch = Scratch(spark, "ids")
     stored = scratch.save(stored_ids(docs, tokenizer, end_id, id_col, text_col), "stored")
-    book = Codebook(code_lengths(count_ids(stored, enc.dtype.itemsize, max(len(enc.opens), end_id + 1))))
+    book = Codebook(code_lengths(count_ids(stored, enc.dtype.itemsize, max(enc.size, end_id + 1))))
     write_blocks(stored, enc.dtype.itemsize, book).write.mode("overwrite").parquet(f"{path}/blocks")
     spark.createDataFrame([(bytearray(book.lengths.tobytes()),)], "lengths binary").coalesce(1).write.mode("overwrite").parquet(f"{path}/codebook")
     scratch.drop()
