@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import oracles
+from . import oracles, quality
 from .encoding import default_tokenizer
 from .fingerprints import fingerprint_documents
 from .huffman import read_token_files, write_token_files
@@ -16,6 +16,7 @@ from .packing import pack_documents
 from .pii import find_spans
 from .scratch import Scratch
 from .substrings import remove_repeats
+from .topk import exact_top_k
 from .url_rules import judge_urls
 
 
@@ -23,12 +24,22 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_cotrained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = quality.train(docs, _table(spark, sf_dir, "labels"))
+    return quality.score(docs, model).select("doc_id", "p_text", "p_meta", "p_quality", "keep")
+
+
 def op2_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = Scratch(spark, "token-files").path
     write_token_files(_table(spark, sf_dir, "documents"), path, default_tokenizer(), end_id=2)
     return read_token_files(spark, path)
 
 
+def op3_kd_tree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_top_k(_table(spark, sf_dir, "embeddings"), k=20, scale=64, query_every=20)
+
+
 def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(oracles.URL_RULES, "rule string, verdict string")
     return judge_urls(_table(spark, sf_dir, "pages"), rules)
@@ -43,7 +54,7 @@ def op6_super_kmer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(_table(spark, sf_dir, "documents"))
+    return near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_texts")
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
