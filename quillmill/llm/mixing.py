@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 STEP = 64.0
 _BITS = 48
+#: Up to so many sources their rates (about a kilobyte each) are broadcast; beyond, they are joined by shuffle.
+FEW_SOURCES = 5_000
 
 
 def uniform(*parts: Column | str) -> Column:
@@ -64,6 +66,8 @@ def mix_sources(docs: DataFrame, weights: dict[str, float], seed: int = 17, epoc
     docs = docs.drop("copy", "copies", "shuffle_key")
     names = docs.columns
     rates = with_cdf(mean_rates(docs, weights, source_col, text_col, epochs)).select(F.col("_source"), "_draws", "_cdf")
+    if docs.select(F.col(source_col)).distinct().limit(FEW_SOURCES + 1).count() <= FEW_SOURCES:
+        rates = F.broadcast(rates)
     joined = docs.join(rates, F.col(source_col).cast("string").eqNullSafe(F.col("_source")))
     seed_text = str(seed)
 
