@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -89,6 +89,7 @@ def canonical_codes(lengths: np.ndarray) -> np.ndarray:
 class Codebook:
     def __init__(self, lengths: np.ndarray):
         self.lengths = lengths
+        self.sizes = lengths.astype(np.int64)
         self.codes = canonical_codes(lengths)
         self.limit = max(1, int(lengths.max(initial=1)))
         self._table: tuple[np.ndarray, np.ndarray] | None = None
@@ -109,17 +110,18 @@ class Codebook:
 
 
 def encode_block(doc_ids: list[int], n_tokens: list[int], ids: np.ndarray, before: int, book: Codebook) -> bytes:
-    size = book.lengths[ids].astype(np.int64)
+    size = book.sizes[ids]
     ends = np.cumsum(size)
-    bits = int(ends[-1]) if len(ends) else 0
+    bits = int(ends[-1])
     starts = ends - size
-    shift = (64 - size - (starts & 31)).astype(np.uint64)
-    value = book.codes[ids] << shift
     word = starts >> 5
-    words = bits // 32 + 2
-    high = np.bincount(word, weights=(value >> np.uint64(32)).astype(np.float64), minlength=words)
-    low = np.bincount(word + 1, weights=(value & np.uint64(0xFFFFFFFF)).astype(np.float64), minlength=words)
-    stream = (high[:words] + low[:words]).astype(np.uint64).astype(">u4").tobytes()[: (bits + 7) // 8]
+    # Codes lie in 64-bit windows that open at 32-bit words; every word but the last opens some code.
+    firsts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+    windows = np.add.reduceat(book.codes[ids] << (64 - size - (starts & 31)).astype(np.uint64), firsts)
+    words = np.zeros(len(firsts) + 1, dtype=np.uint64)
+    words[:-1] = windows >> np.uint64(32)
+    words[1:] += windows & np.uint64(0xFFFFFFFF)
+    stream = words.astype(">u4").tobytes()[: (bits + 7) // 8]
     head = HEADER.pack(MAGIC, len(doc_ids), len(ids), bits, before)
     return b"".join([head, np.array(doc_ids, "<i8").tobytes(), np.array(n_tokens, "<i8").tobytes(), starts[::CHECKPOINT].astype("<u8").tobytes(), stream])
 
@@ -147,53 +149,60 @@ def decode_block(payload: bytes, book: Codebook) -> tuple[np.ndarray, np.ndarray
     return doc_ids, counts, out.T.reshape(-1)[:tokens], before
 
 
-def _squeeze(packed: bytes, width: int) -> bytes:
-    """Byte planes, compressed: stored ids wait here only for the counts."""
+def _squeeze(packed: list[bytes]) -> list[bytes]:
+    """Compressed: stored ids wait here only for the counts."""
     import zstandard
 
-    planes = np.frombuffer(packed, np.uint8).reshape(-1, width).T.tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(planes)
+    compress = zstandard.ZstdCompressor(level=1).compress
+    return [compress(x) for x in packed]
 
 
-def _expand(stored: bytes, width: int) -> np.ndarray:
+def _expand(stored: Iterable[pa.Scalar], dtype: str) -> list[np.ndarray]:
     import zstandard
 
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(stored), np.uint8).reshape(width, -1)
-    return np.ascontiguousarray(planes.T).reshape(-1).view(f"<u{width}")
+    expand = zstandard.ZstdDecompressor().decompress
+    return [np.frombuffer(expand(x.as_py()), dtype) for x in stored]
 
 
 def stored_ids(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Encoded documents; a task's last row (``n_tokens`` -1) holds its count of each id."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         end = np.array([end_id], enc.dtype).tobytes()
+        total = np.zeros(max(enc.size, end_id + 1), dtype=np.int64)
+        names = ["doc_id", "n_tokens", "ids_crc32", "ids"]
         for batch in by_text_size(batches, "text"):
             packed = [x + end for x in enc.encode(texts_of(batch, "text"))]
             n = [len(x) // enc.dtype.itemsize for x in packed]
-            crc = [zlib.crc32(np.frombuffer(x, enc.dtype).astype("<u4").tobytes()) for x in packed]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array([_squeeze(x, enc.dtype.itemsize) for x in packed], pa.binary())], ["doc_id", "n_tokens", "ids_crc32", "ids"])
+            ids = np.frombuffer(b"".join(packed), enc.dtype)
+            total += np.bincount(ids, minlength=len(total))
+            raw, at = ids.astype("<u4").tobytes(), (4 * np.cumsum([0, *n])).tolist()
+            crc = [zlib.crc32(raw[a:b]) for a, b in zip(at, at[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(_squeeze(packed), pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([-1], pa.int64()), pa.array([0], pa.int64()), pa.array(_squeeze([total.tobytes()]), pa.binary())], names)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, STORED)
 
 
-def count_ids(stored: DataFrame, width: int, size: int) -> np.ndarray:
+def count_ids(stored: DataFrame, size: int) -> np.ndarray:
     """Global count of each id; at most one row an id reaches the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, dtype=np.int64)
         for batch in batches:
-            rows = batch.column("ids")
-            for at in range(0, len(rows), 256):
-                total += np.bincount(np.concatenate([_expand(x.as_py(), width) for x in rows[at : at + 256]]), minlength=size)
+            for counts in _expand(batch.column("ids"), "<i8"):
+                total += counts
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(total[found], pa.int64())], ["id", "n"])
 
     counts = np.zeros(size, dtype=np.int64)
-    for i, n in stored.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n")).collect():
+    for i, n in stored.where("n_tokens < 0").select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n")).collect():
         counts[i] = n
     return counts
 
 
-def write_blocks(stored: DataFrame, width: int, book: Codebook) -> DataFrame:
+def write_blocks(stored: DataFrame, dtype: str, book: Codebook) -> DataFrame:
     """Blocks of documents in ascending order of id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,14 +224,14 @@ def write_blocks(stored: DataFrame, width: int, book: Codebook) -> DataFrame:
             for doc, n, ids in zip(batch.column("doc_id").to_pylist(), batch.column("n_tokens").to_pylist(), batch.column("ids")):
                 docs.append(NO_ID if doc is None else doc)
                 sizes.append(n)
-                held.append(_expand(ids.as_py(), width))
+                held += _expand([ids], dtype)
                 waiting += n
                 if waiting >= BLOCK_TOKENS:
                     yield flush()
         if docs:
             yield flush()
 
-    order = stored.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.col("ids_crc32")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids_crc32")
+    order = stored.where("n_tokens >= 0").repartitionByRange(F.col("doc_id").asc_nulls_first(), F.col("ids_crc32")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids_crc32")
     return order.select("doc_id", "n_tokens", "ids").mapInArrow(run, BLOCKS)
 
 
@@ -253,8 +262,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     enc = encoder(tokenizer)
     scratch = Scratch(spark, "ids")
     stored = scratch.save(stored_ids(docs, tokenizer, end_id, id_col, text_col), "stored")
-    book = Codebook(code_lengths(count_ids(stored, enc.dtype.itemsize, max(enc.size, end_id + 1))))
-    write_blocks(stored, enc.dtype.itemsize, book).write.mode("overwrite").parquet(f"{path}/blocks")
+    book = Codebook(code_lengths(count_ids(stored, max(enc.size, end_id + 1))))
+    write_blocks(stored, enc.dtype.str, book).write.mode("overwrite").parquet(f"{path}/blocks")
     spark.createDataFrame([(bytearray(book.lengths.tobytes()),)], "lengths binary").coalesce(1).write.mode("overwrite").parquet(f"{path}/codebook")
     scratch.drop()
     return book
