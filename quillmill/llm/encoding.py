@@ -24,21 +24,30 @@ CACHE_WORDS = 1_500_000
 _encoders: dict[str, "WordEncoder"] = {}
 
 
+def _byte_letters() -> dict[int, int]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if it prints, else the next one from 256 on."""
+    prints = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return {b: b if b in prints else next(rest) for b in range(256)}
+
+
 class _Words(dict):
     """Packed ids by word, with the space before it or (``lead`` empty) as the head of a text; None: not to be cut off."""
 
-    def __init__(self, plain, lead: str):
+    def __init__(self, encoder: WordEncoder, lead: str):
         super().__init__()
-        self.plain, self.lead = plain, lead
-        self.marks = {x: plain(x) for x in ".,"}
+        self.encoder, self.lead = encoder, lead
+        self.marks = {x: encoder.plain(x) for x in ".,"}
 
     def __missing__(self, word: str) -> bytes | None:
-        if not word or word[0].isspace() or word[-1].isspace():
+        if word.isalpha():
+            ids = self.encoder.letters(self.lead + word)
+        elif not word or word[0].isspace() or word[-1].isspace():
             ids = None
         elif word[-1] in self.marks and word[:-1].isalpha():
             ids = self[word[:-1]] + self.marks[word[-1]]  # letters and one mark are two words to the library
         else:
-            ids = self.plain(self.lead + word)
+            ids = self.encoder.plain(self.lead + word)
         self[word] = ids
         return ids
 
@@ -55,12 +64,18 @@ class WordEncoder:
         how = json.loads(self.tok.to_str())
         kind = how.get("pre_tokenizer") or {}
         self.cuts = kind.get("type") == "ByteLevel" and kind.get("use_regex", True) and not kind.get("add_prefix_space") and not how.get("normalizer") and not how.get("truncation") and not how.get("padding")
-        self.words, self.heads = _Words(self.plain, " "), _Words(self.plain, "")
+        self.model, self.table = self.tok.model, _byte_letters()
+        self.words, self.heads = _Words(self, " "), _Words(self, "")
 
     def plain(self, text: str) -> bytes:
         """One text by the library alone."""
         return array(self.dtype.char, self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
 
+    def letters(self, word: str) -> bytes:
+        """One word of letters, with or without its space: the library's model without the search for words."""
+        letters = word.encode().decode("latin-1").translate(self.table)
+        return array(self.dtype.char, [t.id for t in self.model.tokenize(letters)]).tobytes()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.cuts:
             return [self.plain(t) for t in texts]
