@@ -164,7 +164,7 @@ class Model:
 
 
 def features(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    raw, bounds = bytes_of(batch, "_text")
+    raw, bounds = bytes_of(batch, "_qm_text")
     return *trigram_slots(raw, bounds), page_bins(batch, raw, bounds)
 
 
@@ -184,7 +184,7 @@ def _sum_up(docs: DataFrame, tally) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(_SIZE)
-        for batch in by_text_size(batches, "_text"):
+        for batch in by_text_size(batches, "_qm_text"):
             tally(total, batch)
         parts = np.array_split(total, 8)
         yield pa.RecordBatch.from_arrays([pa.array(range(8), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["k", "counts"])
@@ -205,7 +205,7 @@ def labelled_scores(sample: DataFrame, model: Model) -> tuple[np.ndarray, np.nda
     """Raw scores and labels of the held-back rows; as many rows as the sample has at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_text_size(batches, "_text"):
+        for batch in by_text_size(batches, "_qm_text"):
             s = model.raw_scores(*features(batch))
             yield pa.RecordBatch.from_arrays([batch.column("_label"), pa.array(list(s), pa.list_(pa.float64()))], ["label", "scores"])
 
@@ -224,8 +224,8 @@ def calibrate(model: Model, sample: DataFrame) -> Model:
 def train(docs: DataFrame, labels: DataFrame, rounds: int = 2, sure: float = 0.97, max_labelled: int = 20_000, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> Model | None:
     """The co-trained model, or None if the labels are not of both kinds."""
     scratch = Scratch(docs.sparkSession, "quality")
-    rows = docs.withColumn("_text", F.coalesce(F.col(text_col).cast("string"), F.lit(""))).withColumn("_id", F.col(id_col).cast("long"))
-    rows = rows.select("_id", "_text", *[c for c in docs.columns if c.lower() in ("source", "lang")])
+    rows = docs.withColumn("_qm_text", F.coalesce(F.col(text_col).cast("string"), F.lit(""))).withColumn("_id", F.col(id_col).cast("long"))
+    rows = rows.select("_id", "_qm_text", *[c for c in docs.columns if c.lower() in ("source", "lang")])
     marked = labels.select(F.col(id_col).cast("long").alias("_lid"), F.col(label_col).cast("int").alias("_label")).dropna().groupBy("_lid").agg(F.min("_label").alias("_label"))
     # At most `max_labelled` ids and labels, so the broadcast is bounded.
     chosen = F.broadcast(marked.orderBy(F.xxhash64("_lid"), "_lid").limit(max_labelled))
@@ -264,7 +264,7 @@ def score(docs: DataFrame, model: Model | None, threshold: float = 0.4, text_col
         return docs.withColumns(dict(zip(names, (one, one, one, F.lit(True)))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_text_size(batches, "_text"):
+        for batch in by_text_size(batches, "_qm_text"):
             scores = model.raw_scores(*features(batch))
             p_text, p_meta = model.views(scores)
             logits = np.column_stack([model.text_fit.logit(scores[:, :1]), model.meta_fit.logit(scores[:, 1:])])
@@ -275,4 +275,4 @@ def score(docs: DataFrame, model: Model | None, threshold: float = 0.4, text_col
     schema = docs.schema
     for c in SCORES.split(", "):
         schema = schema.add(*c.split())
-    return docs.withColumn("_text", F.coalesce(F.col(text_col).cast("string"), F.lit(""))).mapInArrow(run, schema)
+    return docs.withColumn("_qm_text", F.coalesce(F.col(text_col).cast("string"), F.lit(""))).mapInArrow(run, schema)
