@@ -163,7 +163,7 @@ def test_one_of_each_class_stays(awkward, no_docs):
 def test_wide_buckets_are_dealt_anew(spark, monkeypatch):
     monkeypatch.setattr(near_dups, "BLOCK", 8)
     base = prose(5, 300)
-    rows = [(0, base), *((k, edited(base, k, 6)) for k in range(1, 60))]
+    rows = [(0, base), *((k, edited(base, k, 3)) for k in range(1, 60))]
     got = near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
     strict = classes_by_hand(rows, 0.85)
     sizes = [sum(r.class_id == 0 for r in got), sum(c == 0 for c in strict.values())]
