@@ -14,13 +14,13 @@ from quillmill.sources import tables as t
 from .registry import query
 from .relational import feed_state, full_articles, site_feed
 
-# A batch of entries: all articles of every fifth id twice in a row (the second
-# time with a changed title for every tenth), and as many that are not stored.
+# A batch of entries: all articles twice in a row, the second time with a
+# changed title where there is no author.  Stored are those with a date.
 BATCH = """
-stored AS (SELECT id, feed_id, url, title, content, summary, CASE WHEN content = '' THEN '' ELSE sha256(concat(title, content, summary)) END AS content_hash FROM article WHERE id % 3 <> 1),
+stored AS (SELECT id, feed_id, url, title, content, summary, CASE WHEN content = '' THEN '' ELSE sha256(concat(title, content, summary)) END AS content_hash FROM article WHERE published_date IS NOT NULL),
 batch AS (
-  SELECT 2 * id AS pos, feed_id, url, title, content, summary FROM article WHERE id % 5 = 0
-  UNION ALL SELECT 2 * id + 1, feed_id + 1, url, CASE WHEN id % 10 = 0 THEN concat(title, ' *') ELSE title END, content, summary FROM article WHERE id % 5 = 0
+  SELECT 2 * id AS pos, feed_id, url, title, content, summary FROM article
+  UNION ALL SELECT 2 * id + 1, feed_id + 1, url, CASE WHEN author = '' THEN concat(title, ' *') ELSE title END, content, summary FROM article
 ), hashed AS (SELECT *, sha256(concat(title, content, summary)) AS hash FROM batch),
 marked AS (
   SELECT b.*, s.url IS NOT NULL AS known, s.content_hash, row_number() OVER w AS k,
@@ -32,12 +32,12 @@ marked AS (
 
 
 def stored(spark: SparkSession, d: str) -> DataFrame:
-    return t.article(spark, d).where(F.col("id") % 3 != 1).withColumn("content_hash", stored_hash(F.col("title"), F.col("content"), F.col("summary")))
+    return t.article(spark, d).where(F.col("published_date").isNotNull()).withColumn("content_hash", stored_hash(F.col("title"), F.col("content"), F.col("summary")))
 
 
 def batch(spark: SparkSession, d: str) -> DataFrame:
-    a = t.article(spark, d).where(F.col("id") % 5 == 0)
-    title = F.when(F.col("id") % 10 == 0, F.concat("title", F.lit(" *"))).otherwise(F.col("title"))
+    a = t.article(spark, d)
+    title = F.when(F.col("author") == "", F.concat("title", F.lit(" *"))).otherwise(F.col("title"))
     first = a.select((F.col("id") * 2).alias("pos"), "feed_id", "url", "title", "content", "summary")
     return first.unionAll(a.select(F.col("id") * 2 + 1, F.col("feed_id") + 1, "url", title, "content", "summary"))
 
@@ -66,17 +66,17 @@ def upsert_snapshot(spark, d):
 
 @query(
     """SELECT feed_url, title FROM (SELECT feed_url, title, row_number() OVER (PARTITION BY feed_url ORDER BY pos) AS k FROM
-       (SELECT id AS pos, concat('https://feeds.example.com/', CAST(id * 2 // 3 AS VARCHAR)) AS feed_url, title FROM feed) b WHERE NOT EXISTS (SELECT 1 FROM feed f WHERE f.feed_url = b.feed_url AND f.id % 2 = 0)) WHERE k = 1"""
+       (SELECT id AS pos, concat('https://feeds.example.com/', CAST(id * 2 // 3 AS VARCHAR)) AS feed_url, title FROM feed) b WHERE NOT EXISTS (SELECT 1 FROM feed f WHERE f.feed_url = b.feed_url AND f.active)) WHERE k = 1"""
 )
 def get_or_create(spark, d):
     feeds = t.feed(spark, d)
     listed = feeds.select(F.col("id").alias("pos"), F.concat(F.lit("https://feeds.example.com/"), F.floor(F.col("id") * 2 / 3).cast("string")).alias("feed_url"), "title")
-    return op.get_or_create(listed, feeds.where(F.col("id") % 2 == 0), "feed_url", ["pos"]).select("feed_url", "title")
+    return op.get_or_create(listed, feeds.where("active"), "feed_url", ["pos"]).select("feed_url", "title")
 
 
 _SITEMAP = """
-known AS (SELECT * FROM article WHERE id % 2 = 0),
-listed AS (SELECT a.id AS pos, a.feed_id, f.feed_url, CASE WHEN a.id % 50 = 1 THEN concat(a.url, repeat('y', 2100)) ELSE a.url END AS url FROM article a JOIN feed f ON f.id = a.feed_id WHERE f.feed_type = 'SITEMAP')"""
+known AS (SELECT * FROM article WHERE author <> ''),
+listed AS (SELECT a.id AS pos, a.feed_id, f.feed_url, CASE WHEN a.published_date IS NULL THEN concat(a.url, repeat('y', 2100)) ELSE a.url END AS url FROM article a JOIN feed f ON f.id = a.feed_id WHERE f.feed_type = 'SITEMAP')"""
 
 
 @query(
@@ -86,37 +86,37 @@ listed AS (SELECT a.id AS pos, a.feed_id, f.feed_url, CASE WHEN a.id % 50 = 1 TH
 )
 def sitemap_new(spark, d):
     a = t.article(spark, d)
-    long = F.when(F.col("id") % 50 == 1, F.concat("url", F.repeat(F.lit("y"), F.lit(2100)))).otherwise(F.col("url"))
+    long = F.when(F.col("published_date").isNull(), F.concat("url", F.repeat(F.lit("y"), F.lit(2100)))).otherwise(F.col("url"))
     feeds = t.feed(spark, d).where("feed_type = 'SITEMAP'").select(F.col("id").alias("feed_id"), "feed_url")
     listed = a.join(feeds, "feed_id").select(F.col("id").alias("pos"), "feed_id", "feed_url", long.alias("url"))
-    return op.sitemap_entries(listed, a.where(F.col("id") % 2 == 0), stats.latest(a, "fetched_at"))
+    return op.sitemap_entries(listed, a.where(F.col("author") != ""), stats.latest(a, "fetched_at"))
 
 
 def page_texts(spark: SparkSession, d: str) -> DataFrame:
-    """Fetched text for the articles of every fourth id."""
-    return t.article(spark, d).where(F.col("id") % 4 == 0).select("url", F.concat(F.lit("Text of "), "url").alias("page_content"))
+    """Fetched text for the articles that have an author."""
+    return t.article(spark, d).where(F.col("author") != "").select("url", F.concat(F.lit("Text of "), "url").alias("page_content"))
 
 
-@query("SELECT a.id, concat('Text of ', a.url) AS page_content FROM article a JOIN feed f ON f.id = a.feed_id WHERE a.content = '' AND a.id % 4 = 0 AND f.feed_type = 'SITEMAP'")
+@query("SELECT a.id, concat('Text of ', a.url) AS page_content FROM article a JOIN feed f ON f.id = a.feed_id WHERE a.content = '' AND a.author <> '' AND f.feed_type = 'SITEMAP'")
 def sitemap_fill(spark, d):
     return op.fill_content(full_articles(spark, d).where("feed_type = 'SITEMAP'"), page_texts(spark, d)).select("id", "page_content")
 
 
-@query("SELECT DISTINCT a.id AS article_id, b.feed_id FROM batch b JOIN article a ON a.url = b.url WHERE b.feed_id <> a.feed_id AND a.id % 20 <> 0", BATCH)
+@query("SELECT DISTINCT a.id AS article_id, b.feed_id FROM batch b JOIN article a ON a.url = b.url WHERE b.feed_id <> a.feed_id AND a.author <> ''", BATCH)
 def crosspost(spark, d):
     a = t.article(spark, d)
-    linked = a.where(F.col("id") % 20 == 0).select(F.col("id").alias("article_id"), (F.col("feed_id") + 1).alias("feed_id"))
+    linked = a.where(F.col("author") == "").select(F.col("id").alias("article_id"), (F.col("feed_id") + 1).alias("feed_id"))
     return op.cross_posts(batch(spark, d), a, linked)
 
 
-@query("SELECT id, concat('Text of ', url) AS page_content FROM article WHERE content = '' AND id % 4 = 0")
+@query("SELECT id, concat('Text of ', url) AS page_content FROM article WHERE content = '' AND author <> ''")
 def content_fill(spark, d):
     return op.fill_content(t.article(spark, d), page_texts(spark, d)).select("id", "page_content")
 
 
 @query(
     """SELECT id, CASE WHEN id % 3 = 0 OR contains(title, '/') THEN concat('Story ', CAST(id AS VARCHAR)) ELSE title END AS new_title, concat('Text of ', url) AS page_content
-       FROM article WHERE content = '' AND id % 4 = 0"""
+       FROM article WHERE content = '' AND author <> ''"""
 )
 def missing_repair(spark, d):
     a = t.article(spark, d).withColumn("title", F.when(F.col("id") % 3 == 0, F.col("url")).otherwise(F.col("title")))
@@ -125,13 +125,13 @@ def missing_repair(spark, d):
 
 @query(
     """SELECT action, count(*) AS n, count(*) FILTER (WHERE description <> '') AS described FROM (
-         SELECT CASE WHEN f.id % 3 = 0 THEN 'created' WHEN f.id % 2 = 0 AND f.title = '' THEN 'updated' ELSE 'skipped' END AS action, CASE WHEN f.id % 2 = 0 THEN concat(w.name, ' - ', 'Feed ', CAST(f.id AS VARCHAR)) ELSE '' END AS description
+         SELECT CASE WHEN NOT f.active THEN 'created' WHEN f.id % 2 = 0 AND f.title = '' THEN 'updated' ELSE 'skipped' END AS action, CASE WHEN f.id % 2 = 0 THEN concat(w.name, ' - ', 'Feed ', CAST(f.id AS VARCHAR)) ELSE '' END AS description
          FROM feed f JOIN website w ON w.id = f.website_id) GROUP BY action"""
 )
 def multi_feed_summary(spark, d):
     name = F.when(F.col("id") % 2 == 0, F.concat(F.lit("Feed "), F.col("id").cast("string"))).otherwise("")
     listed = site_feed(spark, d).select("feed_url", name.alias("name"), "site_name")
-    done = op.multi_feed(listed, t.feed(spark, d).where(F.col("id") % 3 != 0))
+    done = op.multi_feed(listed, t.feed(spark, d).where("active"))
     return done.groupBy("action").agg(F.count("*").alias("n"), F.count_if(F.col("description") != "").alias("described"))
 
 
