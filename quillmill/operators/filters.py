@@ -77,3 +77,13 @@ def ranked_lookup(df: DataFrame, terms: DataFrame) -> DataFrame:
     met = terms.join(df, F.contains(F.lower(name), F.lower("term")) | F.contains(F.lower(url), F.lower("term")))
     best = met.groupBy("term").agg(F.min(F.struct(how.alias("how"), name, F.col("id"))).alias("b"))
     return best.select("term", F.col("b.id").alias("id"), F.col("b.name").alias("name"))
+
+
+def exactly_one(df: DataFrame) -> tuple[object | None, DataFrame]:
+    """The only row, or None with the rows to choose from."""
+    few = df.limit(2).collect()
+    return (few[0] if len(few) == 1 else None), df
+
+
+def exists(df: DataFrame) -> bool:
+    return not df.isEmpty()

@@ -118,3 +118,11 @@ def close_log(opened: DataFrame, counts: DataFrame, as_of: datetime) -> DataFram
     """Open fetch logs closed with the run's counts ``(feed_id, new_articles, updated_articles)``."""
     c = counts.select("feed_id", F.col("new_articles").alias("_new"), F.col("updated_articles").alias("_updated"))
     return opened.join(c, "feed_id").withColumns({"completed_at": F.lit(as_of).cast("timestamp_ntz"), "success": F.lit(True), "new_articles": F.col("_new").cast("int"), "updated_articles": F.col("_updated").cast("int")}).drop("_new", "_updated")
+
+
+def put_rows(table: DataFrame, rows: DataFrame, key: str = "id") -> DataFrame:
+    """The table with rows created or overwritten by key; columns that ``rows`` lacks keep their values."""
+    given = [c for c in rows.columns if c != key]
+    new = rows.select(key, F.lit(True).alias("_given"), *(F.col(c).alias(f"_new_{c}") for c in given))
+    both = table.join(new, key, "full")
+    return both.select(*(F.when(F.col("_given"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c) if c in given else F.col(c) for c in table.columns))

@@ -98,3 +98,15 @@ def request_delays(fetches: DataFrame, delay_s: float = 1.0) -> DataFrame:
 def first_wins(df: DataFrame, key: str, order: list) -> DataFrame:
     """The first row of each key in a stated order."""
     return df.withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_k = 1").drop("_k")
+
+
+def json_report(**parts: DataFrame) -> DataFrame:
+    """One row with the parts as JSON arrays of objects, each in the order of its columns.
+
+    For dashboard parts only: each has a bounded number of rows (days, types, a top-k).
+    """
+    out = None
+    for name, df in parts.items():
+        row = df.agg(F.to_json(F.array_sort(F.collect_list(F.struct(*df.columns)))).alias(name)).withColumn("_one", F.lit(1))
+        out = row if out is None else out.join(row, "_one")
+    return out.drop("_one")

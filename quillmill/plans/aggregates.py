@@ -10,7 +10,7 @@ from quillmill.operators.health import feed_health
 from quillmill.sources import tables as t
 
 from .registry import query
-from .relational import ARTICLE_FULL, full_articles
+from .relational import ARTICLE_FULL, error_feeds, full_articles
 
 
 @query("SELECT 'active_websites' AS metric, count(*) AS n FROM website WHERE active UNION ALL SELECT 'active_feeds', count(*) FROM feed WHERE active UNION ALL SELECT 'articles', count(*) FROM article")
@@ -150,3 +150,10 @@ def rate_limit_delay(spark, d):
 def dedup_first(spark, d):
     docs = t.table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("text_hash"))
     return stats.first_wins(docs, "text_hash", ["doc_id"]).select("doc_id")
+
+
+@query()
+def stats_report(spark, d):
+    """The dashboard's four parts in one row of JSON."""
+    sites, feeds, a = t.website(spark, d), t.feed(spark, d), t.article(spark, d)
+    return stats.json_report(new_articles_by_day=stats.articles_per_day(a, stats.latest(a, "fetched_at"), 7), feeds_by_type=stats.feeds_by_type(feeds), top_feeds=stats.top_feeds(feeds, sites, a), error_feeds=error_feeds(spark, d))
