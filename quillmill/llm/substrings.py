@@ -210,7 +210,10 @@ def take_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: word counts, and the kept words joined by single spaces (``kept``) with their digest."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    # Only rows that share an id need their text's hash to be told apart.
+    single = rows.groupBy("doc_id").count().where("count > 1").isEmpty()
+    rows = rows.withColumn("text_key", F.lit(0).cast("long") if single else F.xxhash64("text"))
     size = 3 * (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     parts = max(shuffle_width(spark), size // (256 << 20))
     buckets = min(max(4 * parts, size // BUCKET_BYTES), (1 << 31) - 1)
@@ -219,5 +222,6 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     scratch = Scratch(spark, "repeats")
     found = scratch.save(found, "found")
     gone = found.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.collect_list("intervals").alias("intervals"))
-    joined = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")), "left")
+    # Texts stream past their task's intervals unsorted.
+    joined = rows.join(gone.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")), "left")
     return joined.select("doc_id", "text", "intervals").mapInArrow(take_out, RESULT + ", kept string")
