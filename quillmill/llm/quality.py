@@ -251,6 +251,7 @@ def train(docs: DataFrame, labels: DataFrame, rounds: int = 2, sure: float = 0.9
             add_examples(total, *found, by_meta, by_text)
 
         model = calibrate(Model(first + _sum_up(others, from_other_view)), sample)
+    scratch.drop()
     return model
 
 

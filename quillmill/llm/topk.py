@@ -168,6 +168,7 @@ def exact_top_k(table: DataFrame, k: int = 20, scale: int = 64, query_every: int
         kth = home.groupBy(F.col("query_id").alias("_q")).agg(F.when(F.count("*") >= k, F.min("score")).alias("least"))
         away = queries.join(kth, F.col("vec_id") == F.col("_q"), "left").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).where("shard <> home")
         found = home.unionAll(searched(away, "away"))
+    scratch.drop("vectors")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     ranked = found.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
