@@ -23,6 +23,11 @@ def contains_ci(c: Column, q: str) -> Column:
     return F.contains(F.lower(c), F.lit(q.lower()))
 
 
+def contains_plain(c: Column, q: str) -> Column:
+    """As ``contains_ci``, and accents don't count."""
+    return F.contains(F.collate(c, "UNICODE_CI_AI"), F.collate(F.lit(q), "UNICODE_CI_AI"))
+
+
 def content_hash(title: Column, content: Column, summary: Column) -> Column:
     return F.sha2(F.concat(*(F.coalesce(c, F.lit("")) for c in (title, content, summary))), 256)
 

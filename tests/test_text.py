@@ -43,3 +43,8 @@ def test_repaired_title(spark):
 def test_search_is_literal(spark):
     df = spark.createDataFrame([("50% off",), ("500 off",), (None,)], "t string")
     assert [r.t for r in df.where(x.contains_ci(F.col("t"), "0% O")).collect()] == ["50% off"]
+
+
+def test_search_without_accents(spark):
+    df = spark.createDataFrame([("Crème Brûlée",), ("creme",), ("cream",)], "t string")
+    assert df.where(x.contains_plain(F.col("t"), "CREME")).count() == 2
