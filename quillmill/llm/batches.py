@@ -2,14 +2,32 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
 #: Bytes of text handled at once by a Python worker; one longer text goes alone.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
+_BATCH_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Limits Arrow batches to 4 MB for the session, unless it has a limit of its own: a batch of the
+    default 64 MB is held several times over by the JVM and the worker."""
+    if spark.conf.get(_BATCH_LIMIT) == "67108864b":
+        spark.conf.set(_BATCH_LIMIT, str(4 << 20))
+
+
+def give_back() -> None:
+    """Returns memory that a worker has freed to the system; workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
 
 
 def by_text_size(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
@@ -24,6 +42,14 @@ def by_text_size(batches: Iterator[pa.RecordBatch], column: str, limit: int = CH
             to = max(at + 1, int(np.searchsorted(ends, base + limit, side="right")))
             yield batch.slice(at, to - at)
             at, base = to, int(ends[to - 1])
+    give_back()
+
+
+def by_rows(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """Slices of ``batches`` with ``limit`` rows at most."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, limit):
+            yield batch.slice(at, limit)
 
 
 def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:

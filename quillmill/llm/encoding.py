@@ -20,7 +20,7 @@ import numpy as np
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Distinct words kept by a worker.  Beyond that it forgets the later half: words met early are the frequent ones.
-CACHE_WORDS = 1_500_000
+CACHE_WORDS = 700_000
 _encoders: dict[str, "WordEncoder"] = {}
 
 

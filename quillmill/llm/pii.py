@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import by_text_size, texts_of
+from .batches import bound_batches, by_text_size, texts_of
 
 KINDS = ("email", "ip", "card", "phone", "url", "account")
 BASE = KINDS[:4]
@@ -142,6 +142,7 @@ def _join(found: list[tuple[str, int, int]]) -> str:
 
 def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Counts, digest and spans of every whole text."""
+    bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_text_size(batches, "text"):
@@ -175,6 +176,7 @@ def redact_text(text: str, kinds: tuple[str, ...]) -> str:
 
 def redact(docs: DataFrame, text_col: str = "text", kinds: tuple[str, ...] = (*BASE, "account")) -> DataFrame:
     """The same rows and columns with personal data replaced; null text stays null."""
+    bound_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

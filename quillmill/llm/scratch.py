@@ -11,6 +11,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .batches import bound_batches
+
 #: Used only where the session names no folder, as in local tests.
 FALLBACK = "/tmp/checkpoints"
 
@@ -23,6 +25,7 @@ class Scratch:
     """A folder of tables for one run of one operator."""
 
     def __init__(self, spark: SparkSession, name: str):
+        bound_batches(spark)
         self.spark = spark
         self.path = f"{scratch_root(spark)}/quillmill/{name}-{uuid.uuid4().hex}"
 
