@@ -24,6 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import id_bounds, with_range
 from .scratch import shuffle_width
 
 WHOLE, LANES = 8, 64
@@ -87,20 +88,8 @@ def with_next(rows: DataFrame, value: str) -> DataFrame:
     """
     spark = rows.sparkSession
     ranges = 4 * shuffle_width(spark)
-    cuts = [k / ranges for k in range(1, ranges)]
-    low, high, found = rows.agg(F.min("doc_id"), F.max("doc_id"), F.percentile_approx("doc_id", cuts, 20 * ranges)).first()
-    bounds = sorted({x for x in found or [] if x < high})
-    at = F.lit(0)
-    if bounds:
-        known = F.lit(bounds)
-        steps = [1 << k for k in reversed(range(len(bounds).bit_length()))]
-        for s in steps:  # binary search: the number of bounds below the id
-            ahead = at + s
-            at = F.when((ahead <= len(bounds)) & (F.get(known, ahead - 1) < F.col("doc_id")), ahead).otherwise(at)
-            rows = rows.withColumn("_range", at)
-            at = F.col("_range")
-    else:
-        rows = rows.withColumn("_range", at)
+    bounds, high = id_bounds(rows, "doc_id", ranges)
+    rows = with_range(rows, "doc_id", bounds, "_range")
     bound = F.get(F.lit(bounds or [None]).cast("array<bigint>"), F.col("_range"))
     nothing = F.lit(None).cast("int")
     below = F.when(F.col("doc_id") == bound, F.col("_range") + 1).otherwise(nothing)

@@ -28,11 +28,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .batches import by_text_size, texts_of
+from .batches import by_rows, by_text_size, texts_of
 from .encoding import encoder
-from .scratch import Scratch
+from .ranges import id_bounds, with_range
+from .scratch import Scratch, shuffle_width
 
-LIMIT = 20
+LIMIT = 18
 CHECKPOINT = 256
 BLOCK_TOKENS = 1 << 19
 MAGIC = b"QHF1"
@@ -89,35 +90,32 @@ def canonical_codes(lengths: np.ndarray) -> np.ndarray:
 class Codebook:
     def __init__(self, lengths: np.ndarray):
         self.lengths = lengths
-        self.sizes = lengths.astype(np.int64)
         self.codes = canonical_codes(lengths)
+        self.packed = self.codes << np.uint64(8) | lengths.astype(np.uint64)
         self.limit = max(1, int(lengths.max(initial=1)))
-        self._table: tuple[np.ndarray, np.ndarray] | None = None
+        self._table: np.ndarray | None = None
 
-    def table(self) -> tuple[np.ndarray, np.ndarray]:
-        """Symbol and code length for every ``limit`` bits that may come next."""
+    def table(self) -> np.ndarray:
+        """For every ``limit`` bits that may come next: the symbol, shifted by 8, and its code length."""
         if self._table is None:
             order = np.lexsort((np.arange(len(self.lengths)), self.lengths))
             order = order[self.lengths[order] > 0]
             span = np.int64(1) << (self.limit - self.lengths[order].astype(np.int64))
-            symbol = np.zeros(1 << self.limit, dtype=np.uint32)
-            size = np.ones(1 << self.limit, dtype=np.uint8)
-            filled = int(span.sum())
-            symbol[:filled] = np.repeat(order, span)
-            size[:filled] = np.repeat(self.lengths[order], span)
-            self._table = symbol, size
+            self._table = np.ones(1 << self.limit, dtype=np.uint32)
+            self._table[: int(span.sum())] = np.repeat((order << 8 | self.lengths[order]).astype(np.uint32), span)
         return self._table
 
 
 def encode_block(doc_ids: list[int], n_tokens: list[int], ids: np.ndarray, before: int, book: Codebook) -> bytes:
-    size = book.sizes[ids]
+    code = book.packed.take(ids)
+    size = (code & np.uint64(255)).astype(np.int64)
     ends = np.cumsum(size)
     bits = int(ends[-1])
     starts = ends - size
     word = starts >> 5
     # Codes lie in 64-bit windows that open at 32-bit words; every word but the last opens some code.
     firsts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
-    windows = np.add.reduceat(book.codes[ids] << (64 - size - (starts & 31)).astype(np.uint64), firsts)
+    windows = np.add.reduceat(code >> np.uint64(8) << (64 - size - (starts & 31)).view(np.uint64), firsts)
     words = np.zeros(len(firsts) + 1, dtype=np.uint64)
     words[:-1] = windows >> np.uint64(32)
     words[1:] += windows & np.uint64(0xFFFFFFFF)
@@ -139,13 +137,14 @@ def decode_block(payload: bytes, book: Codebook) -> tuple[np.ndarray, np.ndarray
     raw = np.frombuffer(payload, np.uint8, offset=at + 16 * docs + 8 * lanes)
     raw = np.concatenate([raw, np.zeros(4, np.uint8)]).astype(np.uint32)
     window = raw[:-3] << np.uint32(24) | raw[1:-2] << np.uint32(16) | raw[2:-1] << np.uint32(8) | raw[3:]
-    symbol, size = book.table()
+    table = book.table()
     out = np.empty((CHECKPOINT, lanes), dtype=np.uint32)
     last, keep, drop = len(window) - 1, np.uint32((1 << book.limit) - 1), 32 - book.limit
     for k in range(CHECKPOINT):
         seen = window[np.minimum(place >> 3, last)] >> (drop - (place & 7)).astype(np.uint32) & keep
-        out[k] = symbol[seen]
-        place += size[seen]
+        found = table.take(seen, out=out[k])
+        place += found & np.uint32(255)
+    out >>= np.uint32(8)
     return doc_ids, counts, out.T.reshape(-1)[:tokens], before
 
 
@@ -160,7 +159,7 @@ def _squeeze(packed: list[bytes]) -> list[bytes]:
 def _expand(stored: Iterable[pa.Scalar], dtype: str) -> list[np.ndarray]:
     import zstandard
 
-    expand = zstandard.ZstdDecompressor().decompress
+    expand = zstandard.ZstdDecompressor().decompress  # one context for all rows
     return [np.frombuffer(expand(x.as_py()), dtype) for x in stored]
 
 
@@ -220,18 +219,21 @@ def write_blocks(stored: DataFrame, dtype: str, book: Codebook) -> DataFrame:
             docs.clear(), sizes.clear(), held.clear()
             return out
 
-        for batch in batches:
-            for doc, n, ids in zip(batch.column("doc_id").to_pylist(), batch.column("n_tokens").to_pylist(), batch.column("ids")):
+        for batch in by_rows(batches, 1000):
+            rows = zip(batch.column("doc_id").to_pylist(), batch.column("n_tokens").to_pylist(), _expand(batch.column("ids"), dtype))
+            for doc, n, ids in rows:
                 docs.append(NO_ID if doc is None else doc)
                 sizes.append(n)
-                held += _expand([ids], dtype)
+                held.append(ids)
                 waiting += n
                 if waiting >= BLOCK_TOKENS:
                     yield flush()
         if docs:
             yield flush()
 
-    order = stored.where("n_tokens >= 0").repartitionByRange(F.col("doc_id").asc_nulls_first(), F.col("ids_crc32")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids_crc32")
+    rows, parts = stored.where("n_tokens >= 0"), shuffle_width(stored.sparkSession)
+    bounds, _ = id_bounds(rows, "doc_id", parts)
+    order = with_range(rows, "doc_id", bounds, "_part").repartitionById(parts, F.col("_part")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids_crc32")
     return order.select("doc_id", "n_tokens", "ids").mapInArrow(run, BLOCKS)
 
 
@@ -270,5 +272,5 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    lengths = np.frombuffer(bytes(spark.read.parquet(f"{path}/codebook").first()[0]), np.uint8)
+    lengths = np.frombuffer(bytes(spark.read.parquet(f"{path}/codebook").first()[0]), np.uint8).copy()
     return read_blocks(spark.read.schema(BLOCKS).parquet(f"{path}/blocks"), Codebook(lengths))
