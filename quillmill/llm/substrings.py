@@ -34,7 +34,7 @@ from .words import Words, mix, runs_of, shingle_hashes
 
 WINDOW = 13
 #: Text bytes a map task packs at once, and packed bytes a bucket should hold.
-MAP_BYTES, BUCKET_BYTES = 4 << 20, 6 << 20
+MAP_BYTES, BUCKET_BYTES = 3 << 20, 5 << 20
 LAST = (1 << 63) - 1
 PACKED = "part int, bucket int, payload binary"
 FOUND = "doc_id long, text_key long, intervals binary"
