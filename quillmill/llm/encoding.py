@@ -20,7 +20,7 @@ import numpy as np
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Distinct words kept by a worker.  Beyond that it forgets the later half: words met early are the frequent ones.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 600_000
 _encoders: dict[str, "WordEncoder"] = {}
 
 
@@ -65,6 +65,7 @@ class WordEncoder:
         kind = how.get("pre_tokenizer") or {}
         self.cuts = kind.get("type") == "ByteLevel" and kind.get("use_regex", True) and not kind.get("add_prefix_space") and not how.get("normalizer") and not how.get("truncation") and not how.get("padding")
         self.model, self.table = self.tok.model, _byte_letters()
+        self.space = chr(self.table[32])
         self.words, self.heads = _Words(self, " "), _Words(self, "")
 
     def plain(self, text: str) -> bytes:
@@ -73,7 +74,10 @@ class WordEncoder:
 
     def letters(self, word: str) -> bytes:
         """One word of letters, with or without its space: the library's model without the search for words."""
-        letters = word.encode().decode("latin-1").translate(self.table)
+        if word.isascii():  # letters stand for themselves
+            letters = word.replace(" ", self.space)
+        else:
+            letters = word.encode().decode("latin-1").translate(self.table)
         return array(self.dtype.char, [t.id for t in self.model.tokenize(letters)]).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:

@@ -12,8 +12,8 @@ Codes come from global counts: package-merge gives the best lengths of at most
 alone (one byte an id of the vocabulary) restore the code.
 
 Defined results: null text is empty text (the end id alone); rows with a null
-id come first; rows that share an id keep their own entries, ordered by their
-ids' checksum; an empty table gives no blocks and no rows.
+id come first; rows that share an id keep their own entries, next to each
+other; an empty table gives no blocks and no rows.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ BLOCK_TOKENS = 1 << 19
 MAGIC = b"QHF1"
 HEADER = struct.Struct("<4sIQQQ")  # magic, documents, tokens, bits, ids before the block in its part
 NO_ID = -(1 << 63)
-STORED = "doc_id long, n_tokens long, ids_crc32 long, ids binary"
+STORED = "doc_id long, n_tokens long, ids binary"
 BLOCKS = "part int, block int, n_tokens long, payload binary"
 RESULT = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
@@ -170,16 +170,13 @@ def stored_ids(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_
         enc = encoder(tokenizer)
         end = np.array([end_id], enc.dtype).tobytes()
         total = np.zeros(max(enc.size, end_id + 1), dtype=np.int64)
-        names = ["doc_id", "n_tokens", "ids_crc32", "ids"]
+        names = ["doc_id", "n_tokens", "ids"]
         for batch in by_text_size(batches, "text"):
             packed = [x + end for x in enc.encode(texts_of(batch, "text"))]
             n = [len(x) // enc.dtype.itemsize for x in packed]
-            ids = np.frombuffer(b"".join(packed), enc.dtype)
-            total += np.bincount(ids, minlength=len(total))
-            raw, at = ids.astype("<u4").tobytes(), (4 * np.cumsum([0, *n])).tolist()
-            crc = [zlib.crc32(raw[a:b]) for a, b in zip(at, at[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(_squeeze(packed), pa.binary())], names)
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([-1], pa.int64()), pa.array([0], pa.int64()), pa.array(_squeeze([total.tobytes()]), pa.binary())], names)
+            total += np.bincount(np.frombuffer(b"".join(packed), enc.dtype), minlength=len(total))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(_squeeze(packed), pa.binary())], names)
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([-1], pa.int64()), pa.array(_squeeze([total.tobytes()]), pa.binary())], names)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, STORED)
 
@@ -233,7 +230,7 @@ def write_blocks(stored: DataFrame, dtype: str, book: Codebook) -> DataFrame:
 
     rows, parts = stored.where("n_tokens >= 0"), shuffle_width(stored.sparkSession)
     bounds, _ = id_bounds(rows, "doc_id", parts)
-    order = with_range(rows, "doc_id", bounds, "_part").repartitionById(parts, F.col("_part")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids_crc32")
+    order = with_range(rows, "doc_id", bounds, "_part").repartitionById(parts, F.col("_part")).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
     return order.select("doc_id", "n_tokens", "ids").mapInArrow(run, BLOCKS)
 
 
