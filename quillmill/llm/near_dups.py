@@ -13,7 +13,13 @@
    matrices gives the weighted Jaccard similarity of all pairs of a block from
    the whole texts, and a spanning forest of the links leaves it, never the
    pairs.  A bucket larger than a block is dealt to new blocks round after
-   round, its least text to each of them, until a round joins nothing.
+   round, its least text to each of them, until a round joins nothing; this
+   joins the great classes.  What is still apart in it is settled exactly: two
+   texts at the threshold share a feature of their prefixes (the rarest
+   features, as far as the rest weighs under ``threshold`` of the text), so
+   texts are compared by shared prefix feature; those whose feature is common
+   are compared by all pairs of blocks of their bucket, without the pairs of
+   blocks that are of one class already.
 4. Classes are the connected components of links.  Exact copies are one node
    throughout, so copies cost a hash each.
 
@@ -158,19 +164,41 @@ def sample(ids: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return mix(ids[chosen] ^ mix((level.astype(np.int64) + lanes * 1000003).view(np.uint64)))
 
 
+def features_of(ids: np.ndarray, counts: np.ndarray, at: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, code and weight of each feature; the nth occurrence of a shingle is a feature of its own."""
+    owner = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    weights = idf[slots(ids)].astype(np.float64)
+    times = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    owner, features, weights = np.repeat(owner, counts), np.repeat(ids, counts), np.repeat(weights, counts)
+    return owner, np.where(times > 0, mix(features + times.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), features), weights
+
+
+def prefixes(ids: np.ndarray, counts: np.ndarray, at: np.ndarray, idf: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Text and code of the features of each text's prefix.
+
+    Features are in one order everywhere, the heaviest (rarest) first.  The
+    shared weight of two texts at the threshold is at least ``threshold`` of
+    either's, and what follows a prefix weighs less than that, so the prefixes
+    of such texts share a feature.
+    """
+    owner, features, weights = features_of(ids, counts, at, idf)
+    order = np.lexsort((features, -weights, owner))
+    owner, features, weights = owner[order], features[order], weights[order]
+    ends = np.cumsum(np.bincount(owner, weights=weights, minlength=len(at) - 1))
+    total = np.diff(ends, prepend=0)
+    rest = ends[owner] - np.cumsum(weights) + weights
+    keep = rest >= threshold * total[owner] - 1e-6
+    return owner[keep], features[keep]
+
+
 def similarities(ids: np.ndarray, counts: np.ndarray, at: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """Weighted Jaccard similarity of all pairs of a block's texts.
 
-    The nth occurrence of a shingle is a feature of its own, so the sum of
-    lesser weights is a product of feature vectors.
+    The sum of lesser weights is a product of feature vectors.
     """
     n = len(at) - 1
-    owner = np.repeat(np.arange(n), np.diff(at))
-    weights = idf[slots(ids)].astype(np.float64)
-    total = np.bincount(owner, weights=weights * counts, minlength=n)
-    times = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    owner, features, weights = np.repeat(owner, counts), np.repeat(ids, counts), np.repeat(weights, counts)
-    features = np.where(times > 0, mix(features + times.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), features)
+    owner, features, weights = features_of(ids, counts, at, idf)
+    total = np.bincount(owner, weights=weights, minlength=n)
     order = np.argsort(features)
     owner, weights = owner[order], np.sqrt(weights[order])
     a, b = runs_of(features[order])
@@ -255,6 +283,39 @@ def verify(members: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: flo
     return rows.mapInArrow(run, "a long, b long")
 
 
+def prefix_features(texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
+    """``(node, feature)`` of the prefixes of ``texts (node, text)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_text_size(batches, "text"):
+            owner, features = prefixes(*shingles(*bytes_of(batch, "text")), idf, threshold)
+            nodes = batch.column("node").to_numpy(zero_copy_only=False)[owner]
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(features.view(np.int64))], ["node", "feature"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, feature long")
+
+
+def block_pairs(members: DataFrame) -> DataFrame:
+    """``(band, block, node)`` in which any two texts of a band of ``members (band, node, label)`` with different labels meet.
+
+    A label with a block's number of texts has blocks of its own, which are
+    not compared with each other; the texts of all others share blocks.
+    """
+    many = F.ceil(F.col("n") / BLOCK)
+    sizes = members.groupBy("band", "label").agg(F.count("*").alias("n"))
+    sizes = sizes.join(sizes.groupBy("band").agg(F.count("*").alias("labels")).where("labels > 1"), "band")
+    sizes = sizes.select("band", "label", "n", (F.col("n") >= BLOCK).alias("own")).withColumn("class", F.when(F.col("own"), F.col("label")).otherwise(0))
+    classes = sizes.groupBy("band", "own", "class").agg(F.sum("n").alias("n")).withColumn("many", many)
+    blocks = classes.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("many") - 1))).select("band", F.struct("own", "class", "k").alias("x"))
+    apart = (F.col("x") < F.col("y")) & ~(F.col("x.own") & F.col("y.own") & (F.col("x.class") == F.col("y.class")))
+    alone = (F.col("x") == F.col("y")) & ~F.col("x.own")
+    pairs = blocks.join(blocks.withColumnRenamed("x", "y"), "band").where(apart | alone)
+    pairs = pairs.select("band", F.xxhash64("x", "y").alias("block"), F.explode(F.array_distinct(F.array("x", "y"))).alias("place"))
+    placed = members.join(sizes.select("band", "label", "own", "class"), ["band", "label"]).join(classes.select("band", "own", "class", "many"), ["band", "own", "class"])
+    placed = placed.select("band", "node", F.struct("own", "class", F.pmod(F.xxhash64("node"), F.col("many")).alias("k")).alias("place"))
+    return placed.join(pairs, ["band", "place"]).select("band", "block", "node")
+
+
 def text_key(text_col: str) -> Column:
     return F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
 
@@ -303,6 +364,33 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
         links = links.unionAll(fresh)
         labels = components(links, scratch, f"labels-{k}")
         wide = wide.drop("label")
+    if k and not wide.isEmpty():
+
+        def joined(found: DataFrame, name: str) -> bool:
+            """Adds the links between different labels; whether there are any."""
+            nonlocal links, labels
+            found = scratch.save(found, f"links-{name}")
+            if found.isEmpty():
+                return False
+            links = links.unionAll(found)
+            labels = components(links, scratch, f"labels-{name}")
+            return True
+
+        waiting = scratch.save(wide.select("node", "label").distinct(), "waiting")
+        features = scratch.save(prefix_features(texts.join(waiting.hint("shuffle_hash"), "node", "left_semi"), idf, threshold), "features")
+        shared = features.join(waiting.hint("shuffle_hash"), "node").groupBy("feature").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("node").alias("least"), F.max("node").alias("most"), F.bit_xor(F.xxhash64("node")).alias("all"), F.count("*").alias("n"))
+        shared = scratch.save(shared.where("low < high"), "shared")
+        narrow = shared.where(F.col("n") <= 2 * BLOCK).groupBy("least", "most", "all", "n").agg(F.min("feature").alias("feature")).select("feature")
+        members = features.join(narrow, "feature").select(F.col("feature").alias("band"), F.lit(0).alias("block"), "node")
+        joined(verify(members, texts, idf, threshold), "narrow")
+        common = shared.where(F.col("n") > 2 * BLOCK).select("feature")
+        rest = features.join(common, "feature", "left_semi").select("node").distinct()
+        rest = wide.drop("label").join(rest, "node", "left_semi").join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
+        rest = scratch.save(rest, "rest")
+        if not rest.isEmpty():
+            joined(verify(block_pairs(rest), texts, idf, threshold), "pairs")
+        for name in ("waiting", "features", "shared", "rest", "links-narrow", "links-pairs"):
+            scratch.drop(name)
     for name in ("met", "active", "texts", *(f"{x}-{j}" for x in ("links", "wide", "fresh") for j in range(k + 1))):
         scratch.drop(name)
     where = nodes.select("text_key", "node").join(labels, "node", "left").select("text_key", F.coalesce("label", "node").alias("class_id"))

@@ -170,6 +170,42 @@ def test_wide_buckets_are_dealt_anew(spark, monkeypatch):
     assert sizes[0] >= 0.9 * sizes[1] > 30
 
 
+def test_separate_pairs_of_a_wide_bucket(spark, monkeypatch):
+    monkeypatch.setattr(near_dups, "BLOCK", 8)
+    template = prose(7, 300)
+    rows = []
+    for k in range(60):
+        both = " ".join(f"p{k}x{j}" for j in range(12))
+        rows += [(2 * k + side, f"{template} {both} " + " ".join(f"q{k}x{side}x{j}" for j in range(14))) for side in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    near = near_dups.similarities(*block_of([t for _, t in rows]), near_dups.inverse_frequencies(*near_dups.document_frequencies(docs))) >= 0.8
+    assert all(near[x].nonzero()[0].tolist() == [x & ~1, x | 1] for x in range(120))
+    assert {r.doc_id: r.class_id for r in near_dups.near_duplicates(docs).collect()} == {d: d & ~1 for d, _ in rows}
+
+
+def test_all_blocks_of_different_classes_meet(spark, monkeypatch):
+    monkeypatch.setattr(near_dups, "BLOCK", 4)
+    rows = [(1, k, 0 if k < 30 else 30 if k < 45 else k) for k in range(60)] + [(2, k, 0) for k in range(30)]
+    got = {}
+    for r in near_dups.block_pairs(spark.createDataFrame(rows, "band long, node long, label long")).collect():
+        got.setdefault((r.band, r.block), set()).add(r.node)
+    label = {n: x for b, n, x in rows if b == 1}
+    assert {b for b, _ in got} == {1}
+    assert all(any({x, y} <= s for s in got.values()) for x in label for y in label if label[x] != label[y])
+    assert all(len({label[x] for x in s}) > 1 for s in got.values())
+
+
+def test_prefixes_of_texts_at_the_threshold_meet():
+    import numpy as np
+
+    idf = np.linspace(1, 2, near_dups.SLOTS).astype(np.float32)
+    block = block_of([edited(prose(3, 200), k, k % 9) for k in range(40)] + ["a b c d e f " * k for k in range(10, 20)])
+    owner, features = near_dups.prefixes(*block, idf, 0.8)
+    sets = [set(features[owner == k].tolist()) for k in range(50)]
+    near = near_dups.similarities(*block, idf) >= 0.8
+    assert near.sum() > 100 and all(sets[x] & sets[y] for x, y in zip(*near.nonzero()))
+
+
 def block_of(texts):
     import numpy as np
 
