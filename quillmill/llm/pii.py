@@ -9,7 +9,15 @@ check digits).  Bounds are code points, ends exclusive.
 Base kinds follow their patterns leftmost and without overlap in a kind; a
 match that fails its check is dropped and not tried again from inside.  The
 method adds web addresses (``url``) and announced identifiers (``account``);
-an added span never replaces or overlaps a base one.
+an added span never replaces or overlaps a base one: an announced value that
+holds base spans is its parts beside them.
+
+An announced value has no greatest length.  After ``iban`` it is letters and
+digits, in groups or not, with right check digits.  After the cues of
+``SECRETS`` it is a run of token characters (for passwords, of all but white
+space; in quotes, up to the closing one) that is announced by a mark such as a
+colon or else holds letters and digits.  After the others it is an identifier
+with four digits at least, in groups of digits or not.
 
 Defined results: null text is empty text and has no spans; a null id stays
 null; each repeated row gets its own result; extra columns are ignored by
@@ -32,8 +40,10 @@ KINDS = ("email", "ip", "card", "phone", "url", "account")
 BASE = KINDS[:4]
 RESULT = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
 
-#: Words that announce an identifier (fixed values); matched at a word's start.
+#: Words that announce an identifier (fixed values); matched at a word's start in any case.
 CUES = ("account", "acct", "iban", "passport", "ssn", "customer id", "member id", "user id", "password", "passwd", "token", "api_key", "apikey", "secret")
+PASSWORDS = ("password", "passwd")
+SECRETS = (*PASSWORDS, "token", "api_key", "apikey", "secret")
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DIGITS = frozenset("0123456789")
@@ -43,7 +53,12 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*\Z")
 _URL_REST = re.compile(r"[^\s<>\"'`]+")
-_ACCOUNT = re.compile(r"(?:\x20?(?:number|num|no|nr|id)\b\.?)?\x20?(?:[:=#]|is\b)?\x20?[\"']?([A-Za-z0-9][A-Za-z0-9-]{3,63})")
+_LEAD = re.compile(r"[\"']?(?:[\x20\t]{0,4}(?:number|num|no|nr|id)\b\.?)?[\x20\t]{0,4}(:=|=>|[:=#]|is\b)?[\x20\t]{0,4}", re.IGNORECASE)
+_IDENTIFIER = re.compile(r"[\"']?([0-9]{2,6}(?:\x20[0-9]{2,6})+(?![A-Za-z0-9])|[A-Za-z0-9][A-Za-z0-9._/+=-]{3,})")
+_IBAN = re.compile(r"[\"']?([A-Za-z]{2}[0-9]{2}(?:[\x20-]?[A-Za-z0-9]){11,30})")
+_QUOTED = re.compile(r"([\"'])([^\r\n]*?)\1")
+_PASSWORD = re.compile(r"[\"']?([^\s<>]+)")
+_TOKEN = re.compile(r"[\"']?([A-Za-z0-9._~/+=%$:-]+)")
 
 _automaton = None
 
@@ -57,8 +72,7 @@ def _anchors():
         for x in ("@", "+", "://", *"0123456789"):
             a.add_word(x, x)
         for cue in CUES:
-            for form in {cue, cue.upper(), cue.capitalize()}:
-                a.add_word(form, cue)
+            a.add_word(cue, cue)
         a.make_automaton()
         _automaton = a
     return _automaton
@@ -73,7 +87,7 @@ def luhn(digits: str) -> bool:
 
 
 def iban(text: str) -> bool:
-    text = text.replace("-", "").upper()
+    text = text.replace("-", "").replace(" ", "").upper()
     if not re.fullmatch(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}", text):
         return False
     return int("".join(str(int(x, 36)) for x in text[4:] + text[:4])) % 97 == 1
@@ -84,12 +98,64 @@ def _byte(part: str) -> bool:
     return len(part) <= 3 and int(part or 0) <= 255
 
 
+_ASCII_LOWER = {k: k + 32 for k in range(65, 91)}
+
+
+def _lower(text: str) -> str:
+    """Lower case with every character in its place."""
+    low = text.lower()
+    return low if len(low) == len(text) else text.translate(_ASCII_LOWER)
+
+
+def _announced(text: str, cue: str, at: int) -> tuple[int, int] | None:
+    """Bounds of the value that ``cue``, which ends at ``at``, announces."""
+    lead = _LEAD.match(text, at)
+    at = lead.end()
+    if cue == "iban":
+        if m := _IBAN.match(text, at):
+            a = m.start(1)
+            for b in range(m.end(1), a + 14, -1):
+                if not text[b : b + 1].isalnum() and text[b - 1].isalnum() and iban(text[a:b]):
+                    return a, b
+        return None
+    if cue not in SECRETS:
+        if m := _IDENTIFIER.match(text, at):
+            found = m[1].rstrip("._/+=-")
+            if sum(x in _DIGITS for x in found) >= 4:
+                return m.start(1), m.start(1) + len(found)
+        return None
+    marked = (lead[1] or "is").lower() != "is"
+    if marked and (m := _QUOTED.match(text, at)) and len(m[2]) >= 4:
+        a, found = m.start(2), m[2]
+    elif m := (_PASSWORD if cue in PASSWORDS else _TOKEN).match(text, at):
+        a, found = m.start(1), m[1].rstrip(".,;:)]}\"'")
+    else:
+        return None
+    digits, letters = sum(x in _DIGITS for x in found), any(x.isalpha() for x in found)
+    good = digits >= 4
+    if marked:
+        good |= len(found) >= 4 and (cue in PASSWORDS or not found.isalpha() or len(found) >= 16)
+    elif lead.end() > lead.start():
+        good |= len(found) >= 6 and letters and digits > 0
+    return (a, a + len(found)) if good else None
+
+
+def _beside(a: int, b: int, base: list[tuple[str, int, int]]) -> Iterator[tuple[int, int]]:
+    """Parts of ``a`` to ``b`` outside all spans of ``base``."""
+    for _, x, y in sorted((s for s in base if a < s[2] and s[1] < b), key=lambda s: s[1]):
+        if a < x:
+            yield a, x
+        a = max(a, y)
+    if a < b:
+        yield a, b
+
+
 def spans(text: str) -> list[tuple[str, int, int]]:
     """``(kind, start, end)`` by start, then kind in the order of ``KINDS``."""
     base: list[tuple[str, int, int]] = []
     more: list[tuple[str, int, int]] = []
     email_end = ip_end = card_end = url_end = account_end = 0
-    for last, anchor in _anchors().iter(text):
+    for last, anchor in _anchors().iter(_lower(text)):
         if anchor in _DIGITS:
             if last and text[last - 1] in _DIGITS:
                 continue  # inside a run of digits; its start has been tried
@@ -124,14 +190,16 @@ def spans(text: str) -> list[tuple[str, int, int]]:
                     more.append(("url", at - len(scheme[0]), url_end))
         else:
             first = last - len(anchor) + 1
-            if first >= account_end and not (first and text[first - 1].isalnum()) and (m := _ACCOUNT.match(text, last + 1)):
-                found = m[1].rstrip("-")
-                if sum(x in _DIGITS for x in found) >= 4 and (anchor != "iban" or iban(found)):
-                    account_end = m.start(1) + len(found)
-                    more.append(("account", m.start(1), account_end))
+            if first >= account_end and not (first and text[first - 1].isalnum()) and (found := _announced(text, anchor, last + 1)):
+                account_end = found[1]
+                more.append(("account", *found))
+    added = []
     for kind, a, b in more:
-        if not any(a < y and x < b for _, x, y in base):
-            base.append((kind, a, b))
+        if kind == "account":
+            added += [(kind, x, y) for x, y in _beside(a, b, base) if any(c.isalnum() for c in text[x:y])]
+        elif not any(a < y and x < b for _, x, y in base):
+            added.append((kind, a, b))
+    base += added
     base.sort(key=lambda s: (s[1], KINDS.index(s[0])))
     return base
 

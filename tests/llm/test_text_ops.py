@@ -51,6 +51,32 @@ def test_added_spans_and_redaction():
     assert pii.redact_text(text, ("email", "account")).startswith("Mail <EMAIL>, see https://u.example.com/p?x=1). Account no. <ACCOUNT>; IBAN <ACCOUNT>")
 
 
+@pytest.mark.parametrize(
+    ("text", "value"),
+    [
+        ("token: " + "a1B2" * 20 + " end", "a1B2" * 20),
+        ("token: eyJhbGci9012.eyJzdWIi3456.x, then", "eyJhbGci9012.eyJzdWIi3456.x"),
+        ("api_key: sk_live_51HxQ2bz99", "sk_live_51HxQ2bz99"),
+        ("IBAN GB82 WEST 1234 5698 7654 32 or", "GB82 WEST 1234 5698 7654 32"),
+        ("Customer ID 48213.", "48213"),
+        ("the Member Id: 99-4821", "99-4821"),
+        ("Password: hunter!x and", "hunter!x"),
+        ('{"passWord": "correct horse"}', "correct horse"),
+        ("password is hunter2x now", "hunter2x"),
+        ("account 1234 5678 9012 now", "1234 5678 9012"),
+        ("İ token=Zm9v+/YmFyMTIz== end", "Zm9v+/YmFyMTIz=="),
+    ],
+)
+def test_announced_values_are_whole(text, value):
+    assert [text[a:b] for k, a, b in pii.spans(text) if k == "account"] == [value]
+    assert value not in pii.redact_text(text, ("account",))
+
+
+def test_announced_values_beside_base_spans():
+    text = "token: abc-10.0.0.1/def and no password needed, passwords are secret, the token of thanks, IBAN GB83 WEST 1234 5698 7654 32"
+    assert [(k, text[a:b]) for k, a, b in pii.spans(text) if k != "card"] == [("account", "abc-"), ("ip", "10.0.0.1"), ("account", "/def")]
+
+
 def test_span_rows(awkward, no_docs):
     want = []
     for r in awkward_rows():
