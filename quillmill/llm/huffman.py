@@ -28,8 +28,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .batches import by_rows, by_text_size, texts_of
-from .encoding import encoder
+from .batches import by_rows, by_text_size
+from .encoding import ENCODE_BYTES, encoder
 from .ranges import id_bounds, with_range
 from .scratch import Scratch, shuffle_width
 
@@ -148,7 +148,7 @@ def decode_block(payload: bytes, book: Codebook) -> tuple[np.ndarray, np.ndarray
     return doc_ids, counts, out.T.reshape(-1)[:tokens], before
 
 
-def _squeeze(packed: list[bytes]) -> list[bytes]:
+def _squeeze(packed: list) -> list[bytes]:
     """Compressed: stored ids wait here only for the counts."""
     import zstandard
 
@@ -168,14 +168,16 @@ def stored_ids(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        end = np.array([end_id], enc.dtype).tobytes()
         total = np.zeros(max(enc.size, end_id + 1), dtype=np.int64)
         names = ["doc_id", "n_tokens", "ids"]
-        for batch in by_text_size(batches, "text"):
-            packed = [x + end for x in enc.encode(texts_of(batch, "text"))]
-            n = [len(x) // enc.dtype.itemsize for x in packed]
-            total += np.bincount(np.frombuffer(b"".join(packed), enc.dtype), minlength=len(total))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(_squeeze(packed), pa.binary())], names)
+        for batch in by_text_size(batches, "text", ENCODE_BYTES):
+            ids, bounds = enc.encode_column(batch.column("text"))
+            ids = np.insert(ids, bounds[1:], end_id)
+            total += np.bincount(ids, minlength=len(total))
+            bounds = bounds + np.arange(len(bounds))
+            cuts, raw = (bounds * enc.dtype.itemsize).tolist(), memoryview(ids.view(np.uint8))
+            packed = _squeeze([raw[x:y] for x, y in zip(cuts, cuts[1:])])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(bounds), pa.int64()), pa.array(packed, pa.binary())], names)
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([-1], pa.int64()), pa.array(_squeeze([total.tobytes()]), pa.binary())], names)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, STORED)

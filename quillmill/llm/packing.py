@@ -27,11 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .batches import by_text_size, texts_of
-from .encoding import encoder
+from .batches import by_text_size
+from .encoding import ENCODE_BYTES, encoder
 from .scratch import Scratch
 
-#: Pieces in one ranking chunk.
+#: Pieces of one length in one ranking chunk.
 CHUNK_PIECES = 20_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 RUNS = "run_length long, first_rank long, last_rank long, first_sequence long, per_sequence long, first_offset long"
@@ -91,15 +91,21 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        for batch in by_text_size(batches, "text"):
-            ids, rows = batch.column("doc_id").to_pylist(), []
-            for doc, packed in zip(ids, enc.encode(texts_of(batch, "text"))):
-                tokens = np.append(np.frombuffer(packed, enc.dtype), end_id).astype("<u4")
-                first = (len(tokens) - 1) % capacity + 1
-                bounds = [0, *range(first, len(tokens) + 1, capacity)]
-                rows += [(doc, k, a, b - a, zlib.crc32(tokens[a:b].tobytes())) for k, (a, b) in enumerate(zip(bounds, bounds[1:]))]
-            doc, k, start, n, crc = zip(*rows)
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(k, pa.int32()), pa.array(start, pa.int64()), pa.array(n, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        for batch in by_text_size(batches, "text", ENCODE_BYTES):
+            ids, bounds = enc.encode_column(batch.column("text"))
+            ids = np.insert(ids, bounds[1:], end_id).astype("<u4")
+            bounds = bounds + np.arange(len(bounds))
+            sizes = np.diff(bounds)
+            many = -(-sizes // capacity)  # pieces of each document
+            doc = np.repeat(np.arange(len(sizes)), many)
+            k = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)
+            first = (sizes - 1) % capacity + 1
+            start = np.where(k > 0, first[doc] + (k - 1) * capacity, 0)
+            length = np.where(k > 0, capacity, first[doc])
+            raw = memoryview(ids.view(np.uint8))
+            a = 4 * (bounds[doc] + start)
+            crc = [zlib.crc32(raw[x:y]) for x, y in zip(a.tolist(), (a + 4 * length).tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(doc)), pa.array(k, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(cut, PIECES)
 
@@ -107,11 +113,14 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id
 def place(pieces: DataFrame, capacity: int, scratch: Scratch) -> DataFrame:
     """Adds ``sequence_id`` and ``offset`` to stored pieces (read more than once)."""
     spark = pieces.sparkSession
-    chunks = max(1, -(-pieces.count() // CHUNK_PIECES))
-    ranked = pieces.withColumn("_chunk", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(chunks))).withColumn("_rank", F.row_number().over(Window.partitionBy("_chunk", "length").orderBy("doc_id", "piece", "ids_crc32")) - 1)
-    counts = scratch.save(pieces.groupBy("length", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(chunks)).alias("_chunk")).agg(F.count("*").alias("_n")), "counts")
-    histogram = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("_n")).collect()}
-    before = counts.select("length", "_chunk", (F.sum("_n").over(Window.partitionBy("length").orderBy("_chunk")) - F.col("_n")).alias("_before"))
+    # Ranks of a length are counted in chunks of about CHUNK_PIECES of its own pieces; rare lengths have one.
+    histogram = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}
+    chunks = F.broadcast(spark.createDataFrame([(x, -(-n // CHUNK_PIECES)) for x, n in histogram.items()], "length long, _chunks long"))
+    dealt = pieces.join(chunks, "length").withColumn("_chunk", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("_chunks"))).drop("_chunks")
+    counts = scratch.save(dealt.groupBy("length", "_chunk").agg(F.count("*").alias("_n")), "counts")
+    # One row for every CHUNK_PIECES pieces and one a length: each chunk gets how many pieces of its length are before it.
+    before = counts.select("length", "_chunk", (F.sum("_n").over(Window.partitionBy("length").orderBy("_chunk")) - F.col("_n")).alias("_before")).hint("shuffle_merge")
+    ranked = dealt.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_chunk").orderBy("doc_id", "piece", "ids_crc32")) - 1)
     # The plan has a few runs for each of at most `capacity` lengths.
     plan = F.broadcast(spark.createDataFrame(plan_runs(histogram, capacity), RUNS))
     rank = F.col("_rank") + F.col("_before")
