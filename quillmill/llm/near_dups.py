@@ -1,19 +1,23 @@
 """Near-duplicate documents: consistent weighted sampling over TF-IDF shingles.
 
 1. A shingle is five words (case and punctuation set aside); a shorter text is
-   one shingle.  Its weight is its count times ``1 + ln((N + 1) / (df + 1)) / ln(N + 2)``.
-   Document frequencies of all documents are counted by slot of a hashed table
-   of fixed width, so what tasks get is of one size at any scale.
+   one shingle.  Its weight is its count times a factor from 1 (a shingle of all
+   documents) to 2 (of at most one in ``RARE`` documents).  Frequencies are
+   counted over all documents by slot of a hashed table of fixed width, so what
+   tasks get is of one size at any scale; the load of rare shingles, which the
+   slots share evenly, is taken off as the median slot.  What is left differs
+   from the shingle's own frequency by the spread of that load, which is far
+   under ``N / RARE`` and shrinks against it as the corpus grows.
 2. Improved consistent weighted sampling draws ``HASHES`` samples a text; the
    chance that two texts draw alike is their weighted Jaccard similarity.
    Four samples in a row make a band key; 16 bands miss a pair of similarity
    0.8 with a chance of 0.0002.
 3. Texts that share a band key are a bucket; buckets of the same texts are one.
-   A bucket is compared in blocks of about ``BLOCK`` texts: one product of
-   matrices gives the weighted Jaccard similarity of all pairs of a block from
-   the whole texts, and a spanning forest of the links leaves it, never the
-   pairs.  A bucket larger than a block is dealt to new blocks round after
-   round, its least text to each of them, until a round joins nothing; this
+   A bucket is compared in blocks of about ``BLOCK`` texts and ``BLOCK_BYTES``
+   bytes: products of matrices give the weighted Jaccard similarity of all pairs
+   of a block from the whole texts, and a spanning forest of the links and each
+   text's best link leave it, never the pairs.  A bucket larger than two blocks
+   is dealt to new ones round after round, its least text to each, until a round joins nothing; this
    joins the great classes.  What is still apart in it is settled exactly: two
    texts at the threshold share a feature of their prefixes (the rarest
    features, as far as the rest weighs under ``threshold`` of the text), so
@@ -21,7 +25,8 @@
    are compared by all pairs of blocks of their bucket, without the pairs of
    blocks that are of one class already.
 4. Classes are the connected components of links.  Exact copies are one node
-   throughout, so copies cost a hash each.
+   throughout, so copies cost a hash each.  A document carries the best link of
+   its text: the partner's least id and the similarity.
 
 Defined results: null text is empty text; texts without words match only their
 exact copies; a class is named by its least id; rows that share an id and not
@@ -36,6 +41,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,10 +52,12 @@ from .words import Words, mix, runs_of, shingle_hashes
 
 SHINGLE, HASHES, BAND = 5, 64, 4
 SLOTS = 1 << 18
-#: Texts compared with each other at once; buckets up to twice that are one block.
-BLOCK = 256
+#: Texts, and bytes of text, compared with each other at once; buckets up to twice that are one block.
+BLOCK, BLOCK_BYTES = 1024, 4 << 20
 #: Shared shingles in one product of matrices.
-COLUMNS = 1 << 13
+COLUMNS = 1 << 10
+#: One in so many documents is rare.
+RARE = 1000
 #: Shingles drawn from at once.
 DRAW = 2048
 _SLOT_BLOCK = 1 << 12
@@ -134,12 +142,13 @@ def document_frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def inverse_frequencies(counts: np.ndarray, docs: int) -> np.ndarray:
-    """From 1 (in every document) to 2.
+    """From 1 (in every document) to 2 (in one of ``RARE``, or of all if they are fewer), by share of documents.
 
     The plain logarithm would weigh what a large group of copies shares so much
     less than each copy's own words that near copies would fall apart.
     """
-    return (1 + np.log((docs + 1) / (np.minimum(counts, docs) + 1)) / np.log(docs + 2)).astype(np.float32)
+    own = np.clip(counts - np.median(counts), 0, docs)
+    return (1 + np.minimum(1, np.log((docs + 1) / (own + 1)) / np.log(min(RARE, docs) + 2))).astype(np.float32)
 
 
 def sample(ids: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -203,12 +212,13 @@ def similarities(ids: np.ndarray, counts: np.ndarray, at: np.ndarray, idf: np.nd
     owner, weights = owner[order], np.sqrt(weights[order])
     a, b = runs_of(features[order])
     shared = b - a > 1
-    column = np.repeat(np.where(shared, np.cumsum(shared) - 1, -1), b - a)
+    taken = np.repeat(shared, b - a)
+    owner, weights, column = owner[taken], weights[taken], np.repeat(np.arange(shared.sum()), (b - a)[shared])
     both = np.zeros((n, n))
     for x in range(0, int(shared.sum()), COLUMNS):
-        taken = (column >= x) & (column < x + COLUMNS)
+        p, q = np.searchsorted(column, (x, x + COLUMNS))
         part = np.zeros((n, COLUMNS))
-        part[owner[taken], column[taken] - x] = weights[taken]
+        part[owner[p:q], column[p:q] - x] = weights[p:q]
         both += part @ part.T
     rest = total[:, None] + total[None, :] - both
     return np.divide(both, rest, out=np.zeros_like(both), where=rest > 0)
@@ -230,8 +240,16 @@ def forest(links: np.ndarray) -> list[tuple[int, int]]:
     return found
 
 
+def kept_links(near: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Of a matrix of similarities: a spanning forest of the links and the best link of each row."""
+    np.fill_diagonal(near, -1)
+    best = near.argmax(axis=1)
+    linked = np.flatnonzero(near[np.arange(len(near)), best] >= threshold)
+    return sorted({(min(x, y), max(x, y)) for x, y in [*forest(near >= threshold), *zip(linked.tolist(), best[linked].tolist())]})
+
+
 def signatures(rows: DataFrame, idf: np.ndarray) -> DataFrame:
-    """Band keys of each row of ``(doc_id, text_key, text)``; none without words."""
+    """Bytes and band keys of each row of ``(doc_id, text_key, text)``; no keys without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, list[int] | None] = {}
@@ -246,21 +264,22 @@ def signatures(rows: DataFrame, idf: np.ndarray) -> DataFrame:
                     x, y = at[k], at[k + 1]
                     seen[key] = mix(shingle_hashes(sample(ids[x:y], weights[x:y]), BAND)[::BAND] + np.arange(HASHES // BAND, dtype=np.uint64)).view(np.int64).tolist() if y > x else None
                 bands.append(seen[key])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "text_key", "bands"])
+            sizes = pc.binary_length(batch.column("text")).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), sizes, pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "text_key", "size", "bands"])
 
-    return rows.select("doc_id", "text_key", "text").mapInArrow(run, "doc_id long, text_key binary, bands array<long>")
+    return rows.select("doc_id", "text_key", "text").mapInArrow(run, "doc_id long, text_key binary, size long, bands array<long>")
 
 
 def verify(members: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
-    """Links within the blocks of ``members (band, block, node)``, by whole texts ``(node, text)``: a spanning forest of each block."""
+    """Links ``(a, b, similarity)`` within the blocks of ``members (band, block, node)``, by whole texts ``(node, text)``."""
     rows = texts.join(members.hint("shuffle_hash"), "node").select("band", "block", "node", "text").repartition("band", "block").sortWithinPartitions("band", "block")
 
     def links(nodes: list[int], parts: list[pa.Array]) -> pa.RecordBatch:
         block = pa.RecordBatch.from_arrays([pa.concat_arrays(parts)], ["text"])
-        near = similarities(*shingles(*bytes_of(block, "text")), idf) >= threshold
-        found = [sorted((nodes[x], nodes[y])) for x, y in forest(near)] if len(nodes) > 1 else []
-        a, b = zip(*found) if found else ((), ())
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        near = similarities(*shingles(*bytes_of(block, "text")), idf)
+        found = [(*sorted((nodes[x], nodes[y])), near[x, y]) for x, y in kept_links(near, threshold)] if len(nodes) > 1 else []
+        a, b, how = zip(*found) if found else ((), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(how, pa.float64())], ["a", "b", "similarity"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, nodes, parts = None, [], []
@@ -280,7 +299,7 @@ def verify(members: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: flo
         if nodes:
             yield links(nodes, parts)
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(run, "a long, b long, similarity double")
 
 
 def prefix_features(texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
@@ -295,23 +314,31 @@ def prefix_features(texts: DataFrame, idf: np.ndarray, threshold: float) -> Data
     return texts.select("node", "text").mapInArrow(run, "node long, feature long")
 
 
+def _blocks(n: Column, size: Column) -> Column:
+    return F.greatest(F.ceil(n / BLOCK), F.ceil(size / BLOCK_BYTES), F.lit(1).cast("long"))
+
+
+def _fits(n: Column, size: Column) -> Column:
+    """Whether so many texts of so many bytes are one block."""
+    return (n <= 2 * BLOCK) & (size <= 2 * BLOCK_BYTES)
+
+
 def block_pairs(members: DataFrame) -> DataFrame:
-    """``(band, block, node)`` in which any two texts of a band of ``members (band, node, label)`` with different labels meet.
+    """``(band, block, node)`` in which any two texts of a band of ``members (band, node, label, size)`` with different labels meet.
 
     A label with a block's number of texts has blocks of its own, which are
     not compared with each other; the texts of all others share blocks.
     """
-    many = F.ceil(F.col("n") / BLOCK)
-    sizes = members.groupBy("band", "label").agg(F.count("*").alias("n"))
+    sizes = members.groupBy("band", "label").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
     sizes = sizes.join(sizes.groupBy("band").agg(F.count("*").alias("labels")).where("labels > 1"), "band")
-    sizes = sizes.select("band", "label", "n", (F.col("n") >= BLOCK).alias("own")).withColumn("class", F.when(F.col("own"), F.col("label")).otherwise(0))
-    classes = sizes.groupBy("band", "own", "class").agg(F.sum("n").alias("n")).withColumn("many", many)
+    sizes = sizes.select("band", "label", "n", "size", (F.col("n") >= BLOCK).alias("own")).withColumn("class", F.when(F.col("own"), F.col("label")).otherwise(0))
+    classes = sizes.groupBy("band", "own", "class").agg(_blocks(F.sum("n"), F.sum("size")).alias("many"))
     blocks = classes.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("many") - 1))).select("band", F.struct("own", "class", "k").alias("x"))
     apart = (F.col("x") < F.col("y")) & ~(F.col("x.own") & F.col("y.own") & (F.col("x.class") == F.col("y.class")))
     alone = (F.col("x") == F.col("y")) & ~F.col("x.own")
     pairs = blocks.join(blocks.withColumnRenamed("x", "y"), "band").where(apart | alone)
     pairs = pairs.select("band", F.xxhash64("x", "y").alias("block"), F.explode(F.array_distinct(F.array("x", "y"))).alias("place"))
-    placed = members.join(sizes.select("band", "label", "own", "class"), ["band", "label"]).join(classes.select("band", "own", "class", "many"), ["band", "own", "class"])
+    placed = members.join(sizes.select("band", "label", "own", "class"), ["band", "label"]).join(classes, ["band", "own", "class"])
     placed = placed.select("band", "node", F.struct("own", "class", F.pmod(F.xxhash64("node"), F.col("many")).alias("k")).alias("place"))
     return placed.join(pairs, ["band", "place"]).select("band", "block", "node")
 
@@ -321,17 +348,23 @@ def text_key(text_col: str) -> Column:
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, text_key, class_id, class_texts``: one row a document; the last counts the class's different texts."""
+    """``doc_id, text_key, class_id, class_texts, link_id, similarity``: one row a document.
+
+    ``class_texts`` counts the class's different texts; ``link_id`` and
+    ``similarity`` are the best link of the document's text to another text
+    (the partner's least id), null without one.
+    """
     scratch = Scratch(docs.sparkSession, "near-dups")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(text_col).alias("text_key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     idf = inverse_frequencies(*document_frequencies(rows))
     signed = scratch.save(signatures(rows, idf), "signed")
     named = F.coalesce(F.min("doc_id"), -F.abs(F.xxhash64("text_key") / 2).cast("long") - 1)
-    nodes = scratch.save(signed.groupBy("text_key").agg(named.alias("node"), F.first("bands").alias("bands")), "nodes")
-    spread = nodes.select("node", F.explode("bands").alias("band"))
-    buckets = spread.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.bit_xor(F.xxhash64("node")).alias("all"), F.count("*").alias("n")).where("n > 1")
-    buckets = buckets.groupBy("least", "most", "all", "n").agg(F.min("band").alias("band")).select("band", "n", "least")
-    met = scratch.save(spread.join(buckets, "band"), "met")
+    nodes = scratch.save(signed.groupBy("text_key").agg(named.alias("node"), F.first("size").alias("size"), F.first("bands").alias("bands")), "nodes")
+    spread = nodes.select("node", "size", F.explode("bands").alias("band"))
+    buckets = spread.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.bit_xor(F.xxhash64("node")).alias("all"), F.count("*").alias("n"), F.sum("size").alias("bytes")).where("n > 1")
+    buckets = buckets.groupBy("least", "most", "all", "n", "bytes").agg(F.min("band").alias("band"))
+    many = F.when(_fits(F.col("n"), F.col("bytes")), 1).otherwise(_blocks(F.col("n"), F.col("bytes")))
+    met = scratch.save(spread.join(buckets.select("band", "least", many.cast("long").alias("many")), "band"), "met")
     # Ids are the small side of every task, so texts stream past them unsorted.
     active = scratch.save(met.select("node").distinct(), "active").hint("shuffle_hash")
     texts = rows.join(active, F.col("doc_id") == F.col("node"), "left_semi")
@@ -342,60 +375,58 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
 
     def blocks(members: DataFrame, k: int) -> DataFrame:
         """Each text's block; the least text of a bucket, most often the first of its copies, is in all of them."""
-        many = F.when(F.col("n") > 2 * BLOCK, F.ceil(F.col("n") / BLOCK)).otherwise(1)
-        own = F.pmod(F.xxhash64("node", F.lit(k)), many)
-        return members.select("band", "node", F.explode(F.when(F.col("node") == F.col("least"), F.sequence(F.lit(0).cast("long"), many - 1)).otherwise(F.array(own))).alias("block"))
+        own = F.pmod(F.xxhash64("node", F.lit(k)), F.col("many"))
+        return members.select("band", "node", F.explode(F.when(F.col("node") == F.col("least"), F.sequence(F.lit(0).cast("long"), F.col("many") - 1)).otherwise(F.array(own))).alias("block"))
 
     links = scratch.save(verify(blocks(met, 0), texts, idf, threshold), "links-0")
     labels = components(links, scratch, "labels-0")
-    wide = met.where(F.col("n") > 2 * BLOCK)
+    wide = met.where("many > 1")
     k = 0
+
+    def joined(found: DataFrame, name: str) -> bool:
+        """Adds the links between different labels; whether there are any."""
+        nonlocal links, labels
+        lined = found.join(labels.toDF("a", "la"), "a", "left").join(labels.toDF("b", "lb"), "b", "left")
+        fresh = scratch.save(lined.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b", "similarity"), f"fresh-{name}")
+        if fresh.isEmpty():
+            return False
+        links = links.unionAll(fresh)
+        labels = components(links, scratch, f"labels-{name}")
+        return True
+
     while not wide.isEmpty():
         k += 1
         named = wide.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         mixed = named.groupBy("band").agg((F.min("label") < F.max("label")).alias("mixed")).where("mixed").select("band")
-        wide = scratch.save(named.join(mixed, "band").select("band", "node", "n", "least", "label"), f"wide-{k}")
+        wide = scratch.save(named.join(mixed, "band").select("band", "node", "size", "least", "many", "label"), f"wide-{k}")
         found = scratch.save(verify(blocks(wide, k), texts, idf, threshold), f"links-{k}")
-        lined = found.join(labels.toDF("a", "la"), "a", "left").join(labels.toDF("b", "lb"), "b", "left")
-        fresh = lined.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
-        fresh = scratch.save(fresh, f"fresh-{k}")
-        if fresh.isEmpty():
+        if not joined(found, str(k)):
             break
-        links = links.unionAll(fresh)
-        labels = components(links, scratch, f"labels-{k}")
         wide = wide.drop("label")
     if k and not wide.isEmpty():
-
-        def joined(found: DataFrame, name: str) -> bool:
-            """Adds the links between different labels; whether there are any."""
-            nonlocal links, labels
-            found = scratch.save(found, f"links-{name}")
-            if found.isEmpty():
-                return False
-            links = links.unionAll(found)
-            labels = components(links, scratch, f"labels-{name}")
-            return True
-
-        waiting = scratch.save(wide.select("node", "label").distinct(), "waiting")
+        waiting = scratch.save(wide.select("node", "label", "size").distinct(), "waiting")
         features = scratch.save(prefix_features(texts.join(waiting.hint("shuffle_hash"), "node", "left_semi"), idf, threshold), "features")
-        shared = features.join(waiting.hint("shuffle_hash"), "node").groupBy("feature").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("node").alias("least"), F.max("node").alias("most"), F.bit_xor(F.xxhash64("node")).alias("all"), F.count("*").alias("n"))
+        shared = features.join(waiting.hint("shuffle_hash"), "node").groupBy("feature").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("node").alias("least"), F.max("node").alias("most"), F.bit_xor(F.xxhash64("node")).alias("all"), F.count("*").alias("n"), F.sum("size").alias("bytes"))
         shared = scratch.save(shared.where("low < high"), "shared")
-        narrow = shared.where(F.col("n") <= 2 * BLOCK).groupBy("least", "most", "all", "n").agg(F.min("feature").alias("feature")).select("feature")
+        fits = _fits(F.col("n"), F.col("bytes"))
+        narrow = shared.where(fits).groupBy("least", "most", "all", "n").agg(F.min("feature").alias("feature")).select("feature")
         members = features.join(narrow, "feature").select(F.col("feature").alias("band"), F.lit(0).alias("block"), "node")
-        joined(verify(members, texts, idf, threshold), "narrow")
-        common = shared.where(F.col("n") > 2 * BLOCK).select("feature")
-        rest = features.join(common, "feature", "left_semi").select("node").distinct()
-        rest = wide.drop("label").join(rest, "node", "left_semi").join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
+        joined(scratch.save(verify(members, texts, idf, threshold), "links-narrow"), "narrow")
+        rest = features.join(shared.where(~fits).select("feature"), "feature", "left_semi").select("node").distinct()
+        rest = wide.drop("label").join(rest, "node", "left_semi").join(labels, "node", "left").select("band", "node", "size", F.coalesce("label", "node").alias("label"))
         rest = scratch.save(rest, "rest")
         if not rest.isEmpty():
-            joined(verify(block_pairs(rest), texts, idf, threshold), "pairs")
+            joined(scratch.save(verify(block_pairs(rest), texts, idf, threshold), "links-pairs"), "pairs")
         for name in ("waiting", "features", "shared", "rest", "links-narrow", "links-pairs"):
             scratch.drop(name)
-    for name in ("met", "active", "texts", *(f"{x}-{j}" for x in ("links", "wide", "fresh") for j in range(k + 1))):
+    for name in ("met", "active", "texts", *(f"wide-{j + 1}" for j in range(k)), *(f"links-{j + 1}" for j in range(k))):
         scratch.drop(name)
-    where = nodes.select("text_key", "node").join(labels, "node", "left").select("text_key", F.coalesce("label", "node").alias("class_id"))
+    partner = lambda x, y: links.select(F.col(x).alias("node"), F.struct("similarity", (-F.col(y)).alias("other")).alias("link"))
+    best = partner("a", "b").unionAll(partner("b", "a")).groupBy("node").agg(F.max("link").alias("link"))
+    where = nodes.select("text_key", "node").join(labels, "node", "left").join(best, "node", "left")
+    where = where.select("text_key", F.coalesce("label", "node").alias("class_id"), (-F.col("link.other")).alias("link_id"), F.col("link.similarity").alias("similarity"))
     sizes = where.groupBy("class_id").agg(F.count("*").alias("class_texts"))
-    return signed.select("doc_id", "text_key").join(where.join(sizes, "class_id"), "text_key").select("doc_id", "text_key", "class_id", "class_texts")
+    return signed.select("doc_id", "text_key").join(where.join(sizes, "class_id"), "text_key").select("doc_id", "text_key", "class_id", "class_texts", "link_id", "similarity")
 
 
 def keep_one(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

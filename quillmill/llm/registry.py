@@ -54,7 +54,7 @@ def op6_super_kmer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_texts")
+    return near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_texts", "link_id", "similarity")
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -211,16 +211,58 @@ def test_separate_pairs_of_a_wide_bucket(spark, monkeypatch):
 
 def test_all_blocks_of_different_classes_meet(spark, monkeypatch):
     monkeypatch.setattr(near_dups, "BLOCK", 4)
-    rows = [(1, k, 0 if k < 30 else 30 if k < 45 else k) for k in range(60)] + [(2, k, 0) for k in range(30)]
+    rows = [(1, k, 0 if k < 30 else 30 if k < 45 else k, 100) for k in range(60)] + [(2, k, 0, 100) for k in range(30)]
     got = {}
-    for r in near_dups.block_pairs(spark.createDataFrame(rows, "band long, node long, label long")).collect():
+    for r in near_dups.block_pairs(spark.createDataFrame(rows, "band long, node long, label long, size long")).collect():
         got.setdefault((r.band, r.block), set()).add(r.node)
-    label = {n: x for b, n, x in rows if b == 1}
+    label = {n: x for b, n, x, _ in rows if b == 1}
     assert {b for b, _ in got} == {1}
     assert all(any({x, y} <= s for s in got.values()) for x in label for y in label if label[x] != label[y])
     assert all(len({label[x] for x in s}) > 1 for s in got.values())
 
 
+def test_blocks_are_bounded_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(near_dups, "BLOCK_BYTES", 20_000)
+    base = prose(5, 300)
+    rows = [(0, base), *((k, edited(base, k, 2)) for k in range(1, 60))]
+    assert sum(len(t.encode()) for _, t in rows) > 4 * 20_000
+    got = near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    strict = classes_by_hand(rows, 0.83)
+    assert {d for d, c in strict.items() if c == 0} <= {r.doc_id for r in got if r.class_id == 0}
+
+
+def test_links_are_verified_pairs(spark):
+    base = [prose(k, 200) for k in range(4)]
+    rows = [(k, t) for k, t in enumerate(base)] + [(10 + k, edited(base[k], k, 2)) for k in range(3)] + [(20, base[0]), (21, edited(base[0], 90, 3))]
+    got = {r.doc_id: r for r in near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[3].link_id is None and got[3].similarity is None
+    assert (got[1].link_id, got[11].link_id, got[2].link_id, got[12].link_id) == (11, 1, 12, 2)
+    assert got[20].link_id == got[0].link_id in (10, 21) and all(0.8 <= r.similarity < 1 for r in got.values() if r.link_id is not None)
+    assert all(got[r.link_id].class_id == r.class_id for r in got.values() if r.link_id is not None)
+
+
+def test_load_of_rare_shingles_does_not_count():
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    for docs in (100_000, 15_000_000):
+        counts = r.poisson(400 * docs / near_dups.SLOTS, near_dups.SLOTS)
+        counts[:10] += docs // 3
+        idf = near_dups.inverse_frequencies(counts, docs)
+        assert idf[10:].min() > 1.98 and abs(idf[:10] - 1 - np.log(3) / np.log(1002)).max() < 0.01
+
+
+def test_recall_over_documents(spark, sf_dir):
+    """Against all pairs of the weighted Jaccard similarity itself."""
+    rows = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf_dir}/../sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    near = near_dups.similarities(*block_of([t for _, t in rows]), near_dups.inverse_frequencies(*near_dups.document_frequencies(docs)))
+    got = {r.doc_id: r.class_id for r in near_dups.near_duplicates(docs).collect()}
+    pairs = [(rows[x][0], rows[y][0]) for x, y in zip(*(near >= 0.8).nonzero()) if x < y]
+    met = sum(got[x] == got[y] for x, y in pairs)
+    assert len(pairs) > 20 and met >= 0.98 * len(pairs)
+
+
 def test_prefixes_of_texts_at_the_threshold_meet():
     import numpy as np
 
