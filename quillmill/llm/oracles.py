@@ -57,15 +57,25 @@ SELECT doc_id, text, lang, source, n_chars, copies, CAST(k AS INT) AS copy,
 FROM counted, range(1, 1000) AS c(k) WHERE k <= copies
 """
 
-_lanes = 64
+_lanes = 256
 
 
-def _sums(text: str) -> str:
-    """SQL of the vector of a text expression."""
-    lines = f"(CASE WHEN {text} = '' THEN [] ELSE list_transform(string_split({text}, chr(10)), lambda x: sha256(x)) END)"
-    parts = f"list_transform(list_filter(string_split(regexp_replace({text}, '([.!?]) ', '\\1' || chr(10), 'g'), chr(10)), lambda s: s <> ''), lambda s: CAST('0x' || substr(sha256(s), 1, 10) AS BIGINT))"
+def _lines(text: str) -> str:
+    return f"(CASE WHEN {text} = '' THEN [] ELSE list_transform(string_split({text}, chr(10)), lambda x: sha256(x)) END)"
+
+
+def _stretches(text: str) -> str:
+    """SQL of a text's stretches of words, counted by lane and sign."""
+    sentences = f"regexp_replace({text}, '([.!?]) ', '\\1' || chr(10), 'g')"
+    parts = f"list_transform(list_concat(regexp_extract_all({sentences}, '[^ \\n]+(?: [^ \\n]+){{3}}'), list_filter(string_split({text}, chr(10)), lambda x: x <> '')), lambda s: CAST('0x' || substr(md5(s), 1, 4) AS BIGINT) % {2 * _lanes})"
+    return f"list_aggregate({parts}, 'histogram')"
+
+
+def _sums(lines: str, counts: str) -> str:
+    """SQL of the vector from columns of hashes and counts."""
     whole = f"list_transform(range(0, 8), lambda k: CAST(coalesce(list_sum(list_transform({lines}, lambda h: CAST('0x' || substr(h, CAST(8 * k + 1 AS INT), 8) AS BIGINT))), 0) % 4294967296 AS BIGINT))"
-    lanes = f"list_transform(range(0, {_lanes}), lambda k: CAST(coalesce(list_sum(list_transform(list_filter({parts}, lambda h: h % {_lanes} = k), lambda h: h >> 6)), 0) % 4294967296 AS BIGINT))"
+    count = lambda bin: f"coalesce(CAST({counts}[{bin}] AS BIGINT), 0)"
+    lanes = f"list_transform(range(0, {_lanes}), lambda k: ({count('2 * k')} - {count('2 * k + 1')} + 4294967296) % 4294967296)"
     return f"list_concat({whole}, {lanes})"
 
 
@@ -74,16 +84,17 @@ def _hex(v: str) -> str:
 
 
 def _like(a: str, b: str) -> str:
-    pairs = f"list_filter(range(9, {9 + _lanes}), lambda k: {a}[k] <> 0 OR {b}[k] <> 0)"
-    same = f"len(list_filter({pairs}, lambda k: {a}[k] = {b}[k]))"
-    return f"CASE WHEN {a} = {b} THEN 1.0 WHEN len({pairs}) = 0 THEN 0.0 ELSE CAST({same} AS DOUBLE) / len({pairs}) END"
+    signed = lambda v: f"list_transform(list_slice({v}, 9, {8 + _lanes}), lambda x: CASE WHEN x >= 2147483648 THEN x - 4294967296 ELSE x END)"
+    product = lambda x, y: f"CAST(list_sum(list_transform(list_zip({signed(x)}, {signed(y)}), lambda p: p[1] * p[2])) AS DOUBLE)"
+    return f"CASE WHEN {a} = {b} THEN 1.0 ELSE greatest(0.0, least(1.0, coalesce({product(a, b)} / nullif(sqrt({product(a, a)} * {product(b, b)}), 0), 0.0))) END"
 
 
 FINGERPRINTS = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 n AS (SELECT doc_id, t, coalesce(lead(t) OVER w, first_value(t) OVER w) AS nx FROM d WINDOW w AS (ORDER BY doc_id DESC NULLS LAST, t)),
 e AS (SELECT doc_id, t, nx, length(t) AS n_chars, substr(t, 1, length(t) - length(t) // 3) || substr(nx, 1, length(t) // 3) AS ed FROM n),
-v AS (SELECT doc_id, n_chars, ed, {_sums('t')} AS a, {_sums('ed')} AS b, {_sums('nx')} AS c FROM e)
+h AS (SELECT doc_id, n_chars, ed, {_lines('t')} AS lt, {_lines('ed')} AS le, {_lines('nx')} AS ln, {_stretches('t')} AS st, {_stretches('ed')} AS se, {_stretches('nx')} AS sn FROM e),
+v AS (SELECT doc_id, n_chars, ed, {_sums('lt', 'st')} AS a, {_sums('le', 'se')} AS b, {_sums('ln', 'sn')} AS c FROM h)
 SELECT doc_id, n_chars, sha256(ed) AS edited_sha256, {_hex('a')} AS fingerprint, {_hex('b')} AS edited_fingerprint,
        CAST({_like('a', 'b')} AS DOUBLE) AS near_edited, CAST({_like('a', 'c')} AS DOUBLE) AS near_next
 FROM v

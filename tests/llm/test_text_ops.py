@@ -1,6 +1,7 @@
 """Spans, windows, near copies and fingerprints against plain code."""
 
 import hashlib
+import math
 import re
 
 import pytest
@@ -315,11 +316,10 @@ def plain_vector(text):
             h = hashlib.sha256(line.encode()).hexdigest()
             for k in range(fingerprints.WHOLE):
                 out[k] = (out[k] + int(h[8 * k : 8 * k + 8], 16)) % 2**32
-        for s in re.sub("([.!?]) ", "\\1\n", text).split("\n"):
-            if s:
-                v = int(hashlib.sha256(s.encode()).hexdigest()[:10], 16)
-                k = fingerprints.WHOLE + v % fingerprints.LANES
-                out[k] = (out[k] + (v >> 6)) % 2**32
+        for s in [*re.findall("[^ \n]+(?: [^ \n]+){3}", re.sub("([.!?]) ", "\\1\n", text)), *filter(None, text.split("\n"))]:
+            v = int(hashlib.md5(s.encode()).hexdigest()[:4], 16) % (2 * fingerprints.LANES)
+            k = fingerprints.WHOLE + v // 2
+            out[k] = (out[k] + (-1 if v % 2 else 1)) % 2**32
     return out
 
 
@@ -334,8 +334,10 @@ def test_fingerprints(awkward, no_docs):
         v, e, n = plain_vector(text), plain_vector(new), plain_vector(after)
 
         def like(a, b):
-            pairs = [(x, y) for x, y in zip(a[fingerprints.WHOLE :], b[fingerprints.WHOLE :]) if x or y]
-            return 1.0 if a == b else sum(x == y for x, y in pairs) / len(pairs) if pairs else 0.0
+            x, y = ([z - 2**32 if z >= 2**31 else z for z in v[fingerprints.WHOLE :]] for v in (a, b))
+            dot = lambda p, q: float(sum(i * j for i, j in zip(p, q)))
+            size = math.sqrt(dot(x, x) * dot(y, y))
+            return 1.0 if a == b else max(0.0, min(1.0, dot(x, y) / size)) if size else 0.0
 
         text_of = lambda a: "".join(f"{x:08x}" for x in a)
         want.append((doc, len(text), hashlib.sha256(new.encode()).hexdigest(), text_of(v), text_of(e), like(v, e), like(v, n)))
@@ -343,6 +345,15 @@ def test_fingerprints(awkward, no_docs):
     assert fingerprints.fingerprint_documents(no_docs).count() == 0
 
 
+@pytest.mark.parametrize("sentences", [30, 300, 3000])
+def test_likeness_holds_at_any_length(spark, sentences):
+    text = lambda seed: " ".join(prose(seed * 10_000 + k, 9).replace("\n", " ") + "." for k in range(sentences))
+    rows = [(k, text(k)) for k in range(6)]
+    got = fingerprints.fingerprint_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(abs(r.near_edited - 2 / 3) < 0.2 and r.near_next < 0.25 for r in got)
+    assert abs(sum(r.near_edited for r in got) / 6 - 2 / 3) < 0.08
+
+
 def test_paragraphs_may_move_and_go(spark):
     a, b = "first line.\nsecond line.\nthird", "third\nfirst line.\nsecond line."
     rows = fingerprints.with_vector(spark.createDataFrame([(a,), (b,), ("first line.\nsecond line.",), ("third",)], "t string"), "t", "v").collect()
