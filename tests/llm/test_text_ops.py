@@ -137,14 +137,47 @@ def test_hash_collisions_are_settled_by_bytes(monkeypatch):
     import pyarrow as pa
 
     batch = pa.RecordBatch.from_arrays([pa.array(range(8), pa.int64()), pa.array([0] * 8, pa.int64()), pa.array(texts)], ["doc_id", "text_key", "text"])
-    payloads = [p.as_py() for b in substrings.pack_windows(1, 1, 13)([batch]) for p in b.column("payload")]
-    want = [x.tolist() for x in substrings.repeated(payloads, 13)]
+    none = np.zeros(0, np.uint64)
+
+    def found():
+        rows = [b for b in substrings.pack_windows(1, 1, 13, none)([batch])]
+        return sorted((d, tuple(np.frombuffer(x, "<i8").tolist())) for b in substrings.find_repeats(13)(iter(rows)) for d, x in zip(b.column("doc_id").to_pylist(), b.column("intervals").to_pylist()))
+
+    want = found()
     real = substrings.shingle_hashes
-    monkeypatch.setattr(substrings, "shingle_hashes", lambda w, n: real(w, n) & np.uint64(3))
-    assert [x.tolist() for x in substrings.repeated(payloads, 13)] == want
+    monkeypatch.setattr(substrings, "shingle_hashes", lambda w, n: real(w, n) & np.uint64(3) if n == 13 else real(w, n))
+    assert found() == want and want
     assert len(Words(*bytes_of(batch, "text"))) == sum(len(t.split()) for t in texts)
 
 
+@pytest.mark.parametrize("held", [2_000, 10_000, substrings.HELD_BYTES])
+def test_buckets_settled_in_steps_and_hot_minimisers(spark, monkeypatch, held):
+    """Boilerplate in most texts, in pieces of few texts, with the greater ids first."""
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(substrings, "MAP_BYTES", 800)
+    monkeypatch.setattr(substrings, "HELD_BYTES", held)
+    line = prose(3, 25).replace("\n", " ")
+    rows = [(d, f"{prose(d % 37, 20)} {line} {prose(1000 + d, 12)}") for d in reversed(range(80))]
+    pieces = []
+    for d in range(0, 80, 5):
+        part = rows[d : d + 5]
+        batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), pa.array([0] * 5, pa.int64()), pa.array([r[1] for r in part])], ["doc_id", "text_key", "text"])
+        pieces += list(substrings.pack_windows(3, 1, 13, np.zeros(0, np.uint64))([batch]))
+    gone = {}
+    for b in substrings.find_repeats(13)(iter([pa.concat_batches(pieces).sort_by("bucket")])):
+        for d, x in zip(b.column("doc_id").to_pylist(), b.column("intervals").to_pylist()):
+            for p, q in np.frombuffer(x, "<i8").reshape(-1, 2).tolist():
+                gone.setdefault(d, set()).update(range(p, q))
+    assert {d: len(x) for d, x in gone.items()} == {d: g for d, _, g, _ in plain_repeats(rows, 13) if g}
+    monkeypatch.setattr(substrings, "BUCKET_BYTES", 3_000)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert len(substrings.hot_minimisers(frame, sum(len(t.encode()) for _, t in rows), 13)) > 0
+    got = substrings.remove_repeats(frame).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    assert sorted((tuple(r) for r in got.collect()), key=str) == plain_repeats(rows, 13)
+
+
 def classes_by_hand(rows, threshold=0.8):
     """Components of exact copies and of pairs whose plain five-word Jaccard similarity is clear of the threshold."""
     sets = {}
