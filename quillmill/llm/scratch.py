@@ -7,18 +7,22 @@ then costs a re-read, not a failed job.
 
 from __future__ import annotations
 
+import gc
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from .batches import bound_batches
 
-#: Used only where the session names no folder, as in local tests.
-FALLBACK = "/tmp/checkpoints"
-
 
 def scratch_root(spark: SparkSession) -> str:
-    return (spark.conf.get("spark.checkpoint.dir", None) or FALLBACK).rstrip("/")
+    """The session's shared folder; only a local master, which is one machine, may do without."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (root or f"{tempfile.gettempdir()}/checkpoints").rstrip("/")
 
 
 class Scratch:
@@ -47,3 +51,9 @@ class Scratch:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets the cleaner take shuffle files of frames that nothing refers to any more; it acts only after a collection of garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
