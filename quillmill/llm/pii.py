@@ -28,7 +28,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -51,7 +53,7 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*\Z")
+_SCHEME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+.-")
 _URL_REST = re.compile(r"[^\s<>\"'`]+")
 _LEAD = re.compile(r"[\"']?(?:[\x20\t]{0,4}(?:number|num|no|nr|id)\b\.?)?[\x20\t]{0,4}(:=|=>|[:=#]|is\b)?[\x20\t]{0,4}", re.IGNORECASE)
 _IDENTIFIER = re.compile(r"[\"']?([0-9]{2,6}(?:\x20[0-9]{2,6})+(?![A-Za-z0-9])|[A-Za-z0-9][A-Za-z0-9._/+=-]{3,})")
@@ -140,14 +142,29 @@ def _announced(text: str, cue: str, at: int) -> tuple[int, int] | None:
     return (a, a + len(found)) if good else None
 
 
-def _beside(a: int, b: int, base: list[tuple[str, int, int]]) -> Iterator[tuple[int, int]]:
-    """Parts of ``a`` to ``b`` outside all spans of ``base``."""
-    for _, x, y in sorted((s for s in base if a < s[2] and s[1] < b), key=lambda s: s[1]):
-        if a < x:
-            yield a, x
-        a = max(a, y)
-    if a < b:
-        yield a, b
+class _Taken:
+    """Base spans by start; the greatest end so far tells where those that reach a place begin."""
+
+    def __init__(self, base: list[tuple[str, int, int]]):
+        self.spans = sorted((a, b) for _, a, b in base)
+        self.reach = list(accumulate((b for _, b in self.spans), max))
+
+    def meeting(self, a: int, b: int) -> Iterator[tuple[int, int]]:
+        for k in range(bisect_right(self.reach, a), len(self.spans)):
+            x, y = self.spans[k]
+            if x >= b:
+                return
+            if y > a:
+                yield x, y
+
+    def beside(self, a: int, b: int) -> Iterator[tuple[int, int]]:
+        """Parts of ``a`` to ``b`` outside all spans."""
+        for x, y in self.meeting(a, b):
+            if a < x:
+                yield a, x
+            a = max(a, y)
+        if a < b:
+            yield a, b
 
 
 def spans(text: str) -> list[tuple[str, int, int]]:
@@ -181,23 +198,24 @@ def spans(text: str) -> list[tuple[str, int, int]]:
                     base.append(("phone", last, m.end()))
         elif anchor == "://":
             at = last - 2
-            scheme = _SCHEME.search(text[max(url_end, at - 32) : at])
-            rest = _URL_REST.match(text, last + 1)
-            if scheme and rest and at >= url_end:
-                host = rest[0].rstrip(".,;:!?)]}")
-                if host:
-                    url_end = last + 1 + len(host)
-                    more.append(("url", at - len(scheme[0]), url_end))
+            start = at
+            while start > url_end and text[start - 1] in _SCHEME:
+                start -= 1
+            while start < at and not text[start].isalpha():
+                start += 1
+            if start < at and (rest := _URL_REST.match(text, last + 1)) and (host := rest[0].rstrip(".,;:!?)]}")):
+                url_end = last + 1 + len(host)
+                more.append(("url", start, url_end))
         else:
             first = last - len(anchor) + 1
             if first >= account_end and not (first and text[first - 1].isalnum()) and (found := _announced(text, anchor, last + 1)):
                 account_end = found[1]
                 more.append(("account", *found))
-    added = []
+    added, taken = [], _Taken(base)
     for kind, a, b in more:
         if kind == "account":
-            added += [(kind, x, y) for x, y in _beside(a, b, base) if any(c.isalnum() for c in text[x:y])]
-        elif not any(a < y and x < b for _, x, y in base):
+            added += [(kind, x, y) for x, y in taken.beside(a, b) if any(c.isalnum() for c in text[x:y])]
+        elif next(taken.meeting(a, b), None) is None:
             added.append((kind, a, b))
     base += added
     base.sort(key=lambda s: (s[1], KINDS.index(s[0])))

@@ -73,6 +73,16 @@ def test_announced_values_are_whole(text, value):
     assert value not in pii.redact_text(text, ("account",))
 
 
+def test_schemes_of_any_length_and_many_spans():
+    import time
+
+    scheme = "a" + "b+9" * 30
+    assert [text[a:b] for text in [f"9.-{scheme}://host/x."] for k, a, b in pii.spans(text) if k == "url"] == [f"{scheme}://host/x"]
+    long = " ".join(f"user{k}@mail.example.com http://h{k}.example.com/p token: k{k}x{k}y77" for k in range(40_000))
+    began = time.process_time()
+    assert len(pii.spans(long)) == 120_000 and time.process_time() - began < 20
+
+
 def test_announced_values_beside_base_spans():
     text = "token: abc-10.0.0.1/def and no password needed, passwords are secret, the token of thanks, IBAN GB83 WEST 1234 5698 7654 32"
     assert [(k, text[a:b]) for k, a, b in pii.spans(text) if k != "card"] == [("account", "abc-"), ("ip", "10.0.0.1"), ("account", "/def")]
