@@ -48,6 +48,7 @@ from pyspark.sql import functions as F
 from .batches import by_text_size, bytes_of
 from .components import components
 from .scratch import Scratch
+from .sums import sum_arrays
 from .words import Words, mix, runs_of, shingle_hashes
 
 SHINGLE, HASHES, BAND = 5, 64, 4
@@ -60,7 +61,6 @@ COLUMNS = 1 << 10
 RARE = 1000
 #: Shingles drawn from at once.
 DRAW = 2048
-_SLOT_BLOCK = 1 << 12
 _ID_BITS, _ID_MASK = 48, (1 << 48) - 1
 
 _fold = np.full(256, 32, np.uint8)
@@ -113,32 +113,13 @@ def slots(ids: np.ndarray) -> np.ndarray:
 def document_frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
     """Documents by slot of their shingles, and the number of documents."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, docs = np.zeros(SLOTS, np.int64), 0
-        for batch in by_text_size(batches, "text"):
-            docs += batch.num_rows
-            ids, _, _ = shingles(*bytes_of(batch, "text"))
-            total += np.bincount(slots(ids), minlength=SLOTS)
-        blocks = SLOTS // _SLOT_BLOCK
-        payload = [x.astype("<i8").tobytes() for x in total.reshape(blocks, _SLOT_BLOCK)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(blocks), pa.int32()), pa.array([docs if k == 0 else 0 for k in range(blocks)], pa.int64()), pa.array(payload, pa.binary())], ["block", "docs", "counts"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        docs: dict[int, int] = {}
-        for batch in batches:
-            for block, n, payload in zip(batch.column("block").to_pylist(), batch.column("docs").to_pylist(), batch.column("counts")):
-                sums[block] = sums.get(block, 0) + np.frombuffer(payload.as_py(), "<i8")
-                docs[block] = docs.get(block, 0) + n
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([docs[b] for b in sums], pa.int64()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["block", "docs", "counts"])
-
-    kind = "block int, docs long, counts binary"
-    total, docs = np.zeros(SLOTS, np.int64), 0
-    # SLOTS counts in all reach the driver, in blocks summed on the cluster.
-    for block, n, payload in rows.select("text").mapInArrow(count, kind).repartition("block").mapInArrow(add, kind).collect():
-        total[block * _SLOT_BLOCK : (block + 1) * _SLOT_BLOCK] += np.frombuffer(bytes(payload), "<i8")
-        docs += n
-    return total, docs
+    def tally(total: np.ndarray, batch: pa.RecordBatch) -> None:
+        ids, _, _ = shingles(*bytes_of(batch, "text"))
+        total[:SLOTS] += np.bincount(slots(ids), minlength=SLOTS)
+        total[SLOTS] += batch.num_rows
+
+    total = sum_arrays(rows.select("text"), SLOTS + 1, tally, "text")
+    return total[:SLOTS], int(total[SLOTS])
 
 
 def inverse_frequencies(counts: np.ndarray, docs: int) -> np.ndarray:

@@ -1,8 +1,8 @@
 """Quality by co-training: a text view and a page-metadata view teach each other.
 
 The text view is naive Bayes over hashed byte trigrams.  The metadata view is
-naive Bayes over binned properties of the page: source, language, length and
-layout (lines, letter case, marks, digits, spaces, repeated lines and words);
+naive Bayes over binned properties of the page: source, language, stated and
+real length and layout (lines, letter case, marks, digits, spaces, repeated lines and words);
 it sees no word.  Both models are sums of counts, so learning from all
 documents is one pass whose result has a fixed size.
 
@@ -35,10 +35,13 @@ from pyspark.sql import functions as F
 
 from .batches import by_text_size, bytes_of
 from .scratch import Scratch
+from .sums import sum_arrays
 from .words import Words
 
 TRIGRAMS = 1 << 14
-BINS, PROPERTIES = 64, 11
+#: Columns of the page's metadata, where the table has them (``n_chars`` as a number).
+METADATA = ("source", "lang", "n_chars")
+BINS, PROPERTIES = 64, 12
 _SIZE = 2 * TRIGRAMS + 2 * PROPERTIES * BINS + 2  # by class: trigrams, bins, examples of the metadata view
 SCORES = "p_text double, p_meta double, p_quality double, keep boolean"
 _UPPER, _MARK, _DIGIT, _SPACE = (np.zeros(256, bool) for _ in range(4))
@@ -79,16 +82,24 @@ def page_bins(batch: pa.RecordBatch, raw: np.ndarray, bounds: np.ndarray) -> np.
     letters = np.maximum(size - mark - digit - space, 0)
     words = Words(raw, bounds)
     counts = np.diff(words.first).astype(np.float64)
-    pair = np.sort(words.text.astype(np.uint64) << np.uint64(44) | words.hash >> np.uint64(20)) if n < 1 << 20 else np.zeros(0, np.uint64)
-    fresh = np.concatenate([[True], pair[1:] != pair[:-1]]) if len(pair) else np.zeros(0, bool)
-    distinct = np.bincount((pair[fresh] >> np.uint64(44)).astype(np.int64), minlength=n)[:n]
+    short = words.hash >> np.uint64(20)
+    if n < 1 << 20:  # both keys in one number sort faster
+        pair = np.sort(words.text.astype(np.uint64) << np.uint64(44) | short)
+        owner, short = (pair >> np.uint64(44)).astype(np.int64), pair
+    else:
+        order = np.lexsort((short, words.text))
+        owner, short = words.text[order], short[order]
+    fresh = np.concatenate([[True], (short[1:] != short[:-1]) | (owner[1:] != owner[:-1])]) if len(owner) else np.zeros(0, bool)
+    distinct = np.bincount(owner[fresh], minlength=n)[:n]
     again = (words.hash[1:] == words.hash[:-1]) & (words.text[1:] == words.text[:-1]) if len(words) else np.zeros(0, bool)
     twice = np.bincount(words.text[1:][again], minlength=n)[:n] if len(words) else np.zeros(n)
     # Case of letters beyond ASCII is not looked at; the share is of all letters.
     columns = {c.lower(): c for c in batch.schema.names}
+    known = batch.column(columns["n_chars"]).cast(pa.float64(), safe=False).fill_null(-1).to_numpy(zero_copy_only=False) if "n_chars" in columns else np.full(n, -1.0)
+    stated = np.where(known >= 0, 1 + _log_bin(np.maximum(known, 0)), 0).clip(0, BINS - 1)
     name = [_name_bins(batch.column(columns[c]).to_pylist()) if c in columns else np.zeros(n, np.int64) for c in ("source", "lang")]
     return np.stack([
-        *name, _log_bin(size), _log_bin(size / lines), _share_bin(upper, letters), _share_bin(mark, size), _share_bin(digit, size), _share_bin(space, size),
+        *name, stated, _log_bin(size), _log_bin(size / lines), _share_bin(upper, letters), _share_bin(mark, size), _share_bin(digit, size), _share_bin(space, size),
         _share_bin(distinct, np.sqrt(np.maximum(counts, 1)) * 8 + counts), _share_bin(twice, counts), _log_bin(size / np.maximum(counts, 1) * 4),
     ])
 
@@ -179,28 +190,6 @@ def add_examples(total: np.ndarray, slot: np.ndarray, at: np.ndarray, bins: np.n
     total[-2:] += np.bincount(meta_class[rows], minlength=2)
 
 
-def _sum_up(docs: DataFrame, tally) -> np.ndarray:
-    """Adds up one fixed-size array a task: tree-like, one row a task to one task to the driver."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(_SIZE)
-        for batch in by_text_size(batches, "_qm_text"):
-            tally(total, batch)
-        parts = np.array_split(total, 8)
-        yield pa.RecordBatch.from_arrays([pa.array(range(8), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["k", "counts"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for k, x in zip(batch.column("k").to_pylist(), batch.column("counts")):
-                sums[k] = sums.get(k, 0) + np.frombuffer(x.as_py())
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["k", "counts"])
-
-    kind = "k int, counts binary"
-    out = {k: np.frombuffer(bytes(x)) for k, x in docs.mapInArrow(run, kind).repartition("k").mapInArrow(add, kind).collect()}
-    return np.concatenate([out.get(k, np.zeros(len(p))) for k, p in enumerate(np.array_split(np.zeros(_SIZE), 8))])
-
-
 def labelled_scores(sample: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
     """Raw scores and labels of the held-back rows; as many rows as the sample has at most."""
 
@@ -225,7 +214,7 @@ def train(docs: DataFrame, labels: DataFrame, rounds: int = 2, sure: float = 0.9
     """The co-trained model, or None if the labels are not of both kinds."""
     scratch = Scratch(docs.sparkSession, "quality")
     rows = docs.withColumn("_qm_text", F.coalesce(F.col(text_col).cast("string"), F.lit(""))).withColumn("_id", F.col(id_col).cast("long"))
-    rows = rows.select("_id", "_qm_text", *[c for c in docs.columns if c.lower() in ("source", "lang")])
+    rows = rows.select("_id", "_qm_text", *[c for c in docs.columns if c.lower() in METADATA])
     marked = labels.select(F.col(id_col).cast("long").alias("_lid"), F.col(label_col).cast("int").alias("_label")).dropna().groupBy("_lid").agg(F.min("_label").alias("_label"))
     # At most `max_labelled` ids and labels, so the broadcast is bounded.
     chosen = F.broadcast(marked.orderBy(F.xxhash64("_lid"), "_lid").limit(max_labelled))
@@ -236,7 +225,7 @@ def train(docs: DataFrame, labels: DataFrame, rounds: int = 2, sure: float = 0.9
         kind = np.where(batch.column("_held").to_numpy(zero_copy_only=False), -1, batch.column("_label").to_numpy(zero_copy_only=False) > 0)
         add_examples(total, *features(batch), kind, kind)
 
-    first = _sum_up(sample, from_labels)
+    first = sum_arrays(sample, _SIZE, from_labels, "_qm_text")
     if first[-2:].min() < 1 or sample.where("_held").select("_label").distinct().count() < 2:
         return None
     model = calibrate(Model(first), sample)
@@ -250,7 +239,7 @@ def train(docs: DataFrame, labels: DataFrame, rounds: int = 2, sure: float = 0.9
             by_text, by_meta = (np.where(p >= sure, 1, np.where(p <= 1 - sure, 0, -1)) for p in (p_text, p_meta))
             add_examples(total, *found, by_meta, by_text)
 
-        model = calibrate(Model(first + _sum_up(others, from_other_view)), sample)
+        model = calibrate(Model(first + sum_arrays(others, _SIZE, from_other_view, "_qm_text")), sample)
     scratch.drop()
     return model
 

@@ -36,8 +36,8 @@ def test_top_k(spark, monkeypatch):
 
 
 def test_url_rules(spark):
-    rules = [("com/en/", "block"), ("example.com/en/7", "allow"), ("com/en/7", "allow"), ("com/en/7", "block"), ("example.com/", "allow"), ("a.example.com/x", "block"), ("net", "block"), (None, "block"), ("org/", None)]
-    urls = ["http://example.com/en/7", "https://WWW.Example.COM/en/71?x", "http://com/en/", "http://notexample.com/en/7#f", "http://a.example.com/xyz", "http://b.a.example.com/x/y", "ftp://u.net", "http://net?q", None, "no scheme", "", "http://", "http://example.com./en/7", "://x.net/p", "http://xn.org/p", "http://a..com/en/"]
+    rules = [("com/en/", "block"), ("example.com/en/7", "allow"), ("com/en/7", "allow"), ("com/en/7", "block"), ("example.com/", "allow"), ("a.example.com/x", "block"), ("net", "block"), ("/p", "block"), ("/", "allow"), (None, "block"), ("org/", None)]
+    urls = ["http://example.com/en/7", "https://WWW.Example.COM/en/71?x", "http://com/en/", "http://notexample.com/en/7#f", "http://a.example.com/xyz", "http://b.a.example.com/x/y", "ftp://u.net", "http://net?q", None, "no scheme", "", "http://", "http://example.com./en/7", "://x.net/p", "http:///p/q", "http:///q", "http://xn.org/p", "http://a..com/en/"]
     pages = spark.createDataFrame([(k, u, "x", "y") for k, u in enumerate([*urls, *urls])] + [(None, urls[0], None, None)], "page_id long, url string, key string, host string")
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_rules.judge_urls(pages, spark.createDataFrame(rules, "rule string, verdict string")).collect()}
     for k, u in enumerate([*urls, *urls]):
@@ -45,7 +45,7 @@ def test_url_rules(spark):
         cut = min((rest.find(c) for c in "/?#" if c in rest), default=len(rest))
         host, tail = rest[:cut].lower(), rest[cut:]
         path = tail[: min((tail.find(c) for c in "?#" if c in tail), default=len(tail))]
-        met = [(len(r), v == "block", r, v) for r, v in rules if r and v and (h := r.split("/")[0]) is not None and (host == h or host.endswith("." + h)) and path.startswith(r[len(h) :])]
+        met = [(len(r), v == "block", r, v) for r, v in rules if r and v and (h := r.split("/")[0]) is not None and (host == h or h and host.endswith("." + h)) and path.startswith(r[len(h) :])]
         want = max(met)[2:] if met else (None, "allow")
         assert got[k] == (host, path, *want), u
     assert url_rules.judge_urls(pages.limit(0), spark.createDataFrame(rules, "rule string, verdict string")).count() == 0
@@ -99,6 +99,86 @@ def test_classifier_on_held_out_rows(spark):
     assert len(out) == 900 and sum(r.keep == (r.doc_id < 1000) for r in unseen) >= 0.97 * len(unseen)
 
 
+def test_words_told_apart_alike_in_batches_of_any_size(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from quillmill.llm.batches import bytes_of
+
+    texts = [prose(1, 30), "a a b", "", None, "x " * 50]
+    few = pa.RecordBatch.from_arrays([pa.array(texts), pa.array([5, None, 0, -3, 10**9])], ["_qm_text", "n_chars"])
+    many = pa.RecordBatch.from_arrays([pa.array([*texts, *[""] * (1 << 20)]), pa.array([5, None, 0, -3, 10**9, *[0] * (1 << 20)])], ["_qm_text", "n_chars"])
+    assert np.array_equal(quality.page_bins(few, *bytes_of(few, "_qm_text")), quality.page_bins(many, *bytes_of(many, "_qm_text"))[:, :5])
+
+
+def plain_model(rows, labels, rounds, sure):
+    """The training by plain loops: counts by hand, the logistic fits of the module."""
+    import numpy as np
+    import pyarrow as pa
+
+    def feats(row):
+        batch = pa.RecordBatch.from_arrays([pa.array([row[1] or ""]), pa.array([row[2]], pa.string()), pa.array([row[3]], pa.string())], ["_qm_text", "lang", "source"])
+        slot, _, bins = quality.features(batch)
+        return slot.tolist(), bins[:, 0].tolist()
+
+    def add(total, found, text, meta):
+        for s in found[0] if text >= 0 else ():
+            total[text * quality.TRIGRAMS + s] += 1
+        for p, x in enumerate(found[1]) if meta >= 0 else ():
+            total[2 * quality.TRIGRAMS + (meta * quality.PROPERTIES + p) * quality.BINS + x] += 1
+        if meta >= 0:
+            total[-2 + meta] += 1
+
+    def score(model, found):
+        text = sum(model.text[s] for s in found[0]) / max(len(found[0]), 1)
+        return np.array([[text, *(model.meta[p, x] for p, x in enumerate(found[1]))]])
+
+    found = {r[0]: feats(r) for r in rows}
+    marked = {d: x for d, x in labels.items() if d in found}
+    held = {d for d in marked if HELD(d)}
+
+    def calibrated(total):
+        model = quality.Model(total)
+        ids = sorted(held)
+        s, y = np.concatenate([score(model, found[d]) for d in ids]), np.array([marked[d] for d in ids], float)
+        model.text_fit, model.meta_fit = quality.Logistic.fit(s[:, :1], y), quality.Logistic.fit(s[:, 1:], y)
+        logits = np.column_stack([model.text_fit.logit(s[:, :1]), model.meta_fit.logit(s[:, 1:])])
+        model.joint = quality.Logistic.fit(np.clip(logits, -12, 12), y)
+        return model
+
+    first = np.zeros(quality._SIZE)
+    for d in marked.keys() - held:
+        add(first, found[d], marked[d], marked[d])
+    model = calibrated(first.copy())
+    for _ in range(rounds):
+        total = first.copy()
+        for d in found.keys() - marked.keys():
+            text, meta = (p[0] for p in model.views(score(model, found[d])))
+            kind = lambda p: 1 if p >= sure else 0 if p <= 1 - sure else -1
+            add(total, found[d], kind(meta), kind(text))
+        model = calibrated(total)
+    return {d: float(model.joint(np.clip(np.column_stack([f.logit(x) for f, x in ((model.text_fit, score(model, found[d])[:, :1]), (model.meta_fit, score(model, found[d])[:, 1:]))]), -12, 12))[0]) for d in found}
+
+
+HELD = None
+
+
+def test_classifier_against_plain_loops(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    good = [(k, prose(k, 30), "en", f"s{k % 3}") for k in range(90)]
+    bad = [(100 + k, "buy!! " * 12 + prose(500 + k, 14).upper(), "en", f"s{k % 4}") for k in range(60)]
+    labels = {r[0]: int(r[0] < 100) for r in [*good, *bad] if r[0] % 2}
+    rows = [*good, *bad]
+    held = {r[0] for r in spark.createDataFrame([(d,) for d in labels], "d long").where(F.pmod(F.xxhash64("d", F.lit(1)), F.lit(3)) == 0).collect()}
+    monkeypatch.setitem(globals(), "HELD", lambda d: d in held)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    model = quality.train(docs, spark.createDataFrame(list(labels.items()), "doc_id long, quality int"), rounds=2, sure=0.9)
+    got = {r.doc_id: r.p_quality for r in quality.score(docs, model).collect()}
+    want = plain_model(rows, labels, 2, 0.9)
+    assert max(abs(got[d] - want[d]) for d in got) < 1e-6 and len(got) == 150
+
+
 def test_classifier_edges(spark, awkward, no_docs):
     labels = spark.createDataFrame([(k, None if k == 5 else k % 2) for k in [*range(20), 3, 3]] + [(None, 1)], "doc_id long, quality int")
     model = quality.train(awkward, labels)
