@@ -1,12 +1,17 @@
-"""``python -m quillmill.cli``: lists registered queries, or runs one and shows or writes its rows."""
+"""``python -m quillmill.cli``: lists registered queries, runs one and shows or writes its rows, or shows what a command asks for."""
 
 from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from quillmill.operators import filters, stats
+from quillmill.operators.ingest import backfill_batch
 from quillmill.plans import catalog
+from quillmill.plans.relational import full_articles, site_feed
+from quillmill.sources import tables
 
 
 def parser() -> argparse.ArgumentParser:
@@ -19,15 +24,40 @@ def parser() -> argparse.ArgumentParser:
     run.add_argument("--out", help="where to write; without it the first rows are shown")
     run.add_argument("--format", choices=("parquet", "json", "csv"), default="parquet")
     run.add_argument("--explain", action="store_true", help="show the plan only")
+    new = todo.add_parser("new-content", help="articles of the last hours")
+    new.add_argument("--hours", type=int, default=24)
+    new.add_argument("--website", help="part of a site's name or URL")
+    missing = todo.add_parser("missing-content", help="the next articles to fill")
+    missing.add_argument("--limit", type=int, default=100)
+    missing.add_argument("--website", help="part of a site's name")
+    due = todo.add_parser("due-feeds", help="active feeds to read")
+    due.add_argument("--feed-id", type=int)
+    due.add_argument("--website", help="part of a site's name or URL")
+    for command in (new, missing, due):
+        command.add_argument("--data", required=True, help="folder of the tables")
     return p
 
 
+def chosen(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
+    """The rows that a command's parameters ask for."""
+    if args.command == "due-feeds":
+        feeds = filters.search(site_feed(spark, args.data).where("active"), args.website, "site_name", "site_url")
+        return feeds.where(F.col("id") == args.feed_id) if args.feed_id is not None else feeds
+    full = full_articles(spark, args.data)
+    if args.command == "new-content":
+        return filters.new_content(full, stats.latest(tables.article(spark, args.data), "retrieved_at"), args.hours, args.website).orderBy(F.desc("retrieved_at"), "id")
+    return backfill_batch(filters.search(full, args.website, "site_name"), args.limit)
+
+
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     queries = catalog.queries()
     if args.command == "list":
         print("\n".join(sorted(queries)))
         return 0
+    if args.command != "run":
+        chosen(SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate(), args).show(20, truncate=False)
+        return 0
     if args.query not in queries:
         print(f"no query {args.query!r}")
         return 2

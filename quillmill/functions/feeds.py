@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from quillmill.sources.schema import FEED_RESULT, SITEMAP_RESULT
 
+ATOM_NS = "http://www.w3.org/2005/Atom"
 SITEMAP_NS = "http://www.sitemaps.org/schemas/sitemap/0.9"
 
 
@@ -27,9 +28,9 @@ def _text(node: Element | None) -> str | None:
     return None if node is None else "".join(node.itertext()).strip()
 
 
-def _elements(body: str) -> tuple[list[tuple[Element, Element | None]], str | None]:
-    """Finished elements with their parents, in order of their ends, and the error that stopped the parser."""
-    parser, error, path = XMLPullParser(("start", "end")), None, []
+def _elements(body: str) -> tuple[list[tuple[Element, Element | None]], str, str | None]:
+    """Finished elements with their parents, in order of their ends; the root's tag; and the error that stopped the parser."""
+    parser, error, path, root = XMLPullParser(("start", "end")), None, [], ""
     done: list[tuple[Element, Element | None]] = []
     try:
         parser.feed(body)
@@ -39,13 +40,14 @@ def _elements(body: str) -> tuple[list[tuple[Element, Element | None]], str | No
     try:
         for event, node in parser.read_events():
             if event == "start":
+                root = root or node.tag
                 path.append(node)
             else:
                 path.pop()
                 done.append((node, path[-1] if path else None))
     except ParseError as e:
         error = str(e)
-    return done, error
+    return done, root, error
 
 
 def when(text: str | None) -> datetime | None:
@@ -88,8 +90,8 @@ def parse_feed(body: str | None) -> dict:
     empty = {"success": False, "kind": "RSS", "title": "", "description": "", "link": "", "language": "", "entries": [], "error": "empty document"}
     if not body:
         return empty
-    done, error = _elements(body)
-    entries, about, atom = [], {}, False
+    done, root, error = _elements(body)
+    entries, about, atom = [], {}, root == f"{{{ATOM_NS}}}feed"
     for node, parent in done:
         name, above = _local(node.tag), _local(parent.tag) if parent is not None else ""
         if name in ("item", "entry"):
@@ -99,12 +101,12 @@ def parse_feed(body: str | None) -> dict:
         elif above in ("channel", "feed", "rdf") and name in ("title", "description", "subtitle", "link", "language"):
             value = node.get("href") or _text(node) or ""
             about.setdefault("description" if name == "subtitle" else name, value)
-    return {"success": bool(entries or about), "kind": "ATOM" if atom or "http://www.w3.org/2005/Atom" in body[:400] and "<feed" in body[:400] else "RSS", "entries": entries, "error": error, **{k: about.get(k, "") for k in ("title", "description", "link", "language")}}
+    return {"success": bool(entries or about), "kind": "ATOM" if atom else "RSS", "entries": entries, "error": error, **{k: about.get(k, "") for k in ("title", "description", "link", "language")}}
 
 
 def sitemap_locs(body: str | None, namespaced: bool = False) -> tuple[list[str], list[str], str | None]:
     """Page URLs and child sitemaps in order; with ``namespaced`` only elements of the sitemap namespace count."""
-    done, error = _elements(body or "") if body else ([], "empty document")
+    done, _, error = _elements(body) if body else ([], "", "empty document")
     pages, children = [], []
     for node, parent in done:
         if _local(node.tag) != "loc" or parent is None or (namespaced and not parent.tag.startswith(f"{{{SITEMAP_NS}}}")):

@@ -11,12 +11,12 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
-from urllib.parse import urljoin
 
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillmill.functions.urls import joined
 from quillmill.sources.schema import FOUND_LINK
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -64,10 +64,12 @@ class Node:
         return between.join(filter(None, (s.strip() for s in self.strings())))
 
     def drop(self, test) -> None:
-        self.children = [c for c in self.children if not (isinstance(c, Node) and test(c))]
-        for c in self.children:
-            if isinstance(c, Node):
-                c.drop(test)
+        """Takes out the elements below that meet the test."""
+        stack = [self]
+        while stack:
+            node = stack.pop()
+            node.children = [c for c in node.children if not (isinstance(c, Node) and test(c))]
+            stack.extend(c for c in node.children if isinstance(c, Node))
 
     def has_class(self, name: str) -> bool:
         return name in (self.attrs.get("class") or "").split()
@@ -109,9 +111,13 @@ class _Builder(HTMLParser):
 
 
 def parse(html: str) -> Node:
+    """The page's tree; markup that the tokenizer can't read ends it, and what came before is kept."""
     b = _Builder()
-    b.feed(html)
-    b.close()
+    try:
+        b.feed(html)
+        b.close()
+    except (AssertionError, ValueError, IndexError):
+        pass
     return b.root
 
 
@@ -191,13 +197,14 @@ def feed_links(base: str, html: str | None) -> list[dict[str, str]]:
     """Feeds that a page links to: by type in the fixed order, then alternates that are not listed yet."""
     links = [n for n in parse(html or "").walk() if n.tag == "link" and n.attrs.get("href")]
 
-    def made(n: Node) -> dict[str, str]:
-        return {"url": urljoin(base.rstrip("/"), n.attrs["href"]), "title": n.attrs.get("title", ""), "type": n.attrs.get("type", "")}
+    def made(n: Node) -> dict[str, str] | None:
+        url = joined(base, n.attrs["href"])
+        return url and {"url": url, "title": n.attrs.get("title", ""), "type": n.attrs.get("type", "")}
 
-    found = [made(n) for kind in FEED_TYPES for n in links if n.attrs.get("type") == kind]
+    found = [x for kind in FEED_TYPES for n in links if n.attrs.get("type") == kind and (x := made(n))]
     for n in links:
-        if "alternate" in n.attrs.get("rel", "").split() and n.attrs.get("type") in FEED_TYPES and made(n) not in found:
-            found.append(made(n))
+        if "alternate" in n.attrs.get("rel", "").split() and n.attrs.get("type") in FEED_TYPES and (x := made(n)) and x not in found:
+            found.append(x)
     return found
 
 

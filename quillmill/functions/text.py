@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillmill.sources.schema import FEED_TYPES
 
 
+def moment(at: datetime | Column) -> Column:
+    """A time, given or worked out by a query, as the tables' timestamps are."""
+    return F.lit(at).cast("timestamp_ntz")
+
+
 def blank(c: Column) -> Column:
     """Null or empty."""
     return c.isNull() | (c == "")

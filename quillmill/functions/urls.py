@@ -37,8 +37,18 @@ def on_site(site: Column, path: Column) -> Column:
     return F.concat(F.regexp_extract(site, "^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1), path)
 
 
+def joined(base: str | None, ref: str | None) -> str | None:
+    """A reference against its base; None if either is missing or is no URL."""
+    if base is None or ref is None:
+        return None
+    try:
+        return urljoin(base.rstrip("/"), ref)
+    except ValueError:
+        return None
+
+
 @F.pandas_udf(T.StringType())
 def resolve(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """A reference against its base, by the rules of RFC 3986; no built-in does this."""
+    """A reference against its base, by the rules of RFC 3986; null if it is no URL; no built-in does this."""
     for base, ref in parts:
-        yield pd.Series([None if b is None or r is None else urljoin(b.rstrip("/"), r) for b, r in zip(base, ref)])
+        yield pd.Series([joined(b, r) for b, r in zip(base, ref)], dtype=object)

@@ -1,4 +1,4 @@
-"""Finding and reading feeds and sitemaps.  Fetched documents come as a table ``raw_fetch (url, status, body)``."""
+"""Finding and reading feeds and sitemaps.  Retrieved documents come as a table ``raw_document (url, status, body)``."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillmill.functions import feeds as parsers
 from quillmill.functions.html import discover_links, extract_article
 from quillmill.functions.urls import FEED_PATHS, SITEMAP_PATHS, on_site, resolve
+from quillmill.sources.stage import Stage
 
 OK = 200
 
@@ -74,20 +75,26 @@ def site_sitemaps(sites: DataFrame, robots: DataFrame, raw: DataFrame) -> DataFr
     return named.unionByName(probed).groupBy("site", "url").agg(F.min(F.struct("source", "pos")).alias("f")).select("site", "url", "f.source", "f.pos")
 
 
-def sitemap_pages(roots: DataFrame, raw: DataFrame, max_depth: int = 20) -> DataFrame:
-    """``root, url`` for every page under ``roots (url)``, through child sitemaps; each sitemap is read once a root."""
-    read = raw.where(F.col("body").isNotNull()).select("url", parsers.parse_sitemaps("body").alias("s"))
-    level = roots.select(F.col("url").alias("root"), "url")
-    seen, found = level, None
-    for _ in range(max_depth):
-        docs = level.join(read, "url")
-        pages = docs.select("root", F.explode("s.pages").alias("page"))
-        found = pages if found is None else found.unionAll(pages)
-        level = docs.select("root", F.explode("s.children").alias("url")).distinct().join(seen, ["root", "url"], "left_anti")
-        if level.isEmpty():
-            break
-        seen = seen.unionAll(level)
-    return found.select("root", F.col("page").alias("url"))
+def site_sitemap_feeds(sites: DataFrame, robots: DataFrame, raw: DataFrame) -> DataFrame:
+    """``site, url, title`` of the sitemaps that the ones of :func:`site_sitemaps` stand for."""
+    named = site_sitemaps(sites, robots, raw).select("site", F.col("url").alias("root"))
+    return named.join(expand_sitemaps(named.select(F.col("root").alias("url")).distinct(), raw), "root").select("site", "url", "title")
+
+
+def sitemap_pages(roots: DataFrame, raw: DataFrame) -> DataFrame:
+    """``root, url`` for every page under ``roots (url)``, through child sitemaps of any depth; each sitemap counts once a root.
+
+    Documents are parsed once, into a stored table; a level is a stored table
+    of ids, and only those that no level before has go on, so cycles end.
+    """
+    stage = Stage(raw.sparkSession, "sitemaps")
+    read = stage.save(raw.where(F.col("body").isNotNull()).select("url", parsers.parse_sitemaps("body").alias("s")).select("url", "s.pages", "s.children"), "parsed")
+    level, k = stage.save(roots.select(F.col("url").alias("root"), "url").distinct(), "level-0"), 0
+    while not level.isEmpty():
+        k += 1
+        below = level.join(read, "url").select("root", F.explode("children").alias("url")).distinct()
+        level = stage.save(below.join(stage.all("level-*", level), ["root", "url"], "left_anti"), f"level-{k}")
+    return stage.all("level-*", level).join(read, "url").select("root", F.explode("pages").alias("url"))
 
 
 def expand_sitemaps(roots: DataFrame, raw: DataFrame, max_depth: int = 2) -> DataFrame:
@@ -96,7 +103,9 @@ def expand_sitemaps(roots: DataFrame, raw: DataFrame, max_depth: int = 2) -> Dat
     An index is replaced by its children down to ``max_depth``; there a URL is
     given without being read.  Sitemaps that can't be read are kept and say so.
     """
+    stage = Stage(raw.sparkSession, "sitemap-index")
     read = raw.select("url", F.col("body").isNotNull().alias("reached"), parsers.parse_sitemaps_ns("body").alias("s"))
+    read = stage.save(read.select("url", "reached", "s"), "parsed")
     level, found = roots.select(F.col("url").alias("root"), "url"), None
 
     def add(rows: DataFrame) -> None:

@@ -9,7 +9,7 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.functions.text import blank, contains_ci
+from quillmill.functions.text import blank, contains_ci, moment
 
 
 def any_contains(q: str, *columns: str) -> Column:
@@ -44,19 +44,19 @@ def date_range(df: DataFrame, column: str, first: str | None = None, last: str |
     return df
 
 
-def since(df: DataFrame, column: str, as_of: datetime, days: int = 0, hours: int = 0) -> DataFrame:
+def since(df: DataFrame, column: str, as_of: datetime | Column, days: int = 0, hours: int = 0) -> DataFrame:
     """Rows at or after ``as_of`` less a span."""
-    return df.where(F.col(column) >= F.lit(as_of).cast("timestamp_ntz") - F.make_dt_interval(days=F.lit(days), hours=F.lit(hours)))
+    return df.where(F.col(column) >= moment(as_of) - F.make_dt_interval(days=F.lit(days), hours=F.lit(hours)))
 
 
 def missing_content(articles: DataFrame) -> DataFrame:
     return articles.where(blank(F.col("content")))
 
 
-def stale(feeds: DataFrame, before: datetime) -> DataFrame:
+def stale(feeds: DataFrame, before: datetime | Column) -> DataFrame:
     """Active feeds not looked at since ``before``, or never."""
     seen = F.col("last_checked")
-    return feeds.where(F.col("active") & (seen.isNull() | (seen < F.lit(before).cast("timestamp_ntz"))))
+    return feeds.where(F.col("active") & (seen.isNull() | (seen < moment(before))))
 
 
 def same_content(batch: DataFrame, articles: DataFrame) -> DataFrame:
@@ -71,10 +71,10 @@ def facets(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def ranked_lookup(df: DataFrame, terms: DataFrame) -> DataFrame:
-    """For each ``term`` the first row by name that has it in its name, else in its URL."""
+    """For each of a few ``term``s (broadcast: they are typed by hand) the first row by name that has it in its name, else in its URL."""
     name, url = F.col("name"), F.col("url")
     how = F.when(F.contains(F.lower(name), F.lower("term")), 0).when(F.contains(F.lower(url), F.lower("term")), 1)
-    met = terms.join(df, F.contains(F.lower(name), F.lower("term")) | F.contains(F.lower(url), F.lower("term")))
+    met = df.join(F.broadcast(terms), F.contains(F.lower(name), F.lower("term")) | F.contains(F.lower(url), F.lower("term")))
     best = met.groupBy("term").agg(F.min(F.struct(how.alias("how"), name, F.col("id"))).alias("b"))
     return best.select("term", F.col("b.id").alias("id"), F.col("b.name").alias("name"))
 
@@ -87,3 +87,26 @@ def exactly_one(df: DataFrame) -> tuple[object | None, DataFrame]:
 
 def exists(df: DataFrame) -> bool:
     return not df.isEmpty()
+
+
+def article_list(articles: DataFrame, params: dict[str, str]) -> DataFrame:
+    """Articles with feed and site by request parameters: ``search, website, feed, date_from, date_to``; empty ones don't count."""
+    for name, column in (("website", "website_id"), ("feed", "feed_id")):
+        if value := params.get(name):
+            articles = articles.where(F.col(column) == int(value))
+    articles = search(articles, params.get("search"), "title", "summary", "author")
+    return date_range(articles, "published_date", params.get("date_from"), params.get("date_to"))
+
+
+def feed_list(feeds: DataFrame, params: dict[str, str]) -> DataFrame:
+    """Feeds with their site by request parameters: ``website, type, active, search``."""
+    if value := params.get("website"):
+        feeds = feeds.where(F.col("website_id") == int(value))
+    if value := params.get("type"):
+        feeds = feeds.where(F.col("feed_type") == value)
+    return search(active_filter(feeds, params.get("active")), params.get("search"), "title", "feed_url", "site_name")
+
+
+def new_content(full: DataFrame, as_of: datetime | Column, hours: int = 24, website: str | None = None) -> DataFrame:
+    """Articles (with feed and site) of the last hours, of the sites with ``website`` in their name or URL."""
+    return search(since(full, "retrieved_at", as_of, hours=hours), website, "site_name", "site_url")

@@ -1,4 +1,4 @@
-"""Feed health from fetch logs: the state machine as windows.
+"""Feed health from visit logs: the state machine as windows.
 
 A success sets the error count to zero; a failure adds one and keeps its
 message; ``ERROR_LIMIT`` failures in a row switch the feed off, and no success
@@ -24,8 +24,8 @@ def feed_health(logs: DataFrame) -> DataFrame:
         F.max_by("error_message", F.when(~ok, F.struct("started_at", "id"))).alias("message"),
     )
     last = F.max_by(F.struct("fails", "message"), "_run")
-    state = per_run.groupBy("feed_id").agg(F.max("seen").alias("last_checked"), F.max("good").alias("last_successful_fetch"), last.alias("now"), (F.max("fails") >= ERROR_LIMIT).alias("deactivated"))
-    return state.select("feed_id", "last_checked", "last_successful_fetch", F.col("now.fails").alias("error_count"), F.coalesce("now.message", F.lit("")).alias("last_error"), "deactivated")
+    state = per_run.groupBy("feed_id").agg(F.max("seen").alias("last_checked"), F.max("good").alias("last_success"), last.alias("now"), (F.max("fails") >= ERROR_LIMIT).alias("deactivated"))
+    return state.select("feed_id", "last_checked", "last_success", F.col("now.fails").alias("error_count"), F.coalesce("now.message", F.lit("")).alias("last_error"), "deactivated")
 
 
 def reset_errors(feeds: DataFrame, ids: list[int]) -> DataFrame:

@@ -7,10 +7,14 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillmill.functions.text import blank, content_hash, repaired_title, slug_title
+from quillmill.functions.text import blank, content_hash, moment, repaired_title, slug_title
 from quillmill.sources.schema import MAX_TITLE, MAX_URL
 
 
+#: What an entry writes over, even with nothing.
+FIELDS = ("title", "content", "summary", "author", "published_date", "raw_data")
+
+
 def classify(batch: DataFrame, articles: DataFrame) -> DataFrame:
     """``status`` (new, updated, unchanged) of each entry of an ordered batch.
 
@@ -34,19 +38,20 @@ def run_counts(classified: DataFrame) -> DataFrame:
 
 
 def upsert(articles: DataFrame, batch: DataFrame) -> DataFrame:
-    """The article table after a batch: ``url, feed_id, title, content, summary, content_hash``.
+    """The article table after a batch: ``url, feed_id``, the fields of ``FIELDS`` that both have, ``content_hash``.
 
     Each URL ends with its last entry that was not a repeat; owner and URL
     never change.  One full outer join; plain Parquet has no MERGE.
     """
     marked = classify(batch, articles)
-    last = marked.where("status <> 'unchanged'").groupBy("url").agg(F.max_by(F.struct("title", "content", "summary"), "pos").alias("e"))
+    fields = [c for c in FIELDS if c in batch.columns and c in articles.columns]
+    last = marked.where("status <> 'unchanged'").groupBy("url").agg(F.max_by(F.struct(*fields), "pos").alias("e"))
     owner = batch.groupBy("url").agg(F.min_by("feed_id", "pos").alias("_owner"))
     kept = marked.where(~blank(F.col("content"))).groupBy("url").agg(F.max_by("hash", "pos").alias("_hash"))
     change = last.join(owner, "url").join(kept, "url", "left")
     both = articles.join(change, "url", "full")
-    pick = {c: F.coalesce(F.col(f"e.{c}"), F.col(c)).alias(c) for c in ("title", "content", "summary")}
-    return both.select("url", F.coalesce("feed_id", "_owner").alias("feed_id"), *pick.values(), F.coalesce("_hash", "content_hash", F.lit("")).alias("content_hash"))
+    pick = [F.when(F.col("e").isNotNull(), F.col(f"e.{c}")).otherwise(F.col(c)).alias(c) for c in fields]
+    return both.select("url", F.coalesce("feed_id", "_owner").alias("feed_id"), *pick, F.coalesce("_hash", "content_hash", F.lit("")).alias("content_hash"))
 
 
 def get_or_create(batch: DataFrame, table: DataFrame, key: str, order: list) -> DataFrame:
@@ -69,7 +74,7 @@ def sitemap_entries(urls: DataFrame, articles: DataFrame, as_of: datetime | Colu
     fresh = get_or_create(usable, articles, "url", [F.col("pos")])
     title = slug_title(F.col("url"))
     title = F.when(F.char_length(title) > MAX_TITLE, F.concat(F.left(title, F.lit(MAX_TITLE - 3)), F.lit("..."))).otherwise(title)
-    now = as_of if isinstance(as_of, Column) else F.lit(as_of).cast("timestamp_ntz")
+    now = moment(as_of)
     return fresh.select("feed_id", "url", title.alias("title"), F.concat(F.lit("Article from sitemap: "), "feed_url").alias("summary"), now.alias("published_date"))
 
 
@@ -108,16 +113,40 @@ def multi_feed(batch: DataFrame, feeds: DataFrame) -> DataFrame:
     return rows.select("feed_url", action.alias("action"), description.alias("description"))
 
 
-def split_logs(logs: DataFrame, as_of: datetime, days: int = 30) -> tuple[DataFrame, DataFrame]:
+def split_logs(logs: DataFrame, as_of: datetime | Column, days: int = 30) -> tuple[DataFrame, DataFrame]:
     """Logs kept and logs past retention (started strictly before the cutoff)."""
-    cutoff = F.lit(as_of).cast("timestamp_ntz") - F.make_dt_interval(days=F.lit(days))
+    cutoff = moment(as_of) - F.make_dt_interval(days=F.lit(days))
     return logs.where(F.col("started_at") >= cutoff), logs.where(F.col("started_at") < cutoff)
 
 
-def close_log(opened: DataFrame, counts: DataFrame, as_of: datetime) -> DataFrame:
-    """Open fetch logs closed with the run's counts ``(feed_id, new_articles, updated_articles)``."""
-    c = counts.select("feed_id", F.col("new_articles").alias("_new"), F.col("updated_articles").alias("_updated"))
-    return opened.join(c, "feed_id").withColumns({"completed_at": F.lit(as_of).cast("timestamp_ntz"), "success": F.lit(True), "new_articles": F.col("_new").cast("int"), "updated_articles": F.col("_updated").cast("int")}).drop("_new", "_updated")
+def open_logs(feeds: DataFrame, as_of: datetime | Column) -> DataFrame:
+    """A log that has begun for each feed of ``feeds (feed_id)``; ids are the table's to give."""
+    nothing = F.lit(0)
+    return feeds.select("feed_id", moment(as_of).alias("started_at"), F.lit(None).cast("timestamp_ntz").alias("completed_at"), F.lit(False).alias("success"), nothing.alias("new_articles"), nothing.alias("updated_articles"), F.lit("").alias("error_message"))
+
+
+def close_logs(opened: DataFrame, results: DataFrame, as_of: datetime | Column) -> DataFrame:
+    """Open logs closed by ``results (feed_id, error, new_articles, updated_articles)``.
+
+    A run with an ``error`` has failed: its message is kept and its counts are
+    not.  Logs without a result stay open.
+    """
+    r = results.select("feed_id", F.col("error").alias("_error"), F.col("new_articles").alias("_new"), F.col("updated_articles").alias("_updated"), F.lit(True).alias("_done"))
+    rows = opened.join(r, "feed_id", "left")
+    done, ok = F.coalesce("_done", F.lit(False)), F.col("_error").isNull()
+    return rows.withColumns({
+        "completed_at": F.when(done, moment(as_of)).otherwise(F.col("completed_at")), "success": F.when(done, ok).otherwise(F.col("success")),
+        "new_articles": F.when(done & ok, F.col("_new").cast("int")).otherwise(F.col("new_articles")), "updated_articles": F.when(done & ok, F.col("_updated").cast("int")).otherwise(F.col("updated_articles")),
+        "error_message": F.when(done & ~ok, F.col("_error")).otherwise(F.col("error_message")),
+    }).drop("_error", "_new", "_updated", "_done")
+
+
+def retried(tries: DataFrame, retries: int = 2) -> DataFrame:
+    """``url, attempts, outcome`` of ordered tries ``(url, attempt, outcome)``: only a ``timeout`` is tried again, at most ``retries`` times."""
+    last = (F.col("outcome") != "timeout") | (F.col("attempt") >= retries + 1)
+    used = F.min(F.when(last, F.struct("attempt", "outcome")))
+    best = tries.groupBy("url").agg(F.coalesce(used, F.max(F.struct("attempt", "outcome"))).alias("t"))
+    return best.select("url", F.col("t.attempt").alias("attempts"), F.col("t.outcome").alias("outcome"))
 
 
 def put_rows(table: DataFrame, rows: DataFrame, key: str = "id") -> DataFrame:

@@ -10,7 +10,7 @@ ARTICLE_ORDER = (F.desc_nulls_last, F.desc_nulls_last)
 
 
 def article_order() -> list:
-    return [F.desc_nulls_last("published_date"), F.desc_nulls_last("fetched_at"), F.asc("id")]
+    return [F.desc_nulls_last("published_date"), F.desc_nulls_last("retrieved_at"), F.asc("id")]
 
 
 def log_order() -> list:
@@ -37,6 +37,15 @@ def first_of_each(df: DataFrame, keys: list[str], order: list, n: int, rank: str
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(rank) <= n)
 
 
+def page_numbers(df: DataFrame, number: int, size: int) -> DataFrame:
+    """One row on a page of a list: ``total, num_pages, has_previous, has_next, exists``; an empty list has one page."""
+    counted = df.agg(F.count("*").alias("total"))
+    pages = F.greatest(F.ceil(F.col("total") / size), F.lit(1).cast("long"))
+    counted = counted.select("total", pages.alias("num_pages"))
+    known = F.lit(1 <= number) & (F.col("num_pages") >= number)
+    return counted.select("total", "num_pages", (known & F.lit(number > 1)).alias("has_previous"), (known & (F.col("num_pages") > number)).alias("has_next"), known.alias("exists"))
+
+
 def page(df: DataFrame, order: list, number: int, size: int) -> DataFrame:
     return df.orderBy(*order).offset((number - 1) * size).limit(size)
 

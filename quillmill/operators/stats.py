@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillmill.functions.text import display_title, feed_label
@@ -12,9 +12,9 @@ from quillmill.operators.relations import log_order
 from quillmill.sources.schema import FEED_TYPES
 
 
-def latest(df: DataFrame, column: str) -> datetime:
-    """The greatest time of a column: the ``as_of`` of data that has no clock."""
-    return df.agg(F.max(column)).first()[0]
+def latest(df: DataFrame, column: str) -> Column:
+    """The greatest time of a column, as a scalar subquery: the ``as_of`` of data that has no clock."""
+    return df.agg(F.max(column)).scalar()
 
 
 def dashboard_counts(sites: DataFrame, feeds: DataFrame, articles: DataFrame) -> DataFrame:
@@ -44,12 +44,12 @@ def site_counts(sites: DataFrame, feeds: DataFrame, articles: DataFrame) -> Data
     return joined.select("id", "name", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("feed_count", "article_count", "feed_count_joined")))
 
 
-def articles_per_day(articles: DataFrame, as_of: datetime, days: int) -> DataFrame:
+def articles_per_day(articles: DataFrame, as_of: datetime | Column, days: int) -> DataFrame:
     """One row for each of the ``days`` days before the day of ``as_of``, zeros included."""
     spark: SparkSession = articles.sparkSession
     last = F.to_date(F.lit(as_of))
     calendar = spark.range(max(days, 0)).select(F.date_add(F.date_sub(last, days), F.col("id").cast("int")).alias("day"))
-    counted = articles.where((F.to_date("fetched_at") >= F.date_sub(last, days)) & (F.to_date("fetched_at") < last)).groupBy(F.to_date("fetched_at").alias("day")).agg(F.count("*").alias("n"))
+    counted = articles.where((F.to_date("retrieved_at") >= F.date_sub(last, days)) & (F.to_date("retrieved_at") < last)).groupBy(F.to_date("retrieved_at").alias("day")).agg(F.count("*").alias("n"))
     return calendar.join(counted, "day", "left").select(F.date_format("day", "yyyy-MM-dd").alias("date"), F.coalesce("n", F.lit(0)).cast("long").alias("count"))
 
 
@@ -87,12 +87,30 @@ def date_hierarchy(df: DataFrame, column: str) -> DataFrame:
     return days.select(levels.alias("l"), "n").groupBy("l.level", "l.period").agg(F.sum("n").alias("n"))
 
 
-def request_delays(fetches: DataFrame, delay_s: float = 1.0) -> DataFrame:
-    """Seconds that a polite fetcher would have waited before each request to a host."""
-    w = Window.partitionBy("host").orderBy("at", "id")
-    micros = F.unix_micros(F.col("at").cast("timestamp"))
-    gap = (micros - F.lag(micros).over(w)) / 1e6
-    return fetches.withColumn("wait_s", F.coalesce(F.greatest(F.lit(delay_s) - gap, F.lit(0.0)), F.lit(0.0)))
+def request_delays(visits: DataFrame, delay_s: float = 1.0, slot: str = "1 hour") -> DataFrame:
+    """Seconds that a polite client would have waited before each request to a host.
+
+    Only a request less than ``delay_s`` before matters, so a host's requests
+    are windowed by slots of time, each with what the slot before it ends
+    with: a busy host is many groups.
+    """
+    delay = F.make_dt_interval(secs=F.lit(delay_s).cast("decimal(18,6)"))
+    own = F.window("at", slot)["start"]
+    later = F.window((F.col("at") + delay).cast("timestamp"), slot)["start"]
+    rows = visits.withColumn("at", F.col("at").cast("timestamp")).withColumn("_own", own).withColumn("_later", later)
+    each = rows.withColumn("_slot", F.explode(F.array_distinct(F.array("_own", "_later"))))
+    w = Window.partitionBy("host", "_slot").orderBy("at", "id")
+    gap = (F.unix_micros("at") - F.lag(F.unix_micros("at")).over(w)) / 1e6
+    waits = each.withColumn("wait_s", F.coalesce(F.greatest(F.lit(delay_s) - gap, F.lit(0.0)), F.lit(0.0)))
+    return waits.where("_slot = _own").drop("_own", "_later", "_slot")
+
+
+def date_facets(df: DataFrame, column: str, as_of: datetime | Column) -> DataFrame:
+    """``facet, value, n``: rows of the day of ``as_of``, of the 7 days up to it, of its month and of its year."""
+    day, now = F.to_date(column), F.to_date(F.lit(as_of))
+    ranges = {"today": day == now, "past_7_days": (day > F.date_sub(now, 7)) & (day <= now), "this_month": F.trunc(day, "month") == F.trunc(now, "month"), "this_year": F.trunc(day, "year") == F.trunc(now, "year")}
+    counted = df.agg(*(F.count_if(test).alias(k) for k, test in ranges.items()))
+    return counted.select(F.explode(F.array(*(F.struct(F.lit(k).alias("value"), F.col(k).alias("n")) for k in ranges))).alias("r")).select(F.lit(column).alias("facet"), "r.value", "r.n")
 
 
 def first_wins(df: DataFrame, key: str, order: list) -> DataFrame:

@@ -11,16 +11,17 @@ from quillmill.operators import discover, health, stats
 from quillmill.operators import ingest as op
 from quillmill.sources import tables as t
 
+from .parsing import probe_documents
 from .registry import query
 from .relational import feed_state, full_articles, site_feed
 
 # A batch of entries: all articles twice in a row, the second time with a
 # changed title where there is no author.  Stored are those with a date.
 BATCH = """
-stored AS (SELECT id, feed_id, url, title, content, summary, CASE WHEN content = '' THEN '' ELSE sha256(concat(title, content, summary)) END AS content_hash FROM article WHERE published_date IS NOT NULL),
+stored AS (SELECT id, feed_id, url, title, content, summary, author, published_date, '{}' AS raw_data, CASE WHEN content = '' THEN '' ELSE sha256(concat(title, content, summary)) END AS content_hash FROM article WHERE published_date IS NOT NULL),
 batch AS (
-  SELECT 2 * id AS pos, feed_id, url, title, content, summary FROM article
-  UNION ALL SELECT 2 * id + 1, feed_id + 1, url, CASE WHEN author = '' THEN concat(title, ' *') ELSE title END, content, summary FROM article
+  SELECT 2 * id AS pos, feed_id, url, title, content, summary, author, published_date, concat('{"pos":', CAST(2 * id AS STRING), '}') AS raw_data FROM article
+  UNION ALL SELECT 2 * id + 1, feed_id + 1, url, CASE WHEN author = '' THEN concat(title, ' *') ELSE title END, content, summary, 'Second', NULL, concat('{"pos":', CAST(2 * id + 1 AS STRING), '}') FROM article
 ), hashed AS (SELECT *, sha256(concat(title, content, summary)) AS hash FROM batch),
 marked AS (
   SELECT b.*, s.url IS NOT NULL AS known, s.content_hash, row_number() OVER w AS k,
@@ -32,14 +33,16 @@ marked AS (
 
 
 def stored(spark: SparkSession, d: str) -> DataFrame:
-    return t.article(spark, d).where(F.col("published_date").isNotNull()).withColumn("content_hash", stored_hash(F.col("title"), F.col("content"), F.col("summary")))
+    return t.article(spark, d).where(F.col("published_date").isNotNull()).withColumn("content_hash", stored_hash(F.col("title"), F.col("content"), F.col("summary"))).withColumn("raw_data", F.lit("{}"))
 
 
 def batch(spark: SparkSession, d: str) -> DataFrame:
     a = t.article(spark, d)
     title = F.when(F.col("author") == "", F.concat("title", F.lit(" *"))).otherwise(F.col("title"))
-    first = a.select((F.col("id") * 2).alias("pos"), "feed_id", "url", "title", "content", "summary")
-    return first.unionAll(a.select(F.col("id") * 2 + 1, F.col("feed_id") + 1, "url", title, "content", "summary"))
+    raw = lambda pos: F.concat(F.lit('{"pos":'), pos.cast("string"), F.lit("}"))
+    first, second = F.col("id") * 2, F.col("id") * 2 + 1
+    rows = a.select(first.alias("pos"), "feed_id", "url", "title", "content", "summary", "author", "published_date", raw(first).alias("raw_data"))
+    return rows.unionAll(a.select(second, F.col("feed_id") + 1, "url", title, "content", "summary", F.lit("Second"), F.lit(None).cast("timestamp_ntz"), raw(second)))
 
 
 @query("SELECT pos, url, hash, status FROM classified", BATCH)
@@ -52,16 +55,19 @@ def upsert_counts(spark, d):
     return op.run_counts(op.classify(batch(spark, d), stored(spark, d)))
 
 
+_CHANGED = ", ".join(f"CASE WHEN c.url IS NOT NULL THEN c.{x} ELSE s.{x} END AS {x}" for x in op.FIELDS)
+
+
 @query(
-    """SELECT coalesce(s.url, b.url) AS url, coalesce(s.feed_id, b.feed_id) AS feed_id, coalesce(c.title, s.title) AS title, coalesce(h.hash, s.content_hash, '') AS content_hash
+    f"""SELECT coalesce(s.url, b.url) AS url, coalesce(s.feed_id, b.feed_id) AS feed_id, {_CHANGED}, coalesce(h.hash, s.content_hash, '') AS content_hash
        FROM stored s FULL JOIN (SELECT url, feed_id FROM (SELECT url, feed_id, row_number() OVER (PARTITION BY url ORDER BY pos) AS k FROM batch) WHERE k = 1) b ON b.url = s.url
-       LEFT JOIN (SELECT url, title FROM (SELECT url, title, row_number() OVER (PARTITION BY url ORDER BY pos DESC) AS k FROM classified WHERE status <> 'unchanged') WHERE k = 1) c ON c.url = coalesce(s.url, b.url)
+       LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY pos DESC) AS nth FROM classified WHERE status <> 'unchanged') WHERE nth = 1) c ON c.url = coalesce(s.url, b.url)
        LEFT JOIN (SELECT url, hash FROM (SELECT url, hash, row_number() OVER (PARTITION BY url ORDER BY pos DESC) AS k FROM hashed WHERE content <> '') WHERE k = 1) h ON h.url = coalesce(s.url, b.url)""",
     BATCH,
 )
 def upsert_snapshot(spark, d):
-    table = stored(spark, d).select("url", "feed_id", "title", "content", "summary", "content_hash")
-    return op.upsert(table, batch(spark, d)).select("url", "feed_id", "title", "content_hash")
+    """All of the article table after a batch: what an entry writes over, its owner and its hash."""
+    return op.upsert(stored(spark, d).select("url", "feed_id", *op.FIELDS, "content_hash"), batch(spark, d))
 
 
 @query(
@@ -80,7 +86,7 @@ listed AS (SELECT a.id AS pos, a.feed_id, f.feed_url, CASE WHEN a.published_date
 
 
 @query(
-    """SELECT feed_id, url, concat('Story ', regexp_extract(url, 'story-([0-9]+)', 1)) AS title, concat('Article from sitemap: ', feed_url) AS summary, (SELECT max(fetched_at) FROM article) AS published_date
+    """SELECT feed_id, url, concat('Story ', regexp_extract(url, 'story-([0-9]+)', 1)) AS title, concat('Article from sitemap: ', feed_url) AS summary, (SELECT max(retrieved_at) FROM article) AS published_date
        FROM listed l WHERE length(url) <= 2048 AND NOT EXISTS (SELECT 1 FROM known k WHERE k.url = l.url)""",
     _SITEMAP,
 )
@@ -89,11 +95,11 @@ def sitemap_new(spark, d):
     long = F.when(F.col("published_date").isNull(), F.concat("url", F.repeat(F.lit("y"), F.lit(2100)))).otherwise(F.col("url"))
     feeds = t.feed(spark, d).where("feed_type = 'SITEMAP'").select(F.col("id").alias("feed_id"), "feed_url")
     listed = a.join(feeds, "feed_id").select(F.col("id").alias("pos"), "feed_id", "feed_url", long.alias("url"))
-    return op.sitemap_entries(listed, a.where(F.col("author") != ""), stats.latest(a, "fetched_at"))
+    return op.sitemap_entries(listed, a.where(F.col("author") != ""), stats.latest(a, "retrieved_at"))
 
 
 def page_texts(spark: SparkSession, d: str) -> DataFrame:
-    """Fetched text for the articles that have an author."""
+    """Retrieved text for the articles that have an author."""
     return t.article(spark, d).where(F.col("author") != "").select("url", F.concat(F.lit("Text of "), "url").alias("page_content"))
 
 
@@ -145,15 +151,15 @@ def reset_errors(spark, d):
     return health.reset_errors(feed_state(spark, d), [1, 2, 3, 5, 8]).select("id", F.col("error_count").cast("long").alias("error_count"), "active")
 
 
-@query("SELECT id, started_at FROM fetch_log WHERE started_at >= (SELECT max(started_at) FROM fetch_log) - INTERVAL '10' DAY")
+@query("SELECT id, started_at FROM visit_log WHERE started_at >= (SELECT max(started_at) FROM visit_log) - INTERVAL '10' DAY")
 def retention_keep(spark, d):
-    logs = t.fetch_log(spark, d)
+    logs = t.visit_log(spark, d)
     return op.split_logs(logs, stats.latest(logs, "started_at"), 10)[0].select("id", "started_at")
 
 
-@query("SELECT count(*) AS deleted FROM fetch_log WHERE started_at < (SELECT max(started_at) FROM fetch_log) - INTERVAL '10' DAY")
+@query("SELECT count(*) AS deleted FROM visit_log WHERE started_at < (SELECT max(started_at) FROM visit_log) - INTERVAL '10' DAY")
 def retention_count(spark, d):
-    logs = t.fetch_log(spark, d)
+    logs = t.visit_log(spark, d)
     return op.split_logs(logs, stats.latest(logs, "started_at"), 10)[1].agg(F.count("*").alias("deleted"))
 
 
@@ -163,11 +169,62 @@ def candidate_paths(spark, d):
 
 
 @query(
-    """SELECT feed_id, CAST(id AS BIGINT) AS id, completed_at IS NOT NULL AS closed, new_articles FROM (
-         SELECT feed_id, id, (SELECT max(started_at) FROM fetch_log) AS completed_at, CAST(feed_id % 7 AS INT) AS new_articles FROM fetch_log WHERE completed_at IS NULL)"""
+    """SELECT feed_id, CASE WHEN feed_id % 5 <> 4 THEN now END AS completed_at, now AS started_at, feed_id % 5 < 3 AS success, CAST(CASE WHEN feed_id % 5 < 3 THEN feed_id % 7 ELSE 0 END AS INT) AS new_articles,
+       CAST(CASE WHEN feed_id % 5 < 3 THEN feed_id % 3 ELSE 0 END AS INT) AS updated_articles, CASE WHEN feed_id % 5 = 3 THEN concat('Timeout ', CAST(feed_id AS VARCHAR)) ELSE '' END AS error_message
+       FROM (SELECT id AS feed_id, (SELECT max(started_at) FROM visit_log) AS now FROM feed WHERE active)"""
+)
+def log_life_cycle(spark, d):
+    """Logs opened for the active feeds; three of five runs succeed, one fails, one never ends."""
+    now = stats.latest(t.visit_log(spark, d), "started_at")
+    feeds = t.feed(spark, d).where("active").select(F.col("id").alias("feed_id"))
+    kind = F.col("feed_id") % 5
+    results = feeds.where(kind < 4).select("feed_id", F.when(kind == 3, F.concat(F.lit("Timeout "), F.col("feed_id").cast("string"))).alias("error"), (F.col("feed_id") % 7).alias("new_articles"), (F.col("feed_id") % 3).alias("updated_articles"))
+    return op.close_logs(op.open_logs(feeds, now), results, now)
+
+
+@query(
+    """SELECT f.id, CASE WHEN f.id % 13 <> 0 AND f.id % 11 <> 0 THEN trim(f.title, ' ') ELSE f.title END AS title, CASE WHEN f.id % 13 <> 0 AND f.id % 11 <> 0 THEN CASE f.feed_type WHEN 'ATOM' THEN 'a' ELSE 'r' END ELSE 'before' END AS description FROM feed f"""
+)
+def enrich_feeds(spark, d):
+    feeds = t.feed(spark, d).withColumn("description", F.lit("before"))
+    found = discover.validated(probe_documents(spark, d)).withColumnRenamed("url", "feed_url")
+    return op.enrich(feeds, found).select("id", "title", "description")
+
+
+@query(
+    """SELECT id, CASE WHEN id % 4 = 0 THEN 'New name' ELSE name END AS name, url, CASE WHEN id % 4 = 0 THEN id % 8 = 0 ELSE active END AS active FROM website
+       UNION ALL SELECT id + 1000, 'New name', NULL, id % 8 = 0 FROM website WHERE id % 4 = 0"""
+)
+def put_websites(spark, d):
+    """Every fourth site edited, and as many created."""
+    sites = t.website(spark, d)
+    edited = sites.where("id % 4 = 0").select("id", F.lit("New name").alias("name"), (F.col("id") % 8 == 0).alias("active"))
+    return op.put_rows(sites.select("id", "name", "url", "active"), edited.unionAll(edited.select(F.col("id") + 1000, "name", "active")))
+
+
+@query("SELECT id, CASE WHEN id % 3 = 0 THEN 'Edited' ELSE title END AS title, CASE WHEN id % 3 = 0 THEN 'By hand' ELSE '' END AS description, CASE WHEN id % 3 = 0 THEN NOT active ELSE active END AS active FROM feed")
+def edit_feeds(spark, d):
+    feeds = t.feed(spark, d).select("id", "title", F.lit("").alias("description"), "active")
+    return op.put_rows(feeds, feeds.where("id % 3 = 0").select("id", F.lit("Edited").alias("title"), F.lit("By hand").alias("description"), (~F.col("active")).alias("active")))
+
+
+@query(
+    """SELECT url, attempts, CASE WHEN id % 6 = 5 THEN 'timeout' WHEN id % 6 = 4 THEN 'http_error' ELSE 'ok' END AS outcome
+       FROM (SELECT id, url, CAST(CASE id % 6 WHEN 5 THEN 3 WHEN 4 THEN 1 WHEN 3 THEN 3 WHEN 2 THEN 2 ELSE 1 END AS INT) AS attempts FROM article)"""
 )
-def close_logs(spark, d):
-    logs = t.fetch_log(spark, d)
-    counts = logs.select("feed_id").distinct().select("feed_id", (F.col("feed_id") % 7).alias("new_articles"), F.lit(0).alias("updated_articles"))
-    done = op.close_log(logs.where(F.col("completed_at").isNull()), counts, stats.latest(logs, "started_at"))
-    return done.select("feed_id", "id", F.col("completed_at").isNotNull().alias("closed"), "new_articles")
+def retry_policy(spark, d):
+    """Five tries stand ready for each article; what the policy makes of them."""
+    a = t.article(spark, d).select("id", "url")
+    tries = a.withColumn("attempt", F.explode(F.sequence(F.lit(1), F.lit(5))))
+    kind, k = F.col("id") % 6, F.col("attempt")
+    outcome = F.when(kind == 5, "timeout").when(kind == 4, "http_error").when((kind == 3) & (k < 3), "timeout").when((kind == 2) & (k < 2), "timeout").otherwise("ok")
+    return op.retried(tries.select("url", "attempt", outcome.alias("outcome")))
+
+
+@query("SELECT f.feed_url AS url, CASE WHEN f.id % 2 = 0 THEN f.title END AS name, lower(f.feed_type) AS type, w.id AS website_id FROM feed f JOIN website w ON w.id = f.website_id")
+def listed_feeds(spark, d):
+    """Feeds of each site from its list as JSON text; a name is missing from every second."""
+    name = F.when(F.col("id") % 2 == 0, F.concat(F.lit(',"name":"'), "title", F.lit('"'))).otherwise("")
+    item = F.concat(F.lit('{"url":"'), "feed_url", F.lit('"'), name, F.lit(',"type":"'), F.lower("feed_type"), F.lit('"}'))
+    lists = site_feed(spark, d).groupBy("website_id").agg(F.concat(F.lit("["), F.array_join(F.collect_list(item), ","), F.lit("]")).alias("text"))
+    return lists.select("website_id", F.explode(t.parse_json_feeds(F.col("text"))).alias("f")).select("website_id", "f.url", "f.name", "f.type")

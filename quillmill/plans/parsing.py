@@ -6,6 +6,8 @@ functions, so what the parsers must find is known from the tables themselves.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from quillmill.functions.html import paragraph_runs, parse
 from quillmill.functions.urls import resolve
 from quillmill.operators import discover
 from quillmill.sources import tables as t
+from quillmill.sources.stage import Stage
 from quillmill.streaming import jobs
 
 from .registry import query
@@ -48,9 +51,21 @@ def feed_parse(spark, d):
     return rows.select("feed_url", "url", "title", "summary", "author", "published_date", F.array_join("tags", ",").alias("tag"))
 
 
-@query("SELECT feed_url AS url, trim(title, ' ') AS title, 'RSS' AS type, 'd' AS description, true AS valid FROM feed")
+def probe_documents(spark: SparkSession, d: str) -> DataFrame:
+    """What each feed's address answers: RSS, Atom behind a long comment and without entries, no XML at all, or a refusal."""
+    title = F.concat(F.lit("<title>"), escape(F.col("title")), F.lit("</title>"))
+    atom = F.concat(F.lit('<?xml version="1.0"?><!--'), F.repeat(F.lit("x "), F.lit(300)), F.lit('--><feed xmlns="http://www.w3.org/2005/Atom">'), title, F.lit("<subtitle>a</subtitle></feed>"))
+    rss = F.concat(F.lit('<rss version="2.0"><channel>'), title, F.lit("<description>r</description></channel></rss>"))
+    body = F.when(F.col("id") % 13 == 0, "not a feed").when(F.col("feed_type") == "ATOM", atom).otherwise(rss)
+    return t.feed(spark, d).select(F.col("feed_url").alias("url"), F.when(F.col("id") % 11 == 0, 404).otherwise(200).alias("status"), body.alias("body"))
+
+
+@query(
+    """SELECT feed_url AS url, CASE WHEN ok THEN trim(title, ' ') END AS title, CASE WHEN ok THEN CASE feed_type WHEN 'ATOM' THEN 'ATOM' ELSE 'RSS' END END AS type, CASE WHEN ok THEN CASE feed_type WHEN 'ATOM' THEN 'a' ELSE 'r' END END AS description, ok AS valid
+       FROM (SELECT *, id % 13 <> 0 AND id % 11 <> 0 AS ok FROM feed)"""
+)
 def feed_validate(spark, d):
-    return discover.validated(rss_documents(spark, d))
+    return discover.validated(probe_documents(spark, d))
 
 
 def sitemap_documents(spark: SparkSession, d: str) -> DataFrame:
@@ -88,6 +103,31 @@ def robots_files(spark: SparkSession, d: str) -> DataFrame:
     return t.website(spark, d).select(F.col("url").alias("site"), F.lit("\n".join(lines)).alias("body"))
 
 
+def answering_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Two of the common sitemap paths answer: one with an index of two sitemaps, one with a sitemap of one page."""
+    ns = 'xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"'
+    index = F.concat(F.lit(f"<sitemapindex {ns}><sitemap><loc>"), "url", F.lit("/m1.xml</loc></sitemap><sitemap><loc>"), "url", F.lit("/m2.xml</loc></sitemap></sitemapindex>"))
+    pages = F.lit(f"<urlset {ns}><url><loc>https://p.example.org/</loc></url></urlset>")
+    made = F.array(*(F.struct(F.lit(path).alias("p"), body.alias("body")) for path, body in (("/sitemap_index.xml", index), ("/sitemap.xml", pages), ("/m1.xml", pages))))
+    return t.website(spark, d).select(F.explode(made).alias("x"), "url").select(F.concat("url", "x.p").alias("url"), F.lit(200).alias("status"), "x.body")
+
+
+@query(
+    """SELECT url AS site, 'https://maps.example.org/a.xml' AS url, 0 AS source, 1 AS pos FROM website UNION ALL SELECT url, concat(url, '/local.xml'), 0, 2 FROM website UNION ALL SELECT url, url, 0, 4 FROM website
+       UNION ALL SELECT url, concat(url, '/sitemap.xml'), 1, 0 FROM website UNION ALL SELECT url, concat(url, '/sitemap_index.xml'), 1, 1 FROM website"""
+)
+def site_sitemaps(spark, d):
+    return discover.site_sitemaps(t.website(spark, d), robots_files(spark, d), answering_paths(spark, d))
+
+
+@query(
+    """SELECT w.url AS site, CASE WHEN v.p LIKE 'https%' THEN v.p ELSE concat(w.url, v.p) END AS url, v.title FROM website w,
+       (VALUES ('https://maps.example.org/a.xml', 'Sitemap (unreachable)'), ('/local.xml', 'Sitemap (unreachable)'), ('', 'Sitemap (unreachable)'), ('/sitemap.xml', 'Sitemap (1 URLs)'), ('/m1.xml', 'Sitemap (1 URLs)'), ('/m2.xml', 'Sitemap (unreachable)')) AS v(p, title)"""
+)
+def site_sitemap_feeds(spark, d):
+    return discover.site_sitemap_feeds(t.website(spark, d), robots_files(spark, d), answering_paths(spark, d))
+
+
 @query("SELECT url AS site, 1 AS pos, 'https://maps.example.org/a.xml' AS url FROM website UNION ALL SELECT url, 2, concat(url, '/local.xml') FROM website UNION ALL SELECT url, 4, url FROM website")
 def robots_sitemaps(spark, d):
     return discover.robots_sitemaps(robots_files(spark, d))
@@ -132,53 +172,112 @@ def page_extract(spark, d):
     return discover.pages_with_text(t.table(spark, d, "pages")).select("page_id", "url", "page_content")
 
 
-@query()
+#: A page and its article for each way of finding one: HTML and text by article id, in which ``{k}`` is a paragraph of the article.
+_KEPT = "{1}{2}{3}{4}{5}"
+MADE_PAGES = (
+    ("<head><script>var a;</script><style>body</style></head><article>" + _KEPT + "</article>", "12345"),
+    ("<nav>{9}</nav><header>{9}</header><div class='post-content'>{1}{2}<form>{9}</form><button>{9}</button>{3}{4}{5}</div><aside>{9}</aside><footer>{9}</footer>", "12345"),
+    ("<div class='entry-content'>{1}<div class='ads'>{9}</div>{2}<div class='x sidebar'>{9}</div><div id='comments'>{9}</div>{3}{4}{5}</div>", "12345"),
+    ("<article>{1}</article><div class='content'>" + _KEPT + "</div>", "12345"),
+    ("<div role='main'><article>{1}<noscript>{9}</noscript>{2}{3}{4}{5}</article></div>", "12345"),
+    ("<main><article><h2>short</h2>{1}{2}<p>too short to keep</p>{3}{4}{5}</article></main>", "12345"),
+    ("<div itemprop='articleBody'>{1}{2}{3}{4}</div><article>" + _KEPT + "</article>", "12345"),
+    ("{1}{2}{3}<p>short</p>{4}{5}", "123"),
+    ("<p>short</p>{1}{2}<div>{3}</div><div class='menu'>{9}</div>", "123"),
+    ("<div class='article-text'>" + _KEPT + "</div><div class='post-body'>{9}</div>", "12345"),
+    ("{1}<p>short</p>{2}", ""),
+    ("<![odd [markup]]><article>" + _KEPT + "</article>", ""),
+)
+
+
+def _paragraph(k: str) -> str:
+    """SQL of the kth paragraph of article ``id``; both engines read it."""
+    return f"concat('Paragraph {k} of the story about number ', CAST(id AS STRING), ' is <b>long</b> enough to stay.')"
+
+
+def _plain(k: str) -> str:
+    return _paragraph(k).replace(" is <b>long</b> enough", " islongenough")
+
+
+def made_pages(spark: SparkSession, d: str) -> DataFrame:
+    cases = []
+    for html, _ in MADE_PAGES:
+        parts = [f"concat('<p>', {_paragraph(x)}, '</p>')" if x.isdigit() else "'" + x.replace("'", '"') + "'" for x in re.split(r"[{}]", html) if x]
+        cases.append("concat('<html>', " + ", ".join(parts) + ", '</html>')")
+    pick = F.expr("CASE id % 12 " + " ".join(f"WHEN {k} THEN {c}" for k, c in enumerate(cases)) + " END")
+    return t.article(spark, d).select("id", "author").select("id", pick.alias("html"))
+
+
+_MADE = " ".join(f"WHEN {k} THEN " + ("concat_ws(chr(10) || chr(10), " + ", ".join(_plain(x) for x in kept) + ")" if kept else "NULL") for k, (_, kept) in enumerate(MADE_PAGES))
+
+
+@query(f"SELECT id, CASE id % 12 {_MADE} END AS page_content FROM article")
+def article_of_made_pages(spark, d):
+    return discover.pages_with_text(made_pages(spark, d)).select("id", "page_content")
+
+
+_RUNS = "(CASE id % 12 WHEN 3 THEN [1, 1, 2, 3, 4, 5] WHEN 5 THEN [3, 4, 5] WHEN 6 THEN [1, 2, 3, 4, 1, 2, 3, 4, 5] WHEN 7 THEN [1, 2, 3] WHEN 8 THEN [1, 2, 3, 9] ELSE [] END)"
+
+
+@query(
+    f"""SELECT id, CAST(pos - 1 AS INT) AS pos, concat('Paragraph ', CAST(k AS STRING), ' of the story about number ', CAST(id AS STRING)) AS head
+       FROM (SELECT id, r[p] AS k, p AS pos FROM (SELECT id, {_RUNS} AS r FROM article), range(1, 10) AS x(p) WHERE p <= len(r))"""
+)
 def para_runs(spark, d):
-    """Paragraphs of every stored page that stand in runs of long ones."""
+    """Paragraphs of made pages that stand in runs of long ones, of the pages where these are looked for."""
 
     @F.pandas_udf("array<string>")
     def runs(pages):
         return pages.map(lambda h: paragraph_runs([n.text() for n in parse(h or "").walk() if n.tag == "p"]))
 
-    return t.table(spark, d, "pages").select("page_id", F.posexplode(runs("html")).alias("pos", "paragraph"))
+    pages = made_pages(spark, d).where("id % 12 IN (3, 5, 6, 7, 8)")
+    return pages.select("id", F.posexplode(runs("html")).alias("pos", "x")).select("id", "pos", F.regexp_extract("x", "^(.*) islong", 1).alias("head"))
 
 
 def _drained(stream: DataFrame, name: str, mode: str) -> DataFrame:
     """What a stream has written once its input is used up, from a table in the shared folder."""
-    spark = stream.sparkSession
-    root = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
-    import uuid
-
-    path = f"{root}/quillmill/{name}-{uuid.uuid4().hex}"
+    stage = Stage(stream.sparkSession, name)
 
     def write(batch: DataFrame, epoch: int) -> None:
-        batch.withColumn("_epoch", F.lit(epoch)).write.mode("append").parquet(f"{path}/out")
+        batch.withColumn("_epoch", F.lit(epoch)).write.mode("append").parquet(f"{stage.path}/out")
 
-    stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{path}/out")
+    stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{stage.path}/state").trigger(availableNow=True).start().awaitTermination()
+    return stage.spark.read.parquet(f"{stage.path}/out")
 
 
 def log_stream(spark: SparkSession, d: str) -> DataFrame:
-    """Fetch logs as a stream of files."""
+    """Visit logs as a stream of files."""
     stored = t.table(spark, d, "events")
     events = spark.readStream.schema(stored.schema).option("pathGlobFilter", "events.parquet").parquet(d)
     kind = F.col("event_type")
     return events.select(F.col("event_id").alias("id"), F.col("user_id").alias("feed_id"), F.col("ts").alias("started_at"), (kind != "error").alias("success"), F.when(kind == "error", F.concat(F.lit("Network error: "), "props")).otherwise("").alias("error_message"), "event_type")
 
 
-@query("SELECT s.feed_id, s.last_checked, s.error_count FROM feed_status s")
+OFF = """off AS (
+  SELECT feed_id, max(fails) >= 5 AS deactivated FROM (SELECT feed_id, run, count(*) FILTER (WHERE NOT success) AS fails FROM
+    (SELECT *, sum(CAST(success AS INT)) OVER (PARTITION BY feed_id ORDER BY started_at, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM visit_log) GROUP BY feed_id, run) GROUP BY feed_id
+)"""
+
+
+@query("SELECT s.feed_id, s.last_checked, s.last_success, s.error_count, s.last_error, o.deactivated FROM feed_status s JOIN off o ON o.feed_id = s.feed_id", OFF)
 def stream_health(spark, d):
     """The last state of each feed that the stateful stream reports."""
     out = _drained(jobs.health_stream(log_stream(spark, d)), "health", "update")
-    last = out.groupBy("feed_id").agg(F.max_by(F.struct("last_checked", "error_count"), "_epoch").alias("s"))
-    return last.select("feed_id", F.col("s.last_checked").cast("timestamp_ntz").alias("last_checked"), "s.error_count")
+    own = ["last_checked", "last_success", "error_count", "last_error", "deactivated"]
+    last = out.groupBy("feed_id").agg(F.max_by(F.struct(*own), "_epoch").alias("s")).select("feed_id", "s.*")
+    return last.withColumns({c: F.col(c).cast("timestamp_ntz") for c in own[:2]})
 
 
-@query("SELECT count(*) AS n FROM (SELECT DISTINCT user_id, event_type FROM events)")
+@query("SELECT DISTINCT concat(CAST(user_id AS VARCHAR), ':', event_type) AS url FROM events")
 def stream_dedup(spark, d):
     """Distinct keys that the deduplicating stream lets through."""
     rows = log_stream(spark, d).select(F.concat_ws(":", "feed_id", "event_type").alias("url"), F.col("started_at").cast("timestamp").alias("at"))
-    out = _drained(jobs.dedup_stream(rows, "at", "url", "60 days"), "dedup", "append")
-    return out.agg(F.count("*").alias("n"))
+    return _drained(jobs.dedup_stream(rows, "at", "url", "60 days"), "dedup", "append").select("url")
 
 
+@query("SELECT date_trunc('hour', started_at) AS hour, count(*) AS visits, count(*) FILTER (WHERE NOT success) AS failures FROM visit_log GROUP BY 1")
+def stream_windows(spark, d):
+    """Visits and failures by hour as the windowed stream last reports them."""
+    out = _drained(jobs.windowed_counts(log_stream(spark, d), "3650 days").select(F.col("window.start").alias("hour"), "visits", "failures"), "windows", "update")
+    last = out.groupBy("hour").agg(F.max_by(F.struct("visits", "failures"), "_epoch").alias("s"))
+    return last.select(F.col("hour").cast("timestamp_ntz").alias("hour"), "s.visits", "s.failures")

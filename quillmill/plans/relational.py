@@ -26,7 +26,7 @@ def site_feed(spark: SparkSession, d: str) -> DataFrame:
 
 def feed_state(spark: SparkSession, d: str) -> DataFrame:
     """Feeds with their site and health; feeds without logs have no health."""
-    h = feed_health(t.fetch_log(spark, d))
+    h = feed_health(t.visit_log(spark, d))
     f = site_feed(spark, d)
     return f.join(h, f["id"] == h["feed_id"], "left").drop("feed_id").withColumn("error_count", F.coalesce("error_count", F.lit(0)))
 
@@ -84,16 +84,16 @@ def date_range(spark, d):
     return filters.date_range(t.article(spark, d), "published_date", "1996-01-01", "1996-03-01").select("id", "published_date")
 
 
-@query("SELECT id, url FROM article WHERE fetched_at >= (SELECT max(fetched_at) FROM article) - INTERVAL '7' DAY")
+@query("SELECT id, url FROM article WHERE retrieved_at >= (SELECT max(retrieved_at) FROM article) - INTERVAL '7' DAY")
 def recent_7d(spark, d):
     a = t.article(spark, d)
-    return filters.since(a, "fetched_at", stats.latest(a, "fetched_at"), days=7).select("id", "url")
+    return filters.since(a, "retrieved_at", stats.latest(a, "retrieved_at"), days=7).select("id", "url")
 
 
-@query("SELECT id, url FROM article WHERE fetched_at >= (SELECT max(fetched_at) FROM article) - INTERVAL '24' HOUR")
+@query("SELECT id, url FROM article WHERE retrieved_at >= (SELECT max(retrieved_at) FROM article) - INTERVAL '24' HOUR")
 def recent_24h(spark, d):
     a = t.article(spark, d)
-    return filters.since(a, "fetched_at", stats.latest(a, "fetched_at"), hours=24).select("id", "url")
+    return filters.since(a, "retrieved_at", stats.latest(a, "retrieved_at"), hours=24).select("id", "url")
 
 
 @query("SELECT id, feed_url FROM feed WHERE active")
@@ -150,10 +150,10 @@ def semi_in(spark, d):
     """SELECT f.id, w.name AS site_name, coalesce(strftime(s.last_checked, '%Y-%m-%d %H:%M'), 'Never') AS seen,
        row_number() OVER (ORDER BY w.name, f.feed_type, f.title, f.id) <= 10 AS shown
        FROM feed f JOIN website w ON w.id = f.website_id LEFT JOIN feed_status s ON s.feed_id = f.id
-       WHERE f.active AND (s.last_checked IS NULL OR s.last_checked < (SELECT max(started_at) FROM fetch_log) - INTERVAL '24' HOUR)"""
+       WHERE f.active AND (s.last_checked IS NULL OR s.last_checked < (SELECT max(started_at) FROM visit_log) - INTERVAL '24' HOUR)"""
 )
 def stale_feeds(spark, d):
-    before = stats.latest(t.fetch_log(spark, d).withColumn("b", F.col("started_at") - F.make_dt_interval(hours=F.lit(24))), "b")
+    before = stats.latest(t.visit_log(spark, d), "started_at") - F.make_dt_interval(hours=F.lit(24))
     rows = filters.stale(feed_state(spark, d), before)
     first = rows.orderBy(*relations.feed_order()).limit(10).select("id", F.lit(True).alias("shown"))
     return rows.select("id", "site_name", minute(F.col("last_checked")).alias("seen")).join(first, "id", "left").withColumn("shown", F.coalesce("shown", F.lit(False)))
@@ -181,10 +181,10 @@ def url_too_long(spark, d):
     """SELECT 'website' AS entity, id FROM website WHERE (contains(lower(name), 'a') OR contains(lower(url), 'a')) AND (contains(lower(name), 'n') OR contains(lower(url), 'n'))
        UNION ALL SELECT 'feed', f.id FROM feed f JOIN website w ON w.id = f.website_id WHERE (contains(lower(f.title), '1') OR contains(lower(f.feed_url), '1') OR contains(lower(w.name), '1')) AND (contains(lower(f.title), 'na') OR contains(lower(f.feed_url), 'na') OR contains(lower(w.name), 'na'))
        UNION ALL SELECT 'article', id FROM article WHERE (contains(lower(title), 'high') OR contains(lower(content), 'high') OR contains(lower(author), 'high') OR contains(lower(url), 'high')) AND (contains(lower(title), '-12') OR contains(lower(content), '-12') OR contains(lower(author), '-12') OR contains(lower(url), '-12'))
-       UNION ALL SELECT 'log', l.id FROM fetch_log l JOIN feed f ON f.id = l.feed_id WHERE (contains(lower(f.title), 'network') OR contains(lower(f.feed_url), 'network') OR contains(lower(l.error_message), 'network')) AND (contains(lower(f.title), '12') OR contains(lower(f.feed_url), '12') OR contains(lower(l.error_message), '12'))"""
+       UNION ALL SELECT 'log', l.id FROM visit_log l JOIN feed f ON f.id = l.feed_id WHERE (contains(lower(f.title), 'network') OR contains(lower(f.feed_url), 'network') OR contains(lower(l.error_message), 'network')) AND (contains(lower(f.title), '12') OR contains(lower(f.feed_url), '12') OR contains(lower(l.error_message), '12'))"""
 )
 def admin_search(spark, d):
-    logs = relations.with_feed(t.fetch_log(spark, d), t.feed(spark, d), t.website(spark, d))
+    logs = relations.with_feed(t.visit_log(spark, d), t.feed(spark, d), t.website(spark, d))
     parts = {
         "website": filters.search_terms(t.website(spark, d), "a n", "name", "url"),
         "feed": filters.search_terms(site_feed(spark, d), "1 NA", "title", "feed_url", "site_name"),
@@ -225,9 +225,9 @@ def article_full(spark, d):
     return full_articles(spark, d).select("id", "url", "feed_title", "feed_type", "site_name")
 
 
-@query("SELECT l.id, l.started_at, l.success, f.title AS feed_title, w.name AS site_name FROM fetch_log l JOIN feed f ON f.id = l.feed_id JOIN website w ON w.id = f.website_id")
+@query("SELECT l.id, l.started_at, l.success, f.title AS feed_title, w.name AS site_name FROM visit_log l JOIN feed f ON f.id = l.feed_id JOIN website w ON w.id = f.website_id")
 def log_full(spark, d):
-    return relations.with_feed(t.fetch_log(spark, d), t.feed(spark, d), t.website(spark, d)).select("id", "started_at", "success", "feed_title", "site_name")
+    return relations.with_feed(t.visit_log(spark, d), t.feed(spark, d), t.website(spark, d)).select("id", "started_at", "success", "feed_title", "site_name")
 
 
 @query("SELECT website_id, id, CAST(row_number() OVER (PARTITION BY website_id ORDER BY active DESC, feed_type, title, id) AS INT) AS position FROM feed")
@@ -236,17 +236,17 @@ def site_feeds(spark, d):
     return t.feed(spark, d).select("website_id", "id", F.row_number().over(w).alias("position"))
 
 
-@query("SELECT id, title, published_date FROM article ORDER BY published_date DESC NULLS LAST, fetched_at DESC NULLS LAST, id LIMIT 10")
+@query("SELECT id, title, published_date FROM article ORDER BY published_date DESC NULLS LAST, retrieved_at DESC NULLS LAST, id LIMIT 10")
 def recent_articles(spark, d):
     return t.article(spark, d).orderBy(*relations.article_order()).limit(10).select("id", "title", "published_date")
 
 
-@query("SELECT id, feed_id, started_at, success FROM fetch_log ORDER BY started_at DESC, id DESC LIMIT 10")
+@query("SELECT id, feed_id, started_at, success FROM visit_log ORDER BY started_at DESC, id DESC LIMIT 10")
 def recent_logs(spark, d):
-    return t.fetch_log(spark, d).orderBy(*relations.log_order()).limit(10).select("id", "feed_id", "started_at", "success")
+    return t.visit_log(spark, d).orderBy(*relations.log_order()).limit(10).select("id", "feed_id", "started_at", "success")
 
 
-@query("SELECT id, url FROM article ORDER BY published_date DESC NULLS LAST, fetched_at DESC NULLS LAST, id LIMIT 25 OFFSET 50")
+@query("SELECT id, url FROM article ORDER BY published_date DESC NULLS LAST, retrieved_at DESC NULLS LAST, id LIMIT 25 OFFSET 50")
 def page_articles(spark, d):
     return relations.page(t.article(spark, d), relations.article_order(), number=3, size=25).select("id", "url")
 
@@ -254,10 +254,42 @@ def page_articles(spark, d):
 @query(
     """SELECT 'website' AS entity, count(*) AS kept FROM website WHERE id NOT IN (3, 7) UNION ALL SELECT 'feed', count(*) FROM feed WHERE website_id NOT IN (3, 7)
        UNION ALL SELECT 'article', count(*) FROM article WHERE feed_id NOT IN (SELECT id FROM feed WHERE website_id IN (3, 7))
-       UNION ALL SELECT 'log', count(*) FROM fetch_log WHERE feed_id NOT IN (SELECT id FROM feed WHERE website_id IN (3, 7))"""
+       UNION ALL SELECT 'log', count(*) FROM visit_log WHERE feed_id NOT IN (SELECT id FROM feed WHERE website_id IN (3, 7))"""
 )
 def cascade_delete(spark, d):
     gone = spark.createDataFrame([(3,), (7,)], "id long")
-    left = relations.cascade_delete(t.website(spark, d), t.feed(spark, d), t.article(spark, d), t.fetch_log(spark, d), gone)
+    left = relations.cascade_delete(t.website(spark, d), t.feed(spark, d), t.article(spark, d), t.visit_log(spark, d), gone)
     counts = [df.agg(F.count("*").alias("kept")).select(F.lit(k).alias("entity"), "kept") for k, df in zip(("website", "feed", "article", "log"), left)]
     return counts[0].unionAll(counts[1]).unionAll(counts[2]).unionAll(counts[3])
+
+
+@query(
+    """SELECT id, url FROM full_article WHERE website_id = 3 AND (contains(lower(title), 'a') OR contains(lower(summary), 'a') OR contains(lower(author), 'a')) AND published_date >= TIMESTAMP '1995-01-01 00:00:00' AND published_date <= TIMESTAMP '1997-06-01 00:00:00'
+       AND feed_id = (SELECT min(id) FROM feed WHERE website_id = 3)""",
+    f"full_article AS ({ARTICLE_FULL})",
+)
+def request_articles(spark, d):
+    """A list of articles as a request's parameters ask for it."""
+    feed = t.feed(spark, d).where("website_id = 3").agg(F.min("id")).first()[0]
+    params = {"search": "A", "website": "3", "feed": str(feed), "date_from": "1995-01-01", "date_to": "1997-06-01", "page": ""}
+    return filters.article_list(full_articles(spark, d), params).select("id", "url")
+
+
+@query("SELECT f.id, f.title, w.name AS site_name FROM feed f JOIN website w ON w.id = f.website_id WHERE f.feed_type = 'RSS' AND NOT f.active AND (contains(lower(f.title), '1') OR contains(lower(f.feed_url), '1') OR contains(lower(w.name), '1'))")
+def request_feeds(spark, d):
+    return filters.feed_list(site_feed(spark, d), {"type": "RSS", "active": "false", "search": "1", "website": ""}).select("id", "title", "site_name")
+
+
+@query("SELECT 'nation_7.example' AS term, count(*) = 1 AS single, CASE WHEN count(*) = 1 THEN min(name) ELSE '' END AS name FROM website WHERE contains(url, 'nation_7.example') UNION ALL SELECT 'nation_1', count(*) = 1, CASE WHEN count(*) = 1 THEN min(name) ELSE '' END FROM website WHERE contains(url, 'nation_1')")
+def exactly_one(spark, d):
+    """Whether a term names one site, and which."""
+    found = []
+    for term in ("nation_7.example", "nation_1"):
+        one, _ = filters.exactly_one(t.website(spark, d).where(F.contains("url", F.lit(term))))
+        found.append((term, one is not None, one.name if one else ""))
+    return spark.createDataFrame(found, "term string, single boolean, name string")
+
+
+@query("SELECT 'RSS' AS kind, EXISTS (SELECT 1 FROM feed WHERE feed_type = 'RSS') AS found UNION ALL SELECT 'JSON', EXISTS (SELECT 1 FROM feed WHERE feed_type = 'JSON')")
+def exists_kind(spark, d):
+    return spark.createDataFrame([(k, filters.exists(t.feed(spark, d).where(F.col("feed_type") == k))) for k in ("RSS", "JSON")], "kind string, found boolean")

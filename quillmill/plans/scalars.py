@@ -26,9 +26,9 @@ def display_title(spark, d):
     return t.feed(spark, d).select("id", x.display_title(title, url).alias("name"), x.display_title(title, url, 50).alias("short_name"))
 
 
-@query("SELECT id, coalesce(published_date, fetched_at) AS effective_date FROM article")
+@query("SELECT id, coalesce(published_date, retrieved_at) AS effective_date FROM article")
 def effective_date(spark, d):
-    return t.article(spark, d).select("id", F.coalesce("published_date", "fetched_at").alias("effective_date"))
+    return t.article(spark, d).select("id", F.coalesce("published_date", "retrieved_at").alias("effective_date"))
 
 
 @query("SELECT f.id, coalesce(strftime(s.last_checked, '%Y-%m-%d %H:%M'), 'Never') AS last_checked FROM feed f LEFT JOIN feed_status s ON s.feed_id = f.id")
@@ -52,14 +52,14 @@ def truncations(spark, d):
     return t.table(spark, d, "documents").select("doc_id", x.clip(c, 500).alias("stored"), F.left(c, F.lit(500)).alias("repaired"), x.clip(c, 60).alias("listed"), F.left(c, F.lit(80)).alias("report"), x.clip(c, 100, "…").alias("page"))
 
 
-@query("SELECT id, CASE WHEN completed_at IS NULL THEN '-' ELSE printf('%.1fs', (epoch_us(completed_at) - epoch_us(started_at)) / 1000000.0) END AS duration FROM fetch_log")
-def fetch_duration(spark, d):
-    return t.fetch_log(spark, d).select("id", x.duration_text(F.col("started_at"), F.col("completed_at")).alias("duration"))
+@query("SELECT id, CASE WHEN completed_at IS NULL THEN '-' ELSE printf('%.1fs', (epoch_us(completed_at) - epoch_us(started_at)) / 1000000.0) END AS duration FROM visit_log")
+def visit_duration(spark, d):
+    return t.visit_log(spark, d).select("id", x.duration_text(F.col("started_at"), F.col("completed_at")).alias("duration"))
 
 
-@query("SELECT f.id, CASE WHEN coalesce(s.error_count, 0) > 0 THEN concat(CAST(s.error_count AS VARCHAR), ' errors') WHEN s.last_successful_fetch IS NOT NULL THEN 'OK' ELSE '-' END AS status FROM feed f LEFT JOIN feed_status s ON s.feed_id = f.id")
+@query("SELECT f.id, CASE WHEN coalesce(s.error_count, 0) > 0 THEN concat(CAST(s.error_count AS VARCHAR), ' errors') WHEN s.last_success IS NOT NULL THEN 'OK' ELSE '-' END AS status FROM feed f LEFT JOIN feed_status s ON s.feed_id = f.id")
 def error_status(spark, d):
-    return feed_state(spark, d).select("id", x.status_text(F.col("error_count"), F.col("last_successful_fetch")).alias("status"))
+    return feed_state(spark, d).select("id", x.status_text(F.col("error_count"), F.col("last_success")).alias("status"))
 
 
 @query("SELECT id, CASE feed_type WHEN 'RSS' THEN 'RSS Feed' WHEN 'ATOM' THEN 'Atom Feed' ELSE 'Sitemap' END AS label FROM feed")
@@ -100,12 +100,12 @@ def host_counts(spark, d):
     f"""SELECT 'website' AS entity, id, concat(name, ' (', url, ')') AS label FROM website
        UNION ALL SELECT 'feed', f.id, concat(w.name, ' - ', f.feed_type, ': ', CASE WHEN f.title = '' THEN f.feed_url ELSE f.title END) FROM feed f JOIN website w ON w.id = f.website_id
        UNION ALL SELECT 'article', id, concat(title, ' (', site_name, ')') FROM ({ARTICLE_FULL})
-       UNION ALL SELECT 'log', l.id, concat(CASE WHEN f.title = '' THEN f.feed_url ELSE f.title END, ' - ', strftime(l.started_at, '%Y-%m-%d %H:%M:%S'), ' - ', CASE WHEN l.success THEN 'Success' ELSE 'Failed' END) FROM fetch_log l JOIN feed f ON f.id = l.feed_id"""
+       UNION ALL SELECT 'log', l.id, concat(CASE WHEN f.title = '' THEN f.feed_url ELSE f.title END, ' - ', strftime(l.started_at, '%Y-%m-%d %H:%M:%S'), ' - ', CASE WHEN l.success THEN 'Success' ELSE 'Failed' END) FROM visit_log l JOIN feed f ON f.id = l.feed_id"""
 )
 def display_strings(spark, d):
     feeds = site_feed(spark, d)
     name = x.display_title(F.col("title"), F.col("feed_url"))
-    logs = relations.with_feed(t.fetch_log(spark, d), t.feed(spark, d), t.website(spark, d))
+    logs = relations.with_feed(t.visit_log(spark, d), t.feed(spark, d), t.website(spark, d))
     log_name = x.display_title(F.col("feed_title"), F.col("feed_url"))
     parts = [
         t.website(spark, d).select(F.lit("website").alias("entity"), "id", F.concat("name", F.lit(" ("), "url", F.lit(")")).alias("label")),

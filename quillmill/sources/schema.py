@@ -20,12 +20,12 @@ def _table(spec: str) -> T.StructType:
 
 
 WEBSITE = _table("id long, url string, name string, active boolean, created_at timestamp, updated_at timestamp")
-FEED = _table("id long, website_id long, feed_url string, feed_type string, title string, description string, last_checked timestamp?, last_successful_fetch timestamp?, active boolean, error_count int, last_error string, created_at timestamp, updated_at timestamp")
-ARTICLE = _table("id long, feed_id long, title string, url string, content string, summary string, author string, published_date timestamp?, fetched_at timestamp, updated_at timestamp, content_hash string, raw_data string")
+FEED = _table("id long, website_id long, feed_url string, feed_type string, title string, description string, last_checked timestamp?, last_success timestamp?, active boolean, error_count int, last_error string, created_at timestamp, updated_at timestamp")
+ARTICLE = _table("id long, feed_id long, title string, url string, content string, summary string, author string, published_date timestamp?, retrieved_at timestamp, updated_at timestamp, content_hash string, raw_data string")
 ARTICLE_FEEDS = _table("article_id long, feed_id long")
-FETCH_LOG = _table("id long, feed_id long, started_at timestamp, completed_at timestamp?, success boolean, new_articles int, updated_articles int, error_message string")
-#: What was fetched, as a table: parsers read it, nothing here does network I/O.
-RAW_FETCH = _table("url string, status int?, content_type string?, body string?, error string?, fetched_at timestamp?")
+VISIT_LOG = _table("id long, feed_id long, started_at timestamp, completed_at timestamp?, success boolean, new_articles int, updated_articles int, error_message string")
+#: What was retrieved, as a table: parsers read it, nothing here does network I/O.
+RAW_DOCUMENT = _table("url string, status int?, content_type string?, body string?, error string?, retrieved_at timestamp?")
 
 def _strings(*names: str) -> list[T.StructField]:
     return [T.StructField(n, T.StringType()) for n in names]

@@ -40,20 +40,21 @@ def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def article(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").where(F.col("o_custkey") % 10 != 0)
+    o = table(spark, sf_dir, "orders")
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     key = F.col("o_orderkey")
     return o.join(d, key == F.col("doc_id"), "left").select(
-        key.alias("id"), F.col("o_custkey").alias("feed_id"),
+        # Feeds whose id ends in 0 have no articles: theirs go to the feed before.
+        key.alias("id"), (F.col("o_custkey") - F.when(F.col("o_custkey") % 10 == 0, 1).otherwise(0)).alias("feed_id"),
         F.concat(F.lit("https://example.com/a/story-"), key.cast("string"), F.when(key % 3 == 0, "/").otherwise("")).alias("url"),
         F.coalesce(F.substring("text", 1, 80), F.lit("Untitled")).alias("title"), F.coalesce("text", F.lit("")).alias("content"), F.coalesce(F.substring("text", 1, 200), F.lit("")).alias("summary"),
         F.when(F.col("o_orderstatus") == "P", "").otherwise(F.col("o_orderpriority")).alias("author"),
         F.when(F.col("o_orderpriority") != "4-NOT SPECIFIED", F.col("o_orderdate")).alias("published_date"),
-        (F.col("o_orderdate") + F.make_dt_interval(hours=(key % 72).cast("int"))).alias("fetched_at"),
+        (F.col("o_orderdate") + F.make_dt_interval(hours=(key % 72).cast("int"))).alias("retrieved_at"),
     )
 
 
-def fetch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+def visit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     kind = F.col("event_type")
     took = F.make_dt_interval(secs=(F.col("event_id") % 900 / 10).cast("decimal(18,6)"))
@@ -75,24 +76,25 @@ website AS (
          CASE WHEN c_custkey % 7 = 0 THEN '' ELSE c_name END AS title, c_acctbal >= 0 AS active
   FROM customer
 ), article AS (
-  SELECT o.o_orderkey AS id, o.o_custkey AS feed_id,
+  SELECT o.o_orderkey AS id, o.o_custkey - CASE WHEN o.o_custkey % 10 = 0 THEN 1 ELSE 0 END AS feed_id,
          concat('https://example.com/a/story-', CAST(o.o_orderkey AS STRING), CASE WHEN o.o_orderkey % 3 = 0 THEN '/' ELSE '' END) AS url,
          coalesce(substring(d.text, 1, 80), 'Untitled') AS title, coalesce(d.text, '') AS content, coalesce(substring(d.text, 1, 200), '') AS summary,
          CASE WHEN o.o_orderstatus = 'P' THEN '' ELSE o.o_orderpriority END AS author,
          CASE WHEN o.o_orderpriority = '4-NOT SPECIFIED' THEN NULL ELSE o.o_orderdate END AS published_date,
-         o.o_orderdate + INTERVAL '1' HOUR * CAST(o.o_orderkey % 72 AS INT) AS fetched_at
-  FROM orders o LEFT JOIN documents d ON d.doc_id = o.o_orderkey WHERE o.o_custkey % 10 <> 0
-), fetch_log AS (
+         o.o_orderdate + INTERVAL '1' HOUR * CAST(o.o_orderkey % 72 AS INT) AS retrieved_at
+  FROM orders o LEFT JOIN documents d ON d.doc_id = o.o_orderkey
+), visit_log AS (
   SELECT event_id AS id, user_id AS feed_id, ts AS started_at,
          CASE WHEN event_id % 11 <> 0 THEN ts + INTERVAL '100' MILLISECOND * CAST(event_id % 900 AS INT) END AS completed_at,
          event_type <> 'error' AS success, CASE WHEN event_type = 'signup' THEN CAST(floor(value) AS INT) ELSE 0 END AS new_articles,
          CASE WHEN event_type = 'error' THEN concat('Network error: ', props) ELSE '' END AS error_message
   FROM events
 ), feed_status AS (
-  SELECT feed_id, max(started_at) AS last_checked, max(CASE WHEN success THEN started_at END) AS last_successful_fetch,
-         CAST(sum(CASE WHEN g = 0 THEN 1 ELSE 0 END) AS BIGINT) AS error_count
+  SELECT feed_id, max(started_at) AS last_checked, max(CASE WHEN success THEN started_at END) AS last_success,
+         CAST(sum(CASE WHEN g = 0 THEN 1 ELSE 0 END) AS BIGINT) AS error_count,
+         coalesce(arg_max(error_message, (started_at, id)) FILTER (WHERE g = 0), '') AS last_error
   FROM (SELECT *, sum(CASE WHEN success THEN 1 ELSE 0 END) OVER (PARTITION BY feed_id ORDER BY started_at DESC, id DESC
-               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS g FROM fetch_log) t
+               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS g FROM visit_log) t
   GROUP BY feed_id
 )
 """

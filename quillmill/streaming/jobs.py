@@ -12,7 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from quillmill.operators.ingest import classify, upsert
 from quillmill.sources.schema import ERROR_LIMIT
 
-HEALTH = "feed_id long, last_checked timestamp, last_successful_fetch timestamp, error_count long, last_error string, deactivated boolean"
+HEALTH = "feed_id long, last_checked timestamp, last_success timestamp, error_count long, last_error string, deactivated boolean"
 _STATE = "seen timestamp, good timestamp, errors long, message string, off boolean"
 
 
@@ -27,11 +27,11 @@ def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
             errors, message = errors + 1, text
             off = off or errors >= ERROR_LIMIT
     state.update((seen, good, errors, message, off))
-    yield pd.DataFrame({"feed_id": [key[0]], "last_checked": [seen], "last_successful_fetch": pd.to_datetime(pd.Series([good])), "error_count": [errors], "last_error": [message], "deactivated": [off]})
+    yield pd.DataFrame({"feed_id": [key[0]], "last_checked": [seen], "last_success": pd.to_datetime(pd.Series([good])), "error_count": [errors], "last_error": [message], "deactivated": [off]})
 
 
 def health_stream(logs: DataFrame) -> DataFrame:
-    """The health state of each feed after each trigger, from a stream of fetch logs."""
+    """The health state of each feed after each trigger, from a stream of visit logs."""
     rows = logs.select("id", "feed_id", F.col("started_at").cast("timestamp").alias("started_at"), "success", "error_message")
     return rows.groupBy("feed_id").applyInPandasWithState(_advance, HEALTH, _STATE, "update", GroupStateTimeout.NoTimeout)
 
@@ -53,6 +53,6 @@ def upsert_batches(read_table, write_table, write_counts):
 
 
 def windowed_counts(logs: DataFrame, late: str = "10 minutes", width: str = "1 hour") -> DataFrame:
-    """Extension: fetches and failures by event-time window."""
+    """Extension: visits and failures by event-time window."""
     rows = logs.withColumn("at", F.col("started_at").cast("timestamp")).withWatermark("at", late)
-    return rows.groupBy(F.window("at", width)).agg(F.count("*").alias("fetches"), F.count_if(~F.col("success")).alias("failures"))
+    return rows.groupBy(F.window("at", width)).agg(F.count("*").alias("visits"), F.count_if(~F.col("success")).alias("failures"))

@@ -62,7 +62,7 @@ def rows_of(frame):
 @pytest.fixture(scope="session")
 def same(spark, duck, sf_dir):
     def check(make, sql):
-        left, right = rows_of(make(spark, sf_dir).toPandas()), rows_of(duck.execute(sql).fetch_df())
+        left, right = rows_of(make(spark, sf_dir).toPandas()), rows_of(duck.execute(sql).df())
         assert left[0] == right[0]
         assert len(left[1]) == len(right[1])
         assert left[1] == right[1]

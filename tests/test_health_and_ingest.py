@@ -65,7 +65,7 @@ def test_date_range_ends_at_midnight(spark):
 
 
 def test_days_before_today(spark):
-    a = spark.createDataFrame([(datetime(2024, 1, 10, 5),), (datetime(2024, 1, 9, 23, 59),), (datetime(2024, 1, 7),)], "fetched_at timestamp_ntz")
+    a = spark.createDataFrame([(datetime(2024, 1, 10, 5),), (datetime(2024, 1, 9, 23, 59),), (datetime(2024, 1, 7),)], "retrieved_at timestamp_ntz")
     got = [tuple(r) for r in stats.articles_per_day(a, datetime(2024, 1, 10, 12), 3).orderBy("date").collect()]
     assert got == [("2024-01-07", 1), ("2024-01-08", 0), ("2024-01-09", 1)]
     assert stats.articles_per_day(a, datetime(2024, 1, 10), 0).count() == 0
@@ -82,3 +82,24 @@ def test_enrich_keeps_titles_of_failed_validations(spark):
     feeds = spark.createDataFrame([("a", "old", "d"), ("b", "old", "d"), ("c", "old", "d")], "feed_url string, title string, description string")
     seen = spark.createDataFrame([("a", True, "", ""), ("b", False, "x", "y")], "feed_url string, valid boolean, title string, description string")
     assert {r.feed_url: r.title for r in ingest.enrich(feeds, seen).collect()} == {"a": "", "b": "old", "c": "old"}
+
+
+def test_entries_write_over_author_date_and_raw_data(spark):
+    kind = "url string, feed_id long, title string, content string, summary string, author string, published_date timestamp_ntz, raw_data string, content_hash string"
+    stored = spark.createDataFrame([("u", 1, "t", "c", "s", "Ann", T0, "{}", "old"), ("v", 1, "t", "c", "s", "Bob", T0, "{}", "old")], kind)
+    batch = spark.createDataFrame([(1, 2, "u", "t", "c", "s", "", None, '{"a":1}')], "pos long, feed_id long, url string, title string, content string, summary string, author string, published_date timestamp_ntz, raw_data string")
+    got = {r.url: r for r in ingest.upsert(stored, batch).collect()}
+    assert (got["u"].feed_id, got["u"].author, got["u"].published_date, got["u"].raw_data) == (1, "", None, '{"a":1}')
+    assert (got["v"].author, got["v"].published_date) == ("Bob", T0)
+
+
+def test_waits_reach_over_slots(spark):
+    at = [datetime(2024, 1, 1, 0, 59, 59, 500_000), datetime(2024, 1, 1, 1), datetime(2024, 1, 1, 1, 0, 0, 250_000), datetime(2024, 1, 1, 5)]
+    rows = spark.createDataFrame([(k, "h", x) for k, x in enumerate(at)], "id long, host string, at timestamp")
+    assert [r.wait_s for r in stats.request_delays(rows).orderBy("id").collect()] == [0.0, 0.5, 0.75, 0.0]
+
+
+def test_tries(spark):
+    rows = [("a", 1, "ok"), ("b", 1, "timeout"), ("b", 2, "http_error"), ("b", 3, "ok"), *(("c", k, "timeout") for k in range(1, 6)), ("d", 1, "timeout")]
+    got = {r.url: (r.attempts, r.outcome) for r in ingest.retried(spark.createDataFrame(rows, "url string, attempt int, outcome string")).collect()}
+    assert got == {"a": (1, "ok"), "b": (2, "http_error"), "c": (3, "timeout"), "d": (1, "timeout")}

@@ -41,9 +41,18 @@ def test_cli(spark, sf_dir, tmp_path, capsys):
     assert spark.read.json(str(tmp_path / "o")).count() == 3
 
 
+def test_commands_with_parameters(sf_dir, spark, capsys):
+    for args in (["new-content", "--hours", "48", "--website", "n_1"], ["missing-content", "--limit", "3", "--website", "n"], ["due-feeds", "--website", "N_1"]):
+        assert cli.main([*args, "--data", sf_dir]) == 0
+    shown = capsys.readouterr().out
+    assert "retrieved_at" in shown and "feed_url" in shown
+    args = cli.parser().parse_args(["missing-content", "--limit", "3", "--data", sf_dir])
+    assert cli.chosen(spark, args).count() == 3
+
+
 def test_schemas_state_what_may_be_null():
     assert [f.name for f in schema.ARTICLE if f.nullable] == ["published_date"]
-    assert [f.name for f in schema.FEED if f.nullable] == ["last_checked", "last_successful_fetch"]
+    assert [f.name for f in schema.FEED if f.nullable] == ["last_checked", "last_success"]
 
 
 def test_plans_prune_and_push_down(spark, sf_dir):

@@ -91,3 +91,44 @@ def test_robots(spark):
     body = "Sitemap: https://a/s.xml\r\nSITEMAP: rel.xml\nsitemap:\n# sitemap: no"
     rows = spark.createDataFrame([("https://h.example.com", body)], "site string, body string")
     assert [r.url for r in discover.robots_sitemaps(rows).orderBy("pos").collect()] == ["https://a/s.xml", "https://h.example.com/rel.xml", "https://h.example.com"]
+
+
+def test_markup_that_breaks_parsers(spark):
+    paragraphs = "".join(f"<p>{LONG}{k}</p>" for k in range(5))
+    deep = "<div>" * 3000 + paragraphs + "</div>" * 3000
+    odd = f"<article>{paragraphs}</article><![foo bar]><p>after"
+    rows = spark.createDataFrame([(1, deep), (2, odd), (3, "<"), (4, "<!--"), (5, "\x00<p \x00>"), (6, None)], "id long, html string")
+    got = {r.id: r.page_content for r in discover.pages_with_text(rows).collect()}
+    assert got[1].count(LONG) == 5 and got[2].count(LONG) == 5 and got[3] is got[4] is got[5] is got[6] is None
+
+
+def test_addresses_that_are_none(spark):
+    page = '<link type="application/rss+xml" href="http://[x"><link type="application/rss+xml" href="/ok"><link rel="alternate" type="application/atom+xml" href="//[">'
+    homes = spark.createDataFrame([("https://h.example.com", page), ("http://[bad", page), (None, None)], "site string, body string")
+    assert sorted((r.site, r.url) for r in discover.html_links(homes).collect()) == [("https://h.example.com", "https://h.example.com/ok")]
+    robots = spark.createDataFrame([("https://h.example.com", "Sitemap: //[x\nSitemap: /s.xml")], "site string, body string")
+    assert [r.url for r in discover.robots_sitemaps(robots).orderBy("pos").collect()] == [None, "https://h.example.com/s.xml"]
+
+
+def test_kind_of_a_feed_behind_a_long_comment():
+    comment = "<!--" + "x" * 420 + "-->"
+    assert feeds.parse_feed(f'{comment}<feed xmlns="http://www.w3.org/2005/Atom"><title>t</title></feed>')["kind"] == "ATOM"
+    assert feeds.parse_feed('<rss version="2.0" xmlns:a="http://www.w3.org/2005/Atom"><channel><title>the &lt;feed</title></channel></rss>')["kind"] == "RSS"
+
+
+def test_a_long_chain_of_sitemaps_with_a_cycle(spark):
+    import time
+
+    made = lambda k: f"<x><sitemapindex><sitemap><loc>s{(k + 1) % 31}</loc></sitemap></sitemapindex><urlset><url><loc>p{k}</loc></url></urlset></x>"
+    raw = spark.createDataFrame([(f"s{k}", made(k)) for k in range(31)], "url string, body string")
+    began = time.time()
+    got = discover.sitemap_pages(spark.createDataFrame([("s0",), ("s7",)], "url string"), raw).collect()
+    assert sorted((r.root, r.url) for r in got) == sorted((s, f"p{k}") for s in ("s0", "s7") for k in range(31))
+    assert time.time() - began < 90
+
+
+def test_expanded_sitemaps_of_a_site(spark):
+    sites = spark.createDataFrame([("https://h.example.com",)], "url string")
+    robots = spark.createDataFrame([("https://h.example.com", "nothing")], "site string, body string")
+    raw = spark.createDataFrame([("https://h.example.com/sitemap.xml", 200, "<urlset/>"), ("https://h.example.com/sitemap", 404, "<urlset/>")], "url string, status int, body string")
+    assert [tuple(r) for r in discover.site_sitemap_feeds(sites, robots, raw).collect()] == [("https://h.example.com", "https://h.example.com/sitemap.xml", "Sitemap")]

@@ -9,9 +9,9 @@ from quillmill.streaming import jobs
 
 
 def test_stream_of_health_is_the_batch(spark, sf_dir):
-    batch = feed_health(tables.fetch_log(spark, sf_dir))
+    batch = feed_health(tables.visit_log(spark, sf_dir))
     out = parsing._drained(jobs.health_stream(parsing.log_stream(spark, sf_dir)), "t", "update")
-    rows = lambda df: sorted(tuple(str(x) for x in r) for r in df.select("feed_id", F.col("last_checked").cast("timestamp_ntz"), F.col("last_successful_fetch").cast("timestamp_ntz"), "error_count", "last_error", "deactivated").collect())
+    rows = lambda df: sorted(tuple(str(x) for x in r) for r in df.select("feed_id", F.col("last_checked").cast("timestamp_ntz"), F.col("last_success").cast("timestamp_ntz"), "error_count", "last_error", "deactivated").collect())
     assert rows(batch) == rows(out)
 
 
