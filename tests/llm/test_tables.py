@@ -3,6 +3,8 @@
 import math
 import random
 
+import pytest
+
 from quillmill.llm import mixing, quality, topk, url_rules
 
 from .conftest import awkward_rows, prose
@@ -14,27 +16,59 @@ def plain_top_k(rows, k, every):
         if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v):
             good.setdefault(i, []).append([math.floor(64 * x) for x in v])
     out = []
-    for q, qs in good.items():
+    best = {i: max(vs) for i, vs in good.items()}
+    for q, qv in best.items():
         if q % every == 0:
-            for qv in qs[:1]:
-                found = sorted((-sum(a * b for a, b in zip(qv, v)), i) for i, vs in good.items() if i != q for v in vs[:1] if len(v) == len(qv))
-                out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(found[:k])]
+            found = sorted((-sum(a * b for a, b in zip(qv, v)), i) for i, v in best.items() if i != q and len(v) == len(qv))
+            out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(found[:k])]
     return sorted(out)
 
 
-def test_top_k(spark, monkeypatch):
-    monkeypatch.setattr(topk, "SHARD_ROWS", 60)
+VECTORS = "vec_id long, embedding array<double>"
+
+
+@pytest.mark.parametrize("rows_a_shard", [60, 100_000])
+def test_top_k(spark, monkeypatch, rows_a_shard):
+    monkeypatch.setattr(topk, "SHARD_ROWS", rows_a_shard)
+    monkeypatch.setattr(topk, "LEAST_ROWS", rows_a_shard)
     monkeypatch.setattr(topk, "QUERY_ROWS", 10)
+    monkeypatch.setattr(topk, "LEAF", 16)
     r = random.Random(3)
     rows = [(i, [r.gauss(0, 1) for _ in range(8)]) for i in range(300)]
-    rows += [(300 + i, [0.5] * 8) for i in range(120)]  # a hot vector: ties everywhere
-    rows += [(500, None), (501, [1.0, None] + [0.0] * 6), (502, [float("nan")] * 8), (503, [float("inf")] * 8), (None, [1.0] * 8), (504, [1.0, 2.0]), (520, [2.0, 1.0]), (540, []), rows[20], rows[20]]
-    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    rows += [(300 + i, [0.5] * 8) for i in range(180)]  # a hot vector: ties everywhere
+    rows += [(600 + i, [r.gauss(5 * (i % 4), 0.1) for _ in range(8)]) for i in range(100)]  # clusters that boxes tell apart
+    rows += [(500, None), (501, [1.0, None] + [0.0] * 6), (502, [float("nan")] * 8), (503, [float("inf")] * 8), (None, [1.0] * 8), (504, [1.0, 2.0]), (520, [2.0, 1.0]), (540, []), rows[20], rows[20], (40, [3.0] * 8), (41, [0.1] * 8)]
+    frame = spark.createDataFrame(rows, VECTORS).repartition(4)
     got = sorted(tuple(x) for x in topk.exact_top_k(frame, k=7, query_every=20).collect())
     assert got == plain_top_k(rows, 7, 20)
     assert topk.exact_top_k(frame.limit(0)).count() == 0
 
 
+def test_top_k_of_large_components(spark, monkeypatch):
+    monkeypatch.setattr(topk, "SHARD_ROWS", 10)
+    monkeypatch.setattr(topk, "LEAST_ROWS", 10)
+    r = random.Random(5)
+    for size in (3e6, 2e7):  # beyond exact doubles; beyond 62 bits for a bound on products
+        rows = [(i, [r.uniform(-1, 1) * (size if i % 20 == 0 else 1e6) for _ in range(3)]) for i in range(60)]
+        got = sorted(tuple(x) for x in topk.exact_top_k(spark.createDataFrame(rows, VECTORS), k=5).collect())
+        assert got == plain_top_k(rows, 5, 20)
+
+
+def test_boxes_spare_shards():
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    points = np.concatenate([r.normal(c, 2, (400, 4)) for c in (-300, 0, 300)]).astype(np.int64)
+    cells = topk.Cells(points, 6)
+    at = cells.of(points)
+    assert cells.cells == 6 and len(set(at.tolist())) == 6
+    low, high = (np.array([f(points[at == c], axis=0) for c in range(6)]) for f in (np.min, np.max))
+    query = np.array([[290, 300, 310, 300]])
+    bound = topk.box_bounds(low, high, query)[0]
+    kth = np.sort(points @ query[0])[-20]
+    assert 0 < (bound >= kth).sum() <= 3 and all((points[at == c] @ query[0]).max() <= bound[c] for c in range(6))
+
+
 def test_url_rules(spark):
     rules = [("com/en/", "block"), ("example.com/en/7", "allow"), ("com/en/7", "allow"), ("com/en/7", "block"), ("example.com/", "allow"), ("a.example.com/x", "block"), ("net", "block"), ("/p", "block"), ("/", "allow"), (None, "block"), ("org/", None)]
     urls = ["http://example.com/en/7", "https://WWW.Example.COM/en/71?x", "http://com/en/", "http://notexample.com/en/7#f", "http://a.example.com/xyz", "http://b.a.example.com/x/y", "ftp://u.net", "http://net?q", None, "no scheme", "", "http://", "http://example.com./en/7", "://x.net/p", "http:///p/q", "http:///q", "http://xn.org/p", "http://a..com/en/"]
