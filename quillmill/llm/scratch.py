@@ -10,6 +10,7 @@ from __future__ import annotations
 import gc
 import re
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,5 +56,7 @@ def shuffle_width(spark: SparkSession) -> int:
 
 def free_shuffles(spark: SparkSession) -> None:
     """Lets the cleaner take shuffle files of frames that nothing refers to any more; it acts only after a collection of garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        time.sleep(0.3)  # the gateway lets go of Python's frames in a thread of its own
+        spark._jvm.System.gc()

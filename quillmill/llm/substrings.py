@@ -45,9 +45,9 @@ from .words import Words, mix, runs_of, shingle_hashes
 
 WINDOW = 13
 #: Text bytes a map task packs at once, and packed bytes a bucket should hold.
-MAP_BYTES, BUCKET_BYTES = 3 << 20, 5 << 20
-#: Unpacked bytes that a bucket's task holds before it settles them.
-HELD_BYTES = 24 << 20
+MAP_BYTES, BUCKET_BYTES = 3 << 20, 4 << 20
+#: Unpacked bytes that a bucket's task holds before it settles them; settling takes about fifty times as much.
+HELD_BYTES = 7 << 20
 #: Text bytes at least, and share of the corpus, that are looked at for hot minimisers; so many are told apart at most.
 SAMPLE_BYTES, SAMPLE_SHARE, HOT = 16 << 20, 0.01, 50_000
 LAST = (1 << 63) - 1

@@ -58,7 +58,10 @@ class Words:
         self.text = np.repeat(np.arange(len(bounds) - 1), np.diff(self.first))
         up, down = powers(len(raw))
         prefix = np.zeros(len(raw) + 1, dtype=np.uint64)
-        np.cumsum(up[1 : len(raw) + 1] * (raw.astype(np.uint64) + np.uint64(1)), out=prefix[1:])
+        terms = raw.astype(np.uint64)
+        terms += np.uint64(1)
+        terms *= up[1 : len(raw) + 1]
+        np.cumsum(terms, out=prefix[1:])
         self.hash = mix((prefix[self.end] - prefix[self.start]) * down[self.start])
 
     def __len__(self) -> int:
