@@ -57,6 +57,10 @@ class WordEncoder:
         how = json.loads(self.tok.to_str())
         kind = how.get("pre_tokenizer") or {}
         self.cuts = kind.get("type") == "ByteLevel" and kind.get("use_regex", True) and not kind.get("add_prefix_space") and not how.get("normalizer") and not how.get("truncation") and not how.get("padding")
+        # Strings that are ids as they stand, wherever they are in a text; with white space in or around them nothing can be cut.
+        added = how.get("added_tokens") or []
+        self.added = [x["content"] for x in added]
+        self.cuts = self.cuts and not any(x.get("lstrip") or x.get("rstrip") or x.get("single_word") or any(c.isspace() for c in x["content"]) for x in added)
         self.words: dict[str, int] = {}  # place in `at` (0 is of no word) of a word with the space or line end before it; -1: not to be cut off
         self.at, self.pool = np.zeros(2, np.int32), np.zeros(0, self.dtype)
         if not self.cuts:
@@ -114,7 +118,9 @@ class WordEncoder:
         fresh = coded.take(pa.array(new))
         spaced = pc.if_else(pc.starts_with(fresh, "\n"), pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string()))
         fresh = pc.binary_join_element_wise(spaced, fresh, pa.scalar("", pa.large_string()))
-        easy = pc.match_substring_regex(fresh, _EASY).to_numpy(zero_copy_only=False) if self.safe else np.zeros(len(new), bool)
+        easy = pc.match_substring_regex(fresh, _EASY).to_numpy(zero_copy_only=False) & self.safe
+        for content in self.added:
+            easy &= ~pc.match_substring(fresh, content).to_numpy(zero_copy_only=False)
         for k in np.flatnonzero(~easy).tolist():
             own = distinct[new[k]].removeprefix("\n")
             if not own or own[0].isspace() or own[-1].isspace():

@@ -48,8 +48,7 @@ def sum_arrays(rows: DataFrame, size: int, tally: Callable[[np.ndarray, pa.Recor
         yield _rows(dict(enumerate(np.array_split(total, PIECES))), TaskContext.get().partitionId() % GROUPS)
 
     grouped = rows.mapInArrow(run, _KIND).repartition("piece", "tasks").mapInArrow(_add, _KIND)
-    found: dict[int, np.ndarray] = {}
-    # The driver gets at most PIECES x GROUPS rows, whatever the number of tasks.
-    for piece, _, x in grouped.collect():
-        found[piece] = found.get(piece, 0) + _expand(bytes(x))
+    whole = grouped.selectExpr("piece", "0 AS tasks", "total").repartition("piece").mapInArrow(_add, _KIND)
+    # The driver gets the array once, in pieces, whatever the number of tasks.
+    found = {piece: _expand(bytes(x)) for piece, _, x in whole.collect()}
     return np.concatenate([found.get(k, np.zeros(len(p))) for k, p in enumerate(np.array_split(np.zeros(size), PIECES))])

@@ -33,6 +33,24 @@ def test_encoder_agrees_with_the_library(texts):
     assert [unpack(x) for x in encoder(PATH).encode(texts)] == [ids(t) for t in texts]
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["don't", "a.b,c", "x\ny", "\n", "\n\n", " ", "  ", "\t", "é", "été.", "日本", "12ab", "''s", "²", "…", "<|endoftext|>", "_", "\u00a0", "A", "###"]), max_size=14).map("".join), st.lists(st.sampled_from([" ", "\n", ""]), max_size=3))
+def test_encoder_on_joined_kinds(text, ends):
+    texts = [text, *(e + text + e for e in ends), text.replace(" ", "\n"), ""]
+    assert [unpack(x) for x in encoder(PATH).encode(texts)] == [ids(t) for t in texts]
+
+
+def test_encoder_forgets_and_learns_again(monkeypatch):
+    from quillmill.llm import encoding
+
+    monkeypatch.setattr(encoding, "CACHE_WORDS", 50)
+    own = encoding.WordEncoder(PATH)
+    for k in range(20):
+        texts = [f"head{k} " + " ".join(f"w{j}x{j * k}" for j in range(30)) + f"\nline{k} end"] * 2
+        assert [unpack(x) for x in own.encode(texts)] == [ids(t) for t in texts]
+    assert len(own.words) < 200
+
+
 def test_encoder_on_whole_documents(spark, sf_dir):
     texts = [r[0] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
     assert [unpack(x) for x in encoder(PATH).encode(texts)] == [ids(t) for t in texts]
