@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import json
 import os
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -110,8 +111,8 @@ class WordEncoder:
 
     def _places(self, coded: pa.Array) -> np.ndarray:
         """Where each of the distinct words is in the pool; -1: not to be cut off."""
-        distinct, words = coded.to_pylist(), self.words
-        found = np.array([words.get(w, -2) for w in distinct], np.int32)
+        distinct, words = coded.to_numpy(zero_copy_only=False).tolist(), self.words
+        found = np.fromiter(map(words.get, distinct, repeat(-2)), np.int32, len(distinct))
         new = np.flatnonzero(found == -2)
         if not len(new):
             return found
