@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 STEP = 64.0
 _BITS = 48
-#: Up to so many sources their rates (about a kilobyte each) are broadcast; beyond, they are joined by shuffle.
-FEW_SOURCES = 5_000
+#: Up to so many sources their rates (about a kilobyte each) are broadcast; beyond, each is joined by shuffle in so many parts.
+FEW_SOURCES, SALTS = 5_000, 32
 
 
 def uniform(*parts: Column | str) -> Column:
@@ -66,9 +66,13 @@ def mix_sources(docs: DataFrame, weights: dict[str, float], seed: int = 17, epoc
     docs = docs.drop("copy", "copies", "shuffle_key")
     names = docs.columns
     rates = with_cdf(mean_rates(docs, weights, source_col, text_col, epochs)).select(F.col("_qm_source"), "_qm_draws", "_qm_cdf")
+    same = F.col(source_col).cast("string").eqNullSafe(F.col("_qm_source"))
     if docs.select(F.col(source_col)).distinct().limit(FEW_SOURCES + 1).count() <= FEW_SOURCES:
         rates = F.broadcast(rates)
-    joined = docs.join(rates, F.col(source_col).cast("string").eqNullSafe(F.col("_qm_source")))
+    else:  # a hot source is many parts
+        rates = rates.withColumn("_qm_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        same &= F.pmod(F.xxhash64(id_col, text_col), F.lit(SALTS)) == F.col("_qm_salt")
+    joined = docs.join(rates, same)
     seed_text = str(seed)
 
     def draw(k: Column) -> Column:

@@ -114,6 +114,18 @@ def test_mixing(spark, awkward, no_docs):
     assert mixing.mix_sources(no_docs, {"src0": 0.5}).count() == 0
 
 
+def test_many_sources_are_joined_in_parts(spark, awkward, monkeypatch):
+    hot = spark.range(3000).selectExpr("id AS doc_id", "concat('t', id) AS text", "if(id % 3 = 0, 'hot', if(id % 50 = 1, NULL, concat('s', id % 40))) AS source")
+    for docs in (awkward, hot):
+        few = mixing.mix_sources(docs, {"hot": 0.5}, seed=5, epochs=2.0).collect()
+        with monkeypatch.context() as patch:
+            patch.setattr(mixing, "FEW_SOURCES", 0)
+            many = mixing.mix_sources(docs, {"hot": 0.5}, seed=5, epochs=2.0)
+            assert "_qm_salt" in many._jdf.queryExecution().optimizedPlan().toString()
+            assert sorted(map(str, many.collect())) == sorted(map(str, few))
+    assert {r.source for r in few} >= {"hot", None}
+
+
 def test_means_and_shares(spark):
     docs = spark.range(20_000).selectExpr("id AS doc_id", "'0123456789' AS text", "CASE WHEN id % 10 < 7 THEN 'hot' ELSE concat('s', id % 3) END AS source")
     out = mixing.mix_sources(docs, {"hot": 0.25}, seed=1)
