@@ -47,8 +47,13 @@ def validated(raw: DataFrame) -> DataFrame:
 
 
 def common_path_feeds(sites: DataFrame, raw: DataFrame) -> DataFrame:
-    """Feeds that answer on a common path and parse."""
-    probes = candidates(sites).join(raw.where(F.col("status") == OK), "url")
+    """Feeds that answer on a common path and parse.
+
+    ``head_status``, where documents have it, is what the probe before the
+    reading got and decides alone; the status of the reading does not count then.
+    """
+    answer = "head_status" if "head_status" in raw.columns else "status"
+    probes = candidates(sites).join(raw.where(F.col(answer) == OK), "url")
     found = probes.select("site", "pos", "url", parsers.parse_feeds("body").alias("feed")).where("feed.success")
     return found.select("site", "pos", "url", F.col("feed.title").alias("title"), F.col("feed.kind").alias("type"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmill.functions.text import stored_hash
 from quillmill.functions.urls import FEED_PATHS
-from quillmill.operators import discover, health, stats
+from quillmill.operators import discover, health, schedule, stats
 from quillmill.operators import ingest as op
 from quillmill.sources import tables as t
 
@@ -191,15 +191,52 @@ def enrich_feeds(spark, d):
     return op.enrich(feeds, found).select("id", "title", "description")
 
 
+def site_forms(spark: SparkSession, d: str) -> DataFrame:
+    """Every fourth site edited, and as many created."""
+    edited = t.website(spark, d).where("id % 4 = 0").select("id", F.lit("New name").alias("name"), (F.col("id") % 8 == 0).alias("active"))
+    return edited.unionAll(edited.select(F.col("id") + 1000, "name", "active"))
+
+
 @query(
     """SELECT id, CASE WHEN id % 4 = 0 THEN 'New name' ELSE name END AS name, url, CASE WHEN id % 4 = 0 THEN id % 8 = 0 ELSE active END AS active FROM website
        UNION ALL SELECT id + 1000, 'New name', NULL, id % 8 = 0 FROM website WHERE id % 4 = 0"""
 )
 def put_websites(spark, d):
-    """Every fourth site edited, and as many created."""
-    sites = t.website(spark, d)
-    edited = sites.where("id % 4 = 0").select("id", F.lit("New name").alias("name"), (F.col("id") % 8 == 0).alias("active"))
-    return op.put_rows(sites.select("id", "name", "url", "active"), edited.unionAll(edited.select(F.col("id") + 1000, "name", "active")))
+    return op.put_rows(t.website(spark, d).select("id", "name", "url", "active"), site_forms(spark, d))
+
+
+@query("SELECT id + 1000 AS id, 'New name' AS name, id % 8 = 0 AS active FROM website WHERE id % 4 = 0")
+def sites_to_discover(spark, d):
+    """Created sites, which discovery is to visit."""
+    return schedule.created(t.website(spark, d), site_forms(spark, d))
+
+
+def site_requests(spark: SparkSession, d: str) -> DataFrame:
+    """Every site asked for, and as many that don't exist."""
+    ids = t.website(spark, d).select(F.col("id").alias("website_id"))
+    return ids.unionAll(ids.select(F.col("website_id") + 1000))
+
+
+#: Feeds of which every fifth site has no active one.
+_QUIET = "asked AS (SELECT id AS website_id FROM website UNION ALL SELECT id + 1000 FROM website), quiet AS (SELECT id, website_id, active AND website_id % 5 <> 0 AS active FROM feed)"
+
+
+def quiet_feeds(spark: SparkSession, d: str) -> DataFrame:
+    return t.feed(spark, d).withColumn("active", F.col("active") & (F.col("website_id") % 5 != 0))
+
+
+@query("SELECT website_id, id AS feed_id FROM quiet WHERE active AND website_id IN (SELECT website_id FROM asked) AND website_id IN (SELECT id FROM website)", _QUIET)
+def site_work(spark, d):
+    return schedule.site_work(site_requests(spark, d), t.website(spark, d), quiet_feeds(spark, d))
+
+
+@query(
+    """SELECT a.website_id, w.name, CASE WHEN w.id IS NULL THEN 'not_found' WHEN count(q.id) = 0 THEN 'no_active_feeds' ELSE 'queued' END AS outcome, count(q.id) AS feeds
+       FROM asked a LEFT JOIN website w ON w.id = a.website_id LEFT JOIN quiet q ON q.website_id = w.id AND q.active GROUP BY a.website_id, w.id, w.name""",
+    _QUIET,
+)
+def site_outcomes(spark, d):
+    return schedule.site_outcomes(site_requests(spark, d), t.website(spark, d), quiet_feeds(spark, d))
 
 
 @query("SELECT id, CASE WHEN id % 3 = 0 THEN 'Edited' ELSE title END AS title, CASE WHEN id % 3 = 0 THEN 'By hand' ELSE '' END AS description, CASE WHEN id % 3 = 0 THEN NOT active ELSE active END AS active FROM feed")

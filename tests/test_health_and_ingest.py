@@ -3,7 +3,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from quillmill.functions.text import content_hash
-from quillmill.operators import filters, ingest, stats
+from quillmill.operators import filters, ingest, schedule, stats
 from quillmill.operators.health import feed_health
 
 T0 = datetime(2024, 1, 1)
@@ -103,3 +103,15 @@ def test_tries(spark):
     rows = [("a", 1, "ok"), ("b", 1, "timeout"), ("b", 2, "http_error"), ("b", 3, "ok"), *(("c", k, "timeout") for k in range(1, 6)), ("d", 1, "timeout")]
     got = {r.url: (r.attempts, r.outcome) for r in ingest.retried(spark.createDataFrame(rows, "url string, attempt int, outcome string")).collect()}
     assert got == {"a": (1, "ok"), "b": (2, "http_error"), "c": (3, "timeout"), "d": (1, "timeout")}
+
+
+def test_requests_of_sites_have_outcomes(spark):
+    sites = spark.createDataFrame([(1, "A"), (2, "B")], "id long, name string")
+    feeds = spark.createDataFrame([(10, 1, True), (11, 1, False), (12, 1, True), (13, 2, False), (14, 7, True)], "id long, website_id long, active boolean")
+    asked = spark.createDataFrame([(1,), (2,), (7,), (None,)], "website_id long")
+    rows = {r.website_id: (r.name, r.outcome, r.feeds) for r in schedule.site_outcomes(asked, sites, feeds).collect()}
+    assert rows == {1: ("A", "queued", 2), 2: ("B", "no_active_feeds", 0), 7: (None, "not_found", 0), None: (None, "not_found", 0)}
+    twice = asked.unionAll(asked)
+    assert sorted(r.feed_id for r in schedule.site_work(twice, sites, feeds).collect()) == [10, 12]
+    assert schedule.site_outcomes(asked.limit(0), sites, feeds).isEmpty()
+    assert [r.id for r in schedule.created(sites, spark.createDataFrame([(2, "b"), (3, "c")], "id long, name string")).collect()] == [3]

@@ -132,3 +132,12 @@ def test_expanded_sitemaps_of_a_site(spark):
     robots = spark.createDataFrame([("https://h.example.com", "nothing")], "site string, body string")
     raw = spark.createDataFrame([("https://h.example.com/sitemap.xml", 200, "<urlset/>"), ("https://h.example.com/sitemap", 404, "<urlset/>")], "url string, status int, body string")
     assert [tuple(r) for r in discover.site_sitemap_feeds(sites, robots, raw).collect()] == [("https://h.example.com", "https://h.example.com/sitemap.xml", "Sitemap")]
+
+
+def test_the_probe_decides_on_common_paths(spark):
+    body = '<rss version="2.0"><channel><title>Main</title></channel></rss>'
+    sites = spark.createDataFrame([("https://a.example.org",)], "url string")
+    raw = spark.createDataFrame([("https://a.example.org/feed", 500, body, 200), ("https://a.example.org/rss.xml", 200, body, 404), ("https://a.example.org/atom", 200, body, None)], "url string, status int, body string, head_status int")
+    paths = lambda rows: sorted(r.url.rsplit("/", 1)[1] for r in discover.common_path_feeds(sites, rows).collect())
+    assert paths(raw) == ["feed"]
+    assert paths(raw.drop("head_status")) == ["atom", "rss.xml"]
