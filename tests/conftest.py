@@ -45,9 +45,10 @@ def duck(sf_dir):
 
 def rows_of(frame):
     """Rows with columns by name and values as text, in order: what two engines must agree on."""
+    import pandas as pd
 
     def text(v):
-        if v is None or v != v:
+        if v is None or v is pd.NA or v != v:
             return "NULL"
         if isinstance(v, float):
             return f"{v:.9g}"
