@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import oracles, quality
+from .clusters import ball_k_means, centroid_digest
 from .encoding import default_tokenizer
+from .fim import fill_in_middle, restored
 from .fingerprints import fingerprint_documents
 from .huffman import read_token_files, write_token_files
 from .mixing import mix_sources
@@ -69,6 +72,16 @@ def op10_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_spans(_table(spark, sf_dir, "documents"))
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle(_table(spark, sf_dir, "documents"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored(), 256).alias("restored_sha256"))
+
+
+def op13_ball_k_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ball_k_means(_table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", centroid_digest().alias("centroid_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
