@@ -15,6 +15,7 @@ from .fingerprints import fingerprint_documents
 from .huffman import read_token_files, write_token_files
 from .mixing import mix_sources
 from .near_dups import near_duplicates
+from .ngrams import score_texts
 from .packing import pack_documents
 from .pii import find_spans
 from .scratch import Scratch
@@ -72,6 +73,10 @@ def op10_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_spans(_table(spark, sf_dir, "documents"))
 
 
+def op11_elias_fano_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(_table(spark, sf_dir, "documents"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = fill_in_middle(_table(spark, sf_dir, "documents"))
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored(), 256).alias("restored_sha256"))
