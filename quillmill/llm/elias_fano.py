@@ -7,9 +7,13 @@ kept, so reads and searches touch a few words.  All reads take arrays.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 
 _SAMPLE = 64
+#: Steps along numbers of one upper part before halving, and numbers asked at once.
+_STEPS, _AT_ONCE = 4, 1 << 15
 _U = np.uint64
 
 
@@ -107,38 +111,69 @@ class EliasFano:
     def __len__(self) -> int:
         return self.n
 
-    def access(self, index: np.ndarray) -> np.ndarray:
+    def _bit(self, at: np.ndarray) -> np.ndarray:
+        return (self.high[at >> 6] >> (at & 63).astype(np.uint64) & _U(1)).astype(bool)
+
+    def _access(self, index: np.ndarray) -> np.ndarray:
         upper = self._select(index, False) - index.astype(np.uint64)
         return upper << _U(self.width) | self._low(index)
 
-    def successor(self, values: np.ndarray) -> np.ndarray:
-        """Index of the least number that is not below each value; ``n`` where there is none."""
-        values = np.asarray(values, np.uint64)
-        out = np.full(len(values), self.n, np.int64)
-        if not self.n or not len(values):
-            return out
+    def access(self, index: np.ndarray) -> np.ndarray:
+        return _blocks(self._access, index, np.uint64)
+
+    def _successor(self, values: np.ndarray) -> np.ndarray:
         upper = (values >> _U(self.width)).astype(np.int64)
-        last = int(self.access(np.array([self.n - 1]))[0])
-        inside = np.flatnonzero(values <= _U(last))
-        upper = upper[inside]
         first = np.zeros(len(upper), np.int64)
         after = np.flatnonzero(upper > 0)
         first[after] = self._select(upper[after] - 1, True).astype(np.int64) - (upper[after] - 1)
-        end = self._select(upper, True).astype(np.int64) - upper
-        low = values[inside] & _U((1 << self.width) - 1)
-        while len(open_ := np.flatnonzero(first < end)):  # numbers of one upper part, by halves
-            middle = (first[open_] + end[open_]) // 2
-            below = self._low(middle) < low[open_]
-            first[open_[below]] = middle[below] + 1
+        low = values & _U((1 << self.width) - 1)
+        # Numbers of one upper part are few as a rule: a few steps, and by halves where there are more.
+        on = np.arange(len(values))
+        for _ in range(_STEPS):
+            on = on[self._bit(first[on] + upper[on])]
+            on = on[self._low(first[on]) < low[on]]
+            if not len(on):
+                return first
+            first[on] += 1
+        end = self._select(upper[on], True).astype(np.int64) - upper[on]
+        while len(open_ := np.flatnonzero(first[on] < end)):
+            middle = (first[on[open_]] + end[open_]) // 2
+            below = self._low(middle) < low[on[open_]]
+            first[on[open_[below]]] = middle[below] + 1
             end[open_[~below]] = middle[~below]
-        out[inside] = first
+        return first
+
+    def successor(self, values: np.ndarray) -> np.ndarray:
+        """Index of the least number that is not below each value; ``n`` where there is none."""
+        values = np.asarray(values, np.uint64)
+        out = np.full(len(values), self.n, np.int64)
+        inside = self._inside(values)
+        out[inside] = _blocks(self._successor, values[inside], np.int64)
+        return out
+
+    def _inside(self, values: np.ndarray) -> np.ndarray:
+        return np.flatnonzero(values <= self.access(np.array([self.n - 1]))[0]) if self.n else np.zeros(0, np.int64)
+
+    def _find(self, values: np.ndarray) -> np.ndarray:
+        at = self._successor(values)
+        same = np.flatnonzero(self._bit(at + (values >> _U(self.width)).astype(np.int64)))
+        same = same[self._low(at[same]) == values[same] & _U((1 << self.width) - 1)]
+        out = np.full(len(at), -1, np.int64)
+        out[same] = at[same]
         return out
 
     def find(self, values: np.ndarray) -> np.ndarray:
         """Index of each value; -1 where it is not among the numbers."""
-        at = self.successor(values)
-        known = np.flatnonzero(at < self.n)
-        out = np.full(len(at), -1, np.int64)
-        same = self.access(at[known]) == np.asarray(values, np.uint64)[known]
-        out[known[same]] = at[known[same]]
+        values = np.asarray(values, np.uint64)
+        out = np.full(len(values), -1, np.int64)
+        inside = self._inside(values)
+        out[inside] = _blocks(self._find, values[inside], np.int64)
         return out
+
+
+def _blocks(read: Callable[[np.ndarray], np.ndarray], asked: np.ndarray, kind: type) -> np.ndarray:
+    """``read`` by stretches whose intermediate arrays stay in the processor's cache."""
+    out = np.empty(len(asked), kind)
+    for x in range(0, len(asked), _AT_ONCE):
+        out[x : x + _AT_ONCE] = read(asked[x : x + _AT_ONCE])
+    return out

@@ -26,7 +26,7 @@ base, the word counts with a half added, which keeps room for unknown words.
 
 The n-grams travel once, for training and for scoring.  A level holds every
 n-gram of the training texts, so what is gathered grows with them.  Contexts
-are told apart by 64-bit hashes and the words after a context by 32 bits.
+are told apart by 64-bit hashes and the words after a context by 24 bits.
 
 Defined results: null text is empty text, its end mark alone; a null id is held
 out or not by the word ``null``; repeated rows are scored alike, and each counts
@@ -39,6 +39,7 @@ from __future__ import annotations
 import mmap
 import zlib
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -52,17 +53,19 @@ from .elias_fano import EliasFano
 from .scratch import Scratch, shuffle_width
 from .words import Words, lower_ascii, mix, runs_of
 
-CHUNK_TOKENS = 1 << 20
-#: N-grams of a shard, and most shards of an order.
-SHARD_GRAMS, SHARDS = 1 << 20, 1 << 14
-#: Contexts with a greater share of an order's n-grams than one in so many are watched.
+CHUNK_TOKENS = 1 << 21
+#: Tokens for which there is a shard an order, and most shards.
+SHARD_TOKENS, SHARDS = 3 << 18, 1 << 14
+#: Bits of a word's hash that tell the words after a context apart.
+WORD_BITS = 24
+#: Contexts before a greater share of tokens than one in so many are watched.
 WATCHED = 4096
 #: A byte is a negative logarithm in these parts of a decade; 0 is absent.
 STEPS = 28.0
 END = np.uint64(0x5BD1E9955BD1E995)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _U = np.uint64
-CHUNK = "chunk long, ids array<long>, known array<boolean>, sizes array<int>, words binary, tokens binary, grams array<long>, heavy array<struct<order:int,context:long,grams:long>>"
+CHUNK = "chunk long, ids array<long>, known array<boolean>, sizes array<int>, words binary, tokens binary, n long, heavy array<struct<order:int,context:long,tokens:long>>"
 ASKED = "order int, shard int, chunk long, asked binary"
 ANSWER = "order int, shard int, chunk long, answer binary, tokens long, words long, parts array<struct<cell:long,n:long,t:long>>, level binary"
 
@@ -93,6 +96,32 @@ def to_code(p: np.ndarray) -> np.ndarray:
 VALUE = np.concatenate([[0.0], 10.0 ** (-np.arange(255) / STEPS)])
 
 
+def order_of(values: np.ndarray) -> np.ndarray:
+    """Order of numbers, by a plain sort of their upper bits with their places."""
+    n = len(values)
+    place = max(n - 1, 0).bit_length()
+    low = values.min() if n else _U(0)
+    spare = max(0, int(values.max() - low).bit_length() + place - 64) if n else 0
+    key = np.sort((values - low >> _U(spare)) << _U(place) | np.arange(n, dtype=np.uint64))
+    order = (key & _U((1 << place) - 1)).astype(np.int64)
+    if spare:
+        found = values[order]
+        wrong = np.flatnonzero(found[1:] < found[:-1])
+        if len(wrong):  # a few share all upper bits
+            return order[np.argsort(found, kind="stable")]
+    return order
+
+
+def order_of_pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Order of pairs of small numbers, in one number each where they fit."""
+    if not len(a):
+        return np.zeros(0, np.int64)
+    width = int(b.max()).bit_length()
+    if int(a.max()).bit_length() + width > 63:
+        return np.lexsort((b, a))
+    return order_of(a.astype(np.uint64) << _U(width) | b.astype(np.uint64))
+
+
 class Grams:
     """Different n-grams of one order in a chunk.
 
@@ -101,10 +130,9 @@ class Grams:
     """
 
     def __init__(self, contexts: np.ndarray, words: np.ndarray, context_hash: np.ndarray, word_hash: np.ndarray):
-        key = contexts << 32 | words
-        order = np.argsort(key, kind="stable")
-        a, b = runs_of(key[order])
-        self.of = np.empty(len(key), np.int64)
+        order = order_of_pairs(contexts, words)
+        a, b = runs_of((contexts << 32 | words)[order])
+        self.of = np.empty(len(order), np.int64)
         self.of[order] = np.repeat(np.arange(len(a)), b - a)
         self.first = order[a]
         self.context, self.word = contexts[self.first], words[self.first]
@@ -112,38 +140,57 @@ class Grams:
         self.hash = mix(context_hash[self.context] * _BASE + word_hash[self.word])
 
 
-def all_grams(tokens: np.ndarray, sizes: np.ndarray, word_hash: np.ndarray, order: int) -> list[Grams]:
-    """N-grams of orders 2 and up; the context of a token is the shorter n-gram that ends before it."""
-    start = np.cumsum(sizes) - sizes
-    of, hashes = tokens, word_hash
-    at_start = int(np.flatnonzero(word_hash == END)[0]) if len(tokens) else 0
-    out = []
-    for _ in range(order - 1):
-        contexts = np.empty_like(of)
-        contexts[1:] = of[:-1]
-        contexts[start] = at_start
-        out.append(Grams(contexts, tokens, hashes, word_hash))
+class Contexts:
+    """Of each token the n-gram that ends before it, and the hash of each such n-gram; ``grams`` are the longer ones."""
+
+    def __init__(self, tokens: np.ndarray, start: np.ndarray, word_hash: np.ndarray, of: np.ndarray, hashes: np.ndarray, at_start: int):
+        self.tokens, self.start, self.word_hash, self.hash, self.at_start = tokens, start, word_hash, hashes, at_start
+        self.of = np.empty_like(of)
+        self.of[1:] = of[:-1]
+        self.of[start] = at_start
+
+    @cached_property
+    def grams(self) -> Grams:
+        return Grams(self.of, self.tokens, self.hash, self.word_hash)
+
+    def longer(self) -> Contexts:
         # What stands before a text is end marks throughout.
-        of, hashes, at_start = out[-1].of, np.append(out[-1].hash, mix(hashes[at_start : at_start + 1] * _BASE + END)), len(out[-1].hash)
-    return out
+        start = mix(self.hash[self.at_start : self.at_start + 1] * _BASE + END)
+        return Contexts(self.tokens, self.start, self.word_hash, self.grams.of, np.append(self.grams.hash, start), len(self.grams.hash))
+
+
+def contexts_of(tokens: np.ndarray, sizes: np.ndarray, word_hash: np.ndarray, order: int) -> Iterator[tuple[int, Contexts]]:
+    """Contexts of orders 2 and up."""
+    found = Contexts(tokens, np.cumsum(sizes) - sizes, word_hash, tokens, word_hash, int(np.flatnonzero(word_hash == END)[0]))
+    for k in range(2, order + 1):
+        yield k, found
+        if k < order:
+            found = found.longer()
 
 
 class Cells:
     """What a chunk asks of an order: contexts, or parts of hot ones, in the order of their hash, and the words after each."""
 
     def __init__(self, grams: Grams, word_hash: np.ndarray, hot: tuple[np.ndarray, np.ndarray], shards: int):
-        word = (word_hash[grams.word] >> _U(32)).astype(np.uint32)
-        cell = grams.context_hash[grams.context]
-        places = np.searchsorted(hot[0], cell)
-        here = np.flatnonzero(hot[0][np.minimum(places, len(hot[0]) - 1)] == cell) if len(hot[0]) else np.zeros(0, np.int64)
-        if len(here):
-            cell[here] = part_hash(cell[here], word[here] % hot[1][places[here]])
-        self.order = np.lexsort((word, cell))
-        cell = cell[self.order]
+        word = (word_hash >> _U(64 - WORD_BITS)).astype(np.uint32)[grams.word]
+        known, of = grams.context_hash, grams.context
+        places = np.searchsorted(hot[0], known)
+        watched = np.flatnonzero(hot[0][np.minimum(places, len(hot[0]) - 1)] == known) if len(hot[0]) else np.zeros(0, np.int64)
+        if len(watched):  # each part is a cell after those of whole contexts
+            here = np.flatnonzero(np.isin(of, watched))
+            parts, mine = np.unique(np.stack([of[here], word[here] % hot[1][places[of[here]]]]), axis=1, return_inverse=True)
+            of = of.copy()
+            of[here] = len(known) + mine.ravel()
+            known = np.append(known, part_hash(known[parts[0]], parts[1]))
+        rank = np.empty(len(known), np.int64)
+        sorted_ = order_of(known)
+        rank[sorted_] = np.arange(len(known))
+        self.order = order_of_pairs(rank[of], word)
+        cell = rank[of][self.order]
         self.word = word[self.order]
         self.first, end = runs_of(cell)
         self.sizes = end - self.first
-        self.hash = cell[self.first]
+        self.hash = known[sorted_[cell[self.first]]]
         self.of = np.repeat(np.arange(len(self.first)), self.sizes)
         shard = ((self.hash >> _U(32)) * _U(shards)) >> _U(32)
         self.bounds = np.searchsorted(shard, np.arange(shards + 1, dtype=np.uint64))
@@ -180,16 +227,18 @@ class Level:
         n, m = (int(x) for x in np.frombuffer(buffer, np.uint64, 2, at))
         self.codes, self.weights = np.frombuffer(buffer, np.uint8, n, at + 16), np.frombuffer(buffer, np.uint8, m, at + 16 + n)
 
-    def contexts(self, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Place (-1: unknown), count, number of words after it and back-off byte of each context."""
+    def contexts(self, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place (-1: unknown) and back-off byte of each context."""
         place = self.cells.find(cell)
+        return place, np.where(place >= 0, self.weights[np.maximum(place, 0)], 0).astype(np.uint8) if len(self.weights) else np.zeros(len(cell), np.uint8)
+
+    def counts(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Count of each context and number of different words after it."""
         known = np.flatnonzero(place >= 0)
-        n, t, weight = np.zeros(len(cell), np.int64), np.zeros(len(cell), np.int64), np.zeros(len(cell), np.uint8)
-        at = place[known]
-        n[known] = self.running.access(at + 1) - self.running.access(at)
-        t[known] = self.pointers.access(at + 1) - self.pointers.access(at)
-        weight[known] = self.weights[at]
-        return place, n, t, weight
+        n, t = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
+        for out, found in ((n, self.running), (t, self.pointers)):
+            out[known] = found.access(place[known] + 1) - found.access(place[known])
+        return n, t
 
     def after(self, place: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Byte of each word after the context of this place; 0 if it was not seen there."""
@@ -198,7 +247,7 @@ class Level:
         found = self.words.find(words)[of]
         on = np.flatnonzero((place >= 0) & (found >= 0))
         at = self.places.find(place[on].astype(np.uint64) * _U(len(self.words)) + found[on].astype(np.uint64))
-        out[on] = np.where(at >= 0, self.codes[np.maximum(at, 0)], 0)
+        out[on[at >= 0]] = self.codes[at[at >= 0]]
         return out
 
 
@@ -214,28 +263,31 @@ def crc_split(folds: int, fold: int) -> Callable[[int | None], bool]:
     return lambda i: zlib.crc32(("null" if i is None else str(i)).encode()) % folds != fold
 
 
+def chunk_row(at: int, ids: list, parts: list[np.ndarray], order: int, trained: Callable[[int | None], bool]) -> list[list]:
+    """Columns of ``CHUNK`` with one row, from the word hashes of each text."""
+    hashes = np.concatenate(parts)
+    words, tokens, counts = np.unique(hashes, return_inverse=True, return_counts=True)
+    rank = np.argsort(-counts, kind="stable")
+    back = np.empty_like(rank)
+    back[rank] = np.arange(len(rank))
+    words, tokens = words[rank], back[tokens]  # frequent words have small places
+    sizes = np.array([len(p) for p in parts])
+    heavy = []
+    for k, contexts in contexts_of(tokens, sizes, words, order):
+        n = np.bincount(contexts.of, minlength=len(contexts.hash))
+        heavy += [{"order": k, "context": int(contexts.hash[c].view(np.int64)), "tokens": int(n[c])} for c in np.flatnonzero(n * WATCHED >= max(len(tokens), WATCHED * 16)).tolist()]
+    return [[at], [ids], [[trained(i) for i in ids]], [sizes.tolist()], [pack(words)], [pack(tokens.astype(np.uint32))], [len(tokens)], [heavy]]
+
+
 def to_chunks(rows: DataFrame, order: int, trained: Callable[[int | None], bool]) -> DataFrame:
     """``CHUNK`` rows of ``(doc_id, text)``."""
 
-    def close(ids: list, parts: list[np.ndarray], at: int) -> pa.RecordBatch:
-        hashes = np.concatenate(parts)
-        words, tokens, counts = np.unique(hashes, return_inverse=True, return_counts=True)
-        rank = np.argsort(-counts, kind="stable")
-        back = np.empty_like(rank)
-        back[rank] = np.arange(len(rank))
-        words, tokens = words[rank], back[tokens]  # frequent words have small places
-        sizes = np.array([len(p) for p in parts])
-        grams, heavy = [], []
-        for k, g in enumerate(all_grams(tokens, sizes, words, order)):
-            n = np.bincount(g.context, minlength=len(g.context_hash))
-            grams.append(len(g.word))
-            heavy += [{"order": k + 2, "context": int(g.context_hash[c].view(np.int64)), "grams": int(n[c])} for c in np.flatnonzero(n * WATCHED >= max(len(g.word), WATCHED * 16)).tolist()]
-        columns = [[at], [ids], [[trained(i) for i in ids]], [sizes.tolist()], [pack(words)], [pack(tokens.astype(np.uint32))], [grams], [heavy]]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
-
-    names = "chunk ids known sizes words tokens grams heavy".split()
-    found = pa.struct([("order", pa.int32()), ("context", pa.int64()), ("grams", pa.int64())])
-    kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(found)]
+    names = "chunk ids known sizes words tokens n heavy".split()
+    found = pa.struct([("order", pa.int32()), ("context", pa.int64()), ("tokens", pa.int64())])
+    kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.int64(), pa.list_(found)]
+
+    def close(at: int, ids: list, parts: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(chunk_row(at, ids, parts, order, trained), kinds)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, ids, parts, held = TaskContext.get().partitionId() << 32, [], [], 0
@@ -246,11 +298,11 @@ def to_chunks(rows: DataFrame, order: int, trained: Callable[[int | None], bool]
             parts += [np.append(words.hash[x:y], END) for x, y in zip(words.first[:-1].tolist(), words.first[1:].tolist())]
             held += len(words) + batch.num_rows
             if held >= CHUNK_TOKENS:
-                yield close(ids, parts, at)
+                yield close(at, ids, parts)
                 at, ids, parts, held = at + 1, [], [], 0
                 give_back()
         if ids:
-            yield close(ids, parts, at)
+            yield close(at, ids, parts)
 
     return rows.mapInArrow(run, CHUNK)
 
@@ -263,15 +315,13 @@ def _read_chunk(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 Hot = dict[int, tuple[np.ndarray, np.ndarray]]
 
 
-def hot_contexts(chunks: DataFrame, order: int, shards: dict[int, int], totals: list[int]) -> Hot:
-    """By order: hashes of contexts with more than half a shard's n-grams, and their numbers of parts; at most ``WATCHED`` an order."""
-    each = chunks.select(F.explode("heavy").alias("h")).groupBy("h.order", "h.context").agg(F.sum("h.grams").alias("grams"))
-    limit = {k: max(2 * totals[k - 2] // WATCHED, totals[k - 2] // (2 * shards[k])) for k in shards}
-    least = F.element_at(F.create_map(*(F.lit(x).cast("long") for pair in limit.items() for x in pair)), F.col("order").cast("long"))
-    found = each.where(F.col("grams") > least).collect()
+def hot_contexts(chunks: DataFrame, order: int, shards: int, total: int) -> Hot:
+    """By order: hashes of contexts with more than half a shard's share of all tokens, and their numbers of parts; at most ``WATCHED`` an order."""
+    each = chunks.select(F.explode("heavy").alias("h")).groupBy("h.order", "h.context").agg(F.sum("h.tokens").alias("tokens"))
+    found = each.where(F.col("tokens") > max(2 * total // WATCHED, total // (2 * shards))).collect()
     out: Hot = {}
     for k in range(2, order + 1):
-        own = sorted((np.int64(r["context"]).view(np.uint64), -(-4 * r["grams"] * shards[k] // totals[k - 2])) for r in found if r["order"] == k)
+        own = sorted((np.int64(r["context"]).view(np.uint64), -(-4 * r["tokens"] * shards // total)) for r in found if r["order"] == k)
         out[k] = np.array([c for c, _ in own], np.uint64), np.array([m for _, m in own], np.uint32)
     return out
 
@@ -281,28 +331,69 @@ def hot_cells(hot: Hot) -> dict[int, np.ndarray]:
     return {k: np.sort(np.concatenate([part_hash(np.full(m, c, np.uint64), np.arange(m)) for c, m in zip(contexts, parts.tolist())])) if len(contexts) else np.zeros(0, np.uint64) for k, (contexts, parts) in hot.items()}
 
 
-def ask(chunks: DataFrame, order: int, shards: dict[int, int], hot: Hot) -> DataFrame:
+def asked_rows(row: dict, order: int, shards: int, hot: Hot) -> Iterator[list[tuple]]:
+    """Rows of ``ASKED`` of a chunk, by order."""
+    tokens, sizes, words = _read_chunk(row)
+    train = np.repeat(np.array(row["known"], bool), sizes)
+    for k, contexts in contexts_of(tokens, sizes, words, order):
+        grams = contexts.grams
+        cells = Cells(grams, words, hot[k], shards)
+        counts = np.bincount(grams.of[train], minlength=len(grams.word)).astype(np.uint32)[cells.order]
+        found = []
+        for s in np.flatnonzero(np.diff(cells.bounds)).tolist():
+            (a, b), (x, y) = cells.bounds[s : s + 2], cells.gram_bounds[s : s + 2]
+            found.append((k, s, row["chunk"], pack(cells.hash[a:b], cells.sizes[a:b].astype(np.uint32), cells.word[x:y], counts[x:y])))
+        yield found
+
+
+def ask(chunks: DataFrame, order: int, shards: int, hot: Hot) -> DataFrame:
     """``ASKED``: the n-grams of each chunk by shard, with their counts in training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                tokens, sizes, words = _read_chunk(row)
-                train = np.repeat(np.array(row["known"], bool), sizes)
-                for k, grams in enumerate(all_grams(tokens, sizes, words, order), 2):
-                    counts = np.bincount(grams.of[train], minlength=len(grams.word)).astype(np.uint32)
-                    cells = Cells(grams, words, hot[k], shards[k])
-                    counts = counts[cells.order]
-                    found = []
-                    for s in np.flatnonzero(np.diff(cells.bounds)).tolist():
-                        (a, b), (x, y) = cells.bounds[s : s + 2], cells.gram_bounds[s : s + 2]
-                        found.append((k, s, row["chunk"], pack(cells.hash[a:b], cells.sizes[a:b].astype(np.uint32), cells.word[x:y], counts[x:y])))
+                for found in asked_rows(row, order, shards, hot):
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.int32(), pa.int32(), pa.int64(), pa.binary()))], ["order", "shard", "chunk", "asked"])
                 give_back()
 
     return chunks.mapInArrow(run, ASKED)
 
 
+def answer_rows(order: int, shard: int, chunks: list[int], asked: list[bytes], discount: float, hot: np.ndarray, keep_level: bool) -> list[tuple]:
+    """Rows of ``ANSWER`` of one shard."""
+    asked = [unpack(x, np.uint64, np.uint32, np.uint32, np.uint32) for x in asked]
+    hashes = np.concatenate([a[0] for a in asked])
+    by = order_of(hashes)
+    a, b = runs_of(hashes[by])
+    cells, of = hashes[by[a]], np.empty(len(by), np.int64)
+    of[by] = np.repeat(np.arange(len(a)), b - a)
+    # Of every n-gram asked: its cell, its word and its place among the different ones.
+    cell, word = np.repeat(of, np.concatenate([a[1] for a in asked])), np.concatenate([a[2] for a in asked])
+    by = order_of_pairs(cell, word)
+    a, b = runs_of((cell << 32 | word)[by])
+    gram = np.empty(len(by), np.int64)
+    gram[by] = np.repeat(np.arange(len(a)), b - a)
+    count = np.add.reduceat(np.concatenate([a[3] for a in asked]).astype(np.int64)[by], a)
+    cell, word = cell[by[a]], word[by[a]]
+    seen = count > 0
+    data = Level.build(cells[cell[seen]], word[seen], count[seen], discount)
+    level = Level(mapped(data))
+    place, weight = level.contexts(cells)
+    codes = level.after(place[cell], word)
+    mine = np.isin(cells, hot) if len(hot) else np.zeros(len(cells), bool)
+    parts = [{"cell": c, "n": n, "t": t} for c, n, t in zip(cells[mine].view(np.int64).tolist(), *(x.tolist() for x in level.counts(place[mine])))]
+    n = level.counts(place)[0] if order == 2 else np.zeros(0, np.int64)
+    rows = [(order, shard, -1, None, int(count.sum()), int((place[~mine] >= 0).sum()), parts, data if keep_level else None)]
+    ends = np.cumsum([(len(x[0]), len(x[2])) for x in asked], axis=0)
+    for chunk, x, (c, g) in zip(chunks, asked, ends.tolist()):
+        p, q = of[c - len(x[0]) : c], gram[g - len(x[2]) : g]
+        counts = n[p].astype(np.uint64) if order == 2 else n.astype(np.uint64)
+        # Only the chunk knows all parts of a hot context, so it gets exact counts and rounds itself.
+        exact = count[q[mine[cell[q]]]] if len(parts) else np.zeros(0, np.int64)
+        rows.append((order, shard, chunk, pack(counts, weight[p], codes[q], exact.astype(np.uint64)), 0, 0, None, None))
+    return rows
+
+
 def answer(asked: DataFrame, discount: float, hot: dict[int, np.ndarray], keep_levels: bool) -> DataFrame:
     """``ANSWER``: one row a shard and chunk, in the order asked, and one row a shard (chunk -1) with what it holds."""
     part = pa.struct([("cell", pa.int64()), ("n", pa.int64()), ("t", pa.int64())])
@@ -311,48 +402,22 @@ def answer(asked: DataFrame, discount: float, hot: dict[int, np.ndarray], keep_l
 
     def run(table: pa.Table) -> pa.Table:
         order, shard = table.column("order")[0].as_py(), table.column("shard")[0].as_py()
-        chunks = table.column("chunk").to_pylist()
-        asked = [unpack(x.as_py(), np.uint64, np.uint32, np.uint32, np.uint32) for x in table.column("asked")]
-        cells, of = np.unique(np.concatenate([a[0] for a in asked]), return_inverse=True)
-        places = np.split(of, np.cumsum([len(a[0]) for a in asked])[:-1])
-        key = np.concatenate([np.repeat(p, a[1]).astype(np.uint64) << _U(32) | a[2] for p, a in zip(places, asked)])
-        count = np.concatenate([a[3] for a in asked]).astype(np.int64)
-        key, count = key[count > 0], count[count > 0]
-        by = np.argsort(key, kind="stable")
-        key, count = key[by], count[by]
-        a, _ = runs_of(key)
-        count = np.add.reduceat(count, a) if len(a) else count
-        key = key[a]
-        data = Level.build(cells[(key >> _U(32)).astype(np.int64)], (key & _U(0xFFFFFFFF)).astype(np.uint32), count, discount)
-        level = Level(mapped(data))
-        place, n, t, weight = level.contexts(cells)
-        own = hot[order]
-        mine = np.flatnonzero(np.isin(cells, own)) if len(own) else np.zeros(0, np.int64)
-        parts = [{"cell": int(cells[c].view(np.int64)), "n": int(n[c]), "t": int(t[c])} for c in mine.tolist()]
-        rows = [(order, shard, -1, None, int(count.sum()), int((n > 0).sum()) - int((n[mine] > 0).sum()), parts, data if keep_levels else None)]
-        for chunk, p, x in zip(chunks, places, asked):
-            codes = level.after(np.repeat(place[p], x[1]), x[2])
-            counts = n[p].astype(np.uint64) if order == 2 else np.zeros(0, np.uint64)
-            # Only the chunk knows all parts of a hot context, so it gets exact counts and rounds itself.
-            inside = np.flatnonzero(np.repeat(np.isin(p, mine), x[1])) if len(mine) else np.zeros(0, np.int64)
-            wanted = np.repeat(p, x[1])[inside].astype(np.uint64) << _U(32) | x[2][inside]
-            at = np.minimum(np.searchsorted(key, wanted), max(len(key) - 1, 0))
-            exact = np.where(key[at] == wanted, count[at], 0) if len(key) else np.zeros(len(wanted), np.int64)
-            rows.append((order, shard, chunk, pack(counts, weight[p], codes, exact.astype(np.uint64)), 0, 0, None, None))
+        rows = answer_rows(order, shard, table.column("chunk").to_pylist(), [x.as_py() for x in table.column("asked")], discount, hot[order], keep_levels)
         give_back()
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
     return asked.groupBy("order", "shard").applyInArrow(run, ANSWER)
 
 
-def put_together(row: dict, answers: list[dict], order: int, hot: Hot, wholes: dict[int, dict[int, tuple[int, int]]], shards: dict[int, int], total: int, vocabulary: int, discount: float) -> dict[str, np.ndarray]:
+def put_together(row: dict, answers: list[dict], order: int, hot: Hot, wholes: dict[int, dict[int, tuple[int, int]]], shards: int, total: int, vocabulary: int, discount: float) -> dict[str, np.ndarray]:
     """Sums of the chunk's texts from what the shards say."""
     tokens, sizes, words = _read_chunk(row)
     known = {(a["order"], a["shard"]): a["answer"] for a in answers}
     base = lower = counts = None
     of = tokens
-    for k, grams in enumerate(all_grams(tokens, sizes, words, order), 2):
-        cells = Cells(grams, words, hot[k], shards[k])
+    for k, contexts in contexts_of(tokens, sizes, words, order):
+        grams = contexts.grams
+        cells = Cells(grams, words, hot[k], shards)
         found = [unpack(known[k, s], np.uint64, np.uint8, np.uint8, np.uint64) for s in np.flatnonzero(np.diff(cells.bounds)).tolist()]
         n, weight, codes, exact = (np.concatenate(x) for x in zip(*found))
         weight, p = VALUE[weight], VALUE[codes]
@@ -399,12 +464,11 @@ def score_texts(docs: DataFrame, order: int = 3, discount: float = 0.75, folds:
     scratch = Scratch(spark, "ngrams")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     chunks = scratch.save(to_chunks(rows, order, crc_split(folds, fold)), "chunks")
-    totals = list(chunks.agg(*(F.coalesce(F.sum(F.get("grams", F.lit(k))), F.lit(0)) for k in range(order - 1))).first())
-    if not totals[0]:
+    tokens = chunks.agg(F.sum("n")).first()[0]
+    if not tokens:
         return spark.createDataFrame([], kind)
-    least = shuffle_width(spark)
-    shards = {k: int(min(SHARDS, max(least, -(-totals[k - 2] // SHARD_GRAMS)))) for k in range(2, order + 1)}
-    hot = hot_contexts(chunks, order, shards, totals)
+    shards = int(min(SHARDS, max(shuffle_width(spark), -(-tokens // SHARD_TOKENS))))
+    hot = hot_contexts(chunks, order, shards, tokens)
     answers = scratch.save(answer(ask(chunks, order, shards, hot), discount, hot_cells(hot), levels_to is not None), "answers")
     about = answers.where("chunk = -1")
     if levels_to:
@@ -412,7 +476,7 @@ def score_texts(docs: DataFrame, order: int = 3, discount: float = 0.75, folds:
     # A row a shard in all, and at most one for each part of a hot context.
     total, vocabulary = about.where("order = 2").agg(F.sum("tokens"), F.sum("words")).first()
     cells = {(r["order"], np.int64(r["cell"]).view(np.uint64).item()): (r["n"], r["t"]) for r in about.select("order", F.inline("parts")).collect()}
-    wholes: dict[int, dict[int, tuple[int, int]]] = {k: {} for k in shards}
+    wholes: dict[int, dict[int, tuple[int, int]]] = {k: {} for k in hot}
     for k, (contexts, many) in hot.items():
         for c, m in zip(contexts, many.tolist()):
             numbers = [cells.get((k, x), (0, 0)) for x in part_hash(np.full(m, c, np.uint64), np.arange(m)).tolist()]

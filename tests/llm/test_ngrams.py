@@ -52,7 +52,8 @@ def test_level_in_a_mapped_file(tmp_path):
     with open(tmp_path / "level", "rb") as f:
         level = Level(memoryview(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)))
         asked = np.append(np.unique(cell), np.uint64(5))
-        place, n, t, weight = level.contexts(asked)
+        place, weight = level.contexts(asked)
+        n, t = level.counts(place)
         assert place[-1] == -1 and n[-1] == t[-1] == weight[-1] == 0
         for c in range(len(asked) - 1):
             mine = cell == asked[c]
@@ -122,7 +123,7 @@ def test_scores_of_awkward_rows(spark, awkward, no_docs, order):
 @pytest.mark.parametrize("grams", [2000, 1 << 20])
 def test_scores_over_many_chunks_and_shards(spark, monkeypatch, sf_dir, grams):
     monkeypatch.setattr(ngrams, "CHUNK_TOKENS", 3000)
-    monkeypatch.setattr(ngrams, "SHARD_GRAMS", grams)
+    monkeypatch.setattr(ngrams, "SHARD_TOKENS", grams)
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     agree(score_texts(docs, order=3).collect(), plain_scores(rows, 3))
@@ -130,7 +131,7 @@ def test_scores_over_many_chunks_and_shards(spark, monkeypatch, sf_dir, grams):
 
 def test_hot_contexts_are_dealt_in_parts(spark, monkeypatch):
     monkeypatch.setattr(ngrams, "CHUNK_TOKENS", 4000)
-    monkeypatch.setattr(ngrams, "SHARD_GRAMS", 200)
+    monkeypatch.setattr(ngrams, "SHARD_TOKENS", 200)
     # Half of all words are "of" and a pair is before very many words.
     rows = [(k, " ".join(f"of the {prose(100 * k + j, 1)}{j} of x{j % 7}" for j in range(80))) for k in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
