@@ -26,7 +26,8 @@ base, the word counts with a half added, which keeps room for unknown words.
 
 The n-grams travel once, for training and for scoring.  A level holds every
 n-gram of the training texts, so what is gathered grows with them.  Contexts
-are told apart by 64-bit hashes and the words after a context by 24 bits.
+are told apart by 56 bits of their hash and the words after a context by 24: of
+``t`` words after one context, about ``t / 2^25`` of each share them with another.
 
 Defined results: null text is empty text, its end mark alone; a null id is held
 out or not by the word ``null``; repeated rows are scored alike, and each counts
@@ -53,18 +54,19 @@ from .elias_fano import EliasFano
 from .scratch import Scratch, shuffle_width
 from .words import Words, lower_ascii, mix, runs_of
 
+_U = np.uint64
 CHUNK_TOKENS = 1 << 21
 #: Tokens for which there is a shard an order, and most shards.
 SHARD_TOKENS, SHARDS = 3 << 18, 1 << 14
-#: Bits of a word's hash that tell the words after a context apart.
+#: Bits of a word's hash that tell the words after a context apart, and those of a context's hash.
 WORD_BITS = 24
+CONTEXT_MASK = _U(((1 << 56) - 1) << 8)
 #: Contexts before a greater share of tokens than one in so many are watched.
 WATCHED = 4096
 #: A byte is a negative logarithm in these parts of a decade; 0 is absent.
 STEPS = 28.0
-END = np.uint64(0x5BD1E9955BD1E995)
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_U = np.uint64
+END = _U(0x5BD1E9955BD1E995)
+_BASE = _U(0x9E3779B97F4A7C15)
 CHUNK = "chunk long, ids array<long>, known array<boolean>, sizes array<int>, words binary, tokens binary, n long, heavy array<struct<order:int,context:long,tokens:long>>"
 ASKED = "order int, shard int, chunk long, asked binary"
 ANSWER = "order int, shard int, chunk long, answer binary, tokens long, words long, parts array<struct<cell:long,n:long,t:long>>, level binary"
@@ -126,7 +128,7 @@ class Grams:
     """Different n-grams of one order in a chunk.
 
     ``of``: of each token, its n-gram; ``context`` and ``word``: of each n-gram, by place in the order below and in the dictionary;
-    ``first``: of each n-gram, a token; ``hash``: of each n-gram.
+    ``first``: of each n-gram, a token; ``hash``: of each n-gram; ``key``: of each context, what names it in shards.
     """
 
     def __init__(self, contexts: np.ndarray, words: np.ndarray, context_hash: np.ndarray, word_hash: np.ndarray):
@@ -136,7 +138,7 @@ class Grams:
         self.of[order] = np.repeat(np.arange(len(a)), b - a)
         self.first = order[a]
         self.context, self.word = contexts[self.first], words[self.first]
-        self.context_hash = context_hash
+        self.key = context_hash & CONTEXT_MASK
         self.hash = mix(context_hash[self.context] * _BASE + word_hash[self.word])
 
 
@@ -173,7 +175,7 @@ class Cells:
 
     def __init__(self, grams: Grams, word_hash: np.ndarray, hot: tuple[np.ndarray, np.ndarray], shards: int):
         word = (word_hash >> _U(64 - WORD_BITS)).astype(np.uint32)[grams.word]
-        known, of = grams.context_hash, grams.context
+        known, of = grams.key, grams.context
         places = np.searchsorted(hot[0], known)
         watched = np.flatnonzero(hot[0][np.minimum(places, len(hot[0]) - 1)] == known) if len(hot[0]) else np.zeros(0, np.int64)
         if len(watched):  # each part is a cell after those of whole contexts
@@ -198,7 +200,7 @@ class Cells:
 
 
 def part_hash(context: np.ndarray, part: np.ndarray) -> np.ndarray:
-    return mix(context ^ mix(part.astype(np.uint64) + _U(1)))
+    return mix(context ^ mix(part.astype(np.uint64) + _U(1))) & CONTEXT_MASK
 
 
 class Level:
@@ -275,7 +277,7 @@ def chunk_row(at: int, ids: list, parts: list[np.ndarray], order: int, trained:
     heavy = []
     for k, contexts in contexts_of(tokens, sizes, words, order):
         n = np.bincount(contexts.of, minlength=len(contexts.hash))
-        heavy += [{"order": k, "context": int(contexts.hash[c].view(np.int64)), "tokens": int(n[c])} for c in np.flatnonzero(n * WATCHED >= max(len(tokens), WATCHED * 16)).tolist()]
+        heavy += [{"order": k, "context": int((contexts.hash[c] & CONTEXT_MASK).view(np.int64)), "tokens": int(n[c])} for c in np.flatnonzero(n * WATCHED >= max(len(tokens), WATCHED * 16)).tolist()]
     return [[at], [ids], [[trained(i) for i in ids]], [sizes.tolist()], [pack(words)], [pack(tokens.astype(np.uint32))], [len(tokens)], [heavy]]
 
 
@@ -394,7 +396,7 @@ def answer_rows(order: int, shard: int, chunks: list[int], asked: list[bytes], d
     return rows
 
 
-def answer(asked: DataFrame, discount: float, hot: dict[int, np.ndarray], keep_levels: bool) -> DataFrame:
+def answer(asked: DataFrame, discount: float, hot: dict[int, np.ndarray], tasks: int, keep_levels: bool) -> DataFrame:
     """``ANSWER``: one row a shard and chunk, in the order asked, and one row a shard (chunk -1) with what it holds."""
     part = pa.struct([("cell", pa.int64()), ("n", pa.int64()), ("t", pa.int64())])
     kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.list_(part), pa.binary()]
@@ -406,7 +408,7 @@ def answer(asked: DataFrame, discount: float, hot: dict[int, np.ndarray], keep_l
         give_back()
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
-    return asked.groupBy("order", "shard").applyInArrow(run, ANSWER)
+    return asked.repartition(tasks, "order", "shard").groupBy("order", "shard").applyInArrow(run, ANSWER)
 
 
 def put_together(row: dict, answers: list[dict], order: int, hot: Hot, wholes: dict[int, dict[int, tuple[int, int]]], shards: int, total: int, vocabulary: int, discount: float) -> dict[str, np.ndarray]:
@@ -424,10 +426,10 @@ def put_together(row: dict, answers: list[dict], order: int, hot: Hot, wholes: d
         seen = weight > 0
         context = grams.context[cells.order[cells.first]]
         # The parts of a hot context have counts of their own; here are the numbers of the whole.
-        split = np.isin(grams.context_hash[context], hot[k][0]) if len(hot[k][0]) else np.zeros(len(context), bool)
+        split = np.isin(grams.key[context], hot[k][0]) if len(hot[k][0]) else np.zeros(len(context), bool)
         whole = np.ones((len(context), 2))
         for c in np.flatnonzero(split).tolist():
-            whole[c] = wholes[k][int(grams.context_hash[context[c]])]
+            whole[c] = wholes[k][int(grams.key[context[c]])]
         seen[split] = whole[split, 0] > 0
         on = split & seen
         weight[on] = VALUE[to_code(discount * whole[on, 1] / whole[on, 0])]
@@ -464,12 +466,13 @@ def score_texts(docs: DataFrame, order: int = 3, discount: float = 0.75, folds:
     scratch = Scratch(spark, "ngrams")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     chunks = scratch.save(to_chunks(rows, order, crc_split(folds, fold)), "chunks")
-    tokens = chunks.agg(F.sum("n")).first()[0]
+    tokens, pieces = chunks.agg(F.sum("n"), F.count("*")).first()
     if not tokens:
         return spark.createDataFrame([], kind)
-    shards = int(min(SHARDS, max(shuffle_width(spark), -(-tokens // SHARD_TOKENS))))
+    least = shuffle_width(spark)
+    shards = int(min(SHARDS, max(least, -(-tokens // SHARD_TOKENS))))
     hot = hot_contexts(chunks, order, shards, tokens)
-    answers = scratch.save(answer(ask(chunks, order, shards, hot), discount, hot_cells(hot), levels_to is not None), "answers")
+    answers = scratch.save(answer(ask(chunks, order, shards, hot), discount, hot_cells(hot), shards * (order - 1), levels_to is not None), "answers")
     about = answers.where("chunk = -1")
     if levels_to:
         about.select("order", "shard", "level").write.mode("overwrite").parquet(levels_to)
@@ -494,4 +497,5 @@ def score_texts(docs: DataFrame, order: int = 3, discount: float = 0.75, folds:
     types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
     texts = chunks.select("chunk", "ids", "known", "sizes", "words", "tokens")
     back = answers.where("chunk >= 0").select("order", "shard", "chunk", "answer")
-    return texts.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(run, kind)
+    dealt = lambda df: df.repartition(max(least, pieces), "chunk").groupBy("chunk")
+    return dealt(texts).cogroup(dealt(back)).applyInArrow(run, kind)
