@@ -173,8 +173,8 @@ def contexts_of(tokens: np.ndarray, sizes: np.ndarray, word_hash: np.ndarray, or
 class Cells:
     """What a chunk asks of an order: contexts, or parts of hot ones, in the order of their hash, and the words after each."""
 
-    def __init__(self, grams: Grams, word_hash: np.ndarray, hot: tuple[np.ndarray, np.ndarray], shards: int):
-        word = (word_hash >> _U(64 - WORD_BITS)).astype(np.uint32)[grams.word]
+    def __init__(self, grams: Grams, word_hash: np.ndarray, hot: tuple[np.ndarray, np.ndarray], shards: int, word_bits: int):
+        word = (word_hash >> _U(64 - word_bits)).astype(np.uint32)[grams.word]
         known, of = grams.key, grams.context
         places = np.searchsorted(hot[0], known)
         watched = np.flatnonzero(hot[0][np.minimum(places, len(hot[0]) - 1)] == known) if len(hot[0]) else np.zeros(0, np.int64)
@@ -333,13 +333,13 @@ def hot_cells(hot: Hot) -> dict[int, np.ndarray]:
     return {k: np.sort(np.concatenate([part_hash(np.full(m, c, np.uint64), np.arange(m)) for c, m in zip(contexts, parts.tolist())])) if len(contexts) else np.zeros(0, np.uint64) for k, (contexts, parts) in hot.items()}
 
 
-def asked_rows(row: dict, order: int, shards: int, hot: Hot) -> Iterator[list[tuple]]:
+def asked_rows(row: dict, order: int, shards: int, hot: Hot, word_bits: int) -> Iterator[list[tuple]]:
     """Rows of ``ASKED`` of a chunk, by order."""
     tokens, sizes, words = _read_chunk(row)
     train = np.repeat(np.array(row["known"], bool), sizes)
     for k, contexts in contexts_of(tokens, sizes, words, order):
         grams = contexts.grams
-        cells = Cells(grams, words, hot[k], shards)
+        cells = Cells(grams, words, hot[k], shards, word_bits)
         counts = np.bincount(grams.of[train], minlength=len(grams.word)).astype(np.uint32)[cells.order]
         found = []
         for s in np.flatnonzero(np.diff(cells.bounds)).tolist():
@@ -348,13 +348,13 @@ def asked_rows(row: dict, order: int, shards: int, hot: Hot) -> Iterator[list[tu
         yield found
 
 
-def ask(chunks: DataFrame, order: int, shards: int, hot: Hot) -> DataFrame:
+def ask(chunks: DataFrame, order: int, shards: int, hot: Hot, word_bits: int) -> DataFrame:
     """``ASKED``: the n-grams of each chunk by shard, with their counts in training texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                for found in asked_rows(row, order, shards, hot):
+                for found in asked_rows(row, order, shards, hot, word_bits):
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.int32(), pa.int32(), pa.int64(), pa.binary()))], ["order", "shard", "chunk", "asked"])
                 give_back()
 
@@ -411,7 +411,7 @@ def answer(asked: DataFrame, discount: float, hot: dict[int, np.ndarray], tasks:
     return asked.repartition(tasks, "order", "shard").groupBy("order", "shard").applyInArrow(run, ANSWER)
 
 
-def put_together(row: dict, answers: list[dict], order: int, hot: Hot, wholes: dict[int, dict[int, tuple[int, int]]], shards: int, total: int, vocabulary: int, discount: float) -> dict[str, np.ndarray]:
+def put_together(row: dict, answers: list[dict], order: int, hot: Hot, wholes: dict[int, dict[int, tuple[int, int]]], shards: int, total: int, vocabulary: int, discount: float, word_bits: int) -> dict[str, np.ndarray]:
     """Sums of the chunk's texts from what the shards say."""
     tokens, sizes, words = _read_chunk(row)
     known = {(a["order"], a["shard"]): a["answer"] for a in answers}
@@ -419,7 +419,7 @@ def put_together(row: dict, answers: list[dict], order: int, hot: Hot, wholes: d
     of = tokens
     for k, contexts in contexts_of(tokens, sizes, words, order):
         grams = contexts.grams
-        cells = Cells(grams, words, hot[k], shards)
+        cells = Cells(grams, words, hot[k], shards, word_bits)
         found = [unpack(known[k, s], np.uint64, np.uint8, np.uint8, np.uint64) for s in np.flatnonzero(np.diff(cells.bounds)).tolist()]
         n, weight, codes, exact = (np.concatenate(x) for x in zip(*found))
         weight, p = VALUE[weight], VALUE[codes]
@@ -454,10 +454,10 @@ def put_together(row: dict, answers: list[dict], order: int, hot: Hot, wholes: d
     }
 
 
-def score_texts(docs: DataFrame, order: int = 3, discount: float = 0.75, folds: int = 5, fold: int = 1, id_col: str = "doc_id", text_col: str = "text", levels_to: str | None = None) -> DataFrame:
+def score_texts(docs: DataFrame, order: int = 3, discount: float = 0.75, folds: int = 5, fold: int = 1, id_col: str = "doc_id", text_col: str = "text", word_bits: int = WORD_BITS, levels_to: str | None = None) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``: one row a document.
 
-    ``levels_to`` names a folder for the trie: ``(order, shard, level)``, each level the buffer of a ``Level``.
+    ``word_bits`` (up to 32) tell the words after a context apart.  ``levels_to`` names a folder for the trie: ``(order, shard, level)``, each level the buffer of a ``Level``.
     """
     if order < 2:
         raise ValueError("order must be 2 or more")
@@ -472,7 +472,7 @@ def score_texts(docs: DataFrame, order: int = 3, discount: float = 0.75, folds:
     least = shuffle_width(spark)
     shards = int(min(SHARDS, max(least, -(-tokens // SHARD_TOKENS))))
     hot = hot_contexts(chunks, order, shards, tokens)
-    answers = scratch.save(answer(ask(chunks, order, shards, hot), discount, hot_cells(hot), shards * (order - 1), levels_to is not None), "answers")
+    answers = scratch.save(answer(ask(chunks, order, shards, hot, word_bits), discount, hot_cells(hot), shards * (order - 1), levels_to is not None), "answers")
     about = answers.where("chunk = -1")
     if levels_to:
         about.select("order", "shard", "level").write.mode("overwrite").parquet(levels_to)
@@ -488,7 +488,7 @@ def score_texts(docs: DataFrame, order: int = 3, discount: float = 0.75, folds:
             vocabulary += int(k == 2 and n > 0)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        done = [put_together(row, right.to_pylist(), order, hot, wholes, shards, total, vocabulary, discount) for row in left.to_pylist()]
+        done = [put_together(row, right.to_pylist(), order, hot, wholes, shards, total, vocabulary, discount, word_bits) for row in left.to_pylist()]
         give_back()
         out = {c: np.concatenate([d[c] for d in done]) if c != "doc_id" else sum((d[c] for d in done), []) for c in names}
         return pa.table([pa.array(out[c], t) for c, t in zip(names, types)], names=names)

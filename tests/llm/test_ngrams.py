@@ -124,10 +124,9 @@ def test_scores_of_awkward_rows(spark, awkward, no_docs, order):
 def test_scores_over_many_chunks_and_shards(spark, monkeypatch, sf_dir, grams):
     monkeypatch.setattr(ngrams, "CHUNK_TOKENS", 3000)
     monkeypatch.setattr(ngrams, "SHARD_TOKENS", grams)
-    monkeypatch.setattr(ngrams, "WORD_BITS", 32)
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    agree(score_texts(docs, order=3).collect(), plain_scores(rows, 3))
+    agree(score_texts(docs, order=3, word_bits=32).collect(), plain_scores(rows, 3))
 
 
 def test_hot_contexts_are_dealt_in_parts(spark, monkeypatch):
@@ -144,12 +143,9 @@ def test_hot_contexts_are_dealt_in_parts(spark, monkeypatch):
     agree(got, plain_scores(rows, 3))
 
 
-def test_few_bits_of_words_cost_little(spark, monkeypatch, sf_dir):
+def test_few_bits_of_words_cost_little(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    sums = []
-    for bits in (24, 32):
-        monkeypatch.setattr(ngrams, "WORD_BITS", bits)
-        sums.append(score_texts(docs).groupBy("held_out").sum("score").orderBy("held_out").collect())
+    sums = [score_texts(docs, word_bits=bits).groupBy("held_out").sum("score").orderBy("held_out").collect() for bits in (24, 32)]
     for a, b in zip(*sums):
         assert a[1] == pytest.approx(b[1], rel=1e-4)
 
