@@ -25,13 +25,18 @@
    are compared by all pairs of blocks of their bucket, without the pairs of
    blocks that are of one class already.
 4. Classes are the connected components of links.  Exact copies are one node
-   throughout, so copies cost a hash each.  A document carries the best link of
-   its text: the partner's least id and the similarity.
+   throughout, so copies cost a hash each.  A node is a text, named by its least
+   id and its hash together, so rows that share an id and not the text are nodes
+   of their own.  A document carries a verified link of its text, the best of
+   those met: the partner's least id and the similarity.  In buckets of one block
+   all pairs are met; in larger ones, pairs that are of one class already need
+   not be, so a better partner may exist there.
 
 Defined results: null text is empty text; texts without words match only their
-exact copies; a class is named by its least id; rows that share an id and not
-the text share a class; rows with a null id are named by a negative number
-from the text's hash; an empty table gives no rows; extra columns are ignored.
+exact copies; a class is named by its least id; of several classes with one
+least id (rows that share an id and not the text) that of the least text hash
+has the id, the others, and classes without an id, a negative number from the
+hash; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -255,12 +260,12 @@ def verify(members: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: flo
     """Links ``(a, b, similarity)`` within the blocks of ``members (band, block, node)``, by whole texts ``(node, text)``."""
     rows = texts.join(members.hint("shuffle_hash"), "node").select("band", "block", "node", "text").repartition("band", "block").sortWithinPartitions("band", "block")
 
-    def links(nodes: list[int], parts: list[pa.Array]) -> pa.RecordBatch:
+    def links(nodes: list[bytes], parts: list[pa.Array]) -> pa.RecordBatch:
         block = pa.RecordBatch.from_arrays([pa.concat_arrays(parts)], ["text"])
         near = similarities(*shingles(*bytes_of(block, "text")), idf)
         found = [(*sorted((nodes[x], nodes[y])), near[x, y]) for x, y in kept_links(near, threshold)] if len(nodes) > 1 else []
         a, b, how = zip(*found) if found else ((), (), ())
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(how, pa.float64())], ["a", "b", "similarity"])
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(how, pa.float64())], ["a", "b", "similarity"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, nodes, parts = None, [], []
@@ -280,7 +285,7 @@ def verify(members: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: flo
         if nodes:
             yield links(nodes, parts)
 
-    return rows.mapInArrow(run, "a long, b long, similarity double")
+    return rows.mapInArrow(run, "a binary, b binary, similarity double")
 
 
 def prefix_features(texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
@@ -289,10 +294,26 @@ def prefix_features(texts: DataFrame, idf: np.ndarray, threshold: float) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_text_size(batches, "text"):
             owner, features = prefixes(*shingles(*bytes_of(batch, "text")), idf, threshold)
-            nodes = batch.column("node").to_numpy(zero_copy_only=False)[owner]
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(features.view(np.int64))], ["node", "feature"])
+            nodes = batch.column("node").take(pa.array(owner))
+            yield pa.RecordBatch.from_arrays([nodes, pa.array(features.view(np.int64))], ["node", "feature"])
 
-    return texts.select("node", "text").mapInArrow(run, "node long, feature long")
+    return texts.select("node", "text").mapInArrow(run, "node binary, feature long")
+
+
+def node_of(doc_id: Column, key: Column) -> Column:
+    """25 bytes that sort by id, null ids last, and then by text hash."""
+    flipped = F.lpad(F.hex(doc_id.bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+    return F.concat(F.unhex(F.coalesce(F.concat(F.lit("00"), flipped), F.lit("01" + "0" * 16))), key)
+
+
+def hash_name(node: Column) -> Column:
+    return -F.abs(F.xxhash64(node) / 2).cast("long") - 1
+
+
+def name_of(node: Column) -> Column:
+    """The id in a node, or a negative number for null."""
+    digits = F.hex(F.substring(node, 2, 8))
+    return F.when(F.hex(F.substring(node, 1, 1)) == "00", F.conv(digits, 16, -10).cast("long").bitwiseXOR(F.lit(-(1 << 63)))).otherwise(hash_name(node))
 
 
 def _blocks(n: Column, size: Column) -> Column:
@@ -312,7 +333,7 @@ def block_pairs(members: DataFrame) -> DataFrame:
     """
     sizes = members.groupBy("band", "label").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
     sizes = sizes.join(sizes.groupBy("band").agg(F.count("*").alias("labels")).where("labels > 1"), "band")
-    sizes = sizes.select("band", "label", "n", "size", (F.col("n") >= BLOCK).alias("own")).withColumn("class", F.when(F.col("own"), F.col("label")).otherwise(0))
+    sizes = sizes.select("band", "label", "n", "size", (F.col("n") >= BLOCK).alias("own")).withColumn("class", F.when(F.col("own"), F.col("label")).otherwise(F.lit(bytearray())))
     classes = sizes.groupBy("band", "own", "class").agg(_blocks(F.sum("n"), F.sum("size")).alias("many"))
     blocks = classes.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("many") - 1))).select("band", F.struct("own", "class", "k").alias("x"))
     apart = (F.col("x") < F.col("y")) & ~(F.col("x.own") & F.col("y.own") & (F.col("x.class") == F.col("y.class")))
@@ -332,27 +353,23 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
     """``doc_id, text_key, class_id, class_texts, link_id, similarity``: one row a document.
 
     ``class_texts`` counts the class's different texts; ``link_id`` and
-    ``similarity`` are the best link of the document's text to another text
-    (the partner's least id), null without one.
+    ``similarity`` are a verified link of the document's text to another text
+    (the partner's least id), the best of those met; null without one.
     """
     scratch = Scratch(docs.sparkSession, "near-dups")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(text_col).alias("text_key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     idf = inverse_frequencies(*document_frequencies(rows))
     signed = scratch.save(signatures(rows, idf), "signed")
-    named = F.coalesce(F.min("doc_id"), -F.abs(F.xxhash64("text_key") / 2).cast("long") - 1)
-    nodes = scratch.save(signed.groupBy("text_key").agg(named.alias("node"), F.first("size").alias("size"), F.first("bands").alias("bands")), "nodes")
+    nodes = scratch.save(signed.groupBy("text_key").agg(node_of(F.min("doc_id"), F.col("text_key")).alias("node"), F.min("doc_id").alias("least_id"), F.first("size").alias("size"), F.first("bands").alias("bands")), "nodes")
     spread = nodes.select("node", "size", F.explode("bands").alias("band"))
     buckets = spread.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.bit_xor(F.xxhash64("node")).alias("all"), F.count("*").alias("n"), F.sum("size").alias("bytes")).where("n > 1")
     buckets = buckets.groupBy("least", "most", "all", "n", "bytes").agg(F.min("band").alias("band"))
     many = F.when(_fits(F.col("n"), F.col("bytes")), 1).otherwise(_blocks(F.col("n"), F.col("bytes")))
     met = scratch.save(spread.join(buckets.select("band", "least", many.cast("long").alias("many")), "band"), "met")
-    # Ids are the small side of every task, so texts stream past them unsorted.
-    active = scratch.save(met.select("node").distinct(), "active").hint("shuffle_hash")
-    texts = rows.join(active, F.col("doc_id") == F.col("node"), "left_semi")
-    if not nodes.where("node < 0").isEmpty():  # rows without an id
-        lone = rows.where("doc_id IS NULL").withColumn("doc_id", -F.abs(F.xxhash64("text_key") / 2).cast("long") - 1)
-        texts = texts.unionByName(lone.join(active, F.col("doc_id") == F.col("node"), "left_semi"))
-    texts = scratch.save(texts.groupBy(F.col("doc_id").alias("node")).agg(F.first("text").alias("text")), "texts")
+    # Nodes are the small side of every task, so texts stream past them unsorted; a text comes from the rows of its least id.
+    active = scratch.save(met.select("node").distinct().join(nodes.select("node", "text_key", "least_id"), "node"), "active").withColumnsRenamed({"text_key": "_key", "least_id": "_id"})
+    texts = rows.join(active.hint("shuffle_hash"), (F.col("text_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id")))
+    texts = scratch.save(texts.groupBy("node").agg(F.first("text").alias("text")), "texts")
 
     def blocks(members: DataFrame, k: int) -> DataFrame:
         """Each text's block; the least text of a bucket, most often the first of its copies, is in all of them."""
@@ -402,12 +419,15 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_
             scratch.drop(name)
     for name in ("met", "active", "texts", *(f"wide-{j + 1}" for j in range(k)), *(f"links-{j + 1}" for j in range(k))):
         scratch.drop(name)
-    partner = lambda x, y: links.select(F.col(x).alias("node"), F.struct("similarity", (-F.col(y)).alias("other")).alias("link"))
+    partner = lambda x, y: links.select(F.col(x).alias("node"), F.struct("similarity", F.bitwise_not(name_of(F.col(y))).alias("other")).alias("link"))
     best = partner("a", "b").unionAll(partner("b", "a")).groupBy("node").agg(F.max("link").alias("link"))
     where = nodes.select("text_key", "node").join(labels, "node", "left").join(best, "node", "left")
-    where = where.select("text_key", F.coalesce("label", "node").alias("class_id"), (-F.col("link.other")).alias("link_id"), F.col("link.similarity").alias("similarity"))
-    sizes = where.groupBy("class_id").agg(F.count("*").alias("class_texts"))
-    return signed.select("doc_id", "text_key").join(where.join(sizes, "class_id"), "text_key").select("doc_id", "text_key", "class_id", "class_texts", "link_id", "similarity")
+    where = where.select("text_key", F.coalesce("label", "node").alias("label"), F.bitwise_not("link.other").alias("link_id"), F.col("link.similarity").alias("similarity"))
+    sizes = where.groupBy("label").agg(F.count("*").alias("class_texts")).withColumn("class_id", name_of(F.col("label")))
+    # Classes of one least id: only the first has its name.
+    shared = sizes.groupBy("class_id").agg(F.count("*").alias("many"), F.min("label").alias("first")).where("many > 1").select("class_id", "first")
+    sizes = sizes.join(shared, "class_id", "left").select("label", "class_texts", F.when(F.col("label") != F.col("first"), hash_name(F.col("label"))).otherwise(F.col("class_id")).alias("class_id"))
+    return signed.select("doc_id", "text_key").join(where.join(sizes, "label"), "text_key").select("doc_id", "text_key", "class_id", "class_texts", "link_id", "similarity")
 
 
 def keep_one(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -6,8 +6,9 @@ real length and layout (lines, letter case, marks, digits, spaces, repeated line
 it sees no word.  Both models are sums of counts, so learning from all
 documents is one pass whose result has a fixed size.
 
-1. A bounded sample of labelled rows (``max_labelled``, those of least hash)
-   starts both models; a third of it is held back.
+1. A bounded sample of labelled rows starts both models: at most ``max_labelled``
+   ids, those of least hash, and of the rows of an id the one of least hash.  A
+   third of it is held back.
 2. Each round every document is scored by both views.  A document of which one
    view is sure (calibrated probability beyond ``sure`` or below ``1 - sure``)
    becomes an example for the other view's next model.
@@ -30,7 +31,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .batches import by_text_size, bytes_of
@@ -191,7 +192,7 @@ def add_examples(total: np.ndarray, slot: np.ndarray, at: np.ndarray, bins: np.n
 
 
 def labelled_scores(sample: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """Raw scores and labels of the held-back rows; as many rows as the sample has at most."""
+    """Raw scores and labels of the held-back rows, of which there are at most ``max_labelled``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_text_size(batches, "_qm_text"):
@@ -219,6 +220,9 @@ def train(docs: DataFrame, labels: DataFrame, rounds: int = 2, sure: float = 0.9
     # At most `max_labelled` ids and labels, so the broadcast is bounded.
     chosen = F.broadcast(marked.orderBy(F.xxhash64("_lid"), "_lid").limit(max_labelled))
     sample = rows.join(chosen, F.col("_id") == F.col("_lid")).withColumn("_held", F.pmod(F.xxhash64("_lid", F.lit(1)), F.lit(3)) == 0).drop("_lid")
+    # One row an id, taken before the shuffle as well as after it; so there are no more rows than ids.
+    own = [c for c in rows.columns if c != "_id"]
+    sample = sample.withColumn("_row", F.row_number().over(Window.partitionBy("_id").orderBy(F.xxhash64(*own), *own))).where("_row = 1").drop("_row")
     sample = scratch.save(sample, "labelled")
 
     def from_labels(total: np.ndarray, batch: pa.RecordBatch) -> None:

@@ -7,10 +7,8 @@ then costs a re-read, not a failed job.
 
 from __future__ import annotations
 
-import gc
 import re
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,10 +51,3 @@ class Scratch:
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-
-def free_shuffles(spark: SparkSession) -> None:
-    """Lets the cleaner take shuffle files of frames that nothing refers to any more; it acts only after a collection of garbage."""
-    for _ in range(2):
-        gc.collect()
-        time.sleep(0.3)  # the gateway lets go of Python's frames in a thread of its own
-        spark._jvm.System.gc()

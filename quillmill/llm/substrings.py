@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import by_text_size, bytes_of
-from .scratch import Scratch, free_shuffles, shuffle_width
+from .scratch import Scratch, shuffle_width
 from .words import Words, mix, runs_of, shingle_hashes
 
 WINDOW = 13
@@ -310,10 +310,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     buckets = min(max(4 * parts, size // BUCKET_BYTES), (1 << 31) - 1)
     packed = rows.mapInArrow(pack_windows(buckets, parts, window, hot), PACKED)
     found = packed.repartitionById(parts, F.col("part")).sortWithinPartitions("bucket").mapInArrow(find_repeats(window), FOUND)
-    scratch = Scratch(spark, "repeats")
-    found = scratch.save(found, "found")
-    del packed
-    free_shuffles(spark)
+    found = Scratch(spark, "repeats").save(found, "found")
     gone = found.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.collect_list("intervals").alias("intervals"))
     # Texts stream past their task's intervals unsorted.
     joined = rows.join(gone.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")), "left")

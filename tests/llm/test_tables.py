@@ -234,3 +234,20 @@ def test_classifier_edges(spark, awkward, no_docs):
     assert quality.score(no_docs, model).count() == 0
     assert quality.train(no_docs, labels) is None and quality.train(awkward, labels.where("quality = 1")) is None
     assert quality.score(awkward, None).where("keep").count() == awkward.count()
+
+
+def test_labelled_rows_are_bounded(spark, monkeypatch):
+    """Ids of very many rows count as one row each, so no more rows than ids reach the driver."""
+    rows = [(k, prose(k, 20) if k % 2 else "buy!! " * 10 + prose(k, 5), "en", "s") for k in range(40)]
+    rows += [(7, prose(1000 + j, 8), "en", "s") for j in range(3000)] + [(8, "buy!! " * 8, "en", "s")] * 500
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int")
+    sizes = []
+    scores = quality.labelled_scores
+    monkeypatch.setattr(quality, "labelled_scores", lambda sample, model: (sizes.append(sample.count()), scores(sample, model))[1])
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(4)
+    model = quality.train(docs, labels)
+    assert set(sizes) == {40} and model is not None
+    sizes.clear()
+    quality.train(docs, labels, max_labelled=12)
+    assert set(sizes) == {12}
+    assert quality.score(docs, model).count() == len(rows)

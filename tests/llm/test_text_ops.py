@@ -256,9 +256,11 @@ def test_separate_pairs_of_a_wide_bucket(spark, monkeypatch):
 def test_all_blocks_of_different_classes_meet(spark, monkeypatch):
     monkeypatch.setattr(near_dups, "BLOCK", 4)
     rows = [(1, k, 0 if k < 30 else 30 if k < 45 else k, 100) for k in range(60)] + [(2, k, 0, 100) for k in range(30)]
+    as_node = lambda c: F.unhex(F.lpad(F.hex(c), 4, "0"))
+    members = spark.createDataFrame(rows, "band long, node long, label long, size long").withColumns({c: as_node(c) for c in ("node", "label")})
     got = {}
-    for r in near_dups.block_pairs(spark.createDataFrame(rows, "band long, node long, label long, size long")).collect():
-        got.setdefault((r.band, r.block), set()).add(r.node)
+    for r in near_dups.block_pairs(members).collect():
+        got.setdefault((r.band, r.block), set()).add(int.from_bytes(r.node))
     label = {n: x for b, n, x, _ in rows if b == 1}
     assert {b for b, _ in got} == {1}
     assert all(any({x, y} <= s for s in got.values()) for x in label for y in label if label[x] != label[y])
@@ -275,6 +277,35 @@ def test_blocks_are_bounded_by_bytes(spark, monkeypatch):
     assert {d for d, c in strict.items() if c == 0} <= {r.doc_id for r in got if r.class_id == 0}
 
 
+def test_rows_that_share_an_id(spark):
+    """Classes are of texts, whatever the order of the rows and the ids they share."""
+    s, t, u = prose(1, 100), prose(2, 100), prose(3, 100)
+    rows = [(5, s), (5, t), (6, s + " word"), (7, t + " word"), (None, u), (5, u + " word"), (None, s), (8, u)]
+    for order in (rows, rows[::-1], rows[3:] + rows[:3]):
+        docs = spark.createDataFrame(order, "doc_id long, text string").coalesce(1)
+        got = {(r.doc_id, bytes(r.text_key)): r for r in near_dups.near_duplicates(docs).collect()}
+        key = lambda x: hashlib.md5(x.encode()).digest()
+        members = {}
+        for (i, k), r in got.items():
+            members.setdefault(r.class_id, set()).add((i, k))
+        want = [{(5, key(s)), (6, key(s + " word")), (None, key(s))}, {(5, key(t)), (7, key(t + " word"))}, {(None, key(u)), (5, key(u + " word")), (8, key(u))}]
+        assert sorted(map(len, members.values())) == [2, 3, 3] and all(w in members.values() for w in want)
+        assert sum(c == 5 for c in members) == 1 and sum(c < 0 for c in members) == 2
+        assert got[6, key(s + " word")].link_id == 5 and got[5, key(t)].link_id == 7 and got[5, key(u + " word")].link_id == 8
+        kept = sorted((r.doc_id, r.text) for r in near_dups.keep_one(docs).collect())
+        assert kept == sorted([(5, s), (5, t), (5, u + " word")])
+
+
+def test_negative_and_extreme_ids(spark):
+    s = prose(4, 100)
+    low, high = -(1 << 63), (1 << 63) - 1
+    for ids in ((low, -3, 0), (-3, 0, high), (high, None, low), (None, high, 4)):
+        docs = spark.createDataFrame([(i, s if k else s + " word") for k, i in enumerate(ids)], "doc_id long, text string")
+        least = min(i for i in ids if i is not None)
+        assert {r.class_id for r in near_dups.near_duplicates(docs).collect()} == {least}
+        assert [r.doc_id for r in near_dups.keep_one(docs).collect()] == [least]
+
+
 def test_links_are_verified_pairs(spark):
     base = [prose(k, 200) for k in range(4)]
     rows = [(k, t) for k, t in enumerate(base)] + [(10 + k, edited(base[k], k, 2)) for k in range(3)] + [(20, base[0]), (21, edited(base[0], 90, 3))]
