@@ -3,13 +3,16 @@
 The standard library's tokenizer feeds a small tree.  Recovery rules: void
 elements never nest; ``p``, ``li`` and table parts close a like one that is
 still open in the same block; an end tag without a start is ignored; what is
-open at the end is closed.
+open at the end is closed.  The work is in proportion to the page, whatever its
+tags: ends are found by the depths at which names are open, and texts are
+stretches of one list of strings.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Callable, Iterator
+from html import unescape
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -31,16 +34,21 @@ ARTICLE_SELECTORS = (
     "article", '[role="main"] article', "main article", ".post-content", ".entry-content", ".article-content", ".article__body", ".story-content", ".content-body", ".article-text", ".post-body",
     ".content", "#content", ".post", ".article-body", ".story-body", '[itemprop="articleBody"]', ".field-name-body", ".node-content", ".entry", ".single-content",
 )
-TEXT_TAGS = ("p", *HEADINGS, "blockquote", "li")
+TEXT_TAGS = frozenset(("p", *HEADINGS, "blockquote", "li"))
+_PARAGRAPH = frozenset(("p",))
 FEED_TYPES = ("application/rss+xml", "application/atom+xml", "application/rdf+xml", "application/feed+json", "text/xml")
+#: Starts of tags without an end that the tokenizer gets.
+MAX_UNENDED = 50
 MIN_BLOCK, MIN_ARTICLE, MIN_PARAGRAPH, MIN_RUN, MIN_TEXT = 30, 200, 50, 3, 500
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children", "parent")
+    """``inside``: which of ``ABOVE`` an element around this one meets."""
 
-    def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None):
-        self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
+    __slots__ = ("tag", "attrs", "children", "inside")
+
+    def __init__(self, tag: str, attrs: dict[str, str], inside: frozenset[str] = frozenset()):
+        self.tag, self.attrs, self.inside, self.children = tag, attrs, inside, []
 
     def walk(self) -> Iterator[Node]:
         """Elements below, in document order."""
@@ -59,11 +67,33 @@ class Node:
             else:
                 yield x
 
-    def text(self, between: str = "") -> str:
+    def text(self) -> str:
         """Text nodes, each stripped, put together."""
-        return between.join(filter(None, (s.strip() for s in self.strings())))
+        return "".join(s.strip() for s in self.strings())
+
+    def texts(self, tags: frozenset[str]) -> Iterator[tuple[str, str]]:
+        """Tag and text (text nodes, each stripped, put together) of the elements below with these tags, in document order.
 
-    def drop(self, test) -> None:
+        Strings are gathered once: an element's text is a stretch of them.
+        """
+        pieces: list[str] = []
+        spans: list[list] = []
+        stack: list = list(reversed(self.children))
+        while stack:
+            x = stack.pop()
+            if isinstance(x, Node):
+                if x.tag in tags:
+                    spans.append([x.tag, len(pieces), 0])
+                    stack.append(spans[-1])  # closes the stretch
+                stack.extend(reversed(x.children))
+            elif isinstance(x, list):
+                x[2] = len(pieces)
+            elif x := x.strip():
+                pieces.append(x)
+        for tag, start, end in spans:
+            yield tag, "".join(pieces[start:end])
+
+    def drop(self, test: Callable[[Node], bool]) -> None:
         """Takes out the elements below that meet the test."""
         stack = [self]
         while stack:
@@ -71,28 +101,55 @@ class Node:
             node.children = [c for c in node.children if not (isinstance(c, Node) and test(c))]
             stack.extend(c for c in node.children if isinstance(c, Node))
 
-    def has_class(self, name: str) -> bool:
-        return name in (self.attrs.get("class") or "").split()
+    def names(self) -> Iterator[str]:
+        """Simple selectors that the element meets."""
+        yield self.tag
+        for c in self.attrs.get("class", "").split():
+            yield f".{c}"
+        if "id" in self.attrs:
+            yield f"#{self.attrs['id']}"
+        for a in ("role", "itemprop"):
+            if a in self.attrs:
+                yield f'[{a}="{self.attrs[a]}"]'
+
+
+#: Parts of selectors that stand before another.
+ABOVE = frozenset(x for s in ARTICLE_SELECTORS for x in s.split()[:-1])
+_DROPPED = frozenset(DROP_SELECTORS)
 
 
 class _Builder(HTMLParser):
+    """Keeps the depths at which each name is open, so that no tag makes it climb past elements that stay open."""
+
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.root = Node("", {}, None)
-        self.at = self.root
+        self.root = Node("", {})
+        self.path = [self.root]
+        self.open: dict[str, list[int]] = defaultdict(list)
+        self.blocks: list[int] = []
+
+    def close_to(self, depth: int) -> None:
+        """Ends the elements from this depth on."""
+        while len(self.path) > depth:
+            tag = self.path.pop().tag
+            self.open[tag].pop()
+            if tag in BLOCKS:
+                self.blocks.pop()
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         ends = CLOSES.get(tag, "p" if tag in BLOCKS else "").split()
-        node = self.at
-        while ends and node.parent is not None and (node.tag not in BLOCKS or node.tag in ends):
-            if node.tag in ends:
-                self.at = node.parent
-                break
-            node = node.parent
-        node = Node(tag, {k: v or "" for k, v in attrs}, self.at)
-        self.at.children.append(node)
+        if depth := max((self.open[e][-1] for e in ends if self.open[e]), default=0):
+            if not self.blocks or depth >= self.blocks[-1]:
+                self.close_to(depth)
+        above = self.path[-1]
+        met = ABOVE.intersection(above.names()) if len(self.path) > 1 else frozenset()
+        node = Node(tag, {k: v or "" for k, v in attrs}, above.inside | met if met else above.inside)
+        above.children.append(node)
         if tag not in VOID:
-            self.at = node
+            self.open[tag].append(len(self.path))
+            if tag in BLOCKS:
+                self.blocks.append(len(self.path))
+            self.path.append(node)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -100,56 +157,46 @@ class _Builder(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        node = self.at
-        while node.parent is not None and node.tag != tag:
-            node = node.parent
-        if node.parent is not None:
-            self.at = node.parent
+        if self.open[tag]:
+            self.close_to(self.open[tag][-1])
 
     def handle_data(self, data: str) -> None:
-        self.at.children.append(data)
+        self.path[-1].children.append(data)
 
 
 def parse(html: str) -> Node:
-    """The page's tree; markup that the tokenizer can't read ends it, and what came before is kept."""
+    """The page's tree; markup that the tokenizer can't read ends it, and what came before is kept.
+
+    Behind the last ``>`` no tag ends.  The tokenizer would look for the end of each, so many starts there are text.
+    """
     b = _Builder()
+    cut = html.rfind(">") + 1
+    rest = html[cut:] if html.count("<", cut) > MAX_UNENDED else ""
     try:
-        b.feed(html)
+        b.feed(html[: len(html) - len(rest)])
         b.close()
+        if rest:
+            b.handle_data(unescape(rest))
     except (AssertionError, ValueError, IndexError):
         pass
     return b.root
 
 
-def _simple(selector: str):
-    if m := re.fullmatch(r'\[(\w+)="(\w+)"\]', selector):
-        return lambda n: n.attrs.get(m[1]) == m[2]
-    if selector[0] == ".":
-        return lambda n: n.has_class(selector[1:])
-    if selector[0] == "#":
-        return lambda n: n.attrs.get("id") == selector[1:]
-    return lambda n: n.tag == selector
-
-
-def matcher(selector: str):
-    """Test for a tag, class, id or attribute, or for one of these below another."""
-    *above, own = map(_simple, selector.split())
-
-    def test(node: Node) -> bool:
-        if not own(node):
-            return False
-        up, left = node.parent, list(above)
-        while left and up is not None:
-            if left[-1](up):
-                left.pop()
-            up = up.parent
-        return not left
-
-    return test
-
-
-_DROPS = [matcher(s) for s in DROP_SELECTORS]
-_ARTICLES = [matcher(s) for s in ARTICLE_SELECTORS]
+def first_matches(root: Node, selectors: tuple[str, ...]) -> list[Node]:
+    """The first element of each selector that has one, in the order of the selectors, from one walk."""
+    by_name: dict[str, list[tuple[int, str]]] = defaultdict(list)
+    for k, s in enumerate(selectors):
+        *above, own = s.split()
+        by_name[own].append((k, above[0] if above else ""))
+    found: dict[int, Node] = {}
+    for node in root.walk():
+        for name in node.names():
+            for k, above in by_name.get(name, ()):
+                if k not in found and (not above or above in node.inside):
+                    found[k] = node
+        if len(found) == len(selectors):
+            break
+    return [found[k] for k in sorted(found)]
 
 
 def paragraph_runs(paragraphs: list[str]) -> list[str]:
@@ -171,22 +218,13 @@ def article_text(html: str | None) -> str | None:
     if not html:
         return None
     root = parse(html)
-    root.drop(lambda n: n.tag in ("script", "style") or n.tag in DROP_TAGS or any(t(n) for t in _DROPS))
-    elements = list(root.walk())
-    for test in _ARTICLES:
-        found = next((n for n in elements if test(n)), None)
-        if found is None:
-            continue
+    root.drop(lambda n: n.tag in ("script", "style") or n.tag in DROP_TAGS or (bool(n.attrs) and not _DROPPED.isdisjoint(n.names())))
+    for found in first_matches(root, ARTICLE_SELECTORS):
         found.drop(lambda n: n.tag in ("script", "style", "noscript"))
-        blocks = []
-        for n in found.walk():
-            if n.tag in TEXT_TAGS:
-                text = n.text()
-                if len(text) > MIN_BLOCK:
-                    blocks.append(f"\n{text}\n" if n.tag in HEADINGS else text)
+        blocks = [f"\n{text}\n" if tag in HEADINGS else text for tag, text in found.texts(TEXT_TAGS) if len(text) > MIN_BLOCK]
         if len("\n".join(blocks)) > MIN_ARTICLE:
             return "\n\n".join(blocks)
-    if kept := paragraph_runs([n.text() for n in root.walk() if n.tag == "p"]):
+    if kept := paragraph_runs([text for _, text in root.texts(_PARAGRAPH)]):
         return "\n\n".join(kept)
     lines = [x for x in (s.strip() for s in "\n".join(root.strings()).split("\n")) if len(x) > MIN_PARAGRAPH]
     text = "\n".join(lines)

@@ -28,6 +28,20 @@ def feed_health(logs: DataFrame) -> DataFrame:
     return state.select("feed_id", "last_checked", "last_success", F.col("now.fails").alias("error_count"), F.coalesce("now.message", F.lit("")).alias("last_error"), "deactivated")
 
 
+def health_events(logs: DataFrame, feeds: DataFrame) -> DataFrame:
+    """The visits that move a feed's health, as they move it.
+
+    An unexpected exception (``unexpected``) closes its log as failed and leaves
+    the feed alone.  Reading a sitemap gives an empty list where it fails, so a
+    visit to a sitemap feed always counts as a success.  Visits to unknown feeds
+    count as they are.  Works on streams of logs too.
+    """
+    kinds = feeds.select(F.col("id").alias("_feed"), "feed_type")
+    rows = logs.where(~F.coalesce("unexpected", F.lit(False))).join(kinds, F.col("feed_id") == F.col("_feed"), "left")
+    ok = F.col("success") | F.coalesce(F.col("feed_type") == "SITEMAP", F.lit(False))
+    return rows.withColumn("error_message", F.when(ok, "").otherwise(F.col("error_message"))).withColumn("success", ok).drop("_feed", "feed_type")
+
+
 def reset_errors(feeds: DataFrame, ids: list[int]) -> DataFrame:
     """Errors cleared for the chosen feeds; they are not switched on."""
     chosen = F.col("id").isin(ids)

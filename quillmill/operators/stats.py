@@ -105,6 +105,27 @@ def request_delays(visits: DataFrame, delay_s: float = 1.0, slot: str = "1 hour"
     return waits.where("_slot = _own").drop("_own", "_later", "_slot")
 
 
+def request_starts(visits: DataFrame, delay_s: float = 1.0, slot: str = "1 hour") -> DataFrame:
+    """When a client that keeps ``delay_s`` between its own requests to a host would start each, and how long that waits.
+
+    A wait pushes the requests behind it: ``start(i) = max(at(i), start(i-1) + delay)``,
+    which is ``i * delay`` plus the greatest ``at(j) - j * delay`` up to ``i``.  A
+    host's requests are numbered and the greatest taken within slots of time, and
+    the slots' own numbers carry both over, so a busy host is many groups.  Adds
+    ``start_at`` and ``wait_s``; requests at one time go by id.
+    """
+    delay = round(delay_s * 1_000_000)
+    own, earlier = Window.partitionBy("host", "_slot").orderBy("_at", "id"), Window.partitionBy("host").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    rows = visits.withColumn("_at", F.unix_micros(F.col("at").cast("timestamp"))).withColumn("_slot", F.window(F.col("at").cast("timestamp"), slot)["start"])
+    rows = rows.withColumn("_k", F.row_number().over(own)).withColumn("_own", F.max(F.col("_at") - F.col("_k") * delay).over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    slots = rows.groupBy("host", "_slot").agg(F.count("*").alias("_n"), F.max("_own").alias("_most"))
+    slots = slots.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+    slots = slots.withColumn("_carried", F.max(F.col("_most") - F.col("_before") * delay).over(earlier)).select(F.col("host").alias("_host"), F.col("_slot").alias("_s"), "_before", "_carried")
+    both = rows.join(slots, F.col("host").eqNullSafe(F.col("_host")) & (F.col("_slot") == F.col("_s")))
+    start = F.col("_k") * delay + F.greatest(F.col("_own"), F.col("_carried") + F.col("_before") * delay)
+    return both.select(*visits.columns, F.timestamp_micros(start).cast("timestamp_ntz").alias("start_at"), ((start - F.col("_at")) / 1e6).alias("wait_s"))
+
+
 def date_facets(df: DataFrame, column: str, as_of: datetime | Column) -> DataFrame:
     """``facet, value, n``: rows of the day of ``as_of``, of the 7 days up to it, of its month and of its year."""
     day, now = F.to_date(column), F.to_date(F.lit(as_of))

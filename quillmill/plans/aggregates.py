@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillmill.functions.urls import host
 from quillmill.operators import filters, relations, stats
-from quillmill.operators.health import feed_health
+from quillmill.operators.health import feed_health, health_events
 from quillmill.sources import tables as t
 
 from .registry import query
@@ -146,6 +146,41 @@ def rate_limit_delay(spark, d):
     return stats.request_delays(visits).select("id", F.round("wait_s", 6).alias("wait_s"))
 
 
+@query(
+    """SELECT id, make_timestamp(s) AS start_at, round((s - us) / 1000000.0, 6) AS wait_s FROM (
+         SELECT id, us, k * 1000000 + max(us - k * 1000000) OVER (PARTITION BY host ORDER BY k) AS s FROM (
+           SELECT *, row_number() OVER (PARTITION BY host ORDER BY us, id) AS k FROM (
+             SELECT page_id AS id, regexp_extract(url, '://([^/?#]+)', 1) AS host, epoch_us(TIMESTAMP '2024-01-01 00:00:00' + INTERVAL '100' MILLISECOND * CAST(page_id AS INT)) AS us FROM pages)))"""
+)
+def request_starts(spark, d):
+    """Start of each request to a host when a wait pushes the ones behind it."""
+    start = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    visits = t.table(spark, d, "pages").select(F.col("page_id").alias("id"), host(F.col("url")).alias("host"), (start + F.make_dt_interval(secs=(F.col("page_id") / 10).cast("decimal(18,6)"))).alias("at"))
+    return stats.request_starts(visits, slot="1 minute").select("id", "start_at", F.round("wait_s", 6).alias("wait_s"))
+
+
+_MOVES = """moves AS (
+  SELECT l.id, l.feed_id, l.started_at, l.success OR coalesce(f.feed_type = 'SITEMAP', false) AS success, l.error_message
+  FROM visit_log l LEFT JOIN feed f ON f.id = l.feed_id WHERE NOT (NOT l.success AND l.completed_at IS NULL)
+), runs AS (
+  SELECT *, sum(CAST(success AS INT)) OVER (PARTITION BY feed_id ORDER BY started_at, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM moves
+), ends AS (
+  SELECT feed_id, run, max(started_at) AS seen, count(*) FILTER (WHERE NOT success) AS fails, arg_max(error_message, (started_at, id)) FILTER (WHERE NOT success) AS message FROM runs GROUP BY feed_id, run
+)"""
+
+
+def health_moves(spark: SparkSession, d: str) -> DataFrame:
+    """Visits with what moves health: a failure that never completed was an unexpected exception."""
+    logs = t.visit_log(spark, d)
+    return health_events(logs.withColumn("unexpected", ~F.col("success") & F.col("completed_at").isNull()), t.feed(spark, d))
+
+
+@query("SELECT feed_id, max(seen) AS last_checked, arg_max(fails, run) AS error_count, coalesce(arg_max(coalesce(message, ''), run), '') AS last_error, max(fails) >= 5 AS deactivated FROM ends GROUP BY feed_id", _MOVES)
+def health_by_kind(spark, d):
+    """Health where sitemap feeds never fail and unexpected exceptions don't count."""
+    return feed_health(health_moves(spark, d)).select("feed_id", "last_checked", "error_count", "last_error", "deactivated")
+
+
 @query("SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS k FROM documents) WHERE k = 1")
 def dedup_first(spark, d):
     docs = t.table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("text_hash"))

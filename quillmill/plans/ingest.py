@@ -10,6 +10,8 @@ from quillmill.functions.urls import FEED_PATHS
 from quillmill.operators import discover, health, schedule, stats
 from quillmill.operators import ingest as op
 from quillmill.sources import tables as t
+from quillmill.sources.stage import Stage
+from quillmill.sources.store import BucketTable
 
 from .parsing import probe_documents
 from .registry import query
@@ -58,18 +60,39 @@ def upsert_counts(spark, d):
 _CHANGED = ", ".join(f"CASE WHEN c.url IS NOT NULL THEN c.{x} ELSE s.{x} END AS {x}" for x in op.FIELDS)
 
 
-@query(
-    f"""SELECT coalesce(s.url, b.url) AS url, coalesce(s.feed_id, b.feed_id) AS feed_id, {_CHANGED}, coalesce(h.hash, s.content_hash, '') AS content_hash
+_SNAPSHOT = f"""SELECT coalesce(s.url, b.url) AS url, coalesce(s.feed_id, b.feed_id) AS feed_id, {_CHANGED}, coalesce(h.hash, s.content_hash, '') AS content_hash
        FROM stored s FULL JOIN (SELECT url, feed_id FROM (SELECT url, feed_id, row_number() OVER (PARTITION BY url ORDER BY pos) AS k FROM batch) WHERE k = 1) b ON b.url = s.url
        LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY pos DESC) AS nth FROM classified WHERE status <> 'unchanged') WHERE nth = 1) c ON c.url = coalesce(s.url, b.url)
-       LEFT JOIN (SELECT url, hash FROM (SELECT url, hash, row_number() OVER (PARTITION BY url ORDER BY pos DESC) AS k FROM hashed WHERE content <> '') WHERE k = 1) h ON h.url = coalesce(s.url, b.url)""",
-    BATCH,
-)
+       LEFT JOIN (SELECT url, hash FROM (SELECT url, hash, row_number() OVER (PARTITION BY url ORDER BY pos DESC) AS k FROM hashed WHERE content <> '') WHERE k = 1) h ON h.url = coalesce(s.url, b.url)"""
+
+
+@query(_SNAPSHOT, BATCH)
 def upsert_snapshot(spark, d):
     """All of the article table after a batch: what an entry writes over, its owner and its hash."""
     return op.upsert(stored(spark, d).select("url", "feed_id", *op.FIELDS, "content_hash"), batch(spark, d))
 
 
+@query(_SNAPSHOT, BATCH)
+def stored_upsert(spark, d):
+    """The same batch against a table stored in buckets, applied, and then applied again as after a lost acknowledgement."""
+    rows = stored(spark, d).select("url", "feed_id", *op.FIELDS, "content_hash")
+    table = BucketTable(spark, Stage(spark, "stored").path, "url", rows.schema, 16)
+    table.apply(0, rows, lambda old, new: new)
+    for _ in range(2):
+        table.apply(1, batch(spark, d), op.upsert)
+    return table.read()
+
+
+@query("SELECT id, feed_id, started_at FROM visit_log WHERE NOT started_at < (SELECT max(started_at) FROM visit_log) - INTERVAL '10' DAY")
+def stored_retention(spark, d):
+    """Logs left in a stored table, in which only the buckets that lose rows are written."""
+    logs = t.visit_log(spark, d).select("id", "feed_id", "started_at")
+    table = BucketTable(spark, Stage(spark, "logs").path, "id", logs.schema, 16)
+    table.apply(0, logs, lambda old, new: new)
+    table.delete(1, F.col("started_at") < F.lit(logs.agg(F.max("started_at")).first()[0]) - F.make_dt_interval(days=F.lit(10)))
+    return table.read()
+
+
 @query(
     """SELECT feed_url, title FROM (SELECT feed_url, title, row_number() OVER (PARTITION BY feed_url ORDER BY pos) AS k FROM
        (SELECT id AS pos, concat('https://feeds.example.com/', CAST(id * 2 // 3 AS VARCHAR)) AS feed_url, title FROM feed) b WHERE NOT EXISTS (SELECT 1 FROM feed f WHERE f.feed_url = b.feed_url AND f.active)) WHERE k = 1"""

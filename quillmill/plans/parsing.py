@@ -7,6 +7,7 @@ functions, so what the parsers must find is known from the tables themselves.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from quillmill.functions.urls import resolve
 from quillmill.operators import discover
 from quillmill.sources import tables as t
 from quillmill.sources.stage import Stage
+from quillmill.sources.store import SeenKeys
 from quillmill.streaming import jobs
 
 from .registry import query
@@ -174,6 +176,7 @@ def page_extract(spark, d):
 
 #: A page and its article for each way of finding one: HTML and text by article id, in which ``{k}`` is a paragraph of the article.
 _KEPT = "{1}{2}{3}{4}{5}"
+_LINES = [f"Line {k} of a page that has neither an article nor a paragraph." for k in range(10)]
 MADE_PAGES = (
     ("<head><script>var a;</script><style>body</style></head><article>" + _KEPT + "</article>", "12345"),
     ("<nav>{9}</nav><header>{9}</header><div class='post-content'>{1}{2}<form>{9}</form><button>{9}</button>{3}{4}{5}</div><aside>{9}</aside><footer>{9}</footer>", "12345"),
@@ -187,6 +190,7 @@ MADE_PAGES = (
     ("<div class='article-text'>" + _KEPT + "</div><div class='post-body'>{9}</div>", "12345"),
     ("{1}<p>short</p>{2}", ""),
     ("<![odd [markup]]><article>" + _KEPT + "</article>", ""),
+    ("<div>" + "\n".join([*_LINES, "a short line"]) + "</div>", "\n".join(_LINES)),
 )
 
 
@@ -204,34 +208,42 @@ def made_pages(spark: SparkSession, d: str) -> DataFrame:
     for html, _ in MADE_PAGES:
         parts = [f"concat('<p>', {_paragraph(x)}, '</p>')" if x.isdigit() else "'" + x.replace("'", '"') + "'" for x in re.split(r"[{}]", html) if x]
         cases.append("concat('<html>', " + ", ".join(parts) + ", '</html>')")
-    pick = F.expr("CASE id % 12 " + " ".join(f"WHEN {k} THEN {c}" for k, c in enumerate(cases)) + " END")
+    pick = F.expr(f"CASE id % {len(MADE_PAGES)} " + " ".join(f"WHEN {k} THEN {c}" for k, c in enumerate(cases)) + " END")
     return t.article(spark, d).select("id", "author").select("id", pick.alias("html"))
 
 
-_MADE = " ".join(f"WHEN {k} THEN " + ("concat_ws(chr(10) || chr(10), " + ", ".join(_plain(x) for x in kept) + ")" if kept else "NULL") for k, (_, kept) in enumerate(MADE_PAGES))
+def _expected(kept: str) -> str:
+    """SQL of what is kept of a made page: paragraphs by number, or a text as it is."""
+    if not kept.isdigit():
+        return f"'{kept}'" if kept else "NULL"
+    return "concat_ws(chr(10) || chr(10), " + ", ".join(map(_plain, kept)) + ")"
 
 
-@query(f"SELECT id, CASE id % 12 {_MADE} END AS page_content FROM article")
+_MADE = " ".join(f"WHEN {k} THEN {_expected(kept)}" for k, (_, kept) in enumerate(MADE_PAGES))
+
+
+@query(f"SELECT id, CASE id % {len(MADE_PAGES)} {_MADE} END AS page_content FROM article")
 def article_of_made_pages(spark, d):
     return discover.pages_with_text(made_pages(spark, d)).select("id", "page_content")
 
 
-_RUNS = "(CASE id % 12 WHEN 3 THEN [1, 1, 2, 3, 4, 5] WHEN 5 THEN [3, 4, 5] WHEN 6 THEN [1, 2, 3, 4, 1, 2, 3, 4, 5] WHEN 7 THEN [1, 2, 3] WHEN 8 THEN [1, 2, 3, 9] ELSE [] END)"
+#: By kind of page: the paragraphs, also those that an article leaves out, that stand in runs.
+_IN_RUNS = ("12345", "99129934599", "19299345", "112345", "192345", "345", "123412345", "123", "1239", "123459", "", "", "")
+_RUNS = f"(CASE id % {len(MADE_PAGES)} " + " ".join(f"WHEN {k} THEN [{', '.join(runs)}]" for k, runs in enumerate(_IN_RUNS) if runs) + " ELSE [] END)"
 
 
 @query(
     f"""SELECT id, CAST(pos - 1 AS INT) AS pos, concat('Paragraph ', CAST(k AS STRING), ' of the story about number ', CAST(id AS STRING)) AS head
-       FROM (SELECT id, r[p] AS k, p AS pos FROM (SELECT id, {_RUNS} AS r FROM article), range(1, 10) AS x(p) WHERE p <= len(r))"""
+       FROM (SELECT id, r[p] AS k, p AS pos FROM (SELECT id, {_RUNS} AS r FROM article), range(1, 20) AS x(p) WHERE p <= len(r))"""
 )
 def para_runs(spark, d):
-    """Paragraphs of made pages that stand in runs of long ones, of the pages where these are looked for."""
+    """Paragraphs of all made pages that stand in runs of long ones."""
 
     @F.pandas_udf("array<string>")
     def runs(pages):
-        return pages.map(lambda h: paragraph_runs([n.text() for n in parse(h or "").walk() if n.tag == "p"]))
+        return pages.map(lambda h: paragraph_runs([text for _, text in parse(h or "").texts(frozenset(("p",)))]))
 
-    pages = made_pages(spark, d).where("id % 12 IN (3, 5, 6, 7, 8)")
-    return pages.select("id", F.posexplode(runs("html")).alias("pos", "x")).select("id", "pos", F.regexp_extract("x", "^(.*) islong", 1).alias("head"))
+    return made_pages(spark, d).select("id", F.posexplode(runs("html")).alias("pos", "x")).select("id", "pos", F.regexp_extract("x", "^(.*) islong", 1).alias("head"))
 
 
 def _drained(stream: DataFrame, name: str, mode: str) -> DataFrame:
@@ -242,13 +254,42 @@ def _drained(stream: DataFrame, name: str, mode: str) -> DataFrame:
         batch.withColumn("_epoch", F.lit(epoch)).write.mode("append").parquet(f"{stage.path}/out")
 
     stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{stage.path}/state").trigger(availableNow=True).start().awaitTermination()
+    stage.drop("state")
     return stage.spark.read.parquet(f"{stage.path}/out")
 
 
+def _drained_in_parts(spark: SparkSession, d: str, make: Callable[[DataFrame], DataFrame], name: str, mode: str, write: Callable[[Stage, DataFrame, int], None] | None = None, parts: int = 3) -> DataFrame:
+    """What ``make`` of the log stream writes when the logs come in parts by time, the stream stopped and started from its checkpoint between them.
+
+    ``write`` puts a batch in the stage's table ``out``; by default as it is, with its epoch.
+    """
+    stage = Stage(spark, name)
+    events = t.table(spark, d, "events")
+    cuts = events.agg(F.percentile_approx("ts", [(k + 1) / parts for k in range(parts - 1)])).first()[0] or []
+    part = F.coalesce(F.size(F.filter(F.array(*(F.lit(c) for c in cuts)), lambda c: c < F.col("ts"))), F.lit(0)) if cuts else F.lit(0)
+
+    def keep(batch: DataFrame, epoch: int) -> None:
+        if write:
+            write(stage, batch, epoch)
+        else:
+            batch.withColumn("_epoch", F.lit(epoch)).write.mode("append").parquet(f"{stage.path}/out")
+
+    for k in range(parts):
+        events.where(part == k).write.mode("append").parquet(f"{stage.path}/in")
+        stream = make(as_logs(spark.readStream.schema(events.schema).parquet(f"{stage.path}/in")))
+        stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{stage.path}/state").trigger(availableNow=True).start().awaitTermination()
+    for done in ("in", "state"):
+        stage.drop(done)
+    return spark.read.parquet(f"{stage.path}/out")
+
+
 def log_stream(spark: SparkSession, d: str) -> DataFrame:
     """Visit logs as a stream of files."""
     stored = t.table(spark, d, "events")
-    events = spark.readStream.schema(stored.schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    return as_logs(spark.readStream.schema(stored.schema).option("pathGlobFilter", "events.parquet").parquet(d))
+
+
+def as_logs(events: DataFrame) -> DataFrame:
     kind = F.col("event_type")
     return events.select(F.col("event_id").alias("id"), F.col("user_id").alias("feed_id"), F.col("ts").alias("started_at"), (kind != "error").alias("success"), F.when(kind == "error", F.concat(F.lit("Network error: "), "props")).otherwise("").alias("error_message"), "event_type")
 
@@ -261,8 +302,8 @@ OFF = """off AS (
 
 @query("SELECT s.feed_id, s.last_checked, s.last_success, s.error_count, s.last_error, o.deactivated FROM feed_status s JOIN off o ON o.feed_id = s.feed_id", OFF)
 def stream_health(spark, d):
-    """The last state of each feed that the stateful stream reports."""
-    out = _drained(jobs.health_stream(log_stream(spark, d)), "health", "update")
+    """The last state of each feed that the stateful stream reports, over several triggers and restarts."""
+    out = _drained_in_parts(spark, d, jobs.health_stream, "health", "update")
     own = ["last_checked", "last_success", "error_count", "last_error", "deactivated"]
     last = out.groupBy("feed_id").agg(F.max_by(F.struct(*own), "_epoch").alias("s")).select("feed_id", "s.*")
     return last.withColumns({c: F.col(c).cast("timestamp_ntz") for c in own[:2]})
@@ -275,6 +316,18 @@ def stream_dedup(spark, d):
     return _drained(jobs.dedup_stream(rows, "at", "url", "60 days"), "dedup", "append").select("url")
 
 
+@query("SELECT id, url FROM (SELECT event_id AS id, concat(CAST(user_id AS VARCHAR), ':', event_type) AS url, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS k FROM events) WHERE k = 1")
+def stream_first_seen(spark, d):
+    """The first row of each key over all time, however long ago it was, over several triggers and restarts."""
+
+    def write(stage: Stage, batch: DataFrame, epoch: int) -> None:
+        rows = batch.select("id", "started_at", F.concat_ws(":", "feed_id", "event_type").alias("url"))
+        first = SeenKeys(stage.spark, f"{stage.path}/seen").first_seen(rows, "url", ["started_at", "id"], epoch)
+        first.withColumn("_epoch", F.lit(epoch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_epoch").parquet(f"{stage.path}/out")
+
+    return _drained_in_parts(spark, d, lambda logs: logs, "seen", "append", write).select("id", "url")
+
+
 @query("SELECT date_trunc('hour', started_at) AS hour, count(*) AS visits, count(*) FILTER (WHERE NOT success) AS failures FROM visit_log GROUP BY 1")
 def stream_windows(spark, d):
     """Visits and failures by hour as the windowed stream last reports them."""

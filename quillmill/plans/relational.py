@@ -9,7 +9,9 @@ from quillmill.functions.text import minute, stored_hash
 from quillmill.operators import filters, relations, stats
 from quillmill.operators.health import feed_health
 from quillmill.operators.ingest import backfill_batch
+from quillmill.operators.search_index import TrigramIndex
 from quillmill.sources import tables as t
+from quillmill.sources.stage import Stage
 
 from .registry import query
 
@@ -56,6 +58,25 @@ def search_article(spark, d):
     return filters.search(t.article(spark, d), "High", "title", "summary", "author").select("id", "url")
 
 
+@query("SELECT id, url FROM article WHERE contains(lower(title), 'high') OR contains(lower(summary), 'high') OR contains(lower(author), 'high')")
+def index_search_article(spark, d):
+    """The same search through a trigram index."""
+    articles = t.article(spark, d)
+    index = TrigramIndex(spark, Stage(spark, "index").path, "id", ("title", "summary", "author")).add(articles)
+    return index.search(articles, "High").select("id", "url")
+
+
+_ALL_FIELDS = " AND ".join(f"(contains(lower(title), '{q}') OR contains(lower(content), '{q}') OR contains(lower(author), '{q}') OR contains(lower(url), '{q}'))" for q in ("high", "-12", "5"))
+
+
+@query(f"SELECT id, url FROM article WHERE {_ALL_FIELDS}")
+def index_admin_search(spark, d):
+    """Articles with all terms, each in some field, through a trigram index over whole texts; one term is too short for it."""
+    articles = t.article(spark, d)
+    index = TrigramIndex(spark, Stage(spark, "index").path, "id", ("title", "content", "author", "url")).add(articles)
+    return index.search_terms(articles, "High -12 5").select("id", "url")
+
+
 @query("SELECT id, feed_url FROM feed WHERE website_id = 3")
 def filter_fk(spark, d):
     return t.feed(spark, d).where(F.col("website_id") == 3).select("id", "feed_url")
@@ -264,15 +285,18 @@ def cascade_delete(spark, d):
 
 
 @query(
-    """SELECT id, url FROM full_article WHERE website_id = 3 AND (contains(lower(title), 'a') OR contains(lower(summary), 'a') OR contains(lower(author), 'a')) AND published_date >= TIMESTAMP '1995-01-01 00:00:00' AND published_date <= TIMESTAMP '1997-06-01 00:00:00'
-       AND feed_id = (SELECT min(id) FROM feed WHERE website_id = 3)""",
+    """SELECT r.request, a.id, a.url FROM full_article a JOIN (VALUES ('found', 'e'), ('not found', 'no such words')) AS r(request, q) ON contains(lower(a.title), r.q) OR contains(lower(a.summary), r.q) OR contains(lower(a.author), r.q)
+       WHERE a.website_id = 3 AND a.published_date >= TIMESTAMP '1996-01-01 00:00:00' AND a.published_date <= TIMESTAMP '2000-06-01 00:00:00'
+       AND a.feed_id = (SELECT feed_id FROM full_article WHERE website_id = 3 GROUP BY feed_id ORDER BY count(*) DESC, feed_id LIMIT 1)""",
     f"full_article AS ({ARTICLE_FULL})",
 )
 def request_articles(spark, d):
-    """A list of articles as a request's parameters ask for it."""
-    feed = t.feed(spark, d).where("website_id = 3").agg(F.min("id")).first()[0]
-    params = {"search": "A", "website": "3", "feed": str(feed), "date_from": "1995-01-01", "date_to": "1997-06-01", "page": ""}
-    return filters.article_list(full_articles(spark, d), params).select("id", "url")
+    """Lists of articles as requests' parameters ask for them: one for words that are there, one for words that are not."""
+    full = full_articles(spark, d)
+    feed = full.where("website_id = 3").groupBy("feed_id").count().orderBy(F.desc("count"), "feed_id").first()
+    params = {"website": "3", "feed": str(feed.feed_id if feed else -1), "date_from": "1996-01-01", "date_to": "2000-06-01", "page": ""}
+    lists = [filters.article_list(full, params | {"search": q}).select(F.lit(name).alias("request"), "id", "url") for name, q in (("found", "E"), ("not found", "No such words"))]
+    return lists[0].unionAll(lists[1])
 
 
 @query("SELECT f.id, f.title, w.name AS site_name FROM feed f JOIN website w ON w.id = f.website_id WHERE f.feed_type = 'RSS' AND NOT f.active AND (contains(lower(f.title), '1') OR contains(lower(f.feed_url), '1') OR contains(lower(w.name), '1'))")

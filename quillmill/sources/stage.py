@@ -23,6 +23,12 @@ class Stage:
         df.write.mode("overwrite").parquet(f"{self.path}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
+    def drop(self, name: str = "") -> None:
+        """Deletes a table (or the whole folder) that nothing reads any more."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}".rstrip("/"))
+        path.getFileSystem(conf).delete(path, True)
+
     def all(self, pattern: str, like: DataFrame) -> DataFrame:
         """Every table whose name meets ``pattern``, as one."""
         return self.spark.read.schema(like.schema).parquet(f"{self.path}/{pattern}")

@@ -1,5 +1,7 @@
 from datetime import datetime
 
+import pytest
+
 from quillmill.functions import feeds, html
 from quillmill.operators import discover
 
@@ -141,3 +143,32 @@ def test_the_probe_decides_on_common_paths(spark):
     paths = lambda rows: sorted(r.url.rsplit("/", 1)[1] for r in discover.common_path_feeds(sites, rows).collect())
     assert paths(raw) == ["feed"]
     assert paths(raw.drop("head_status")) == ["atom", "rss.xml"]
+
+
+@pytest.mark.parametrize("make", [lambda n: "<ul><li>" * n + "</x>" * n, lambda n: "<article>" * n, lambda n: "<li><div>" + "<b>" * n + "<li></li>" * n, lambda n: "<a " * n, lambda n: "<!--" * n, lambda n: "<p>" * n + "</b>" * n, lambda n: "<main><article class='x'>" * n])
+def test_hostile_pages_take_time_in_proportion(make):
+    import time
+
+    def took(n):
+        page = make(n)
+        start = time.perf_counter()
+        html.article_text(page)
+        html.feed_links("http://a.example/", page)
+        return time.perf_counter() - start
+
+    took(500)
+    assert took(16_000) < 8 * 3 * max(took(2000), 0.01)  # eight times the page; the square would be 64 times
+
+
+def test_ends_of_elements():
+    tree = lambda x: x if isinstance(x, str) else (x.tag, [tree(c) for c in x.children])
+    cases = {
+        "<ul><li>a<b>c<li>d</ul>e": [("ul", [("li", ["a", ("b", ["c"])]), ("li", ["d"])]), "e"],
+        "<p>a<div>b</div>c": [("p", ["a"]), ("div", ["b"]), "c"],
+        "<li><div><li>x": [("li", [("div", [("li", ["x"])])])],
+        "<table><tr><td>1<td>2<tr><th>3</table>": [("table", [("tr", [("td", ["1"]), ("td", ["2"])]), ("tr", [("th", ["3"])])])],
+        "</b><i>a</p>b</i>": [("i", ["a", "b"])],
+        "<p>a<br>b<p>c": [("p", ["a", ("br", []), "b"]), ("p", ["c"])],
+    }
+    for page, want in cases.items():
+        assert [tree(c) for c in html.parse(page).children] == want, page
