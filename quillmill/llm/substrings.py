@@ -60,7 +60,9 @@ def _pack(parts: list[np.ndarray], text: bytes) -> bytes:
     import zstandard
 
     head = np.array([len(parts[0]), len(text)], "<i8").tobytes()
-    return zstandard.ZstdCompressor(level=3).compress(b"".join([head, *(p.astype("<i8").tobytes() for p in parts), text]))
+    # Numbers by planes of bytes, of which the upper ones repeat.
+    planes = np.stack([p.astype("<i8") for p in parts]).view(np.uint8).reshape(len(parts), len(parts[0]), 8).transpose(0, 2, 1)
+    return zstandard.ZstdCompressor(level=6).compress(b"".join([head, planes.tobytes(), text]))
 
 
 def _unpack(payload: bytes) -> tuple[np.ndarray, bytes]:
@@ -69,7 +71,8 @@ def _unpack(payload: bytes) -> tuple[np.ndarray, bytes]:
 
     raw = zstandard.ZstdDecompressor().decompress(payload)
     n = int(np.frombuffer(raw, "<i8", 1)[0])
-    return np.frombuffer(raw, "<i8", 4 * n, 16).reshape(4, n), raw[16 + 32 * n :]
+    planes = np.frombuffer(raw, np.uint8, 32 * n, 16).reshape(4, 8, n)
+    return np.ascontiguousarray(planes.transpose(0, 2, 1)).view("<i8").reshape(4, n), raw[16 + 32 * n :]
 
 
 def super_kmers(words: Words, window: int, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
