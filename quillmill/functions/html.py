@@ -14,12 +14,12 @@ from collections import defaultdict
 from collections.abc import Callable, Iterator
 from html import unescape
 from html.parser import HTMLParser
+from urllib.parse import urljoin
 
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillmill.functions.urls import joined
 from quillmill.sources.schema import FOUND_LINK
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -231,6 +231,14 @@ def article_text(html: str | None) -> str | None:
     return text if len(text) > MIN_TEXT else None
 
 
+def joined(base: str, ref: str) -> str | None:
+    """A link against its page, as :func:`quillmill.functions.urls.resolve` does it for columns; None if it is no URL."""
+    try:
+        return urljoin(base.rstrip("/"), ref)
+    except ValueError:
+        return None
+
+
 def feed_links(base: str, html: str | None) -> list[dict[str, str]]:
     """Feeds that a page links to: by type in the fixed order, then alternates that are not listed yet."""
     links = [n for n in parse(html or "").walk() if n.tag == "link" and n.attrs.get("href")]
