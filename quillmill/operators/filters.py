@@ -89,6 +89,22 @@ def exists(df: DataFrame) -> bool:
     return not df.isEmpty()
 
 
+def only_matches(df: DataFrame, column: str, terms: list[str], show: str) -> DataFrame:
+    """``term, single`` and ``show`` of the only row whose ``column`` contains the term (empty if there are none or several), in one pass."""
+    each = []
+    for term in terms:
+        hit = F.coalesce(F.contains(column, F.lit(term)), F.lit(False))
+        single = F.count_if(hit) == 1
+        each.append(F.struct(F.lit(term).alias("term"), single.alias("single"), F.when(single, F.min(F.when(hit, F.col(show)))).otherwise("").alias(show)))
+    return df.agg(F.array(*each).alias("found")).select(F.inline("found"))
+
+
+def having(df: DataFrame, column: str, values: list[str]) -> DataFrame:
+    """``value, found`` for each value: whether any row has it, in one pass."""
+    each = [F.struct(F.lit(v).alias("value"), (F.count_if(F.col(column) == v) > 0).alias("found")) for v in values]
+    return df.agg(F.array(*each).alias("found")).select(F.inline("found"))
+
+
 def article_list(articles: DataFrame, params: dict[str, str]) -> DataFrame:
     """Articles with feed and site by request parameters: ``search, website, feed, date_from, date_to``; empty ones don't count."""
     for name, column in (("website", "website_id"), ("feed", "feed_id")):

@@ -309,6 +309,16 @@ def stream_health(spark, d):
     return last.withColumns({c: F.col(c).cast("timestamp_ntz") for c in own[:2]})
 
 
+@query(
+    """SELECT feed_id, started_at AS last_checked, started_at + INTERVAL '2' DAY AS quiet_at FROM (SELECT DISTINCT feed_id, started_at, lead(started_at) OVER (PARTITION BY feed_id ORDER BY started_at) AS following FROM visit_log)
+       WHERE (following IS NULL OR following >= started_at + INTERVAL '2' DAY) AND started_at + INTERVAL '2' DAY <= (SELECT date_trunc('milliseconds', max(started_at)) FROM visit_log) - INTERVAL '1' HOUR"""
+)
+def stream_quiet(spark, d):
+    """Silences of two days that the stream tells, over several triggers and restarts."""
+    out = _drained_in_parts(spark, d, lambda logs: jobs.quiet_feeds(logs, "2 days"), "quiet", "append")
+    return out.select("feed_id", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("last_checked", "quiet_at")))
+
+
 @query("SELECT DISTINCT concat(CAST(user_id AS VARCHAR), ':', event_type) AS url FROM events")
 def stream_dedup(spark, d):
     """Distinct keys that the deduplicating stream lets through."""

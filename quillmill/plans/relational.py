@@ -307,13 +307,9 @@ def request_feeds(spark, d):
 @query("SELECT 'nation_7.example' AS term, count(*) = 1 AS single, CASE WHEN count(*) = 1 THEN min(name) ELSE '' END AS name FROM website WHERE contains(url, 'nation_7.example') UNION ALL SELECT 'nation_1', count(*) = 1, CASE WHEN count(*) = 1 THEN min(name) ELSE '' END FROM website WHERE contains(url, 'nation_1')")
 def exactly_one(spark, d):
     """Whether a term names one site, and which."""
-    found = []
-    for term in ("nation_7.example", "nation_1"):
-        one, _ = filters.exactly_one(t.website(spark, d).where(F.contains("url", F.lit(term))))
-        found.append((term, one is not None, one.name if one else ""))
-    return spark.createDataFrame(found, "term string, single boolean, name string")
+    return filters.only_matches(t.website(spark, d), "url", ["nation_7.example", "nation_1"], "name")
 
 
 @query("SELECT 'RSS' AS kind, EXISTS (SELECT 1 FROM feed WHERE feed_type = 'RSS') AS found UNION ALL SELECT 'JSON', EXISTS (SELECT 1 FROM feed WHERE feed_type = 'JSON')")
 def exists_kind(spark, d):
-    return spark.createDataFrame([(k, filters.exists(t.feed(spark, d).where(F.col("feed_type") == k))) for k in ("RSS", "JSON")], "kind string, found boolean")
+    return filters.having(t.feed(spark, d), "feed_type", ["RSS", "JSON"]).select(F.col("value").alias("kind"), "found")

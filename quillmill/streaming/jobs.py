@@ -4,36 +4,73 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from quillmill.operators.ingest import classify, upsert
 from quillmill.sources.schema import ERROR_LIMIT
 
 HEALTH = "feed_id long, last_checked timestamp, last_success timestamp, error_count long, last_error string, deactivated boolean"
 _STATE = "seen timestamp, good timestamp, errors long, message string, off boolean"
+_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
-def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    seen, good, errors, message, off = state.get if state.exists else (None, None, 0, "", False)
-    rows = pd.concat(batches).sort_values(["started_at", "id"])
-    for at, ok, text in zip(rows.started_at, rows.success, rows.error_message):
-        seen = at
-        if ok:
-            good, errors, message = at, 0, ""
-        else:
-            errors, message = errors + 1, text
-            off = off or errors >= ERROR_LIMIT
-    state.update((seen, good, errors, message, off))
-    yield pd.DataFrame({"feed_id": [key[0]], "last_checked": [seen], "last_success": pd.to_datetime(pd.Series([good])), "error_count": [errors], "last_error": [message], "deactivated": [off]})
+def use_rocksdb(spark: SparkSession) -> None:
+    """State below is kept by RocksDB, off the heap; a query keeps the store it began with."""
+    spark.conf.set(*_STORE)
+
+
+class FeedHealth(StatefulProcessor):
+    """One value a feed: the state machine of :mod:`quillmill.operators.health`, moved by the visits of a trigger in order."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.health = handle.getValueState("health", _STATE)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        seen, good, errors, message, off = self.health.get() if self.health.exists() else (None, None, 0, "", False)
+        visits = pd.concat(rows).sort_values(["started_at", "id"])
+        seen = visits["started_at"].iloc[-1].to_pydatetime()
+        # Runs of failures, by arrays: a failure's run is its distance from the success before it.
+        failed = ~visits["success"].to_numpy(dtype=bool)
+        place = np.arange(len(failed))
+        since = np.maximum.accumulate(np.where(failed, -1, place))
+        run = np.where(since < 0, place + 1 + errors, place - since)
+        off = bool(off or (failed & (run >= ERROR_LIMIT)).any())
+        if since[-1] >= 0:
+            good = visits["started_at"].iloc[since[-1]].to_pydatetime()
+        errors, message = int(run[-1]) if failed[-1] else 0, visits["error_message"].iloc[-1] if failed[-1] else ""
+        self.health.update((seen, good, errors, message, off))
+        yield pd.DataFrame({"feed_id": [key[0]], "last_checked": [seen], "last_success": pd.to_datetime(pd.Series([good])), "error_count": [errors], "last_error": [message], "deactivated": [off]})
+
+    def close(self) -> None:
+        pass
 
 
 def health_stream(logs: DataFrame) -> DataFrame:
-    """The health state of each feed after each trigger, from a stream of visit logs."""
+    """The health state of each feed after each trigger, from a stream of visit logs.
+
+    Visits of one trigger apply in order of time and id; those of a later
+    trigger come after them, whatever their time.
+    """
+    use_rocksdb(logs.sparkSession)
     rows = logs.select("id", "feed_id", F.col("started_at").cast("timestamp").alias("started_at"), "success", "error_message")
-    return rows.groupBy("feed_id").applyInPandasWithState(_advance, HEALTH, _STATE, "update", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("feed_id").transformWithStateInPandas(FeedHealth(), HEALTH, "Update", "None")
+
+
+def quiet_feeds(logs: DataFrame, quiet: str, late: str = "1 hour") -> DataFrame:
+    """``feed_id, last_checked, quiet_at``: silences of feeds, each told once, when the watermark passes the end of the time allowed.
+
+    A silence is the end of a session of visits, so built-in session windows
+    keep it: state is one interval a feed that was visited within the time, and
+    it goes when the silence is told.  Visits out of order count up to ``late``.
+    """
+    use_rocksdb(logs.sparkSession)
+    rows = logs.select("feed_id", F.col("started_at").cast("timestamp").alias("at")).withWatermark("at", late)
+    sessions = rows.groupBy("feed_id", F.session_window("at", quiet).alias("w")).agg(F.max("at").alias("last_checked"))
+    return sessions.select("feed_id", "last_checked", F.col("w.end").alias("quiet_at"))
 
 
 def dedup_stream(entries: DataFrame, time_col: str, key: str = "url", late: str = "1 day") -> DataFrame:
