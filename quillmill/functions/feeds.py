@@ -1,15 +1,18 @@
 """RSS, Atom and sitemap documents.
 
-A pull parser keeps what is complete before an error, so a truncated feed
-gives its first entries and not a failed job.
+Documents that are well formed are read at once; for others a pull parser
+keeps what is complete before the error, so a truncated feed gives its first
+entries and not a failed job.
 """
 
 from __future__ import annotations
 
+import functools
 import json
+import re
 from datetime import UTC, datetime
 from email.utils import parsedate_to_datetime
-from xml.etree.ElementTree import Element, ParseError, XMLPullParser
+from xml.etree.ElementTree import Element, ParseError, XMLPullParser, fromstring
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -20,16 +23,37 @@ ATOM_NS = "http://www.w3.org/2005/Atom"
 SITEMAP_NS = "http://www.sitemaps.org/schemas/sitemap/0.9"
 
 
+_as_json = json.JSONEncoder(ensure_ascii=False, sort_keys=True).encode
+_ISO = re.compile(r"\d{4}-\d\d-\d\dT\S*\Z")
+
+
+@functools.lru_cache(4096)
 def _local(tag: str) -> str:
     return tag.rpartition("}")[2].lower()
 
 
-def _text(node: Element | None) -> str | None:
-    return None if node is None else "".join(node.itertext()).strip()
+def _text(node: Element) -> str:
+    return ("".join(node.itertext()) if len(node) else node.text or "").strip()
 
 
 def _elements(body: str) -> tuple[list[tuple[Element, Element | None]], str, str | None]:
     """Finished elements with their parents, in order of their ends; the root's tag; and the error that stopped the parser."""
+    done: list[tuple[Element, Element | None]] = []
+    try:
+        whole = fromstring(body)
+    except ParseError:
+        return _until_error(body)
+    todo: list[tuple[Element, Element | None]] = [(whole, None)]
+    while todo:
+        node, parent = todo.pop()
+        done.append((node, parent))
+        if len(node):
+            todo.extend([(c, node) for c in node])
+    done.reverse()  # each element before its later siblings and its parent
+    return done, whole.tag, None
+
+
+def _until_error(body: str) -> tuple[list[tuple[Element, Element | None]], str, str | None]:
     parser, error, path, root = XMLPullParser(("start", "end")), None, [], ""
     done: list[tuple[Element, Element | None]] = []
     try:
@@ -54,38 +78,41 @@ def when(text: str | None) -> datetime | None:
     """A date of RFC 822 or ISO 8601 in UTC; None if it is neither."""
     if not text:
         return None
-    for read in (parsedate_to_datetime, datetime.fromisoformat):
+    text = text.strip()
+    # What looks like ISO 8601 is never a date of RFC 822, which has blanks.
+    for read in (datetime.fromisoformat,) if _ISO.match(text) else (parsedate_to_datetime, datetime.fromisoformat):
         try:
-            t = read(text.strip())
+            t = read(text)
             return (t.astimezone(UTC) if t.tzinfo else t).replace(tzinfo=None, microsecond=0)
         except (ValueError, TypeError, IndexError, OverflowError):
             continue
     return None
 
 
-def entry(node: Element) -> dict | None:
-    """One article record; None without a link and an id."""
-    kids: dict[str, list[Element]] = {}
+def entry(node: Element, raw: bool = True) -> dict | None:
+    """One article record; None without a link and an id.  ``raw`` says whether it holds all fields as JSON too."""
+    kids: dict[str, list[tuple[Element, str]]] = {}
     for c in node:
-        kids.setdefault(_local(c.tag), []).append(c)
-    first = lambda *names: next((kids[n][0] for n in names if n in kids), None)
-    link = next((c.get("href") for c in kids.get("link", []) if c.get("href") and c.get("rel", "alternate") == "alternate"), None) or next((t for c in kids.get("link", []) if (t := _text(c))), None)
-    url = link or _text(first("guid", "id"))
+        kids.setdefault(_local(c.tag), []).append((c, _text(c)))
+
+    def first(*names: str) -> str | None:
+        return next((kids[n][0][1] for n in names if n in kids), None)
+
+    links = kids.get("link", ())
+    url = next((href for c, _ in links if (href := c.get("href")) and c.get("rel", "alternate") == "alternate"), None) or next((t for _, t in links if t), None) or first("guid", "id")
     if not url:
         return None
-    title = _text(first("title"))
-    summary = _text(first("description", "summary")) or ""
-    contents = [t for c in (*kids.get("encoded", []), *kids.get("content", [])) if (t := _text(c))]
-    names = [_text(next((x for x in c if _local(x.tag) == "name"), c)) or "" for c in (*kids.get("author", []), *kids.get("creator", []))]
+    title, summary = first("title"), first("description", "summary") or ""
+    content = next((t for n in ("encoded", "content") for _, t in kids.get(n, ()) if t), summary)
+    names = [next((_text(x) for x in c if _local(x.tag) == "name"), t) for n in ("author", "creator") for c, t in kids.get(n, ())]
     # A published date that can't be read does not fall back to the updated one.
     date = first("pubdate", "published", "date")
-    tags = [t for c in kids.get("category", []) if (t := c.get("term") or _text(c))]
-    found = {"url": url, "title": "Untitled" if title is None else title, "content": contents[0] if contents else summary, "summary": summary, "author": ", ".join(filter(None, names)), "published_date": when(_text(date if date is not None else first("updated"))), "tags": tags}
-    raw = {n: [_text(c) for c in cs] for n, cs in kids.items()}
-    return found | {"raw_data": json.dumps(raw, ensure_ascii=False, sort_keys=True)}
+    tags = [tag for c, t in kids.get("category", ()) if (tag := c.get("term") or t)]
+    found = {"url": url, "title": "Untitled" if title is None else title, "content": content, "summary": summary, "author": ", ".join(filter(None, names)), "published_date": when(first("updated") if date is None else date), "tags": tags}
+    return found | {"raw_data": _as_json({n: [t for _, t in cs] for n, cs in kids.items()}) if raw else None}
 
 
-def parse_feed(body: str | None) -> dict:
+def parse_feed(body: str | None, raw: bool = True) -> dict:
     """Kind, description and entries of a feed document."""
     empty = {"success": False, "kind": "RSS", "title": "", "description": "", "link": "", "language": "", "entries": [], "error": "empty document"}
     if not body:
@@ -93,13 +120,13 @@ def parse_feed(body: str | None) -> dict:
     done, root, error = _elements(body)
     entries, about, atom = [], {}, root == f"{{{ATOM_NS}}}feed"
     for node, parent in done:
-        name, above = _local(node.tag), _local(parent.tag) if parent is not None else ""
+        name = _local(node.tag)
         if name in ("item", "entry"):
             atom = atom or name == "entry"
-            if found := entry(node):
+            if found := entry(node, raw):
                 entries.append(found)
-        elif above in ("channel", "feed", "rdf") and name in ("title", "description", "subtitle", "link", "language"):
-            value = node.get("href") or _text(node) or ""
+        elif name in ("title", "description", "subtitle", "link", "language") and parent is not None and _local(parent.tag) in ("channel", "feed", "rdf"):
+            value = node.get("href") or _text(node)
             about.setdefault("description" if name == "subtitle" else name, value)
     return {"success": bool(entries or about), "kind": "ATOM" if atom else "RSS", "entries": entries, "error": error, **{k: about.get(k, "") for k in ("title", "description", "link", "language")}}
 
@@ -116,9 +143,19 @@ def sitemap_locs(body: str | None, namespaced: bool = False) -> tuple[list[str],
     return pages, children, error
 
 
+def _feed_frame(body: pd.Series, raw: bool) -> pd.DataFrame:
+    return pd.DataFrame([parse_feed(b, raw) for b in body], columns=["success", "kind", "title", "description", "link", "language", "entries", "error"])
+
+
 @F.pandas_udf(FEED_RESULT)
 def parse_feeds(body: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([parse_feed(b) for b in body], columns=["success", "kind", "title", "description", "link", "language", "entries", "error"])
+    return _feed_frame(body, True)
+
+
+@F.pandas_udf(FEED_RESULT)
+def parse_feeds_lean(body: pd.Series) -> pd.DataFrame:
+    """Without the JSON of each entry, which is null."""
+    return _feed_frame(body, False)
 
 
 @F.pandas_udf(SITEMAP_RESULT)

@@ -29,20 +29,20 @@ def candidates(sites: DataFrame, paths: tuple[str, ...] = FEED_PATHS) -> DataFra
     return sites.select(F.col("url").alias("site"), each).select("site", "pos", on_site(F.col("site"), F.col("path")).alias("url"))
 
 
-def parsed_feeds(raw: DataFrame) -> DataFrame:
-    return raw.select("url", parsers.parse_feeds("body").alias("feed"))
+def parsed_feeds(raw: DataFrame, raw_data: bool = True) -> DataFrame:
+    return raw.select("url", (parsers.parse_feeds if raw_data else parsers.parse_feeds_lean)("body").alias("feed"))
 
 
-def feed_entries(raw: DataFrame) -> DataFrame:
-    """One row an entry: ``feed_url, pos`` and the article record."""
-    return parsed_feeds(raw).select(F.col("url").alias("feed_url"), F.posexplode("feed.entries").alias("pos", "e")).select("feed_url", "pos", "e.*")
+def feed_entries(raw: DataFrame, raw_data: bool = True) -> DataFrame:
+    """One row an entry: ``feed_url, pos`` and the article record; without ``raw_data`` that column is null and costs nothing."""
+    return parsed_feeds(raw, raw_data).select(F.col("url").alias("feed_url"), F.posexplode("feed.entries").alias("pos", "e")).select("feed_url", "pos", "e.*")
 
 
 def validated(raw: DataFrame) -> DataFrame:
     """``url, title, type, description, valid``; a document is valid if it has entries or describes itself."""
     feed = F.col("feed")
     ok = F.col("feed.success") & (F.coalesce(F.col("status"), F.lit(OK)) < 400)
-    rows = raw.select("url", "status", parsers.parse_feeds("body").alias("feed"))
+    rows = raw.select("url", "status", parsers.parse_feeds_lean("body").alias("feed"))
     return rows.select("url", F.when(ok, feed["title"]).alias("title"), F.when(ok, feed["kind"]).alias("type"), F.when(ok, feed["description"]).alias("description"), ok.alias("valid"))
 
 
@@ -54,7 +54,7 @@ def common_path_feeds(sites: DataFrame, raw: DataFrame) -> DataFrame:
     """
     answer = "head_status" if "head_status" in raw.columns else "status"
     probes = candidates(sites).join(raw.where(F.col(answer) == OK), "url")
-    found = probes.select("site", "pos", "url", parsers.parse_feeds("body").alias("feed")).where("feed.success")
+    found = probes.select("site", "pos", "url", parsers.parse_feeds_lean("body").alias("feed")).where("feed.success")
     return found.select("site", "pos", "url", F.col("feed.title").alias("title"), F.col("feed.kind").alias("type"))
 
 

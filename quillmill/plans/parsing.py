@@ -49,7 +49,7 @@ def rss_documents(spark: SparkSession, d: str) -> DataFrame:
        FROM article a JOIN feed f ON f.id = a.feed_id WHERE a.author <> ''"""
 )
 def feed_parse(spark, d):
-    rows = discover.feed_entries(rss_documents(spark, d))
+    rows = discover.feed_entries(rss_documents(spark, d), raw_data=False)
     return rows.select("feed_url", "url", "title", "summary", "author", "published_date", F.array_join("tags", ",").alias("tag"))
 
 
