@@ -9,6 +9,7 @@ from quillmill.functions.text import stored_hash
 from quillmill.functions.urls import FEED_PATHS
 from quillmill.operators import discover, health, schedule, stats
 from quillmill.operators import ingest as op
+from quillmill.operators.library import Library
 from quillmill.sources import tables as t
 from quillmill.sources.stage import Stage
 from quillmill.sources.store import BucketTable
@@ -83,6 +84,31 @@ def stored_upsert(spark, d):
     return table.read()
 
 
+@query(
+    """SELECT f.feed_url, w.url AS site, CASE WHEN f.id % 3 = 0 THEN f.feed_type WHEN f.feed_type = 'ATOM' THEN 'ATOM' ELSE 'RSS' END AS feed_type,
+       coalesce(CASE WHEN f.id % 3 = 0 AND f.title <> '' THEN f.title END, CASE WHEN f.id % 2 = 0 THEN concat('N', CAST(f.id AS VARCHAR)) END, 'Late') AS title,
+       CASE WHEN f.id % 3 <> 0 AND f.id % 2 = 0 THEN concat(w.name, ' - N', CAST(f.id AS VARCHAR)) ELSE '' END AS description FROM feed f JOIN website w ON w.id = f.website_id"""
+)
+def stored_feed_lists(spark, d):
+    """Lists of all sites' feeds, each feed twice, put into stored tables that have a third of them; applied, and applied again."""
+    feeds, stage = site_feed(spark, d), Stage(spark, "library")
+    library = Library(spark, stage.path)
+    as_of, none = stats.latest(t.visit_log(spark, d), "started_at"), F.lit(None).cast("timestamp_ntz")
+    sites = t.website(spark, d).withColumns({"created_at": as_of, "updated_at": as_of})
+    library.sites.apply(0, sites, lambda old, new: new.select(*old.columns))
+    have = feeds.where("id % 3 = 0").withColumns({"description": F.lit(""), "last_checked": none, "last_success": none, "error_count": F.lit(0), "last_error": F.lit(""), "created_at": as_of, "updated_at": as_of})
+    library.feeds.apply(0, have, lambda old, new: new.select(*old.columns))
+    named = F.when(F.col("id") % 2 == 0, F.concat(F.lit("N"), F.col("id").cast("string")))
+    entry = lambda pos, name: F.struct(pos.alias("pos"), name.alias("name"))
+    twice = F.array(entry(F.col("id"), named), entry(F.col("id") + 1_000_000_000_000, F.lit("Late")))
+    kind = F.when(F.col("feed_type") == "ATOM", "atom").otherwise("other")
+    rows = feeds.select("site_url", "site_name", F.col("feed_url").alias("url"), kind.alias("type"), F.explode(twice).alias("e")).select("e.pos", "site_url", "site_name", "url", "e.name", "type")
+    for _ in range(2):
+        library.add_feeds(1, rows, as_of)
+    own = library.sites.read().select(F.col("id").alias("website_id"), F.col("url").alias("site"))
+    return library.feeds.read().join(own, "website_id").select("feed_url", "site", "feed_type", "title", "description")
+
+
 @query("SELECT id, feed_id, started_at FROM visit_log WHERE NOT started_at < (SELECT max(started_at) FROM visit_log) - INTERVAL '10' DAY")
 def stored_retention(spark, d):
     """Logs left in a stored table, in which only the buckets that lose rows are written."""

@@ -40,6 +40,11 @@ class BucketTable:
     def read(self) -> DataFrame:
         return self._stored().select(*self.schema.names)
 
+    def last_batch(self) -> int:
+        """The highest number of a batch that a stored row carries; -1 in an empty table."""
+        found = self._stored().agg(F.max(APPLIED)).first()[0]
+        return -1 if found is None else found
+
     def _replace(self, rows: DataFrame, batch: int) -> None:
         out = rows.select(*self.schema.names, F.lit(batch).cast("long").alias(APPLIED), self.bucket().alias(BUCKET))
         out.repartition(BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(self.path)

@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -29,21 +27,17 @@ class FeedHealth(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.health = handle.getValueState("health", _STATE)
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        seen, good, errors, message, off = self.health.get() if self.health.exists() else (None, None, 0, "", False)
-        visits = pd.concat(rows).sort_values(["started_at", "id"])
-        seen = visits["started_at"].iloc[-1].to_pydatetime()
-        # Runs of failures, by arrays: a failure's run is its distance from the success before it.
-        failed = ~visits["success"].to_numpy(dtype=bool)
-        place = np.arange(len(failed))
-        since = np.maximum.accumulate(np.where(failed, -1, place))
-        run = np.where(since < 0, place + 1 + errors, place - since)
-        off = bool(off or (failed & (run >= ERROR_LIMIT)).any())
-        if since[-1] >= 0:
-            good = visits["started_at"].iloc[since[-1]].to_pydatetime()
-        errors, message = int(run[-1]) if failed[-1] else 0, visits["error_message"].iloc[-1] if failed[-1] else ""
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        seen, good, errors, message, off = self.health.get() or (None, None, 0, "", False)
+        for visit in sorted(rows, key=lambda r: (r.started_at, r.id)):
+            seen = visit.started_at
+            if visit.success:
+                good, errors, message = seen, 0, ""
+            else:
+                errors, message = errors + 1, visit.error_message
+                off = off or errors >= ERROR_LIMIT
         self.health.update((seen, good, errors, message, off))
-        yield pd.DataFrame({"feed_id": [key[0]], "last_checked": [seen], "last_success": pd.to_datetime(pd.Series([good])), "error_count": [errors], "last_error": [message], "deactivated": [off]})
+        yield Row(feed_id=key[0], last_checked=seen, last_success=good, error_count=errors, last_error=message, deactivated=off)
 
     def close(self) -> None:
         pass
@@ -57,7 +51,7 @@ def health_stream(logs: DataFrame) -> DataFrame:
     """
     use_rocksdb(logs.sparkSession)
     rows = logs.select("id", "feed_id", F.col("started_at").cast("timestamp").alias("started_at"), "success", "error_message")
-    return rows.groupBy("feed_id").transformWithStateInPandas(FeedHealth(), HEALTH, "Update", "None")
+    return rows.groupBy("feed_id").transformWithState(FeedHealth(), HEALTH, "Update", "None")
 
 
 def quiet_feeds(logs: DataFrame, quiet: str, late: str = "1 hour") -> DataFrame:
@@ -67,7 +61,6 @@ def quiet_feeds(logs: DataFrame, quiet: str, late: str = "1 hour") -> DataFrame:
     keep it: state is one interval a feed that was visited within the time, and
     it goes when the silence is told.  Visits out of order count up to ``late``.
     """
-    use_rocksdb(logs.sparkSession)
     rows = logs.select("feed_id", F.col("started_at").cast("timestamp").alias("at")).withWatermark("at", late)
     sessions = rows.groupBy("feed_id", F.session_window("at", quiet).alias("w")).agg(F.max("at").alias("last_checked"))
     return sessions.select("feed_id", "last_checked", F.col("w.end").alias("quiet_at"))
