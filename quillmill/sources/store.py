@@ -118,9 +118,27 @@ class SeenKeys:
         touched = [r[0] for r in fresh.select("_bucket").distinct().collect()]
         seen = self.spark.read.schema(kind).parquet(self.path) if _Folder(self.spark, self.path).exists else self.spark.createDataFrame([], kind)
         seen = seen.where(F.col("bucket").isin(touched) & (F.col("epoch") < epoch)).select(F.col("key").alias("_key"))
-        fresh = fresh.join(seen, "_key", "left_anti")
+        # Stored keys are first cut down to those of the batch: then a small batch is sent to them and they stay where they
+        # are, and for a larger one Spark can test them against a Bloom filter of it before the shuffle.
+        fresh = fresh.join(seen.join(fresh.select("_key"), "_key", "left_semi"), "_key", "left_anti")
         fresh.select(F.col("_key").alias("key"), F.col("_bucket").alias("bucket"), F.lit(epoch).cast("long").alias("epoch")).repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "epoch").parquet(self.path)
         kept = self.spark.read.schema(kind).parquet(self.path).where(F.col("bucket").isin(touched) & (F.col("epoch") == epoch)).select(F.col("key").alias("_key"))
         # The least row of a key is found before the shuffle as well as after it.
         whole = F.struct(*order, F.struct(*rows.columns).alias("_row"))
         return best.join(kept, "_key", "left_semi").groupBy("_key").agg(F.min(whole).alias("_m")).select("_m._row.*")
+
+    def compact(self, before: int) -> None:
+        """Makes one folder a bucket of all epochs before ``before``, none of which will be run again.
+
+        The new folders have a negative epoch that none had; the old ones are
+        deleted after they are whole.  A crash between leaves keys twice, which changes nothing.
+        """
+        if not _Folder(self.spark, self.path).exists:
+            return
+        stored = self.spark.read.schema("key string, bucket int, epoch long").parquet(self.path).where(F.col("epoch") < before)
+        old = stored.select("bucket", "epoch").distinct().collect()  # a folder each
+        epoch = min([-1, *(r.epoch - 1 for r in old)])
+        merged = stored.select("key", "bucket", F.lit(epoch).cast("long").alias("epoch")).distinct()
+        merged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "epoch").parquet(self.path)
+        for r in old:
+            _Folder(self.spark, f"{self.path}/bucket={r.bucket}/epoch={r.epoch}").delete()

@@ -74,6 +74,27 @@ def test_keys_seen_long_ago_stay_out(spark, tmp_path):
     assert run(1) == got[1] and run(3) == got[3]  # a batch that is run again gives the same rows
 
 
+def test_compaction_keeps_every_key(spark, tmp_path):
+    r = random.Random(8)
+    seen, plain, known = SeenKeys(spark, str(tmp_path / "seen"), 3), [], set()
+    folders = lambda: {(p.parent.name, p.name) for p in (tmp_path / "seen").glob("bucket=*/epoch=*")}
+    SeenKeys(spark, str(tmp_path / "none")).compact(5)
+    for epoch in range(6):
+        rows = [(r.choice([None, "", *map(str, range(40))]), epoch * 100 + k) for k in range(15)]
+        run = lambda: sorted(((x.url, x.at) for x in seen.first_seen(spark.createDataFrame(rows, "url string, at long"), "url", ["at"], epoch).collect()), key=str)  # noqa: B023, E731
+        first = {}
+        for url, at in rows:
+            if url not in known:
+                first.setdefault(url, at)
+        got = run()
+        assert got == sorted(first.items(), key=str)
+        if epoch in (2, 4):
+            seen.compact(epoch)  # the batch of this epoch may still be run again
+            assert len(folders()) <= 6 and all(name == f"epoch={epoch}" or name.startswith("epoch=-") for _, name in folders())
+            assert run() == got
+        known |= set(first)
+
+
 @pytest.fixture(scope="module")
 def texts(spark):
     r = random.Random(4)
