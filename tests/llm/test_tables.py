@@ -4,6 +4,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillmill.llm import mixing, quality, topk, url_rules
 
@@ -44,6 +45,17 @@ def test_top_k(spark, monkeypatch, rows_a_shard):
     assert topk.exact_top_k(frame.limit(0)).count() == 0
 
 
+def test_top_k_beside_columns_called_like_its_own(spark):
+    r = random.Random(6)
+    rows = [(i, [r.gauss(0, 1) for _ in range(4)]) for i in range(90)]
+    frame = spark.createDataFrame(rows, VECTORS)
+    for name in ("_v", "v", "dim", "cell", "sub", "part", "role", "least", "query_id", "rank", "score", "n"):
+        frame = frame.withColumn(name, F.lit("other"))
+    result = topk.exact_top_k(frame, k=5)
+    assert result.columns == ["query_id", "rank", "vec_id", "score"]
+    assert sorted(tuple(x) for x in result.collect()) == plain_top_k(rows, 5, 20)
+
+
 def test_top_k_of_large_components(spark, monkeypatch):
     monkeypatch.setattr(topk, "SHARD_ROWS", 10)
     monkeypatch.setattr(topk, "LEAST_ROWS", 10)
