@@ -160,6 +160,27 @@ def test_hostile_pages_take_time_in_proportion(make):
     assert took(16_000) < 8 * 3 * max(took(2000), 0.01)  # eight times the page; the square would be 64 times
 
 
+def test_links_of_a_large_home_page_take_time_in_proportion():
+    import time
+
+    def took(n):
+        page = "".join(f'<link rel="alternate" type="application/{k % 2 and "atom" or "rss"}+xml" title="T{k}" href="/f/{k}">' for k in range(n))
+        start = time.perf_counter()
+        got = html.feed_links("https://s.example.com", page)
+        assert [x["title"] for x in got] == [f"T{k}" for k in [*range(0, n, 2), *range(1, n, 2)]]
+        return time.perf_counter() - start
+
+    took(500)
+    assert took(16_000) < 8 * 3 * max(took(2000), 0.01)
+
+
+@pytest.mark.parametrize("page", ["<body><p>x<link type='text/xml' href=/a><b></p><LINK rel=alternate TYPE='application/rss+xml' href='b?x=1&amp;y'/>", "<!-- <link type='text/xml' href='/no'> --><script><link type='text/xml' href='/no'></script><link type='text/xml' href='/a'>", "<link type='text/xml' href='/a'><![odd [x]]><link type='text/xml' href='/b'>", "<link type='text/xml' href>" + "<a " * 60, "<link type='text/xml' href='http://[x'><link type='text/xml' href='/c' title>"])
+def test_links_are_those_of_the_tree(page):
+    tree = [n.attrs for n in html.parse(page).walk() if n.tag == "link" and n.attrs.get("href")]
+    want = [(u, a.get("title", ""), a["type"]) for kind in html.FEED_TYPES for a in tree if a.get("type") == kind and (u := html.joined("https://s.example.com/", a["href"]))]
+    assert [tuple(x.values()) for x in html.feed_links("https://s.example.com/", page)] == want
+
+
 def test_ends_of_elements():
     tree = lambda x: x if isinstance(x, str) else (x.tag, [tree(c) for c in x.children])
     cases = {
