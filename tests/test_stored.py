@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillmill.operators import filters, stats
-from quillmill.operators.search_index import TrigramIndex, trigrams_of
+from quillmill.operators.search_index import TrigramIndex, id_lists, stretches, trigrams_of
 from quillmill.sources.store import BucketTable, SeenKeys
 
 KIND = "url string, n long"
@@ -129,6 +129,32 @@ def test_search_reads_only_the_postings_of_its_trigrams(spark, texts, tmp_path):
     assert "In(gram" in plan.split("PushedFilters: [")[1]
 
 
+def test_postings_are_a_list_of_ids_for_each_trigram(spark, texts, tmp_path):
+    TrigramIndex(spark, str(tmp_path / "i"), "id", ("title", "note"), 8).add(texts.coalesce(1))
+    want = {(g, r.id) for r in texts.selectExpr("id", "lower(title) t", "lower(note) n").collect() for text in (r.t, r.n) for g in trigrams_of(text or "")}
+    rows = spark.read.parquet(str(tmp_path / "i" / "lists")).collect()
+    assert {(r.gram, k) for r in rows for k in r.ids} == want and sum(r.n for r in rows) == len(want)
+    assert len(rows) == len({g for g, _ in want}) < len(want) / 10
+
+
+@pytest.mark.parametrize("limit", [1, 7, 40, 10_000])
+def test_stretches_hold_every_row_and_find_every_trigram(limit):
+    import pyarrow as pa
+
+    r = random.Random(limit)
+    rows = [(r.randrange(9), "".join(r.choice("aé\U0001f600b\n") for _ in range(r.randrange(12))), "".join(r.choice("ab") for _ in range(r.randrange(3)))) for _ in range(60)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[k : k + 13])], ["id", "x", "y"]) for k in range(0, 60, 13)]
+    tables = list(stretches(iter(batches), limit))
+    assert [tuple(x.values()) for t in tables for x in t.to_pylist()] == rows
+    assert all(t.num_rows == 1 or sum(len(x["x"].encode()) + len(x["y"]) for x in t.to_pylist()) <= limit for t in tables)
+    for t in tables:
+        want = {}
+        for x in t.to_pylist():
+            for g in trigrams_of(x["x"]) | trigrams_of(x["y"]):
+                want.setdefault(g, set()).add(x["id"])
+        assert {g: ids for g, ids, _ in (tuple(x.values()) for x in id_lists(t).to_pylist())} == {g: sorted(v) for g, v in want.items()}
+
+
 def test_waits_carry_on(spark):
     kind = "id long, host string, at timestamp"
     at = lambda s: datetime.fromtimestamp(1_700_000_000 + s)
