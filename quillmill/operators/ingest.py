@@ -37,21 +37,39 @@ def run_counts(classified: DataFrame) -> DataFrame:
     return classified.agg(F.count_if(F.col("status") == "new").alias("new_articles"), F.count_if(F.col("status") == "updated").alias("updated_articles"), F.count_if(F.col("status") == "unchanged").alias("unchanged"))
 
 
-def upsert(articles: DataFrame, batch: DataFrame) -> DataFrame:
+def upsert(articles: DataFrame, batch: DataFrame, *deal: str) -> DataFrame:
     """The article table after a batch: ``url, feed_id``, the fields of ``FIELDS`` that both have, ``content_hash``.
 
     Each URL ends with its last entry that was not a repeat; owner and URL
-    never change.  One full outer join; plain Parquet has no MERGE.
+    never change.  Stored rows and entries are dealt by URL together, once, and
+    sorted once: a stored row comes before its entries.  Entries without a URL
+    are left out.  Columns ``deal``, which follow from the URL and both have,
+    stay, and rows are in order of them.  Plain Parquet has no MERGE.
     """
-    marked = classify(batch, articles)
     fields = [c for c in FIELDS if c in batch.columns and c in articles.columns]
-    last = marked.where("status <> 'unchanged'").groupBy("url").agg(F.max_by(F.struct(*fields), "pos").alias("e"))
-    owner = batch.groupBy("url").agg(F.min_by("feed_id", "pos").alias("_owner"))
-    kept = marked.where(~blank(F.col("content"))).groupBy("url").agg(F.max_by("hash", "pos").alias("_hash"))
-    change = last.join(owner, "url").join(kept, "url", "left")
-    both = articles.join(change, "url", "full")
-    pick = [F.when(F.col("e").isNotNull(), F.col(f"e.{c}")).otherwise(F.col(c)).alias(c) for c in fields]
-    return both.select("url", F.coalesce("feed_id", "_owner").alias("feed_id"), *pick, F.coalesce("_hash", "content_hash", F.lit("")).alias("content_hash"))
+    hashed = ("title", "content", "summary")
+    carried = [*fields, *(c for c in hashed if c not in fields)]
+    none = F.lit(None)
+    old = [F.col(c) if c in fields else none.alias(c) for c in carried]
+    old = articles.select(*deal, "url", none.cast(batch.schema["pos"].dataType).alias("pos"), "feed_id", *old, "content_hash", F.lit(0).alias("_entry"))
+    new = batch.where(F.col("url").isNotNull()).select(*deal, "url", "pos", "feed_id", *carried, none.cast("string").alias("content_hash"), F.lit(1).alias("_entry"))
+    # Stored rows without a URL are no entry's: each is its own key.
+    key = [*deal, "url", "_lone"]
+    rows = old.withColumn("_lone", F.when(F.col("url").isNull(), F.monotonically_increasing_id())).unionAll(new.withColumn("_lone", none.cast("long"))).repartition(*key)
+    # Hashes are worked out behind the shuffle: they are longer than a short entry, and nothing packs them.
+    w = Window.partitionBy(*key).orderBy("_entry", "pos")
+    entry, at = F.col("_entry") == 1, F.struct("_entry", "pos")
+    rows = rows.withColumn("_hash", F.when(entry, content_hash(*map(F.col, hashed))))
+    kept = F.when(~entry, F.coalesce("content_hash", F.lit(""))).when(~blank(F.col("content")), F.col("_hash"))
+    rows = rows.withColumn("_kept", kept)
+    before = F.last("_kept", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    applies = ~entry | (F.row_number().over(w) == 1) | (F.col("_hash") != F.coalesce(before, F.lit("")))
+    last = rows.withColumn("_applies", applies).groupBy(*key).agg(
+        F.min_by("feed_id", F.when(entry | F.col("feed_id").isNotNull(), at)).alias("feed_id"),
+        F.max_by(F.struct(*fields), F.when(F.col("_applies"), at)).alias("e"),
+        F.coalesce(F.max_by("_kept", F.when(F.col("_kept").isNotNull(), at)), F.lit("")).alias("content_hash"),
+    )
+    return last.select("url", "feed_id", "e.*", "content_hash", *deal)
 
 
 def get_or_create(batch: DataFrame, table: DataFrame, key: str, order: list) -> DataFrame:

@@ -93,6 +93,42 @@ def test_entries_write_over_author_date_and_raw_data(spark):
     assert (got["v"].author, got["v"].published_date) == ("Bob", T0)
 
 
+def moved(df):
+    """Shuffles of the plan by which rows are dealt."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression"), df._jdf.queryExecution().executedPlan().toString().count("Exchange")
+
+
+def test_an_upsert_deals_rows_once(spark, tmp_path):
+    spark.createDataFrame([("u", 1, "t", "c", "s", "h")], STORED).write.parquet(f"{tmp_path}/s")
+    spark.createDataFrame([(1, 9, "u", "t", "c", "s")], ENTRY).write.parquet(f"{tmp_path}/b")
+    assert moved(ingest.upsert(spark.read.parquet(f"{tmp_path}/s"), spark.read.parquet(f"{tmp_path}/b"))) == (1, 1)
+
+
+def test_random_batches_fold_as_plain_code_does(spark):
+    import random
+    from hashlib import sha256
+
+    r = random.Random(3)
+    text = lambda: r.choice(["", None, "a", "b"])
+    digest = lambda *xs: sha256("".join(x or "" for x in xs).encode()).hexdigest()
+    stored = [(f"u{k}", k, *(x := (text(), text(), text())), r.choice([None, "", digest(*x)])) for k in range(40)] + [(None, 7, "t", "c", "s", "h"), (None, 8, "t", "c", "s", "h")]
+    batch = [(pos, r.randrange(100, 200), r.choice([f"u{r.randrange(60)}", None]) if pos % 9 == 0 else f"u{r.randrange(60)}", text(), text(), text()) for pos in range(300)]
+    want = {u: [feed, x, h or ""] for u, feed, *x, h in stored if u}
+    for _, feed, u, *x in batch:
+        if not u:
+            continue
+        known, h = u in want, digest(*x)
+        now = want.setdefault(u, [feed, x, ""])
+        if not known or h != now[2]:
+            now[1] = x
+        if x[1]:
+            now[2] = h
+    rows = spark.createDataFrame(batch, ENTRY).repartition(5)
+    got = ingest.upsert(spark.createDataFrame(stored, STORED), rows).collect()
+    assert {x.url: [x.feed_id, [x.title, x.content, x.summary], x.content_hash] for x in got if x.url} == want
+    assert sorted(x.feed_id for x in got if not x.url) == [7, 8] and len(got) == len(want) + 2
+
+
 def test_waits_reach_over_slots(spark):
     at = [datetime(2024, 1, 1, 0, 59, 59, 500_000), datetime(2024, 1, 1, 1), datetime(2024, 1, 1, 1, 0, 0, 250_000), datetime(2024, 1, 1, 5)]
     rows = spark.createDataFrame([(k, "h", x) for k, x in enumerate(at)], "id long, host string, at timestamp")
