@@ -40,12 +40,12 @@ def stored(spark: SparkSession, d: str) -> DataFrame:
 
 
 def batch(spark: SparkSession, d: str) -> DataFrame:
-    a = t.article(spark, d)
-    title = F.when(F.col("author") == "", F.concat("title", F.lit(" *"))).otherwise(F.col("title"))
-    raw = lambda pos: F.concat(F.lit('{"pos":'), pos.cast("string"), F.lit("}"))
-    first, second = F.col("id") * 2, F.col("id") * 2 + 1
-    rows = a.select(first.alias("pos"), "feed_id", "url", "title", "content", "summary", "author", "published_date", raw(first).alias("raw_data"))
-    return rows.unionAll(a.select(second, F.col("feed_id") + 1, "url", title, "content", "summary", F.lit("Second"), F.lit(None).cast("timestamp_ntz"), raw(second)))
+    a = t.article(spark, d).withColumn("k", F.explode(F.array(F.lit(0), F.lit(1))))
+    second, pos = F.col("k") == 1, F.col("id") * 2 + F.col("k")
+    title = F.when(second & (F.col("author") == ""), F.concat("title", F.lit(" *"))).otherwise(F.col("title"))
+    raw = F.concat(F.lit('{"pos":'), pos.cast("string"), F.lit("}"))
+    author, date = F.when(second, "Second").otherwise(F.col("author")), F.when(~second, F.col("published_date"))
+    return a.select(pos.alias("pos"), (F.col("feed_id") + F.col("k")).alias("feed_id"), "url", title.alias("title"), "content", "summary", author.alias("author"), date.alias("published_date"), raw.alias("raw_data"))
 
 
 @query("SELECT pos, url, hash, status FROM classified", BATCH)
@@ -78,9 +78,9 @@ def stored_upsert(spark, d):
     """The same batch against a table stored in buckets, applied, and then applied again as after a lost acknowledgement."""
     rows = stored(spark, d).select("url", "feed_id", *op.FIELDS, "content_hash")
     table = BucketTable(spark, Stage(spark, "stored").path, "url", rows.schema, 16)
-    table.apply(0, rows, lambda old, new: new)
+    table.apply(0, rows, lambda old, new, bucket: new.sortWithinPartitions(bucket), in_buckets=True)
     for _ in range(2):
-        table.apply(1, batch(spark, d), op.upsert)
+        table.apply(1, batch(spark, d), op.upsert, in_buckets=True)
     return table.read()
 
 

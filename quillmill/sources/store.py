@@ -45,25 +45,32 @@ class BucketTable:
         found = self._stored().agg(F.max(APPLIED)).first()[0]
         return -1 if found is None else found
 
-    def _replace(self, rows: DataFrame, batch: int) -> None:
-        out = rows.select(*self.schema.names, F.lit(batch).cast("long").alias(APPLIED), self.bucket().alias(BUCKET))
-        out.repartition(BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(self.path)
+    def _replace(self, rows: DataFrame, batch: int, sorted_by_bucket: bool = False) -> None:
+        out = rows.select(*self.schema.names, F.lit(batch).cast("long").alias(APPLIED), F.col(BUCKET) if sorted_by_bucket else self.bucket().alias(BUCKET))
+        (out if sorted_by_bucket else out.repartition(BUCKET)).write.mode("overwrite").option("compression", "zstd").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(self.path)
 
     def _waiting(self, touched: list[int], batch: int) -> list[int]:
         """Buckets (numbers, so at most ``buckets`` of them) that don't have the batch yet."""
         have = self._stored().where(F.col(BUCKET).isin(touched) & (F.col(APPLIED) >= batch)).select(BUCKET).distinct().collect()
         return sorted(set(touched) - {r[0] for r in have})
 
-    def apply(self, batch: int, rows: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> list[int]:
+    def apply(self, batch: int, rows: DataFrame, merge: Callable[..., DataFrame], in_buckets: bool = False) -> list[int]:
         """Puts ``merge(stored, rows)`` in place of the buckets that ``rows`` has keys of, and says which were rewritten.
 
-        ``merge`` keeps every key that it is given, and makes no others.
+        ``merge`` keeps every key that it is given, and makes no others.  With
+        ``in_buckets`` it is called as ``merge(stored, rows, BUCKET)``: both have
+        that column, and its result has it and is in order of it in each
+        partition, so that no shuffle is needed to write it; then a bucket has a
+        file for each partition.
         """
         dealt = rows.withColumn(BUCKET, self.bucket())
         todo = self._waiting([r[0] for r in dealt.select(BUCKET).distinct().collect()], batch)
         if todo:
             mine = F.col(BUCKET).isin(todo)
-            self._replace(merge(self._stored().where(mine).select(*self.schema.names), dealt.where(mine).drop(BUCKET)), batch)
+            if in_buckets:
+                self._replace(merge(self._stored().where(mine).select(*self.schema.names, BUCKET), dealt.where(mine), BUCKET), batch, True)
+            else:
+                self._replace(merge(self._stored().where(mine).select(*self.schema.names), dealt.where(mine).drop(BUCKET)), batch)
         return todo
 
     def delete(self, batch: int, gone: Column) -> list[int]:

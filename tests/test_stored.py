@@ -50,6 +50,17 @@ def test_a_batch_that_was_cut_off_is_finished(spark, tmp_path):
     assert rows_of(table) == sorted((f"u{k}", 2) for k in range(50))
 
 
+def test_merges_in_order_of_buckets_are_written_without_a_shuffle(spark, tmp_path):
+    schema = spark.createDataFrame([], KIND).schema
+    plain, table = (BucketTable(spark, str(tmp_path / x), "url", schema, 8) for x in "pt")
+    for k in range(2):
+        rows = spark.createDataFrame([(f"u{x}", x + k) for x in range(k * 50, 200)], KIND).repartition(3)
+        assert plain.apply(k, rows, latest if k else lambda old, new: new) == table.apply(k, rows, lambda old, new, bucket: old.where("false").unionAll(new).unionAll(old.join(new, "url", "left_anti").select(old.columns)).sortWithinPartitions(bucket), in_buckets=True)
+        assert table.apply(k, rows, None, in_buckets=True) == []
+        assert rows_of(plain) == rows_of(table)
+    assert max(map(len, table.files().values())) > 1 == max(map(len, plain.files().values()))
+
+
 def test_deleting_rows_and_whole_buckets(spark, tmp_path):
     schema = spark.createDataFrame([], KIND).schema
     table = BucketTable(spark, str(tmp_path / "t"), "url", schema, 4)
