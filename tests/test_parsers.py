@@ -46,6 +46,43 @@ def test_sitemaps():
     assert feeds.sitemap_locs(plain)[1] == ["c"] and feeds.sitemap_locs(plain, True)[1] == []
 
 
+SITEMAPS = (
+    "<urlset><url><loc> a<b>c</b> </loc><loc/><x><loc>no</loc></x></url><sitemap><loc>m</loc></sitemap><url><loc>z</loc>", "<url><loc>a</loc><loc>b</loc></url>", "<loc>a</loc>", "", "<urlset><url><loc>a</loc></url></urlset>x", "no", "<urlset><url><loc>a</url>",
+    "<s:urlset xmlns:s='http://www.sitemaps.org/schemas/sitemap/0.9'><s:url><s:loc>a</s:loc></s:url><url><s:loc>b</s:loc></url></s:urlset>", "<?xml version='1.0' encoding='latin-1'?><urlset><URL><Loc>\u00e9&amp;\U0001f600</Loc></URL></urlset>",
+)
+
+
+@pytest.mark.parametrize("piece", [1, 7, 1 << 16])
+@pytest.mark.parametrize("namespaced", [False, True])
+def test_sitemaps_in_pieces_are_read_as_whole_trees(monkeypatch, piece, namespaced):
+    monkeypatch.setattr(feeds, "PIECE", piece)
+    for body in SITEMAPS:
+        done, _, error = feeds._elements(body) if body else ([], "", "empty document")
+        locs = [(feeds._local(p.tag), feeds._text(n)) for n, p in done if feeds._local(n.tag) == "loc" and p is not None and (not namespaced or p.tag.startswith(f"{{{feeds.SITEMAP_NS}}}"))]
+        want = [[x for kind, x in locs if x and kind == name] for name in ("url", "sitemap")]
+        assert feeds.sitemap_locs(body, namespaced) == (*want, error), body
+
+
+def test_a_long_sitemap_is_never_a_whole_tree():
+    import tracemalloc
+
+    body = "<sitemapindex>" + "".join(f"<sitemap><loc>https://s.example.com/{k:09d}</loc></sitemap>" for k in range(40_000)) + "</sitemapindex>"
+    tracemalloc.start()
+    _, children, error = feeds.sitemap_locs(body)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(children) == 40_000 and error is None and peak < 8_000_000
+
+
+def test_documents_of_a_large_batch_are_read_in_pieces(spark):
+    import pandas as pd
+
+    bodies = pd.Series([*["<rss><channel><title>" + "x" * 300_000 + f"{k}</title></channel></rss>" for k in range(20)], None, ""])
+    frames = list(feeds.parse_feeds_lean.func(iter([bodies, bodies[:0], bodies[:1]])))
+    assert max(map(len, frames)) == 4 and sum(map(len, frames)) == 23
+    assert [t[-2:].strip("x") for f in frames for t in f["title"]] == [*map(str, range(20)), "", "", "0"]
+
+
 def test_sitemap_levels(spark):
     ns = 'xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"'
     index = lambda *c: f"<sitemapindex {ns}>" + "".join(f"<sitemap><loc>{x}</loc></sitemap>" for x in c) + "</sitemapindex>"
