@@ -60,6 +60,19 @@ def test_runs_of_failures_in_one_trigger(spark, tmp_path):
         assert tuple(got[feed]) == (seen, good, errors, message, off)
 
 
+def test_visits_are_taken_by_place():
+    kept = []
+
+    class State:
+        get, update = staticmethod(lambda: (1, 1, 3, "c", False)), staticmethod(kept.append)
+
+    fold = jobs.FeedHealth()
+    fold.health = State()
+    # Tuples have no names to be looked up.
+    out = list(fold.handleInputRows((5,), iter([(8, 5, 20, False, "b"), (9, 5, 20, False, "a"), (2, 5, 30, True, "")]), None))
+    assert kept == [(30, 30, 0, "", True)] and out[0].asDict() == {"feed_id": 5, "last_checked": 30, "last_success": 30, "error_count": 0, "last_error": "", "deactivated": True}
+
+
 def test_silences_end_at_the_next_visit(spark, tmp_path):
     kind = "feed_id long, started_at timestamp"
     at = lambda minute: datetime(2024, 1, 1) + timedelta(minutes=minute)
